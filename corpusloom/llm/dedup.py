@@ -170,8 +170,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     shares no band with probability 3e-6.
 
     A null or empty text has no shingles and links with nothing. A null
-    doc_id stays alone: component_id null, kept false. Rows that repeat a
-    doc_id are one node. Other columns are ignored.
+    doc_id stays alone: component_id null, kept false. doc_id is meant to be a
+    key; whole rows that repeat are copies of one node. Other columns are ignored.
     """
     minima = bands * rows
     signed = stored(signatures(docs, k, bands, rows), "signed")
@@ -202,5 +202,4 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     out = signed.join(ids, ["lo", "hi"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
     )
-    # a repeated doc_id is one node: its rows share the smallest component that any of them has
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
