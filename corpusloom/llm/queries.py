@@ -5,20 +5,87 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusloom.llm import dedup
+from corpusloom.llm import ann, decontaminate, dedup, htmltext, licences, mixing, pii, quality, sharding, tokenorder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenorder.training_order(_table(spark, sf_dir, "documents"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicates(_table(spark, sf_dir, "documents"), k=2)
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_leaks(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("x")).select("doc_id", "x.*")
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def op5_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract_pages(_table(spark, sf_dir, "pages"))
+
+
+def op6_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.assign_shards(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(_table(spark, sf_dir, "documents"))
+
+
+def op8_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_table(spark, sf_dir, "documents"))
+
+
+def op9_anisotropic_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score_quality(docs, _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    f.__name__: f
+    for f in (
+        op1_training_order,
+        op2_minhash_near_dedup,
+        op3_decontaminate,
+        op4_pii,
+        op5_html_wrappers,
+        op6_sampled_splitters,
+        op7_licence_scan,
+        op8_pfair_mixing,
+        op9_anisotropic_ann,
+        op10_quality,
+    )
 }
 
-ORACLES: dict[str, str] = {}
+_H = "('0x' || substr(md5({}), 1, 15))::bigint"
+ORACLES: dict[str, str] = {
+    "op6_sampled_splitters": f"""
+with rows as (
+  select doc_id, strlen(coalesce(text, ''))::bigint + 8 as size, coalesce(text, '') as t,
+    {_H.format("coalesce(text, '')")} as k, {_H.format("doc_id::varchar")} as h from documents),
+crc as (select t, crc from (select distinct t from rows), lateral (select 0 as crc)),
+runs as (
+  select doc_id, size, t, sum(size) over (order by k, h, doc_id rows unbounded preceding) - size as before,
+    row_number() over (order by k, h, doc_id) - 1 as at, sum(size) over () as total from rows),
+placed as (select *, ((before * 24) // total)::int as shard from runs)
+select doc_id, size, 'bytes' as law, shard, (at - min(at) over (partition by shard))::bigint as slot, null::int as grown_shard from placed
+""",
+    "op7_licence_scan": licences.oracle(),
+}
