@@ -13,19 +13,35 @@ from pyspark.sql import types as T
 
 from corpusloom.llm import textbytes as tb
 
-FEATURES = 1 << 13
-SHIFT = np.uint64(51)
-HALF = 32  # words in a block; a passage is two blocks
-_GROUP = 64  # features in a row of the gathered matrix
+#: Buckets that document frequencies are kept in.
+BUCKETS = 1 << 16
+HALF = 24  # words in a block; a passage is two blocks
+WIDTH = 256  # columns of the random test matrix
+_NONZERO = 4  # of them that a word has an entry in
 LEAKS = T.ArrayType(
     T.StructType().add("item_id", "long").add("cosine", "double").add("lcs", "long").add("item_words", "long").add("answer", "boolean").add("at_word", "long")
 )
 
 
-def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, hash, hashed feature) of each word: runs of letters and digits, A-Z as a-z."""
-    _, _, row, h = tb.words(data, offsets, tb.NOT_ALNUM)
-    return row, h, (h >> SHIFT).astype(np.uint16)
+def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of each word: runs of letters and digits, A-Z as a-z."""
+    _, _, row, h = tb.words(data, offsets, tb.BY_PUNCTUATION)
+    return row, h
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(48)).astype(np.int64)
+
+
+def project(h: np.ndarray, weight: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
+    """Rows of A @ omega, one a group: omega is a sparse sign matrix whose row for a word follows from its hash."""
+    out = np.zeros(n * WIDTH)
+    base = group * WIDTH
+    for i in range(_NONZERO):
+        part = h >> np.uint64(9 * i)
+        sign = 1.0 - 2.0 * ((part >> np.uint64(8)) & np.uint64(1)).astype(np.float64)
+        out += np.bincount(base + (part & np.uint64(255)).astype(np.int64), weights=sign * weight, minlength=n * WIDTH)
+    return out.reshape(n, WIDTH)
 
 
 def _blocks(row: np.ndarray, n: int, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,40 +57,32 @@ def _starts(group: np.ndarray) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Passages that hold each feature; feature -1 counts passages."""
-    df, n = np.zeros(FEATURES, np.int64), 0
+    """Passages that hold a word of each bucket; bucket -1 counts passages."""
+    df, n = np.zeros(BUCKETS, np.int64), 0
     for batch in batches:
         for a, b, data, offsets in tb.slices(batch.column(0)):
-            row, _, f = _tokens(data, offsets)
+            row, h = _tokens(data, offsets)
             block, first = _blocks(row, b - a, 2 * HALF)
             n += int(first[-1])
-            df += np.bincount(np.unique(block * FEATURES + f) % FEATURES, minlength=FEATURES)
+            key = np.sort(block * BUCKETS + _bucket(h))
+            df += np.bincount(key[_starts(key)] & (BUCKETS - 1), minlength=BUCKETS)
     at = np.flatnonzero(df)
-    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], at])), pa.array(np.concatenate([[n], df[at]]))], names=["f", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], at])), pa.array(np.concatenate([[n], df[at]]))], names=["bucket", "n"])
 
 
-def _gather(idf, seed: int, width: int):
-    """Part of A'(A omega) for unit TF-IDF rows A of this partition's passages, in rows of ``_GROUP`` features."""
+def _gram(idf):
+    """Y'Y over the unit rows Y = A omega of this partition's passages, a row of the matrix a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = idf.value.astype(np.float32)
-        omega = np.random.default_rng(seed).standard_normal((FEATURES, width)).astype(np.float32) * w[:, None]
-        out = np.zeros((FEATURES, width), np.float64)
+        w, out = idf.value, np.zeros((WIDTH, WIDTH))
         for batch in batches:
             for a, b, data, offsets in tb.slices(batch.column(0)):
-                row, _, f = _tokens(data, offsets)
-                if not len(f):
-                    continue
-                block, _ = _blocks(row, b - a, 2 * HALF)
-                at = _starts(block)
-                y = np.add.reduceat(omega[f], at, axis=0)
-                y /= np.maximum(np.add.reduceat(w[f] ** 2, at), 1e-6)[:, None]
-                order = np.argsort(f, kind="stable")
-                near = _starts(f[order])
-                out[f[order][near]] += np.add.reduceat(y[block[order]], near, axis=0)
-        out *= w[:, None]
-        parts = out.astype(np.float32).reshape(FEATURES // _GROUP, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts))), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "sums"])
+                row, h = _tokens(data, offsets)
+                block, first = _blocks(row, b - a, 2 * HALF)
+                y = project(h, w[_bucket(h)], block, int(first[-1])).astype(np.float32)
+                y /= np.maximum(np.linalg.norm(y, axis=1), 1e-9)[:, None]
+                out += y.T @ y
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(WIDTH)), pa.array([r.tobytes() for r in out], pa.binary())], names=["part", "sums"])
 
     return run
 
@@ -84,47 +92,48 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, sums in zip(batch.column(0).to_pylist(), batch.column(1)):
-            x = np.frombuffer(sums.as_buffer(), np.float32).astype(np.float64)
+            x = np.frombuffer(sums.as_buffer())
             total[part] = total[part] + x if part in total else x
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "sums"])
 
 
-def latent_space(docs: DataFrame, rank: int = 48, extra: int = 16, seed: int = 17) -> np.ndarray:
-    """(FEATURES, rank) map from word counts to whitened latent coordinates of the corpus.
+class Space:
+    """Weights of words and the map from projected passages to latent coordinates."""
+
+    def __init__(self, idf: np.ndarray, turn: np.ndarray):
+        self.idf, self.turn = idf, turn.astype(np.float32)
+
+    def place(self, h: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
+        return project(h, self.idf[_bucket(h)], group, n).astype(np.float32) @ self.turn
+
+
+def latent_space(docs: DataFrame, rank: int = 192) -> Space:
+    """Randomised SVD of the TF-IDF matrix A of all passages (48 words each) of all documents.
 
-    Every 64-word passage of every document is a row of TF-IDF over hashed
-    words. One distributed pass sums A'(A omega) for a random omega; the
-    Nystroem form of the randomised SVD of A'A follows from that sum alone
-    (a matrix of fixed size). Coordinates are divided by the singular values,
-    so the few directions that all texts of a language share don't drown the rest.
+    The range of A is found as Y = A omega with a sparse sign matrix omega of
+    256 columns; Y'Y, summed over all passages in one distributed pass, gives
+    the singular values of Y and the turn that makes Y's columns orthonormal
+    (its left singular vectors), so a passage's latent coordinates are its
+    projected row times that turn, cut to the first ``rank``. They are
+    whitened: what all texts of a language share counts for no more than the
+    rest. What comes to the driver has a fixed size.
     """
     spark = docs.sparkSession
     text = docs.select(F.col("text").cast("string").alias("text"))
-    got = dict(text.mapInArrow(_count, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).collect())
+    got = dict(text.mapInArrow(_count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect())
     n = got.pop(-1, 0)
-    df = np.zeros(FEATURES)
-    for f, c in got.items():
-        df[f] = c
-    idf = np.log((n + 1.0) / (df + 1.0)) if n else np.zeros(FEATURES)
-    width = rank + extra
-    sums = text.mapInArrow(_gather(spark.sparkContext.broadcast(idf), seed, width), "part long, sums binary")
-    parts = sums.repartition(16, "part").mapInArrow(_add_up, "part long, sums binary").collect()
-    z = np.zeros((FEATURES // _GROUP, _GROUP * width))
-    for part, x in parts:
-        z[part] = np.frombuffer(bytes(x))
-    z = z.reshape(FEATURES, width)
-    scale = np.linalg.norm(z)
-    if not scale:
-        return np.zeros((FEATURES, rank))
-    omega = np.random.default_rng(seed).standard_normal((FEATURES, width)).astype(np.float32).astype(np.float64)
-    shift = 1e-6 * scale
-    z = z + shift * omega
-    core = omega.T @ z
-    half = np.linalg.cholesky((core + core.T) / 2 + 1e-9 * np.trace(core) / width * np.eye(width))
-    u, s, _ = np.linalg.svd(np.linalg.solve(half, z.T).T, full_matrices=False)
-    power = np.sqrt(np.maximum(s**2 - shift, 1e-12))
-    keep = power[:rank] > 1e-3 * power[0]
-    return idf[:, None] * u[:, :rank] * np.where(keep, 1 / power[:rank], 0.0)
+    df = np.zeros(BUCKETS)
+    for bucket, c in got.items():
+        df[bucket] = c
+    idf = np.log((n + 1.0) / (df + 1.0)) if n else np.ones(BUCKETS)
+    sums = text.mapInArrow(_gram(spark.sparkContext.broadcast(idf)), "part long, sums binary")
+    gram = np.zeros((WIDTH, WIDTH))
+    for part, x in sums.repartition(16, "part").mapInArrow(_add_up, "part long, sums binary").collect():
+        gram[part] += np.frombuffer(bytes(x))
+    power, turn = np.linalg.eigh(gram)
+    power, turn = power[::-1][:rank], turn[:, ::-1][:, :rank]
+    floor = max(power[0], 1.0) * 1e-6
+    return Space(idf, turn / np.sqrt(np.maximum(power, floor)))
 
 
 def lcs_masks(words: list[int]) -> dict[int, int]:
@@ -148,13 +157,13 @@ def lcs_length(masks: dict[int, int], m: int, other: list[int]) -> int:
 
 def _hashes(text: str) -> list[int]:
     raw = np.frombuffer(text.encode(), np.uint8)
-    return _tokens(raw, np.array([0, len(raw)]))[1].tolist()
+    return _tokens(raw, np.array([0, len(raw)]))[1].tolist() if len(raw) else []
 
 
 class Items:
     """A block of benchmark items made ready for search."""
 
-    def __init__(self, rows: list[tuple[object, str, str | None]], space: np.ndarray, min_words: int):
+    def __init__(self, rows: list[tuple[object, str, str | None]], space: Space, min_words: int):
         self.ids, self.sizes, self.masks, self.answers, at = [], [], [], [], []
         for item, text, answer in rows:
             h = _hashes(text)
@@ -166,9 +175,9 @@ class Items:
             self.masks.append(lcs_masks(h))
             self.answers.append((len(tail), lcs_masks(tail)))
             # an item longer than a passage is looked for by its passages
-            f = (np.array(h, np.uint64) >> SHIFT).astype(np.int64)
-            step = [f[i : i + 2 * HALF] for i in range(0, max(1, len(f) - HALF // 2), HALF)]
-            at.append([space[s].sum(axis=0) for s in step])
+            own = np.array(h, np.uint64)
+            step = [own[i : i + 2 * HALF] for i in range(0, max(1, len(h) - HALF // 2), HALF)]
+            at.append([space.place(x, np.zeros(len(x), np.int64), 1)[0] for x in step])
         self.item_of = np.array([i for i, x in enumerate(at) for _ in x], np.int64)
         points = np.array([p for x in at for p in x], np.float32).reshape(len(self.item_of), -1)
         self.points = points / np.maximum(np.linalg.norm(points, axis=1), 1e-12)[:, None]
@@ -177,15 +186,14 @@ class Items:
 def _searcher(shared, cosine: float, share: float, sure: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, items = shared.value
-        space = space.astype(np.float32)
         for batch in batches:
             found: list[list[dict]] = []
             for a, b, data, offsets in tb.slices(batch.column(1)):
                 hits: list[dict[int, dict]] = [{} for _ in range(b - a)]
-                row, h, f = _tokens(data, offsets)
-                if len(f) and len(items.ids):
+                row, h = _tokens(data, offsets)
+                if len(h) and len(items.ids):
                     block, first = _blocks(row, b - a, HALF)
-                    sums = np.add.reduceat(space[f], _starts(block), axis=0)
+                    sums = space.place(h, block, int(first[-1]))
                     whole = sums.copy()
                     whole[:-1] += sums[1:]
                     ends = first[1:][np.diff(first) > 0] - 1
@@ -220,10 +228,10 @@ def _searcher(shared, cosine: float, share: float, sure: float):
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.45, share: float = 0.6, sure: float = 0.75, min_words: int = 8, item_block: int = 4096, space: np.ndarray | None = None) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.3, share: float = 0.6, sure: float = 0.75, min_words: int = 8, item_block: int = 4096, space: Space | None = None) -> DataFrame:
     """Rows of ``docs`` with ``leaks`` added: the benchmark items whose text, whole or reworded, they hold.
 
-    Each passage (two blocks of 32 words, stepping one block, so whole texts
+    Each passage (two blocks of 24 words, stepping one block, so whole texts
     are covered) whose latent cosine with an item reaches ``cosine`` is a
     candidate; its words and those around it must share a common subsequence
     of ``share`` of the item's words, and either the item's answer (column

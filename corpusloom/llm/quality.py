@@ -14,14 +14,15 @@ from corpusloom.llm import textbytes as tb
 GRAMS = (2, 3, 4)
 BITS = 16
 _MULT = np.uint32(0x9E3779B1)
-_LANE = tb.SPACE.astype(np.uint8)
-#: Byte values with all white space as one code.
-_CODE = np.where(tb.SPACE, 32, np.arange(256)).astype(np.uint32)
+#: Tables for bytes.translate: 1 for white space; all white space as one code.
+_GAP = bytes(bool(x) for x in tb.SPACE)
+_CODE = bytes(32 if tb.SPACE[i] else i for i in range(256))
+_AGAIN = 1  # feature of every word that repeats the one before it: the word bigrams of that kind share a vector
 _EMPTY = 0  # feature that every document has, so that an empty text has one too
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of every feature: each word, and each 2- to 4-byte gram of a word with its end marks.
+    """(row, bucket) of every feature: each word, each doubled word, and each 2- to 4-byte gram of a word with its end marks.
 
     A gram may have white space (or the text's edge) only as its first or last
     byte. Letter case is kept: it tells shouted text from prose.
@@ -31,8 +32,10 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     if n:
         shift = np.uint32(32 - BITS)
         row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        code, gap = _CODE[data], _LANE[data]
-        gaps = np.concatenate([[0], np.cumsum(gap)])
+        raw = data.tobytes()
+        code = np.frombuffer(raw.translate(_CODE), np.uint8).astype(np.uint32)
+        gap = np.frombuffer(raw.translate(_GAP), np.uint8)
+        gaps = np.concatenate([[0], np.cumsum(gap, dtype=np.int32)])
         h = code * _MULT
         for size in range(2, max(GRAMS) + 1):
             if n < size:
@@ -52,6 +55,9 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         _, _, word_row, word = tb.words(data, offsets)
         ids.append((word >> np.uint64(64 - BITS)).astype(np.int64))
         rows.append(word_row)
+        again = np.flatnonzero((word[1:] == word[:-1]) & (word_row[1:] == word_row[:-1])) + 1
+        ids.append(np.full(len(again), _AGAIN, np.int64))
+        rows.append(word_row[again])
     return np.concatenate(rows), np.concatenate(ids)
 
 

@@ -12,18 +12,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 19
+SLICE = 1 << 17
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
-_rng = np.random.default_rng(20240607)
-#: A random 64-bit value per byte; A-Z share those of a-z.
-BYTE_VALUES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BYTE_VALUES[65:91] = BYTE_VALUES[97:123]
-#: Bytes \x20 and \x09-\x0D part words.
-SPACE = np.zeros(256, bool)
-SPACE[[32, 9, 10, 11, 12, 13]] = True
-#: As above, and all ASCII that is neither letter nor digit.
-NOT_ALNUM = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
+_LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
+_WHITE = frozenset((32, 9, 10, 11, 12, 13))
+#: Tables for bytes.translate: 1 where a byte is part of a word. Words end at \x20 and \x09-\x0D ...
+BY_SPACE = bytes(i not in _WHITE for i in range(256))
+#: ... or at all ASCII that is neither letter nor digit.
+BY_PUNCTUATION = bytes(i >= 128 or chr(i).isalnum() for i in range(256))
+SPACE = np.array([i in _WHITE for i in range(256)])
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -68,23 +66,31 @@ def slices(text: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.nd
         a = b
 
 
-def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, table: bytes = BY_SPACE, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, end, row and 64-bit hash (A-Z as a-z) of each word; words never cross rows."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    inside = ~apart[data]
+    raw = data.tobytes()
+    inside = np.frombuffer(raw.translate(table), bool)
     begin = inside.copy()
     begin[1:] &= ~inside[:-1]
-    first = offsets[:-1][offsets[:-1] < offsets[1:]]
+    full = offsets[:-1] < offsets[1:]
+    first, last = offsets[:-1][full], offsets[1:][full] - 1
     begin[first] = inside[first]
     end = inside.copy()
     end[:-1] &= ~inside[1:]
-    last = offsets[1:][offsets[:-1] < offsets[1:]] - 1
     end[last] = inside[last]
     s, e = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    p, q = _power(n)
-    c = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE_VALUES[data] * p, out=c[1:])
-    h = mix((c[e] - c[s]) * q[s] + (e - s).astype(np.uint64))
-    return s, e, np.searchsorted(offsets, s, "right") - 1, h
+    return s, e, np.searchsorted(offsets, s, "right") - 1, spans_hash(np.frombuffer(raw.translate(_LOWER), np.uint8) if lower else data, s, e)
+
+
+def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each stretch of bytes, by differences of one running polynomial."""
+    p, q = _power(len(data))
+    c = np.zeros(len(data) + 1, np.uint64)
+    v = data.astype(np.uint64)
+    v += np.uint64(1)
+    v *= p
+    np.cumsum(v, out=c[1:])
+    return mix((c[end] - c[start]) * q[start] + (end - start).astype(np.uint64))

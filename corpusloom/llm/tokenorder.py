@@ -31,7 +31,8 @@ class Encoder:
 
     Texts are cut where the split pattern always cuts: before the single space
     (or after the other white space) that a word follows. Each distinct piece
-    of a slice is encoded once, and the ids are gathered by piece.
+    of a slice is encoded once, most of them in one string, and the ids are
+    gathered by piece.
     """
 
     def __init__(self, path: str):
@@ -40,6 +41,9 @@ class Encoder:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.lengths = np.zeros(1 << 16, np.int64)
+        for token, i in ranks.items():
+            self.lengths[i] = len(token)
 
     def pieces(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Start of every piece, ascending; pieces tile the bytes and never cross rows."""
@@ -65,17 +69,25 @@ class Encoder:
             return np.zeros(0, np.uint16), np.zeros(len(offsets), np.int64)
         starts = self.pieces(data, offsets)
         ends = np.append(starts[1:], len(data))
-        p, q = tb._power(len(data))
-        c = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_CASED[data] * p, out=c[1:])
-        key = tb.mix((c[ends] - c[starts]) * q[starts] + (ends - starts).astype(np.uint64))
+        key = tb.spans_hash(data, starts, ends)
         _, one, back = np.unique(key, return_index=True, return_inverse=True)
+        a, b = starts[one], ends[one]
+        # words led by one space can be encoded end to end: the split pattern parts them before the space
+        led = (data[a] == 32) & (b - a > 1)
+        led[led] = ~tb.SPACE[data[a[led] + 1]]
+        size = (b - a)[led]
+        upto = np.cumsum(size)
+        at = np.repeat(a[led] - (upto - size), size) + np.arange(int(size.sum()))
+        run = np.array(self.bpe.encode_ordinary(data[at].tobytes().decode("utf-8", "replace")), np.uint16)
+        cut = np.searchsorted(np.cumsum(self.lengths[run]), upto) + 1
         raw = data.tobytes()
-        encode = self.bpe.encode_ordinary
-        ids = [encode(raw[a:b].decode("utf-8", "replace")) for a, b in zip(starts[one].tolist(), ends[one].tolist())]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((t for x in ids for t in x), np.uint16, int(sizes.sum()))
-        base = np.cumsum(sizes) - sizes
+        rest = [self.bpe.encode_ordinary(raw[x:y].decode("utf-8", "replace")) for x, y in zip(a[~led].tolist(), b[~led].tolist())]
+        sizes, base = np.zeros(len(one), np.int64), np.zeros(len(one), np.int64)
+        sizes[led] = np.diff(cut, prepend=0)
+        base[led] = cut - sizes[led]
+        sizes[~led] = np.fromiter(map(len, rest), np.int64, len(rest))
+        base[~led] = len(run) + np.cumsum(sizes[~led]) - sizes[~led]
+        flat = np.concatenate([run, np.fromiter((t for x in rest for t in x), np.uint16, int(sizes[~led].sum()))])
         n = sizes[back]
         ends_at = np.cumsum(n)
         take = np.repeat(base[back] - (ends_at - n), n) + np.arange(int(n.sum()))
@@ -86,16 +98,13 @@ class Encoder:
         return np.array(self.bpe.encode_ordinary(text), np.uint16)
 
 
-_CASED = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
 def _sequencer(path: str, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, i = Encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
             text = batch.column(1)
             row = 0
-            for a, b, data, offsets in tb.slices(text):
+            for a, b, data, offsets in tb.slices(text, 1 << 22):
                 ids, cuts = encoder.encode(data, offsets)
                 doc, seq, count, blob = [], [], [], []
                 for r in range(b - a):
