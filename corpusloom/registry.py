@@ -2,18 +2,56 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.sources.views import duck, view
+
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
+_MODULES = ["scans", "selects", "joins", "aggregates", "windows", "toplists", "scalars", "corpus", "identity", "graphs", "retrieval", "checks", "streams"]
+
+
+class Tables:
+    """The tables and adapter views of one folder, by attribute."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return view(self.spark, self.sf_dir, name)
+
+
+def query(sql: str | None = None) -> Callable:
+    """Registers a function of ``Tables``; ``sql`` is the same as DuckDB SQL over {tables and views}."""
+
+    def add(f: Callable[[Tables], DataFrame]) -> Callable:
+        _QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            _SQL[f.__name__] = duck(sql)
+        return f
+
+    return add
+
+
+def _load() -> None:
+    for m in _MODULES:
+        importlib.import_module(f"corpusloom.plans.{m}")
 
 
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
+
+
+def entry(spark: SparkSession) -> DataFrame:
+    _load()
+    return _QUERIES["r5_top_spans"](spark, "/root/testdata/sf0.001")
