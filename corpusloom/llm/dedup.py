@@ -99,22 +99,22 @@ def _set_rows(k: int):
 
 
 def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact sizes of intersection and union of the two sets of each row."""
+    """Exact sizes of intersection and union of each row's sets x and y, and which members of y (by rank, 64 a long) x has."""
     for batch in batches:
-        a, b = batch.column(2), batch.column(3)
-        both, either = [], []
-        last: tuple[object, np.ndarray] = (None, np.zeros(0, np.uint64))
-        for i in range(len(a)):
-            x = np.frombuffer(a[i].as_buffer(), np.uint64)
-            y = np.frombuffer(b[i].as_buffer(), np.uint64)
-            small, large = (x, y) if len(x) <= len(y) else (y, x)
-            at = np.searchsorted(large, small)
-            at[at == len(large)] = 0
-            n = int((large[at] == small).sum()) if len(large) else 0
+        both, either, inside = [], [], []
+        for a, b in zip(batch.column(2), batch.column(3)):
+            x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+            at = np.searchsorted(y, x)
+            at[at == len(y)] = 0
+            has = np.zeros(-(-len(y) // 64) * 64, bool)
+            has[at[y[at] == x]] = True
+            n = int(has.sum())
             both.append(n)
             either.append(len(x) + len(y) - n)
-        del last
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both, pa.int64()), pa.array(either, pa.int64())], names=["a", "b", "both", "either"])
+            inside.append(np.packbits(has).view(np.int64).tolist())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(both, pa.int64()), pa.array(either, pa.int64()), pa.array(inside, pa.list_(pa.int64()))], names=["a", "b", "both", "either", "inside"]
+        )
 
 
 def estimate(x: str, y: str, minima: int) -> F.Column:
@@ -128,29 +128,46 @@ def estimate(x: str, y: str, minima: int) -> F.Column:
     return (same - 0.25) / 0.75
 
 
-def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, minima: int, margin: float) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * both >= percent * either.
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, member) for each member of each set."""
+    for batch in batches:
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        for a in range(0, len(ids), 256):
+            sets = [np.frombuffer(m.as_buffer(), np.int64) for m in batch.column(1)[a : a + 256]]
+            owner = np.repeat(ids[a : a + 256], [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(np.concatenate(sets), pa.int64())], names=["doc_id", "member"])
+
+
+def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """doc_id, members (sorted 64-bit hashes) of the documents in ``ids``, stored."""
+    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left_semi")
+    return stored(wanted.mapInArrow(_set_rows(k), "doc_id long, members binary"), "sets")
 
-    Pairs whose set sizes rule that out, or whose two-bit estimate lies more
-    than ``margin`` (about six standard deviations) below the threshold, are
-    not looked at further.
+
+def close(classes: DataFrame, pairs: DataFrame, percent: int, minima: int, margin: float) -> DataFrame:
+    """Of the pairs (a, b), those that set sizes and two-bit estimates do not rule out, cut off from their lineage.
+
+    The estimate rules a pair out when it lies more than ``margin`` (about six
+    standard deviations) below the threshold.
     """
     side = lambda c: classes.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
-    near = (
+    return cut(
         pairs.join(side("a"), "a")
         .join(side("b"), "b")
         .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
         .where(estimate("bits_a", "bits_b", minima) >= percent / 100 - margin)
         .select("a", "b")
     )
-    near = cut(near)
-    ids = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left_semi")
-    sets = wanted.mapInArrow(_set_rows(k), "doc_id long, members binary")
-    sets = stored(sets, "sets")
-    full = near.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y")
-    found = full.mapInArrow(_overlap, "a long, b long, both long, either long")
-    return found.where(100 * F.col("both") >= percent * F.col("either")).select("a", "b")
+
+
+def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """both, either and inside (see _overlap) of the full sets of each pair (a, b)."""
+    full = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y")
+    return full.mapInArrow(_overlap, "a long, b long, both long, either long, inside array<long>")
+
+
+def linked(compared: DataFrame, percent: int) -> DataFrame:
+    return compared.where(100 * F.col("both") >= percent * F.col("either")).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 24, rows: int = 4, margin: float = 0.3) -> DataFrame:
@@ -179,23 +196,43 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     classes = full.groupBy("lo", "hi").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
     classes = stored(classes, "classes")
     banded = classes.select("rep", F.explode("bands").alias("key"))
-    heads = banded.groupBy("key").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    crowded = cut(banded.join(heads, "key").select("key", "rep", "head"))
+    sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    shared = cut(banded.join(sizes, "key"))
+    # a bucket is headed by the class that shares most bands with others: the text that copies were made from, if it is there
+    degree = shared.groupBy("rep").agg(F.sum("c").alias("degree"))
+    ranked = shared.join(degree, "rep").select("key", "rep", F.struct((-F.col("degree")).alias("d"), "rep").alias("order"))
+    heads = ranked.groupBy("key").agg(F.min("order").alias("head")).select("key", F.col("head.rep").alias("head"))
+    crowded = cut(shared.select("key", "rep").join(heads, "key"))
     stars = crowded.where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
-    links = cut(confirm(stars, classes, docs, k, percent, minima, margin))
+    near = close(classes, stars, percent, minima, margin)
+    ids = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
+    tried = cut(compare(near, sets_of(docs, ids, k)))
+    links = linked(tried, percent)
     labels = connected_components(links, "a", "b")
 
-    # what the smallest of each bucket has not settled
-    named = crowded.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+    # what the heads have not settled: buckets that still hold several components
+    named = crowded.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "head", F.coalesce("component", "rep").alias("comp"))
     parts = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     mixed = parts.groupBy("key").agg(F.max_by("comp", "c").alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("key", "main")
     open_rows = cut(named.join(mixed, "key"))
-    tried = stars.select(F.col("a").alias("ta"), F.col("b").alias("tb"))
-    left = open_rows.where("comp <> main").select("key", F.col("rep").alias("p"), F.col("comp").alias("pc"))
-    right = open_rows.select("key", F.col("rep").alias("q"), F.col("comp").alias("qc"))
-    rest = left.join(right, "key").where("pc <> qc").select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b")).distinct()
-    rest = rest.join(tried, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
-    more = confirm(rest, classes, docs, k, percent, minima, margin)
+    sets = sets_of(docs, open_rows.select(F.col("rep").alias("doc_id")).distinct(), k)
+    # two texts share what both share with the head, and beyond that no shingle that one of them has alone
+    alone = sets.select("doc_id", "members").distinct().mapInArrow(_each, "doc_id long, member long").groupBy("member").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c"))
+    own = alone.where("c = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
+    facts = classes.select("rep", "n").join(own, "rep", "left").select("rep", "n", F.coalesce("own", F.lit(0)).alias("own"))
+    of_head = tried.select(F.col("a").alias("rep"), F.col("b").alias("head"), "both", "inside")
+    open_rows = cut(open_rows.join(facts, "rep").join(of_head, ["rep", "head"], "left"))
+    side = lambda c: open_rows.select(F.col("key").alias(f"key_{c}"), *[F.col(x).alias(f"{x}_{c}") for x in ("rep", "comp", "n", "own", "both", "inside")])
+    could = lambda shared: 100 * shared >= percent * (F.col("n_p") + F.col("n_q") - shared)
+    first = F.least(F.col("n_p") - F.col("own_p"), F.col("n_q") - F.col("own_q"))
+    through_head = F.aggregate(F.zip_with("inside_p", "inside_q", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda x, y: x + y)
+    beside_head = F.least(F.col("n_p") - F.col("both_p") - F.col("own_p"), F.col("n_q") - F.col("both_q") - F.col("own_q"))
+    met = (F.col("key_p") == F.col("key_q")) & (F.col("comp_p") != F.col("comp_q")) & could(first) & F.coalesce(could(through_head + beside_head), F.lit(True))
+    outside = side("p").join(mixed.withColumnRenamed("key", "key_p"), "key_p").where("comp_p <> main").drop("main")
+    rest = outside.join(side("q"), met).select(F.greatest("rep_p", "rep_q").alias("a"), F.least("rep_p", "rep_q").alias("b")).distinct()
+    known = tried.select(F.greatest("a", "b").alias("ta"), F.least("a", "b").alias("tb"))
+    rest = rest.join(known, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
+    more = linked(compare(close(classes, rest, percent, minima, margin), sets), percent)
     labels = connected_components(links.union(more), "a", "b")
 
     ids = classes.select("lo", "hi", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("lo", "hi", F.coalesce("component", "rep").alias("component_id"))
