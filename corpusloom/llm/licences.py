@@ -116,9 +116,9 @@ def oracle() -> str:
     return rf"""
 with known(sentence, id) as (values {table}), rules(rule, licence, ids) as (values {rules}),
 parts as (select doc_id, regexp_split_to_array(text, {q(ENDS)}) as p from documents where text is not null),
-lines as (select doc_id, unnest(p) as s, generate_subscripts(p, 1) - 1 as at from parts),
-named as (select l.doc_id, l.at, k.id from (select doc_id, at, trim(regexp_replace(lower(s), {q(NOISE)}, ' ', 'g')) as sentence from lines) l join known k using (sentence)),
-texts as (select doc_id, string_agg('<' || id || '>', '' order by at) as ids, min(at) as first_sentence from named group by doc_id),
+lines as (select doc_id, unnest(p) as s, generate_subscripts(p, 1) - 1 as pos from parts),
+named as (select l.doc_id, l.pos, k.id from (select doc_id, pos, trim(regexp_replace(lower(s), {q(NOISE)}, ' ', 'g')) as sentence from lines) l join known k using (sentence)),
+texts as (select doc_id, string_agg('<' || id || '>', '' order by pos) as ids, min(pos) as first_sentence from named group by doc_id),
 hits as (select t.doc_id, t.ids as seq, t.first_sentence, r.* from texts t join rules r on contains(t.ids, r.ids))
 select h.doc_id, h.licence, h.rule, cast((length(h.seq) - length(replace(h.seq, h.ids, ''))) / length(h.ids) as bigint) as n_times, cast(h.first_sentence as bigint) as first_sentence
 from hits h where not exists (select 1 from hits o where o.doc_id = h.doc_id and o.ids <> h.ids and contains(o.ids, h.ids))

@@ -77,15 +77,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _H = "('0x' || substr(md5({}), 1, 15))::bigint"
 ORACLES: dict[str, str] = {
     "op6_sampled_splitters": f"""
-with rows as (
-  select doc_id, strlen(coalesce(text, ''))::bigint + 8 as size, coalesce(text, '') as t,
+with tab as (select list_transform(range(256), lambda i: list_reduce(list_concat([i::bigint], range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end)) as t),
+rows as (
+  select doc_id, strlen(coalesce(text, ''))::bigint + 8 as size, coalesce(text, '') as body,
     {_H.format("coalesce(text, '')")} as k, {_H.format("doc_id::varchar")} as h from documents),
-crc as (select t, crc from (select distinct t from rows), lateral (select 0 as crc)),
+bytes as (select *, list_transform(list_filter(string_split(regexp_replace(hex(encode(body)), '(..)', '\\1,', 'g'), ','), lambda x: x <> ''), lambda x: ('0x' || x)::bigint) as list from rows),
+crc as (select *, xor(list_reduce(list_concat([4294967295::bigint], list), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295::bigint) as crc from bytes, tab),
 runs as (
-  select doc_id, size, t, sum(size) over (order by k, h, doc_id rows unbounded preceding) - size as before,
-    row_number() over (order by k, h, doc_id) - 1 as at, sum(size) over () as total from rows),
+  select doc_id, size, crc, sum(size) over (order by k, h, doc_id rows unbounded preceding) - size as before,
+    row_number() over (order by k, h, doc_id) - 1 as spot, sum(size) over () as total from crc),
 placed as (select *, ((before * 24) // total)::int as shard from runs)
-select doc_id, size, 'bytes' as law, shard, (at - min(at) over (partition by shard))::bigint as slot, null::int as grown_shard from placed
+select doc_id, size, crc as text_crc32, 'bytes' as law, shard, (spot - min(spot) over (partition by shard))::bigint as slot, null::int as grown_shard from placed
 """,
     "op7_licence_scan": licences.oracle(),
 }
