@@ -16,10 +16,10 @@ def o1_top_k(t: Tables) -> DataFrame:
     return R.top_k(t.v_part_edges.groupBy("target").agg(F.count(F.lit(1)).alias("score")), 25, F.desc("score"), "target")
 
 
-@query("""with d as (select target as work_id, count(distinct source) as n from {v_edges} group by 1) select work_id, n, case when n >= 90 then 'central' else 'related' end as hint from d where work_id not in (select l_suppkey from {lineitem} where l_orderkey % 100 = 0) order by n desc, work_id limit 10""")
+@query("""with d as (select target as work_id, count(distinct source) as n from {v_edges} group by 1) select work_id, n, case when n >= 90 then 'central' else 'related' end as hint from d where work_id not in (select l_suppkey from {lineitem} where l_orderkey % 1500 = 0) order by n desc, work_id limit 10""")
 def o2_read_next(t: Tables) -> DataFrame:
     score = t.v_edges.groupBy(F.col("target").alias("work_id")).agg(F.countDistinct("source").alias("n"))
-    read = t.lineitem.where("l_orderkey % 100 = 0").select(F.col("l_suppkey").alias("work_id"))
+    read = t.lineitem.where("l_orderkey % 1500 = 0").select(F.col("l_suppkey").alias("work_id"))
     return L.read_next(score, read, "n", 10).select("work_id", "n", F.when(F.col("n") >= 90, "central").otherwise("related").alias("hint"))
 
 
