@@ -1 +1,170 @@
-"""Queries."""
+"""Queries of the C family."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corpusloom.functions import text as X
+from corpusloom.operators import corpus as C
+from corpusloom.operators import rows as R
+from corpusloom.operators.identity import backfill
+from corpusloom.operators.joins import as_of, section_at
+from corpusloom.registry import Tables, query
+
+_HEADS = """ln as (select work_id, unnest(string_split(text, chr(10))) as body, generate_subscripts(string_split(text, chr(10)), 1) as line from {v_docs}),
+os as (select work_id, line, body, coalesce(sum(length(body) + 1) over (partition by work_id order by line rows between unbounded preceding and 1 preceding), 0)::bigint as start from ln),
+sz as (select work_id, length(text) as size, sha256(text) as hash from {v_docs}),
+sec as (select o.work_id, row_number() over (partition by o.work_id order by start) - 1 as ordinal, length(regexp_extract(body, '^(#{1,6})[ \\t]', 1)) as level, trim(regexp_extract(body, '^#{1,6}[ \\t]+(.*)$', 1)) as heading,
+  start as start_char, coalesce(lead(start) over (partition by o.work_id order by start), size)::bigint as end_char, hash from os o join sz on sz.work_id = o.work_id where regexp_matches(body, '^#{1,6}[ \\t]+'))""".replace("{1,6}", "@16@")
+
+
+def _q(body: str) -> str:
+    """The heading CTEs hold braces that are no views: they are put in after views are resolved."""
+    from corpusloom.sources.views import duck
+
+    return duck(body.replace("@H@", _HEADS)).replace("@16@", "{1,6}")
+
+
+def _register(body: str):
+    from corpusloom import registry
+
+    def add(f):
+        registry.query()(f)
+        registry._SQL[f.__name__] = _q(body)
+        return f
+
+    return add
+
+
+@_register("with @H@ select work_id, ordinal, level, heading, null::int as parent, heading as path, 'body' as kind, start_char, end_char, 'sec_' || substr(sha256(hash || '|' || ordinal), 1, 16) as section_id from sec")
+def c1_sections(t: Tables) -> DataFrame:
+    return C.sections(t.v_docs)
+
+
+_PARA = """ln as (select work_id, unnest(string_split(text, chr(10))) as body, generate_subscripts(string_split(text, chr(10)), 1) as line from {v_docs}),
+os as (select work_id, line, body, coalesce(sum(length(body) + 1) over (partition by work_id order by line rows between unbounded preceding and 1 preceding), 0)::bigint as start from ln),
+g as (select *, sum((trim(body) = '')::int) over (partition by work_id order by line rows unbounded preceding) as g from os),
+sp as (select work_id, min(start) as start_char, max(start + length(body)) as end_char from g where trim(body) <> '' group by work_id, g)"""
+
+
+@query(f"with {_PARA} select s.work_id, start_char, end_char, substr(text, start_char + 1, end_char - start_char) as exact_quote, sha256(substr(text, start_char + 1, end_char - start_char)) as quote_hash, 'span_' || substr(sha256(sha256(text) || '|' || start_char || '|' || end_char || '|paragraph'), 1, 24) as span_id from sp s join {{v_docs}} using (work_id)")
+def c2_paragraph_spans(t: Tables) -> DataFrame:
+    return C.paragraph_spans(t.v_docs)
+
+
+@_register(f"with @H@, {_PARA.replace('ln as', 'ln2 as').replace('from ln)', 'from ln2)').replace('os as', 'os2 as').replace('from os)', 'from os2)')} select sp.work_id, sp.start_char as \"offset\", sec.section_id from sp join (select *, 'sec_' || substr(sha256(hash || '|' || ordinal), 1, 16) as section_id from sec) sec on sec.work_id = sp.work_id and sp.start_char >= sec.start_char and sp.start_char < sec.end_char")
+def c2_span_sections(t: Tables) -> DataFrame:
+    spans = C.paragraph_spans(t.v_docs).select("work_id", F.col("start_char").alias("offset"))
+    return section_at(spans, C.sections(t.v_docs))
+
+
+@query("select count(*) as spans, count(distinct work_id) as works from (select work_id, turn from (select conv_id as work_id, turn from {conversations}) c) x")
+def c2_span_pages(t: Tables) -> DataFrame:
+    steps = C.sections(t.v_docs).select("work_id", F.col("start_char").alias("offset"), F.col("ordinal").cast("long").alias("page"))
+    spans = C.paragraph_spans(t.v_docs).select("work_id", F.col("start_char").alias("offset"))
+    got = as_of(spans.distinct(), steps, ["work_id"], "offset", "page").select("work_id", "page").distinct()
+    return got.agg(F.count(F.lit(1)).alias("spans"), F.countDistinct("work_id").alias("works"))
+
+
+@query("""with q as (select d.doc_id as work_id, substr(b.text, 1, 60) as quote, d.text, case d.doc_id % 2 when 0 then 'open_access' else 'licensed_future' end as ac from {benchmark} b join {documents} d on contains(d.text, substr(b.text, 1, 60)))
+select work_id, sha256(quote) as quote_hash, min(instr(text, quote) - 1) as start_char, max(length(quote)) as size, case when max((ac = 'licensed_future')::int) = 1 then 'licensed_future' else 'open_access' end as access_class from q where instr(substr(text, instr(text, quote) + 1), quote) = 0 group by 1, 2""")
+def c3_ensure_spans(t: Tables) -> DataFrame:
+    quotes = t.v_gold.join(t.benchmark.select("item_id", F.substring("text", 1, 60).alias("quote")), "item_id").select(F.col("doc_id").alias("work_id"), "quote", F.when(F.col("doc_id") % 2 == 0, "open_access").otherwise("licensed_future").alias("access_class"))
+    return C.ensure_spans(quotes, t.documents.select(F.col("doc_id").alias("work_id"), "text"))
+
+
+@query(f"with {_PARA} select case when work_id % 5 = 0 then 'orphaned' when work_id % 5 = 1 then 'stale' else 'anchored' end as status, count(*) as n from sp group by 1")
+def c4_verify_spans(t: Tables) -> DataFrame:
+    docs = t.v_docs
+    now = docs.where("work_id % 5 <> 0").withColumn("text", F.when(F.col("work_id") % 5 == 1, F.concat(F.lit("~~~~"), F.col("text"))).otherwise(F.col("text")))
+    return C.verify_spans(C.paragraph_spans(docs), now).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""with {_PARA}, q as (select s.work_id, s.start_char, s.end_char, substr(text, start_char + 1, end_char - start_char) as q, '~~~~' || text as now from sp s join {{v_docs}} using (work_id) where work_id % 5 = 1)
+select work_id, case when instr(substr(now, instr(now, q) + 1), q) = 0 then start_char + 4 end as start_char, case when instr(substr(now, instr(now, q) + 1), q) = 0 then end_char + 4 end as end_char, case when instr(substr(now, instr(now, q) + 1), q) = 0 then 'anchored' else 'orphaned' end as status from q""")
+def c5_reanchor_spans(t: Tables) -> DataFrame:
+    docs = t.v_docs.where("work_id % 5 = 1")
+    now = docs.withColumn("text", F.concat(F.lit("~~~~"), F.col("text")))
+    stale = C.verify_spans(C.paragraph_spans(docs), now).where("status = 'stale'").drop("start_char", "end_char", "status")
+    return C.reanchor_spans(stale, now).drop("span_id")
+
+
+@query()
+def c6_chunk_plan(t: Tables) -> DataFrame:
+    return C.chunk_plan(C.paragraph_spans(t.v_docs), "work_id", 200, 16)
+
+
+@query()
+def c7_references(t: Tables) -> DataFrame:
+    """Each document's lines as a numbered reference list (the tables have no bibliographies)."""
+    lines = t.documents.select(F.col("doc_id").alias("work_id"), F.posexplode(F.split("text", "\n")).alias("n", "b")).where("length(b) > 30")
+    numbered = lines.withColumn("b", F.concat(F.lit("["), F.col("n") + 1, F.lit("] A. Writer, B. Author. "), F.substring("b", 1, 60), F.lit(". Journal, "), F.col("n") + 1990, F.lit(". doi:10.1000/x."), F.col("n")))
+    ranges = numbered.groupBy("work_id").agg(F.lit("References").alias("label"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "b"))), lambda x: x["b"]), "\n").alias("text"))
+    return C.references(ranges)
+
+
+@_register("""select doc_id, case when trim(text) = '' then 'empty' when length(trim(text)) < 8 then 'short' when 1 - length(regexp_replace(text, '[A-Za-z][A-Za-z]+', '', 'g')) / length(text) < 0.2 then 'noise' else 'no title,no headings' || case when regexp_matches(lower(text), '\\breferences\\b') then '' else ',no references' end end as notes from {documents}""")
+def c10_quality_screen(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.array_join(X.text_quality("text")["notes"], ",").alias("notes"))
+
+
+@query("select user_id as source_hash, event_type as fingerprint, event_id as conversion from (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as r from {events} where value < 100) x where r = 1")
+def c11_conversion_dedupe(t: Tables) -> DataFrame:
+    done = R.latest(t.events.where("value < 100"), ["user_id", "event_type"], "ts", "event_id")
+    return done.select(F.col("user_id").alias("source_hash"), F.col("event_type").alias("fingerprint"), F.col("event_id").alias("conversion"))
+
+
+@query("select doc_id from {documents} where doc_id % 4 = 0 or length(text) % 2 = 1")
+def c12_changed_documents(t: Tables) -> DataFrame:
+    seen = t.documents.where("doc_id % 4 <> 0").select("doc_id", F.when(F.length("text") % 2 == 1, "old").otherwise(F.sha2("text", 256)).alias("h"))
+    now = t.documents.select("doc_id", F.sha2("text", 256).alias("h"))
+    return now.join(seen, ["doc_id", "h"], "left_anti").select("doc_id")
+
+
+@query("""select p_partkey as note_id, p_partkey % 100 as work_id, 'method' as field_key, 0 as item, case when p_partkey % 4 <> 0 then p_name end as label, case when p_partkey % 4 = 0 then 'not_found' when p_partkey % 4 = 1 then 'extraction_failed' else 'found' end as status from {part}
+union all select p_partkey, p_partkey % 100, 'findings', i, case when p_partkey % 3 <> 0 then p_type || i end, case when p_partkey % 3 = 0 then 'not_found' else 'found' end from {part}, (select unnest([0, 1]) as i) where p_partkey % 3 <> 0 or i = 0""")
+def c13_note_claims(t: Tables) -> DataFrame:
+    field = lambda label, status, note: F.struct(label.cast("string").alias("label"), status.alias("status"), note.cast("string").alias("note"))
+    m = F.col("p_partkey") % 4
+    one = field(F.when(m != 0, F.col("p_name")), F.when(m == 1, "inferred"), F.lit(None))
+    many = F.transform(F.sequence(F.lit(0), F.lit(1)), lambda i: field(F.concat("p_type", i), F.lit(None).cast("string"), F.lit(None)))
+    notes = t.part.select(F.col("p_partkey").alias("note_id"), (F.col("p_partkey") % 100).alias("work_id"), one.alias("method"), F.when(F.col("p_partkey") % 3 != 0, many).alias("findings"))
+    return C.note_claims(notes, ["method"], ["findings"])
+
+
+@query("""with d as (select l_orderkey as work_id, l_linenumber as chunk, l_returnflag as field_key, p_type as claim_type, p_name as label, l_discount as confidence, l_returnflag = 'A' as is_array from {lineitem} join {part} on p_partkey = l_partkey where l_orderkey < 2000),
+m as (select work_id, field_key, claim_type, label, min(chunk) as c0, string_agg(distinct chunk::varchar, ',' order by chunk::varchar) as chunks from d where is_array group by 1, 2, 3, 4)
+select work_id, field_key, row_number() over (partition by work_id, field_key order by c0, claim_type, label) as item, claim_type, label, chunks from m
+union all select work_id, field_key, 1, claim_type, label, chunk::varchar from (select *, row_number() over (partition by work_id, field_key order by confidence desc, chunk, label, claim_type) as r from d where not is_array) x where r = 1""")
+def c14_merge_chunk_drafts(t: Tables) -> DataFrame:
+    d = t.lineitem.where("l_orderkey < 2000").join(t.part, F.col("p_partkey") == F.col("l_partkey"))
+    drafts = d.select(F.col("l_orderkey").alias("work_id"), F.col("l_linenumber").alias("chunk"), F.col("l_returnflag").alias("field_key"), F.col("p_type").alias("claim_type"), F.col("p_name").alias("label"), F.col("l_discount").alias("confidence"), (F.col("l_returnflag") == "A").alias("is_array"))
+    return C.merge_chunk_drafts(drafts)
+
+
+@query("select claim_id, span_id, rank from (select claim_id, span_id, rank, row_number() over (partition by claim_id, span_id order by rank) as r from {v_claim_concepts}) x where r = 1")
+def c15_claim_span_links(t: Tables) -> DataFrame:
+    rows = t.v_claim_concepts.select("claim_id", "span_id", "rank")
+    return R.insert_first_wins(rows.limit(0), rows, ["claim_id", "span_id"], "rank")
+
+
+@query("select c_custkey as work_id, case when c_custkey % 2 = 0 then c_name else 'found ' || c_custkey end as title, case when c_custkey % 3 = 0 then c_mktsegment else 'venue' end as venue from {customer}")
+def c16_backfill(t: Tables) -> DataFrame:
+    works = t.customer.select(F.col("c_custkey").alias("work_id"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise(" ").alias("title"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).alias("venue"))
+    found = t.customer.select(F.col("c_custkey").alias("work_id"), F.concat(F.lit("found "), F.col("c_custkey")).alias("title"), F.lit("venue").alias("venue"))
+    return backfill(works, found, "work_id", ["title", "venue"])
+
+
+@query("""with cur as (select event_id, user_id, event_type from (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as r from {events}) x where r = 1)
+select c.event_id as output_id, c.user_id as work_id, string_agg(l.l_suppkey::varchar, ',' order by l.l_linenumber, l.l_suppkey) as spans from cur c left join {lineitem} l on l.l_orderkey = c.event_id group by 1, 2""")
+def c17_lens_outputs(t: Tables) -> DataFrame:
+    current = R.latest(t.events, ["user_id", "event_type"], "ts", "event_id").select(F.col("event_id").alias("output_id"), F.col("user_id").alias("work_id"))
+    spans = t.lineitem.groupBy(F.col("l_orderkey").alias("output_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey"))).alias("s"))
+    return current.join(spans, "output_id", "left").select("output_id", "work_id", F.array_join(F.transform("s", lambda x: x["l_suppkey"].cast("string")), ",").alias("spans"))
+
+
+@query("select c_custkey as work_id, case when c_custkey % 2 = 0 then 'given' || c_custkey when c_custkey % 3 = 0 then '10.1000/' || c_custkey end as doi from {customer}")
+def c19_metadata_merge(t: Tables) -> DataFrame:
+    head = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("see doi:10.1000/"), F.col("c_custkey"), F.lit("."))).otherwise("no id")
+    return t.customer.select(F.col("c_custkey").alias("work_id"), F.coalesce(F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("given"), F.col("c_custkey"))), X.doi_in(F.substring(head, 1, 2600))).alias("doi"))

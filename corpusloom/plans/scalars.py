@@ -1 +1,125 @@
-"""Queries."""
+"""Queries of the F family: scalar rules over table columns."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corpusloom.functions import text as X
+from corpusloom.registry import Tables, query
+
+
+@query("select work_id, trim(regexp_replace(lower(strip_accents(title)), '[^a-z0-9]+', ' ', 'g')) as key, sha1(trim(regexp_replace(lower(strip_accents(title)), '[^a-z0-9]+', ' ', 'g'))) as title_hash from {v_works}")
+def f1_f2_title_key(t: Tables) -> DataFrame:
+    return t.v_works.select("work_id", X.normalize_title("title").alias("key"), X.title_hash("title").alias("title_hash"))
+
+
+_RAW = "case when doc_id % 4 = 0 then 'https://doi.org/10.1000/ABC' || doc_id when doc_id % 4 = 1 then 'doi:10.48550/arXiv.2101.' || (10000 + doc_id) || 'v2' end as doi, case when doc_id % 3 = 0 then 'arXiv:2101.' || (10000 + doc_id) || 'v3' when doc_id % 3 = 1 then ' ' end as arxiv, case when doc_id % 5 = 0 then 'https://openalex.org/w' || doc_id end as openalex"
+
+
+@query(f"""with r as (select doc_id, {_RAW} from {{documents}}), n as (select doc_id, nullif(lower(regexp_replace(regexp_replace(trim(doi), '^(https?://)?(dx\\.)?doi\\.org/', '', 'i'), '^doi:', '', 'i')), '') as doi,
+ nullif(regexp_replace(regexp_replace(trim(arxiv), '^arxiv:', '', 'i'), 'v[0-9]+$', ''), '') as arxiv, nullif(regexp_replace(regexp_replace(trim(openalex), '^(https?://)?openalex\\.org/', '', 'i'), '^w', 'W'), '') as openalex from r)
+select doc_id, coalesce(case when doi not like '10.48550/arxiv.%' then 'doi:' || doi end, 'openalex:' || openalex, 'arxiv:' || coalesce(arxiv, case when doi like '10.48550/arxiv.%' then regexp_replace(substr(doi, 16), 'v[0-9]+$', '') end), '') as canonical,
+ cast(doi is not null and doi not like '10.48550/arxiv.%' as int) + cast(openalex is not null as int) + cast(arxiv is not null or coalesce(doi like '10.48550/arxiv.%', false) as int) as ids from n""")
+def f3_f5_strong_ids(t: Tables) -> DataFrame:
+    ids = {"doi": "doi", "arxiv": "arxiv", "openalex": "openalex"}
+    raw = t.spark.sql(f"select doc_id, {_RAW} from {{d}}", d=t.documents)
+    return raw.select("doc_id", X.canonical_key(ids).alias("canonical"), F.size(X.strong_ids(ids)).alias("ids"))
+
+
+@query("select distinct p_name, trim(regexp_replace(lower(p_name || ' (v' || p_partkey % 3 || ')'), '[^a-z0-9]+', ' ', 'g')) as merge_key from {part}")
+def f6_merge_key(t: Tables) -> DataFrame:
+    return t.part.select("p_name", X.merge_key(F.concat(F.col("p_name"), F.lit(" (v"), F.col("p_partkey") % 3, F.lit(")"))).alias("merge_key")).distinct()
+
+
+@query("""with l as (select distinct p_type, p_name, list_distinct(string_split(p_name, ' ')) as t from {part})
+select a.p_name as a, b.p_name as b, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) as j from (select distinct p_name, t from l) a join (select distinct p_name, t from l) b on a.p_name < b.p_name and split_part(a.p_name, ' ', 1) = split_part(b.p_name, ' ', 1)""")
+def f7_token_jaccard(t: Tables) -> DataFrame:
+    n = t.part.select("p_name").distinct().withColumn("w", F.split("p_name", " ")[0])
+    a, b = n.alias("a"), n.alias("b")
+    return a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.p_name") < F.col("b.p_name"))).select(
+        F.col("a.p_name").alias("a"), F.col("b.p_name").alias("b"), F.round(X.jaccard(X.tokens("a.p_name"), X.tokens("b.p_name")), 6).alias("j")
+    )
+
+
+@query("""select p_partkey, case p_partkey % 4 when 1 then not list_contains(string_split(p_name, ' '), 'large') when 2 then true else false end as conflict from {part}""")
+def f8_discriminating(t: Tables) -> DataFrame:
+    suffix = F.element_at(F.array(F.lit("same"), F.lit("large"), F.lit("v2"), F.lit("plain")), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return t.part.select("p_partkey", X.discriminating_conflict(X.tokens(F.concat_ws(" ", "p_name", suffix)), X.tokens(F.concat_ws(" ", "p_name", F.lit("same")))).alias("conflict"))
+
+
+@query("""select work_id, len(list_distinct(list_filter(regexp_extract_all(lower(title), '\\p{L}+'), lambda x: length(x) > 1 and x not in ('a','an','the','and','or','of','for','to','in','on','at','by','with','from','as','is','are','be','this','that','into','über','der','die','das','und','le','la','les','de','du'))))::int as n from {v_works}""")
+def f9_content_tokens(t: Tables) -> DataFrame:
+    return t.v_works.select("work_id", F.size(X.content_tokens("title")).alias("n"))
+
+
+@query("select work_id, greatest(1, length(text) // 4)::bigint as tokens, round(greatest(1, length(text) // 4) * 3.0 / 1000000, 8)::double as cost from {v_works}")
+def f21_tokens_and_cost(t: Tables) -> DataFrame:
+    return t.v_works.select("work_id", X.estimate_tokens("text").alias("tokens"), F.round(X.estimate_tokens("text") * F.lit(3.0) / 1000000, 8).alias("cost"))
+
+
+@query("""select doc_id, case when trim(text) = '' then 'empty' when length(trim(text)) < 8 then 'short' when 1 - length(regexp_replace(text, '[A-Za-z]{2,}', '', 'g')) / length(text) < 0.2 then 'noise' else 'ok' end as verdict from {documents}""")
+def f22_text_quality(t: Tables) -> DataFrame:
+    q = X.text_quality("text")
+    return t.documents.select("doc_id", F.when(q["ok"], "ok").otherwise(q["notes"][0]).alias("verdict"))
+
+
+@query("select c_custkey, case when c_custkey % 3 = 0 then c_name when c_custkey % 3 = 1 then c_mktsegment || ' ' || (1990 + c_custkey % 30) else c_custkey::varchar end as label from {customer}")
+def f23_display_label(t: Tables) -> DataFrame:
+    c = t.customer.select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).otherwise(" ").alias("title"), F.when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("A. "), F.col("c_mktsegment"))).alias("author"), (F.col("c_custkey") % 30 + 1990).alias("year"))
+    return c.select("c_custkey", X.display_label("title", "author", "year", "c_custkey").alias("label"))
+
+
+@query("select doc_id, array_to_string(string_split(text, ' ')[1:20], ' ') as abstract from {documents}")
+def f24_inverted_abstract(t: Tables) -> DataFrame:
+    words = t.documents.select("doc_id", F.posexplode(F.slice(F.split("text", " "), 1, 20)).alias("p", "w"))
+    inverted = words.groupBy("doc_id", "w").agg(F.sort_array(F.collect_list("p")).alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("m"))
+    return inverted.select("doc_id", X.inverted_abstract("m").alias("abstract"))
+
+
+@query("select event_id, case when event_type in ('view', 'click') then event_type else 'other' end as kind from {events}")
+def f25_vocabulary(t: Tables) -> DataFrame:
+    return t.events.select("event_id", X.one_of(F.concat(F.lit(" "), F.upper("event_type")), ["view", "click"], "other").alias("kind"))
+
+
+_Q = "case item_id % 4 when 0 then 'Which works cite ' || text when 1 then 'What is ' || text when 2 then 'What is missing in ' || text else text end"
+
+
+@query("select item_id, case item_id % 4 when 0 then 'citation_search' when 1 then 'definition' when 2 then 'gap_finding' else 'evidence' end as kind from {benchmark}")
+def f26_question_type(t: Tables) -> DataFrame:
+    q = t.spark.sql(f"select item_id, {_Q} as q from {{b}}", b=t.benchmark)
+    return q.select("item_id", X.question_type("q").alias("kind"))
+
+
+@query("select event_id, round(value / (value + 1), 6)::double as score from {events}")
+def f27_base_score(t: Tables) -> DataFrame:
+    return t.events.select("event_id", F.round(X.base_score(-F.col("value")), 6).alias("score"))
+
+
+@query("select conv_id, turn, case when (conv_id + turn) % 5 = 0 then 'references' when (conv_id + turn) % 5 = 1 then 'abstract' when (conv_id + turn) % 5 = 2 then 'appendix' when (conv_id + turn) % 5 = 3 then 'acknowledgments' else 'body' end as kind from {conversations}")
+def f17_section_kind(t: Tables) -> DataFrame:
+    h = F.element_at(F.array(F.lit("6. **References**"), F.lit("*Abstract*"), F.lit("A.1 Appendix B"), F.lit("Acknowledgements"), F.lit("Notes on earlier references")), ((F.col("conv_id") + F.col("turn")) % 5 + 1).cast("int"))
+    return t.conversations.select("conv_id", "turn", X.section_kind(h).alias("kind"))
+
+
+@query("select doc_id, 'sec_' || substr(sha256(doc_id || '|' || source), 1, 16) as section_id, sha256(text) as quote_hash from {documents}")
+def f18_f19_ids(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", X.content_id("sec_", 16, F.col("doc_id"), F.col("source")).alias("section_id"), X.quote_hash("text").alias("quote_hash"))
+
+
+@query("""with q as (select doc_id, text, substr(text, 5, 12) as q from {documents}) select doc_id, case when length(q) > 0 and instr(text, q) > 0 and instr(substr(text, instr(text, q) + 1), q) = 0 then instr(text, q) - 1 end as "offset" from q""")
+def f20_unique_offset(t: Tables) -> DataFrame:
+    d = t.documents.withColumn("q", F.substring("text", 5, 12))
+    return d.select("doc_id", X.unique_offset(F.col("text"), F.col("q")).cast("long").alias("offset"))
+
+
+@query("select p_partkey, p_name as shown from {part}")
+def f31_clean_concept(t: Tables) -> DataFrame:
+    named = t.part.select("p_partkey", F.concat(F.lit("concept:: "), F.regexp_replace("p_name", " ", "_"), F.lit("  ")).alias("c"))
+    return named.select("p_partkey", X.clean_concept("c").alias("shown"))
+
+
+@query("select p_partkey, 'https://doi.org/10.1/' || p_partkey as link, sha256('{\"a\":' || p_partkey || ',\"b\":\"' || p_name || '\"}') as print from {part}")
+def f29_f32_links(t: Tables) -> DataFrame:
+    p = t.part.withColumn("doi", F.concat(F.lit("10.1/"), F.col("p_partkey")))
+    return p.select("p_partkey", X.link_out("doi", "p_name")[0].alias("link"), X.fingerprint(b=F.col("p_name"), a=F.col("p_partkey")).alias("print"))
