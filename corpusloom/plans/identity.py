@@ -118,7 +118,7 @@ def e10_fold_groups(t: Tables) -> DataFrame:
 
 
 @query("""with l as (select distinct p_name as n, list_distinct(string_split(p_name, ' ')) as t from {part}), p as (select a.n as canonical, b.n as member, a.t as ta, b.t as tb from l a join l b on split_part(a.n, ' ', 1) = split_part(b.n, ' ', 1) and a.n <> b.n)
-select canonical, member, case when member like '%gear' then 'not_observed' when list_contains(ta, 'small') <> list_contains(tb, 'small') or list_contains(ta, 'large') <> list_contains(tb, 'large') then 'discriminating_token' when len(list_intersect(ta, bt)) / len(list_distinct(list_concat(ta, bt))) < 0.6 then 'low_overlap' end as veto from p""")
+select canonical, member, case when member like '%gear' then 'not_observed' when list_contains(ta, 'small') <> list_contains(tb, 'small') or list_contains(ta, 'large') <> list_contains(tb, 'large') then 'discriminating_token' when len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))) < 0.6 then 'low_overlap' end as veto from p""")
 def e11_fold_veto(t: Tables) -> DataFrame:
     n = t.part.select("p_name").distinct()
     a, b = n.select(F.col("p_name").alias("canonical")), n.select(F.col("p_name").alias("member"))
