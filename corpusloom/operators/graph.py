@@ -52,7 +52,7 @@ def betweenness(edges: DataFrame, nodes: DataFrame, key: str = "node", sources:
     seen = cut(roots.select(F.col("v").alias("s"), "v", F.lit(0).alias("d"), F.lit(1.0).alias("sigma")))
     front, level = seen, 0
     while not front.isEmpty():
-        step = front.join(nb, front.v == nb.x).groupBy("s", F.col("y").alias("v")).agg(F.sum("sigma").alias("sigma"))
+        step = front.join(nb, F.col("v") == F.col("x")).groupBy("s", F.col("y").alias("v")).agg(F.sum("sigma").alias("sigma"))
         fresh = step.join(seen.select("s", "v"), ["s", "v"], "left_anti")
         level += 1
         front = cut(fresh.select("s", "v", F.lit(level).alias("d"), "sigma"))
@@ -60,8 +60,8 @@ def betweenness(edges: DataFrame, nodes: DataFrame, key: str = "node", sources:
     delta = cut(seen.select("s", "v", F.lit(0.0).alias("delta")).limit(0))
     for d in range(level - 1, 0, -1):
         low = seen.where(F.col("d") == d).join(delta, ["s", "v"], "left").select("s", "v", "sigma", F.coalesce("delta", F.lit(0.0)).alias("delta"))
-        up = seen.where(F.col("d") == d - 1).select("s", F.col("v").alias("u"), F.col("sigma").alias("sigma_u"))
-        part = low.join(nb, low.v == nb.x).join(up, (low.s == up.s) & (F.col("y") == F.col("u"))).select(up.s.alias("s"), "u", (F.col("sigma_u") / F.col("sigma") * (1.0 + F.col("delta"))).alias("p"))
+        up = seen.where(F.col("d") == d - 1).select(F.col("s").alias("su"), F.col("v").alias("u"), F.col("sigma").alias("sigma_u"))
+        part = low.join(nb, F.col("v") == F.col("x")).join(up, (F.col("s") == F.col("su")) & (F.col("y") == F.col("u"))).select("s", "u", (F.col("sigma_u") / F.col("sigma") * (1.0 + F.col("delta"))).alias("p"))
         delta = cut(delta.union(part.groupBy("s", F.col("u").alias("v")).agg(F.sum("p").alias("delta"))))
     score = delta.where("s <> v").groupBy("v").agg(F.sum("delta").alias("b"))
     scale = 1.0 / ((n - 1) * (n - 2)) * (n / max(picked, 1)) if n > 2 else 0.0
@@ -75,7 +75,7 @@ def neighborhood(edges: DataFrame, seeds: DataFrame, depth: int, key: str = "nod
     seen = cut(seeds.select(key).distinct().join(known, key, "left_semi").withColumn("distance", F.lit(0)))
     front = seen
     for d in range(1, depth + 1):
-        step = front.join(nb, front[key] == nb.x).select(F.col("y").alias(key)).distinct()
+        step = front.join(nb, F.col(key) == F.col("x")).select(F.col("y").alias(key)).distinct()
         front = cut(step.join(seen, key, "left_anti").withColumn("distance", F.lit(d)))
         seen = seen.union(front)
     return seen
@@ -106,7 +106,7 @@ def modularity(edges: DataFrame, labels: DataFrame, key: str = "node") -> DataFr
     return got.agg(F.coalesce(F.sum(F.coalesce("l", F.lit(0)) / F.col("m") - F.pow(F.col("d") / (2.0 * F.col("m")), 2)), F.lit(0.0)).alias("modularity"))
 
 
-def communities(edges: DataFrame, nodes: DataFrame, key: str = "node", rounds: int = 12, levels: int = 4) -> DataFrame:
+def communities(edges: DataFrame, nodes: DataFrame, key: str = "node", rounds: int = 5, levels: int = 2) -> DataFrame:
     """(node, community): modularity local moving in parallel rounds, then the same on the contracted graph.
 
     In a round half of the nodes (by a hash of node and round) may move to the
@@ -124,23 +124,17 @@ def communities(edges: DataFrame, nodes: DataFrame, key: str = "node", rounds: i
             loops = w.where("a = b").select(F.col("a").alias("x"), (2 * F.col("w")).alias("w"))
             deg = cut(graph.select("x", "w").union(loops).groupBy("x").agg(F.sum("w").alias("k")))
             label = cut(deg.select(F.col("x").alias("v"), F.col("x").alias("c")))
-            moved_any = False
             for r in range(rounds):
-                sizes = label.join(deg, label.v == deg.x).groupBy("c").agg(F.sum("k").alias("tot"))
+                sizes = label.join(deg, F.col("v") == F.col("x")).groupBy("c").agg(F.sum("k").alias("tot"))
                 links = graph.join(label.select(F.col("v").alias("y"), "c"), "y").groupBy("x", "c").agg(F.sum("w").alias("w"))
-                now = label.join(deg, label.v == deg.x).select("v", F.col("c").alias("own"), "k")
-                opts = links.join(now, links.x == now.v).join(sizes, "c")
+                now = label.join(deg, F.col("v") == F.col("x")).select("v", F.col("c").alias("own"), "k")
+                opts = links.join(now, F.col("x") == F.col("v")).join(sizes, "c")
                 gain = F.col("w") - F.col("k") * (F.col("tot") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / (2 * total)
                 best = opts.select("v", "own", "c", gain.alias("g")).groupBy("v", "own").agg(F.min_by(F.struct("c", "g"), F.struct((-F.round("g", 9)).alias("n"), F.col("c"))).alias("t"), F.max(F.when(F.col("c") == F.col("own"), F.col("g"))).alias("stay"))
                 stay = F.coalesce("stay", F.lit(0.0))
                 goes = (F.col("t.g") > stay + 1e-9) & (F.pmod(F.xxhash64("v", F.lit(r)), F.lit(2)) == 0)
-                moves = cut(best.where(goes).select("v", F.col("t.c").alias("to")))
-                if r >= 2 and moves.isEmpty():
-                    break
-                moved_any = True
+                moves = best.where(goes).select("v", F.col("t.c").alias("to"))
                 label = cut(label.join(moves, "v", "left").select("v", F.coalesce("to", "c").alias("c")))
-            if not moved_any or label.where("v <> c").isEmpty():
-                break
             up = label.select(F.col("v").alias("c"), F.col("c").alias("_to"))
             member = cut(member.join(up, "c", "left").select("v", F.coalesce("_to", "c").alias("c")))
             a, b = label.select(F.col("v").alias("a"), F.col("c").alias("ca")), label.select(F.col("v").alias("b"), F.col("c").alias("cb"))

@@ -1 +1,139 @@
-"""Queries."""
+"""Queries of the R family: benchmark items as questions, documents as spans."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corpusloom.functions import text as X
+from corpusloom.operators import search as S
+from corpusloom.operators.windows import budget_prefix, dispositions
+from corpusloom.registry import Tables, query
+
+_WORDS = "list_filter(regexp_split_to_array(lower(strip_accents({c})), '[^\\pL\\pN]+'), lambda x: x <> '')"
+_POST = f"""w as (select doc_id, {_WORDS.format(c="text")} as w from {{documents}}),
+post as (select doc_id, len(w) as size, unnest(w) as token, generate_subscripts(w, 1) - 1 as pos from w)"""
+
+
+def _index(t: Tables) -> DataFrame:
+    return S.postings(t.documents, "doc_id", "text")
+
+
+def _phrases(t: Tables) -> DataFrame:
+    return t.benchmark.select(F.col("item_id").alias("question"), F.substring("text", 1, 40).alias("phrase"))
+
+
+def _terms(t: Tables) -> DataFrame:
+    return t.benchmark.select(F.col("item_id").alias("question"), F.explode(F.slice(S.words_of("text"), 1, 6)).alias("token"))
+
+
+@query(f"with {_POST} select token, count(*) as n, count(distinct doc_id) as df, min(pos) as first from post group by 1")
+def r1_postings(t: Tables) -> DataFrame:
+    return _index(t).groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("df"), F.min("pos").cast("long").alias("first"))
+
+
+_PH = f"""p as (select item_id as question, {_WORDS.format(c="substr(text, 1, 40)")} as w from {{benchmark}}), pt as (select question, len(w) as n, unnest(w) as token, generate_subscripts(w, 1) - 1 as i from p),
+v as (select question, doc_id, n, pos - i as st, count(*) as v from post join pt using (token) group by 1, 2, 3, 4), ph as (select question, doc_id, count(*) as hits from v where v = n group by 1, 2)"""
+
+
+@query(f"with {_POST}, {_PH} select * from ph")
+def r2_phrase_search(t: Tables) -> DataFrame:
+    return S.phrase_hits(_index(t), _phrases(t), "doc_id")
+
+
+_BM = f"""q as (select distinct question, token from (select item_id as question, unnest({_WORDS.format(c="text")}[1:6]) as token from {{benchmark}}) x), tf as (select doc_id, token, size, count(*) as tf from post where token in (select token from q) group by 1, 2, 3),
+df as (select token, count(*) as df from tf group by 1), c as (select count(*) as docs, avg(size) as mean from (select distinct doc_id, size from post) x),
+bm as (select question, doc_id, -sum(greatest(ln((docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))) as score from tf join df using (token) join q using (token), c group by 1, 2)"""
+
+
+@query(f"with {_POST}, {_BM} select question, doc_id, round(score, 6) as score from bm")
+def r3_bm25(t: Tables) -> DataFrame:
+    return S.bm25(_index(t), _terms(t), "doc_id").select("question", "doc_id", F.round("score", 6).alias("score"))
+
+
+_CAND = f"""cand as (select b.question, b.doc_id, b.score, coalesce(h.hits, 0) > 0 as phrase_hit, g.doc_id is not null as has_claim from bm b left join ph h using (question, doc_id) left join (select distinct doc_id from {{labels}}) g on g.doc_id = b.doc_id join {{v_works}} w on w.work_id = b.doc_id and w.status <> 'excluded'),
+rk as (select question, doc_id, phrase_hit, round(greatest(0, -score) / (greatest(0, -score) + 1) + 0.05 + case when phrase_hit then 0.30 else 0 end + case when has_claim then 0.15 else 0 end, 9) as s from cand),
+pl as (select *, row_number() over (partition by question order by s desc, doc_id) as place from rk)"""
+
+
+def _ranked(t: Tables) -> DataFrame:
+    idx = _index(t)
+    hits = S.phrase_hits(idx, _phrases(t), "doc_id")
+    claims = t.labels.select("doc_id", F.lit(True).alias("claimed")).distinct()
+    allowed = t.v_works.where("status <> 'excluded'").select(F.col("work_id").alias("doc_id"))
+    rows = S.bm25(idx, _terms(t), "doc_id").join(allowed, "doc_id", "left_semi").join(hits, ["question", "doc_id"], "left").join(claims, "doc_id", "left")
+    rows = rows.select("question", F.col("doc_id").alias("item_id"), F.lit("span").alias("kind"), F.col("score").alias("bm25"), (F.coalesce("hits", F.lit(0)) > 0).alias("phrase_hit"), F.coalesce("claimed", F.lit(False)).alias("has_claim"), F.lit(False).alias("claim_type_match"), F.lit(None).cast("double").alias("weight"))
+    return S.rank_candidates(rows)
+
+
+@query(f"with {_POST}, {_PH}, {_BM}, {_CAND} select question, doc_id as item_id, place, phrase_hit, round(s, 6) as rank_score from pl where place <= 10")
+def r5_top_spans(t: Tables) -> DataFrame:
+    return _ranked(t).where("place <= 10").select("question", "item_id", "place", "phrase_hit", F.round("rank_score", 6).alias("rank_score"))
+
+
+@query("""with c as (select distinct concept_id, label from {v_claim_concepts}), tok as (select item_id as question, unnest(['blue', 'gear', 'anvil']) as token from {benchmark} where item_id < 5)
+select question, concept_id, count(*) as tokens from tok join c on list_contains(string_split(lower(label), ' '), token) group by 1, 2""")
+def r8_concept_lookup(t: Tables) -> DataFrame:
+    from corpusloom.operators.joins import containing
+
+    concepts = t.v_claim_concepts.select("concept_id", "label").distinct()
+    tokens = t.benchmark.where("item_id < 5").select(F.col("item_id").alias("question"), F.explode(F.array(F.lit("blue"), F.lit("gear"), F.lit("anvil"))).alias("token"))
+    return containing(concepts, "label", tokens, "token").groupBy("question", "concept_id").agg(F.count(F.lit(1)).alias("tokens"))
+
+
+@query(f"with {_POST}, {_PH}, {_BM}, {_CAND} select question, count(*) as candidates, count(*) filter (phrase_hit) as with_phrase, round(max(s), 6) as top from pl group by 1")
+def r10_rank_summary(t: Tables) -> DataFrame:
+    return _ranked(t).groupBy("question").agg(F.count(F.lit(1)).alias("candidates"), F.count_if("phrase_hit").alias("with_phrase"), F.round(F.max("rank_score"), 6).alias("top"))
+
+
+@query(f"with {_POST}, {_PH}, {_BM}, {_CAND}, s as (select p.question, p.doc_id as item_id, w.source, row_number() over (partition by p.question, w.source order by p.place) as k from pl p join {{v_works}} w on w.work_id = p.doc_id) select question, item_id, source from s where k <= 2")
+def r11_per_work_partitions(t: Tables) -> DataFrame:
+    from corpusloom.operators.rows import top_k_by
+
+    src = t.v_works.select(F.col("work_id").alias("item_id"), "source")
+    rows = _ranked(t).withColumnRenamed("place", "p").join(src, "item_id")
+    return top_k_by(rows, ["question", "source"], 2, F.asc("p")).select("question", "item_id", "source")
+
+
+@query(f"""with {_POST}, {_PH}, {_BM}, {_CAND}, tk as (select p.question, p.doc_id, p.place, greatest(1, length(w.text) // 4) as tokens from pl p join {{v_works}} w on w.work_id = p.doc_id where place <= 40),
+r as (select *, sum(tokens) over (partition by question order by place rows unbounded preceding) as running from tk) select question, doc_id as item_id, place, running::bigint as running from r where running <= 6000 or place = 1""")
+def r13_pack_evidence(t: Tables) -> DataFrame:
+    size = t.v_works.select(F.col("work_id").alias("item_id"), X.estimate_tokens("text").alias("tokens"))
+    return budget_prefix(_ranked(t).where("place <= 40").withColumnRenamed("place", "p").join(size, "item_id"), ["question"], [F.asc("p")], "tokens", 6000).select("question", "item_id", "place", "running")
+
+
+@query(f"with {_POST}, {_PH}, {_BM}, {_CAND}, m as (select question, max(s) as top from pl where phrase_hit group by 1) select item_id as question, case when coalesce(top, 0) <= 0 then 'abstain' when top < 0.15 then 'weak' else 'answer' end as outcome from {{benchmark}} left join m on question = item_id")
+def r14_short_circuit(t: Tables) -> DataFrame:
+    return S.short_circuit(_ranked(t).where("phrase_hit"), t.benchmark.select(F.col("item_id").alias("question")))
+
+
+@query("""select e.user_id as answer, l.p as work_id, string_agg(distinct l.s::varchar, ',' order by l.s::varchar) as spans, any_value(b.dropped) as dropped from (select user_id, count(*) filter (event_id % 3 = 0) as dropped from {events} where event_id < 3000 group by 1) b
+left join (select user_id, event_id % 10 as p, event_id % 17 as s from {events} where event_id % 3 <> 0 and event_id < 3000) l using (user_id) join (select distinct user_id from {events} where event_id < 3000) e using (user_id) group by 1, 2""")
+def r15_citations(t: Tables) -> DataFrame:
+    e = t.events.where("event_id < 3000")
+    markers = e.select(F.col("user_id").alias("answer"), F.col("event_id").alias("marker"))
+    index = e.where("event_id % 3 <> 0").select(F.col("user_id").alias("answer"), F.col("event_id").alias("marker"), (F.col("event_id") % 10).alias("work_id"), (F.col("event_id") % 17).alias("span_id"))
+    got = S.materialise_citations(markers, index)
+    return got.select("answer", "work_id", F.array_join(F.array_sort(F.transform("spans", lambda x: x.cast("string"))), ",").alias("spans"), "dropped")
+
+
+@query("""with c as (select distinct user_id as answer, event_id % 10 as work_id from {events} where event_id < 500), ok as (select * from c where work_id % 2 = 0 and work_id <> 4)
+select a.answer, count(ok.work_id) as cited, (select count(*) from c where c.answer = a.answer) - count(ok.work_id) as dropped, case when count(ok.work_id) >= 1 then 'supported' else 'insufficient_evidence' end as category from (select distinct user_id as answer from {events}) a left join ok using (answer) group by 1""")
+def r16_guard(t: Tables) -> DataFrame:
+    c = t.events.where("event_id < 500").select(F.col("user_id").alias("answer"), (F.col("event_id") % 10).alias("work_id")).distinct()
+    return S.guard_answers(c, c.where("work_id % 2 = 0"), t.spark.range(4, 5).withColumnRenamed("id", "work_id"), t.events.select(F.col("user_id").alias("answer")).distinct())
+
+
+@query(f"""with {_POST}, {_PH}, {_BM}, {_CAND}, tk as (select p.question, p.doc_id, p.place, sum(greatest(1, length(w.text) // 4)) over (partition by question order by place rows unbounded preceding) as running from pl p join {{v_works}} w on w.work_id = p.doc_id)
+select question, doc_id as item_id, place, case when place > 40 then 'cut_rank' when running <= 6000 or place = 1 then 'shown' else 'cut_budget' end as disposition from tk where place <= 60""")
+def r17_trace(t: Tables) -> DataFrame:
+    size = t.v_works.select(F.col("work_id").alias("item_id"), X.estimate_tokens("text").alias("tokens"))
+    rows = _ranked(t).withColumnRenamed("place", "p").join(size, "item_id")
+    return dispositions(rows, ["question"], [F.asc("p")], "tokens", 6000, 40).where("place <= 60").select("question", "item_id", "place", "disposition")
+
+
+@query(f"with {_POST}, {_PH}, {_BM}, {_CAND} select question, doc_id % 7 as work, min(place) as place, string_agg(doc_id::varchar, ',' order by place) as spans from pl where place <= 12 group by 1, 2")
+def r18_retrieval_answer(t: Tables) -> DataFrame:
+    rows = _ranked(t).where("place <= 12").withColumn("work", F.col("item_id") % 7)
+    got = rows.groupBy("question", "work").agg(F.min("place").alias("first"), F.array_sort(F.collect_list(F.struct("place", "item_id"))).alias("s"))
+    return got.select("question", "work", F.col("first").alias("place"), F.array_join(F.transform("s", lambda x: x["item_id"].cast("string")), ",").alias("spans"))
