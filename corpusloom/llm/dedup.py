@@ -232,8 +232,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     rest = outside.join(side("q"), met).select(F.greatest("rep_p", "rep_q").alias("a"), F.least("rep_p", "rep_q").alias("b")).distinct()
     known = tried.select(F.greatest("a", "b").alias("ta"), F.least("a", "b").alias("tb"))
     rest = rest.join(known, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
-    more = linked(compare(close(classes, rest, percent, minima, margin), sets), percent)
-    labels = connected_components(links.union(more), "a", "b")
+    more = cut(linked(compare(close(classes, rest, percent, minima, margin), sets), percent))
+    if not more.isEmpty():
+        labels = connected_components(links.union(more), "a", "b")
 
     ids = classes.select("lo", "hi", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("lo", "hi", F.coalesce("component", "rep").alias("component_id"))
     out = signed.join(ids, ["lo", "hi"], "left").select(

@@ -71,8 +71,8 @@ def fit(texts: list[str], labels: list[int], dim: int = 8, epochs: int = 8, rate
     """
     rng = np.random.default_rng(seed)
     size = 1 << BITS
-    emb = (rng.random((size, dim)) - 0.5) / dim
-    out = np.zeros((dim, 2))
+    emb = ((rng.random((size, dim)) - 0.5) / dim).astype(np.float32)
+    out = np.zeros((dim, 2), np.float32)
     bags = []
     for a, b, data, offsets in tb.slices(pa.array(texts, pa.string())):
         row, ids = features(data, offsets)
@@ -80,7 +80,7 @@ def fit(texts: list[str], labels: list[int], dim: int = 8, epochs: int = 8, rate
         ids, cuts = ids[order], np.searchsorted(row[order], np.arange(b - a + 1))
         for i in range(b - a):
             u, c = np.unique(ids[cuts[i] : cuts[i + 1]], return_counts=True)
-            bags.append((u, c / c.sum()))
+            bags.append((u.astype(np.int32), (c / c.sum()).astype(np.float32)))
     steps, done = epochs * len(bags), 0
     for _ in range(epochs):
         for i in rng.permutation(len(bags)):
@@ -123,7 +123,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     return texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "text", "quality").limit(sample)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, sample: int = 6000, keep: float = 0.7) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, sample: int = 3000, keep: float = 0.7) -> DataFrame:
     """Rows of ``docs`` with held_out, score and predicted added; learns from ``labels`` (doc_id, quality).
 
     ``sample`` bounds the labelled rows that the driver learns from (the
