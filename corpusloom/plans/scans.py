@@ -1 +1,103 @@
-"""Queries."""
+"""Queries of the S family."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corpusloom.operators import rows as R
+from corpusloom.registry import Tables, query
+from corpusloom.sources import readers as S
+from corpusloom.sources import sinks as K
+
+_AR = "case access_class when 'open_access' then 1 when 'metadata_only' then 2 when 'licensed_future' then 3 when 'unknown' then 4 else 5 end"
+_NAME = "case coalesce({r}, 5) when 1 then 'open_access' when 2 then 'metadata_only' when 3 then 'licensed_future' when 4 then 'unknown' else 'user_supplied_private' end"
+
+
+@query("select doc_id, sha256(text) as hash from {documents} where doc_id % 11 <> 0")
+def s1_scan_documents(t: Tables) -> DataFrame:
+    rows = t.documents.withColumn("hash", F.when(F.col("doc_id") % 11 == 0, F.lit("other")).otherwise(F.sha2("text", 256)))
+    return S.verified_documents(rows).select("doc_id", "hash")
+
+
+@query(f"select sha256(text) as file_hash, min(work_id) as work_id, count(*) as sightings, {_NAME.format(r=f'max(case when access_class is not null then {_AR} end)')} as access_class from {{v_works}} group by 1")
+def s2_ingest(t: Tables) -> DataFrame:
+    return S.ingest(t.v_works, "work_id")
+
+
+@query("select user_id, event_type, event_id from (select *, row_number() over (partition by user_id, event_type order by ts desc) as r from {events} where (select max(ts) from {events}) < ts + to_seconds(5 * 86400)) x where r = 1")
+def s3_provider_cache(t: Tables) -> DataFrame:
+    now = str(t.events.agg(F.max("ts")).first()[0])
+    cache = t.events.withColumn("fetched_at", F.col("ts")).withColumn("ttl_seconds", F.lit(5 * 86400))
+    return S.provider_cache(cache, now, ["user_id", "event_type"]).select("user_id", "event_type", "event_id")
+
+
+@query("select count(*) filter (event_id % 3 = 0) as good, count(*) filter (event_id % 3 <> 0) as bad from {events}")
+def s4_s5_records(t: Tables) -> DataFrame:
+    line = F.when(F.col("event_id") % 3 == 0, F.to_json(F.struct("event_id", "value"))).when(F.col("event_id") % 3 == 1, F.to_json(F.struct("event_id"))).otherwise("not json")
+    good, bad = S.json_records(t.events.select(line.alias("line")), "line", ["event_id", "value"])
+    n = good.agg(F.count(F.lit(1)).alias("good"))
+    return n.join(F.broadcast(bad.agg(F.count(F.lit(1)).alias("bad"))))  # one row each
+
+
+@query("select conv_id as work_id, count(*) as turns from {conversations} where conv_id in (select doc_id from {documents}) group by 1")
+def s7_import_markdown(t: Tables) -> DataFrame:
+    return t.conversations.join(t.documents.select(F.col("doc_id").alias("conv_id")), "conv_id", "left_semi").groupBy(F.col("conv_id").alias("work_id")).agg(F.count(F.lit(1)).alias("turns"))
+
+
+@query("select run_id, seq, event from {v_runs} where seq > 40")
+def s8_read_events(t: Tables) -> DataFrame:
+    return S.events_after(t.v_runs, 40).select("run_id", "seq", "event")
+
+
+@query("select user_id, event_id, value from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as r from {events}) x where r = 1")
+def s9_upsert(t: Tables) -> DataFrame:
+    e = t.events.select("user_id", "event_id", "value", "ts")
+    return R.upsert_last_wins(e.where("event_id < 5000"), e.where("event_id >= 5000"), ["user_id"], "ts", "event_id").drop("ts")
+
+
+@query("with k as (select source, target, min(run_id) as run_id from {v_edges} where run_id < 1995 group by 1, 2), n as (select source, target, min(run_id) as run_id from {v_edges} where run_id >= 1995 group by 1, 2) select * from k union all select * from n where not exists (select 1 from k where k.source = n.source and k.target = n.target)")
+def s10_insert(t: Tables) -> DataFrame:
+    e = t.v_edges.select("source", "target", "run_id")
+    old = R.earliest(e.where("run_id < 1995"), ["source", "target"], "run_id")
+    return R.insert_first_wins(old, e.where("run_id >= 1995"), ["source", "target"], "run_id")
+
+
+@query("select conv_id, turn, case when conv_id % 4 = 0 then 'new' else 'old' end as version from {conversations} where conv_id % 4 <> 0 or turn < 2")
+def s11_replace_by_document(t: Tables) -> DataFrame:
+    c = t.conversations.select("conv_id", "turn")
+    return R.replace_by_document(c.withColumn("version", F.lit("old")), c.where("conv_id % 4 = 0 and turn < 2").withColumn("version", F.lit("new")), "conv_id")
+
+
+@query("select p_partkey, coalesce(case when p_partkey % 3 = 0 then p_name end, p_type) as label from {part}")
+def s13_node_labels(t: Tables) -> DataFrame:
+    p = t.part.withColumn("a", F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).otherwise("  "))
+    return p.select("p_partkey", K.node_label("a", "p_type", "p_brand", "p_partkey").alias("label"))
+
+
+@query("""select c_custkey, '@misc{' || c_custkey || ',' || chr(10) || concat_ws(',' || chr(10), case when c_custkey % 2 = 0 then '  title = {' || c_name || '}' end, '  author = {' || c_mktsegment || '}', '  year = {' || c_nationkey || '}', '  note = {' || c_custkey || '}') || chr(10) || '}' as entry from @C@""".replace("@C@", "customer").replace("{' ", "{' "))
+def s14_bibtex(t: Tables) -> DataFrame:
+    c = t.customer.withColumn("title", F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")))
+    return c.select("c_custkey", K.bibtex("c_custkey", "title", "c_mktsegment", "c_nationkey", "c_custkey").alias("entry"))
+
+
+@query("select count(*) as edges, count(distinct source) as sources from {v_edges}")
+def s12_s15_graph_reload(t: Tables) -> DataFrame:
+    from corpusloom.plans.lineage import shared_dir
+
+    import uuid
+
+    path = f"{shared_dir(t.spark)}/graph-{uuid.uuid4().hex}"
+    edges = t.v_edges.select("source", "target", F.lit("open_access").alias("access_class"))
+    nodes = t.supplier.select(F.col("s_suppkey").alias("node"), F.lit("work").alias("kind"), F.lit(None).cast("string").alias("access_class"), F.col("s_name").alias("definition"))
+    K.write_graph(nodes, edges, path)
+    _, back = K.read_graph(t.spark, path, nodes, edges)
+    return back.agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("source").alias("sources"))
+
+
+@query(f"select sha256(text) as markdown_hash, {_NAME.format(r=f'max(case when access_class is not null then {_AR} end)')} as access_class, first(work_id order by case when access_class is null then 0 else {_AR} end desc, work_id) as representative from {{v_works}} group by 1")
+def s16_store_documents(t: Tables) -> DataFrame:
+    from corpusloom.functions.access import access_rank, most_restrictive
+
+    rank = F.coalesce(access_rank("access_class"), F.lit(0))
+    return t.v_works.groupBy(F.sha2("text", 256).alias("markdown_hash")).agg(most_restrictive("access_class").alias("access_class"), F.min_by("work_id", F.struct((-rank).alias("r"), "work_id")).alias("representative"))
