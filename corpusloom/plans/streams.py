@@ -1 +1,62 @@
-"""Queries."""
+"""Queries of the T family: streams over the event files, drained."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corpusloom.plans.lineage import shared_dir
+from corpusloom.registry import Tables, query
+from corpusloom.streaming import events as E
+
+
+def _stream(t: Tables) -> DataFrame:
+    table = t.events
+    return E.tail(t.spark, f"{t.sf_dir}/event[s].parquet", table.schema)
+
+
+def _runs(t: Tables) -> DataFrame:
+    return _stream(t).select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("event"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+@query("select event_id, user_id, event_type from {events} where event_id > 9000 or event_id % 10 = 0")
+def t1_tail(t: Tables) -> DataFrame:
+    return E.drained(_stream(t).where("event_id > 9000 or event_id % 10 = 0").select("event_id", "user_id", "event_type"), "append")
+
+
+@query("select run_id, seq, case event when 'purchase' then 'completed' when 'click' then 'failed' else 'running' end as status from (select user_id as run_id, max(event_id) over (partition by user_id) as seq, event_type as event, row_number() over (partition by user_id order by ts desc, event_id desc) as r from {events}) x where r = 1")
+def t2_live_status(t: Tables) -> DataFrame:
+    return E.drained(E.live_status(_runs(t)), "complete")
+
+
+@query("select date_trunc('day', ts)::timestamp as day, user_id % 4 as provider, round(sum(coalesce(value, 0)), 4) as spend, sum(coalesce(value, 0)) >= 2000 as stopped from {events} group by 1, 2")
+def t4_daily_spend(t: Tables) -> DataFrame:
+    usage = _stream(t).select(F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 4).alias("provider"), F.col("value").alias("cost"))
+    return E.drained(E.daily_spend(usage, 2000.0, "400 days"), "complete")
+
+
+@query()
+def t5_fresh_responses(t: Tables) -> DataFrame:
+    cache = _stream(t).select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    return E.drained(E.fresh_responses(cache, ["user_id", "event_type"], "365 days").select("user_id", "event_type"), "append")
+
+
+@query("select user_id as run_id, date_trunc('day', ts)::timestamp as day, event_type as event, count(*) as n from {events} group by 1, 2, 3")
+def t7_step_counts(t: Tables) -> DataFrame:
+    return E.drained(E.step_counts(_runs(t), "400 days"), "complete")
+
+
+@query("select doc_id, line, start, start + length(body) as \"end\" from (select doc_id, line, body, coalesce(sum(length(body) + 1) over (partition by doc_id order by line rows between unbounded preceding and 1 preceding), 0)::bigint as start from (select doc_id, unnest(string_split(text, chr(10))) as body, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line from {documents}) l) o where trim(body) <> ''")
+def t6_incremental_spans(t: Tables) -> DataFrame:
+    """Line spans kept up to date by foreachBatch, then read back."""
+    from corpusloom.operators.windows import line_rows
+
+    base = f"{shared_dir(t.spark)}/spans-{uuid.uuid4().hex}"
+    docs = t.spark.readStream.schema(t.documents.schema).parquet(f"{t.sf_dir}/document[s].parquet")
+    build = lambda df: line_rows(df, "doc_id", "text").where("trim(body) <> ''").select("doc_id", "line", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    E.maintain(docs, f"{base}/out", build, f"{base}/state").awaitTermination()
+    return t.spark.read.parquet(f"{base}/out").drop("batch")
+
+

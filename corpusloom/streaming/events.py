@@ -14,3 +14,57 @@ def status_of(event: str) -> Column:
     for name, status in reversed(TERMINAL.items()):
         out = F.when(F.col(event) == name, status).otherwise(out)
     return out
+
+
+def tail(spark: SparkSession, path: str, schema: str | object) -> DataFrame:
+    """The event log as a stream of Parquet files; the checkpoint keeps the offset."""
+    return spark.readStream.schema(schema).parquet(path)
+
+
+def live_status(events: DataFrame) -> DataFrame:
+    """(run_id, seq, status) by the latest event; update or complete mode."""
+    got = events.groupBy("run_id").agg(F.max_by("event", F.struct("ts", "seq")).alias("event"), F.max("seq").alias("seq"))
+    return got.select("run_id", "seq", status_of("event").alias("status"))
+
+
+def daily_spend(usage: DataFrame, limit: float, late: str = "1 day") -> DataFrame:
+    """Spend and a latch for each day and provider; events later than ``late`` are dropped."""
+    got = usage.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"), "provider").agg(F.sum(F.coalesce("cost", F.lit(0.0))).alias("spend"))
+    return got.select(F.col("w.start").alias("day"), "provider", F.round("spend", 4).alias("spend"), (F.col("spend") >= limit).alias("stopped"))
+
+
+def interrupted(events: DataFrame, silence: str, late: str) -> DataFrame:
+    """Sessions of a run that ended by silence, without a terminal event."""
+    s = events.withWatermark("ts", late).groupBy("run_id", F.session_window("ts", silence).alias("w")).agg(F.bool_or(F.col("event").isin(*TERMINAL)).alias("ended"), F.count(F.lit(1)).alias("events"))
+    return s.where("not ended").select("run_id", F.col("w.end").alias("silent_from"), "events")
+
+
+def fresh_responses(cache: DataFrame, keys: list[str], ttl: str) -> DataFrame:
+    """The first response of each key within the TTL; repeats are dropped while the state lives."""
+    return cache.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(keys)
+
+
+def step_counts(events: DataFrame, late: str = "1 hour") -> DataFrame:
+    return events.withWatermark("ts", late).groupBy("run_id", F.window("ts", "1 day").alias("w"), "event").agg(F.count(F.lit(1)).alias("n")).select("run_id", F.col("w.start").alias("day"), "event", "n")
+
+
+def drained(stream: DataFrame, mode: str, checkpoint: str | None = None) -> DataFrame:
+    """Runs a stream over all that is there and gives the result as a table (an in-memory sink: for summaries and tests)."""
+    import uuid
+
+    name = f"q_{uuid.uuid4().hex}"
+    w = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
+    if checkpoint:
+        w = w.option("checkpointLocation", checkpoint)
+    q = w.start()
+    q.awaitTermination()
+    return stream.sparkSession.table(name)
+
+
+def maintain(docs: DataFrame, target: str, build, checkpoint: str):
+    """Rebuilds what ``build`` makes of each arriving document under ``target``, one folder a batch: a batch run again overwrites its own."""
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        build(batch).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    return docs.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
