@@ -5,10 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm import textbytes as tb
+
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -164,9 +167,11 @@ def _at_and_dot(m: Mapped) -> None:
     m.rewrite([e for i, e in enumerate(edits) if not i or e[0] >= edits[i - 1][1]])
 
 
-def disguised(text: str) -> list[Span]:
-    """Spans that show only after normalisation, in source offsets."""
-    strange, speaks, hides = _STRANGE.search(text), _SPEAKS.search(text), _DISGUISE.search(text)
+def disguised(text: str, speaks: bool, hides: bool) -> list[Span]:
+    """Spans that show only after normalisation, in source offsets. ``speaks``, ``hides``: may it spell digits, or at and dot."""
+    strange = not text.isascii() and _STRANGE.search(text)
+    speaks = speaks and _SPEAKS.search(text)
+    hides = hides and _DISGUISE.search(text)
     if not (strange or speaks or hides):
         return []
     m = Mapped(text)
@@ -180,7 +185,7 @@ def disguised(text: str) -> list[Span]:
     return [(kind, m.start[a], m.end[b - 1]) for kind, a, b in plain(m.text)]
 
 
-def find(text: str | None) -> tuple[list[Span], list[Span]]:
+def find(text: str | None, speaks: bool = True, hides: bool = True) -> tuple[list[Span], list[Span]]:
     """(plain spans, all spans), each by start, then kind as in KINDS.
 
     Plain spans stay as they are; a disguised span joins them unless it
@@ -190,24 +195,61 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
         return [], []
     order = lambda s: (s[1], KINDS.index(s[0]))
     base = sorted(plain(text), key=order)
-    more = [s for s in disguised(text) if not any(s[1] < b[2] and b[1] < s[2] for b in base)]
+    more = [s for s in disguised(text, speaks, hides) if not any(s[1] < b[2] and b[1] < s[2] for b in base)]
     return base, sorted(base + more, key=order)
 
 
+def _known(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of words as textbytes gives them, and which top 16 bits they have."""
+    raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+    h = np.sort(tb.words(raw, np.array([0, len(raw)]), tb.BY_PUNCTUATION)[3])
+    top = np.zeros(1 << 16, bool)
+    top[(h >> np.uint64(48)).astype(np.int64)] = True
+    return h, top
+
+
+#: The digits that _SPEAKS asks for, and the words for a dot.
+_SPEAK_WORDS = _known("zero one two three four five six seven eight nine eins zwei drei vier fünf sechs sieben acht neun deux trois quatre cinq sept huit neuf cero uno dos tres cuatro cinco seis siete ocho nueve".split())
+_DOT_WORDS = _known("dot punto punkt point".split())
+#: For bytes.translate: what plain patterns need; lead bytes of letters beyond Latin; and brackets and signs that hide an at.
+_PLAIN_BYTES, _FAR_BYTES, _SIGN_BYTES = b"0123456789@", bytes(range(0xC9, 0xF5)), b"[({<@_"
+_NEAR_STRANGE = tuple(c.encode() for c in _HOMOGLYPHS.keys() | set(_INVISIBLE) | set(_WIDE_SPACE) if ord(c) < 0x250)
+
+
+def _rows_with(row: np.ndarray, h: np.ndarray, known: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
+    """Which rows hold a word of the list."""
+    at = np.flatnonzero(known[1][(h >> np.uint64(48)).astype(np.int64)])
+    at = at[np.isin(h[at], known[0])]
+    return np.bincount(row[at], minlength=n) > 0
+
+
 def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts without a byte or word that any pattern needs are passed over; all others are read whole."""
     for batch in batches:
         counts: list[list[int]] = [[] for _ in KINDS]
         bases, spans = [], []
-        for text in batch.column(1):
-            base, full = find(text.as_py())
-            for k, kind in enumerate(KINDS):
-                counts[k].append(sum(s[0] == kind for s in full))
-            bases.append(joined(base))
-            spans.append(joined(full))
+        for a, b, data, offsets in tb.slices(batch.column(1)):
+            _, _, row, h = tb.words(data, offsets, tb.BY_PUNCTUATION)
+            speaks, dots = _rows_with(row, h, _SPEAK_WORDS, b - a), _rows_with(row, h, _DOT_WORDS, b - a)
+            raw = data.tobytes()
+            for i in range(b - a):
+                text = raw[offsets[i] : offsets[i + 1]]
+                n = len(text)
+                lacks = lambda drop: len(text.translate(None, drop)) == n
+                hides = bool(dots[i]) or not lacks(_SIGN_BYTES)
+                strange = not text.isascii() and (not lacks(_FAR_BYTES) or any(c in text for c in _NEAR_STRANGE))
+                base: list[Span] = []
+                full: list[Span] = []
+                if speaks[i] or hides or strange or not lacks(_PLAIN_BYTES):
+                    base, full = find(text.decode("utf-8", "replace"), bool(speaks[i]), hides)
+                for k, kind in enumerate(KINDS):
+                    counts[k].append(sum(s[0] == kind for s in full) if full else 0)
+                bases.append(joined(base) if base else "")
+                spans.append(joined(full) if full else "")
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(bases, pa.string()), pa.array(spans, pa.string())],
             names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "spans"],
