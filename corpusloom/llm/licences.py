@@ -97,7 +97,9 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     table = spark.createDataFrame(known(), "sentence string, id string")
     rules = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(n).alias("licence"), F.lit(_sequence(s)).alias("ids")) for r, n, s in RULES])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike(HINT))
-    lines = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), F.posexplode(F.split("text", ENDS)).alias("at", "s"))
+    # numbered before the explode: in one select with it, the lines would be numbered
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    lines = rows.select("doc_id", "row", F.posexplode(F.split("text", ENDS)).alias("at", "s"))
     named = lines.select("doc_id", "row", "at", F.trim(F.regexp_replace(F.lower("s"), NOISE, " ")).alias("sentence")).join(F.broadcast(table), "sentence")
     text = named.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "id"))).alias("seen"))
     text = text.select("doc_id", F.array_join(F.transform("seen", lambda x: F.concat(F.lit("<"), x["id"], F.lit(">"))), "").alias("ids"), F.col("seen")[0]["at"].cast("long").alias("first_sentence"))

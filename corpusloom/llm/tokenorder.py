@@ -190,4 +190,5 @@ def training_order(docs: DataFrame, key: int = 1, length: int = 512, shard_rows:
 
 def write_shards(ordered: DataFrame, path: str) -> None:
     """One file of fixed-stride records (and a closing newline each) a shard, by Spark's own committer."""
-    ordered.select("shard", F.decode(F.col("record"), F.lit("ISO-8859-1")).alias("value")).write.partitionBy("shard").option("encoding", "ISO-8859-1").text(path)
+    # the cast keeps the bytes as they are, and the text writer writes a string's bytes
+    ordered.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").text(path)
