@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Id types in order of precedence.
 ID_TYPES = ["doi", "openalex", "arxiv", "s2", "ssrn"]
@@ -16,12 +17,12 @@ DISCRIMINATING = ["v1", "v2", "v3", "v4", "base", "large", "small", "xl", "xxl",
 OVERLAP_STOPWORDS = ["a", "an", "the", "and", "or", "of", "for", "to", "in", "on", "at", "by", "with", "from", "as", "is", "are", "be", "this", "that", "into", "über", "der", "die", "das", "und", "le", "la", "les", "de", "du"]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFC", x) if x is not None else None)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold(s: pd.Series) -> pd.Series:
     """NFKD without combining marks."""
     return s.map(lambda x: "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)) if x is not None else None)
