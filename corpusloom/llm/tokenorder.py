@@ -104,7 +104,7 @@ def _sequencer(path: str, length: int):
         for batch in batches:
             text = batch.column(1)
             row = 0
-            for a, b, data, offsets in tb.slices(text, 1 << 22):
+            for a, b, data, offsets in tb.slices(text, 1 << 20):
                 ids, cuts = encoder.encode(data, offsets)
                 doc, seq, count, blob = [], [], [], []
                 for r in range(b - a):
