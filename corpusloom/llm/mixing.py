@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +63,52 @@ def whole_weights(targets: Mapping[str, float], period: int) -> dict[str, int]:
     return {s: max(1, round(period * t / total)) for s, t in targets.items()}
 
 
+def timetable(blocks: Mapping[str, int], weights: Mapping[str, int]) -> list[tuple[str, int, int, int, int, int, int, int]]:
+    """(source, phase, first, last, weight, j, slot0, length) for each slot of each phase's period.
+
+    Blocks first to last - 1 of a source run in that phase; block
+    first + turn * weight + j has slot slot0 + turn * length.
+    """
+    table, used, slot0 = [], dict.fromkeys(blocks, 0), 0
+    for p, (times, now) in enumerate(phases(blocks, weights)):
+        length = sum(now.values())
+        for at, (s, j) in enumerate(pattern(now)):
+            table.append((s, p, used[s], used[s] + times * now[s], now[s], j, slot0 + at, length))
+        for s, w in now.items():
+            used[s] += times * w
+        slot0 += times * length
+    return table
+
+
+def dealer(counts: Mapping[str, int], targets: Mapping[str, float], period: int = 240) -> Callable[[str, np.ndarray], np.ndarray]:
+    """A function from a source and ranks in it to slots 0 to n - 1, each once, in the mixture of single rows.
+
+    While all sources last, any stretch of slots holds less than two rows more
+    or fewer of a source than its share.
+    """
+    by: dict[str, list[tuple[int, ...]]] = {}
+    for s, _, *step in timetable(counts, whole_weights({s: targets[s] for s in counts}, period) if counts else {}):
+        by.setdefault(s, []).append(tuple(step))
+    steps = {s: np.array(sorted(x, key=lambda t: (t[0], t[3])), np.int64) for s, x in by.items()}
+
+    def slots(source: str, rank: np.ndarray) -> np.ndarray:
+        first, _, weight, _, slot0, length = steps[source].T
+        row = np.searchsorted(first, rank, "right") - 1  # the last row of the rank's phase
+        start = np.searchsorted(first, first[row])
+        turn, j = np.divmod(rank - first[row], weight[row])
+        return slot0[start + j] + turn * length[row]
+
+    return slots
+
+
+def source_counts(docs: DataFrame) -> dict[str, int]:
+    """Rows of each source, at most ``MAX_SOURCES``; null is the source ""."""
+    found = docs.groupBy(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source")).count().limit(MAX_SOURCES + 1).collect()
+    if len(found) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
+    return {r["source"]: r["count"] for r in found}
+
+
 def mix_sources(docs: DataFrame, targets: Mapping[str, float] | None = None, block_rows: int = 16, period: int = 240, seed: str = "mix") -> DataFrame:
     """doc_id, source, slot, place, block, phase for every row of ``docs`` (doc_id, source).
 
@@ -82,25 +129,14 @@ def mix_sources(docs: DataFrame, targets: Mapping[str, float] | None = None, blo
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"))
     rows = rows.withColumn("k", F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long"))
-    found = rows.groupBy("source").count().limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    counts = {r["source"]: r["count"] for r in found}
+    counts = source_counts(rows)
     if targets is None:
         given = {s: n**0.5 for s, n in counts.items()}
     else:
         least = min([t for t in targets.values() if t > 0], default=1.0)
         given = {s: targets.get(s) or least for s in counts}
     weights = whole_weights(given, period) if counts else {}
-    stretches = phases({s: -(-n // block_rows) for s, n in counts.items()}, weights)
-    table, used, slot0 = [], dict.fromkeys(counts, 0), 0
-    for p, (times, now) in enumerate(stretches):
-        length = sum(now.values())
-        for at, (s, j) in enumerate(pattern(now)):
-            table.append((s, p, used[s], used[s] + times * now[s], now[s], j, slot0 + at, length))
-        for s, w in now.items():
-            used[s] += times * w
-        slot0 += times * length
+    table = timetable({s: -(-n // block_rows) for s, n in counts.items()}, weights)
     plan = spark.createDataFrame(table, "source string, phase int, first long, last long, weight long, j long, slot0 long, length long")
     # one row for each source and phase, and one for each slot of a phase's period: set by the targets, not by the rows
     spans = plan.select("source", "phase", "first", "last", "weight").distinct()

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.llm import mixing
 from corpusloom.llm import textbytes as tb
 from corpusloom.plans.lineage import stored
 
@@ -100,13 +102,13 @@ class Encoder:
 
 def _sequencer(path: str, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, i = Encoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, seen = Encoder(path), TaskContext.get().partitionId(), Counter()
         for batch in batches:
-            text = batch.column(1)
+            text, sources = batch.column(1), batch.column(2).to_pylist()
             row = 0
             for a, b, data, offsets in tb.slices(text, 1 << 20):
                 ids, cuts = encoder.encode(data, offsets)
-                doc, seq, count, blob = [], [], [], []
+                doc, seq, count, blob, at = [], [], [], [], []
                 for r in range(b - a):
                     own = ids[cuts[r] : cuts[r + 1]]
                     piece = data[offsets[r] : offsets[r + 1]]
@@ -115,6 +117,9 @@ def _sequencer(path: str, length: int):
                         if _ODD_SPACE.search(s):
                             own = encoder.whole(s)
                     own = np.append(own, np.uint16(END))
+                    source = sources[row + r]
+                    at.extend(range(seen[source], seen[source] - (-len(own) // length)))
+                    seen[source] -= -len(own) // length
                     for j in range(0, len(own), length):
                         x = own[j : j + length]
                         doc.append(row + r)
@@ -122,11 +127,11 @@ def _sequencer(path: str, length: int):
                         count.append(len(x))
                         blob.append(x.astype("<u2").tobytes())
                 row += b - a
+                of = pa.array(doc, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(doc, pa.int64())), pa.array(seq, pa.int32()), pa.array(count, pa.int32()), pa.array(blob, pa.binary()), pa.array(np.full(len(doc), part)), pa.array(np.arange(i, i + len(doc)))],
-                    names=["doc_id", "seq", "n_tokens", "ids", "part", "i"],
+                    [batch.column(0).take(of), pa.array(seq, pa.int32()), pa.array(count, pa.int32()), pa.array(blob, pa.binary()), batch.column(2).take(of), pa.array(np.full(len(doc), part)), pa.array(at, pa.int64())],
+                    names=["doc_id", "seq", "n_tokens", "ids", "source", "part", "i"],
                 )
-                i += len(doc)
 
     return run
 
@@ -150,7 +155,7 @@ def permute(index: np.ndarray, n: int, key: int, rounds: int = SLOT_ROUNDS) -> n
     return out.astype(np.int64)
 
 
-def training_order(docs: DataFrame, key: int = 1, length: int = 512, shard_rows: int = 16384, tokenizer: str = TOKENIZER) -> DataFrame:
+def training_order(docs: DataFrame, key: int = 1, length: int = 512, shard_rows: int = 16384, tokenizer: str = TOKENIZER, targets: Mapping[str, float] | None = None) -> DataFrame:
     """slot, shard, offset, doc_id, seq, n_tokens, record: every sequence of every row of ``docs`` in training order.
 
     A document's token ids and an end mark are cut into sequences of
@@ -163,21 +168,33 @@ def training_order(docs: DataFrame, key: int = 1, length: int = 512, shard_rows:
     record lies at ``offset`` bytes from its shard's start and a reader can
     resume at any slot.
 
+    With ``targets`` (a weight for each value of ``source``, "" for null) a
+    source's sequences are numbered and permuted among themselves, and the
+    Pfair schedule of ``mixing`` deals the slots to the sources: until a source
+    is used up, every stretch of slots holds the sources in the targets'
+    shares, to less than two sequences.
+
     A null or empty text is one sequence that holds the end mark. Rows that
     repeat have their own sequences. Other columns are ignored. The tokenizer
     file must be readable on every executor.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = stored(rows.mapInArrow(_sequencer(tokenizer, length), "doc_id long, seq int, n_tokens int, ids binary, part long, i long"), "sequences", compression="zstd")
-    sizes = table.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    starts = sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("base"))
-    n = table.count()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.lit("") if targets is None else F.coalesce(F.col("source").cast("string"), F.lit(""))).alias("source"))
+    table = stored(rows.mapInArrow(_sequencer(tokenizer, length), "doc_id long, seq int, n_tokens int, ids binary, source string, part long, i long"), "sequences", compression="zstd")
+    sizes = table.groupBy("source", "part").agg(F.count(F.lit(1)).alias("n"))
+    starts = sizes.select("source", "part", (F.sum("n").over(W.partitionBy("source").orderBy("part")) - F.col("n")).alias("base"))
+    counts = mixing.source_counts(table)
+    n = sum(counts.values())
+    deal = mixing.dealer(counts, targets or {"": 1.0})
+    keys = {s: key + at for at, s in enumerate(sorted(counts))}
 
     @F.pandas_udf("long")
-    def slot(index: pd.Series) -> pd.Series:
-        return pd.Series(permute(index.to_numpy(), n, key))
+    def slot(source: pd.Series, index: pd.Series) -> pd.Series:
+        out = np.zeros(len(index), np.int64)
+        for s, at in source.groupby(source).indices.items():
+            out[at] = deal(s, permute(index.to_numpy()[at], counts[s], keys[s]))
+        return pd.Series(out)
 
-    placed = table.join(starts, "part").withColumn("slot", slot(F.col("base") + F.col("i"))).select("slot", "doc_id", "seq", "n_tokens", "ids")
+    placed = table.join(starts, ["source", "part"]).withColumn("slot", slot("source", F.col("base") + F.col("i"))).select("slot", "doc_id", "seq", "n_tokens", "ids")
     shards = max(1, -(-n // shard_rows))
     placed = placed.withColumn("shard", F.expr(f"cast(slot div {shard_rows} as int)"))
     dealt = placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")

@@ -300,3 +300,38 @@ def test_pipeline_small(spark):
         assert kept <= before and (name != "mix" or kept == before)
         d = spark.createDataFrame(out.collect(), out.schema)
     assert set(r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, d, DIR).select("doc_id").collect()) == kept
+
+
+def test_pipeline_order_follows_the_mixture(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(i, "few words here" if i % 7 else "the of " * 900) for i in range(1000)]
+    df = docs(spark, rows).withColumn("source", F.when(F.col("doc_id") % 10 > 0, "hot").when(F.col("doc_id") % 20 == 0, "b").otherwise(F.lit(None)))
+    got = corpus_pipeline.order_stage(spark, corpus_pipeline.mix_stage(spark, df, DIR), DIR).collect()
+    assert sorted(r.slot for r in got) == list(range(len(got))) and {r.doc_id for r in got} == set(range(1000))
+    assert len({(r.doc_id, r.seq) for r in got}) == len(got)
+    of = {r.doc_id: r.source or "" for r in df.collect()}
+    names = [of[r.doc_id] for r in sorted(got, key=lambda r: r.slot)]
+    weights = mixing.whole_weights({"hot": 900**0.5, "b": 50**0.5, "": 50**0.5}, 240)
+    first_used_up = min(max(i for i, x in enumerate(names) if x == s) for s in weights)
+    assert first_used_up >= 240
+    stretch = names[: first_used_up // sum(weights.values()) * sum(weights.values())]
+    for s, w in weights.items():
+        upto = np.concatenate([[0], np.cumsum([x == s for x in stretch])])
+        lead = upto - np.arange(len(upto)) * w / sum(weights.values())
+        assert lead.max() < 1 and lead.min() > -1, s
+
+
+def test_pipeline_dedup_loses_no_text(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    long = " ".join(f"w{i}" for i in range(50))
+    rows = [(None, "null id one " + long[::-1]), (None, "other null"), (3, "three first"), (3, "quite other text"), (3, "three first"), (4, long), (5, long), (3, long)]
+    got = corpus_pipeline.dedup_stage(spark, docs(spark, rows), DIR).collect()
+    assert sorted(r.text for r in got) == sorted({t for _, t in rows})
+
+
+def test_dealer_gives_each_slot_once():
+    counts = {"a": 1000, "b": 37, "c": 5, "": 300}
+    deal = mixing.dealer(counts, {"a": 3.0, "b": 1.0, "c": 1.0, "": 2.0}, 40)
+    at = {s: deal(s, np.arange(n)) for s, n in counts.items()}
+    assert sorted(np.concatenate(list(at.values())).tolist()) == list(range(sum(counts.values())))
+    assert all((np.diff(x) > 0).all() for x in at.values())
