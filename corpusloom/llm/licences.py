@@ -62,9 +62,13 @@ RULES = [
     ("cc0-waiver", "CC0-1.0", ["cc0"]),
 ]
 # A sentence ends at a line's end, or at . ! ? ; : before white space. Both
-# engines (here and the SQL oracle) read these patterns alike.
+# engines (here and the SQL oracle) read these patterns alike; here a known sentence may also run over single line ends.
 ENDS = r"[.!?;:]+(?:[ \t\r\n]+|$)|[\r\n]+"
 NOISE = r"[^a-z0-9]+"
+#: Sentences as published that the SQL's table lacks, by the same identifiers.
+PUBLISHED = {"apache-ref": 'Licensed under the Apache License, Version 2.0 (the "License")'}
+#: Marks for an end of ENDS: HARD, or SOFT where it is a single line break, which a wrapped sentence may hold.
+HARD, SOFT = "\x01", "\x02"
 #: A hint that a sentence of every rule has, so a text without any matches no rule.
 HINT = r"(?i)licen|permission|redistribut|copyright|warrant"
 
@@ -78,6 +82,21 @@ def known() -> list[tuple[str, str]]:
     return [(normal(text), i) for i, text in SENTENCES.items()]
 
 
+def _marked(text: F.Column) -> F.Column:
+    """Normalised text with a mark for each match of ENDS (as many, in the same places)."""
+    out = F.translate(F.lower(text), HARD + SOFT, "  ")
+    out = F.regexp_replace(out, r"[.!?;:]+(?:[ \t\r\n]+|$)", HARD)
+    out = F.regexp_replace(out, r"(?<![\r\n])(?:\r\n|[\r\n])(?![\r\n])", SOFT)
+    out = F.regexp_replace(out, r"[\r\n]+", HARD)
+    out = F.regexp_replace(out, f"[^a-z0-9{HARD}{SOFT}]+", " ")
+    return F.trim(F.regexp_replace(out, f" ?([{HARD}{SOFT}]) ?", "$1"))
+
+
+def _wrapped(sentence: str) -> str:
+    """Pattern of a normalised sentence from a mark to a mark, each of its spaces perhaps a single line break."""
+    return f"(?<![^{HARD}{SOFT}])" + sentence.replace(" ", f"[ {SOFT}]") + f"(?![^{HARD}{SOFT}])"
+
+
 def _sequence(rule: list[str]) -> str:
     return "".join(f"<{i}>" for i in rule)
 
@@ -85,24 +104,29 @@ def _sequence(rule: list[str]) -> str:
 def scan_licences(docs: DataFrame) -> DataFrame:
     """doc_id, licence, rule, n_times, first_sentence: each rule that a text of ``docs`` matches.
 
-    A text is cut into sentences, normalised to lower-case ASCII letters and
-    digits; those in the table become identifiers, others are left out; a rule
-    matches where its identifiers follow one another in that sequence.
-    ``first_sentence`` is the number (from 0) of the first known sentence of
-    the text. Null and empty texts match nothing; rows that repeat a doc_id
-    are read as one sequence per row (rows are told apart by a row number that
-    the scan gives them); other columns are ignored.
+    A text is normalised to lower-case ASCII letters and digits, so comment
+    marks go too. A known sentence is read where it fills the text between two
+    ends (ENDS); single line breaks inside it, as in wrapped text, do not
+    count, while blank lines part. Of known sentences that overlap the longest
+    is read. They become identifiers, others are left out; a rule matches
+    where its identifiers follow one another in that sequence.
+    ``first_sentence`` is the number of ends before the first known sentence.
+    Null and empty texts match nothing; rows that repeat a doc_id are read one
+    by one; other columns are ignored.
     """
-    spark = docs.sparkSession
-    table = spark.createDataFrame(known(), "sentence string, id string")
+    sentences = sorted([*known(), *((normal(text), i) for i, text in PUBLISHED.items())], key=lambda k: -len(k[0]))
+    table = F.array(*[F.struct(F.lit(s).alias("sentence"), F.lit(_wrapped(s)).alias("pattern"), F.lit(f"<{i}>").alias("id")) for s, i in sentences])
     rules = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(n).alias("licence"), F.lit(_sequence(s)).alias("ids")) for r, n, s in RULES])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike(HINT))
-    # numbered before the explode: in one select with it, the lines would be numbered
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
-    lines = rows.select("doc_id", "row", F.posexplode(F.split("text", ENDS)).alias("at", "s"))
-    named = lines.select("doc_id", "row", "at", F.trim(F.regexp_replace(F.lower("s"), NOISE, " ")).alias("sentence")).join(F.broadcast(table), "sentence")
-    text = named.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "id"))).alias("seen"))
-    text = text.select("doc_id", F.array_join(F.transform("seen", lambda x: F.concat(F.lit("<"), x["id"], F.lit(">"))), "").alias("ids"), F.col("seen")[0]["at"].cast("long").alias("first_sentence"))
+    marked = rows.select("doc_id", _marked(F.col("text")).alias("marked")).withColumn("flat", F.translate("marked", SOFT, " "))
+    held = marked.select("doc_id", "marked", F.filter(table, lambda k: F.contains(F.col("flat"), k["sentence"])).alias("held")).where(F.size("held") > 0)
+    named = held.select("doc_id", F.aggregate("held", F.col("marked"), lambda t, k: F.regexp_replace(t, k["pattern"], k["id"])).alias("named"))
+    before = F.substring_index("named", "<", 1)
+    text = named.where(F.contains("named", F.lit("<"))).select(
+        "doc_id",
+        F.array_join(F.regexp_extract_all("named", F.lit("<[^>]*>"), F.lit(0)), "").alias("ids"),
+        F.length(F.regexp_replace(before, f"[^{HARD}{SOFT}]", "")).cast("long").alias("first_sentence"),
+    )
     hits = text.withColumn("hits", F.filter(rules, lambda r: F.contains(F.col("ids"), r["ids"])))
     best = hits.withColumn("hits", F.filter("hits", lambda r: ~F.exists("hits", lambda o: (o["ids"] != r["ids"]) & F.contains(o["ids"], r["ids"]))))
     each = best.select("doc_id", "ids", "first_sentence", F.explode("hits").alias("r"))

@@ -335,3 +335,54 @@ def test_dealer_gives_each_slot_once():
     at = {s: deal(s, np.arange(n)) for s, n in counts.items()}
     assert sorted(np.concatenate(list(at.values())).tolist()) == list(range(sum(counts.values())))
     assert all((np.diff(x) > 0).all() for x in at.values())
+
+
+APACHE = """
+Copyright 2020 The Authors
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+GPL3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by the Free Software Foundation,
+either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+
+
+def test_licences_wrapped(spark):
+    import textwrap
+
+    mit = "\n\n".join(textwrap.fill(licences.SENTENCES[i] + (":" if i == "mit-grant" else "."), 70) for i in licences.RULES[2][2])
+    bsd = textwrap.fill(licences.SENTENCES["bsd-grant"] + ":", 60) + "\n\n" + "\n".join(textwrap.fill(f"{n}. {licences.SENTENCES[i]}.", 60) for n, i in enumerate(("bsd-source", "bsd-binary", "bsd-names"), 1))
+    slashes = lambda t: "".join(f"// {x}\r\n" for x in t.splitlines())
+    stars = lambda t: "/*\n" + "".join(f" * {x}\n" for x in t.splitlines()) + " */\nint x;\n"
+    parted = licences.SENTENCES["cc0"].replace(" has waived", "\n\nhas waived")
+    rows = [(1, APACHE), (2, stars(APACHE)), (3, slashes(APACHE)), (4, mit), (5, stars(mit)), (6, bsd), (7, slashes(GPL3)), (8, textwrap.fill(licences.SENTENCES["isc-grant"], 40)), (9, parted)]
+    got = sorted((r.doc_id, r.rule, r.n_times, r.first_sentence) for r in licences.scan_licences(docs(spark, rows)).collect())
+    ids = [(i, r, n) for i, r, n, _ in got]
+    assert ids == [(1, "apache-2.0-header", 1), (2, "apache-2.0-header", 1), (3, "apache-2.0-header", 1), (4, "mit-text", 1), (5, "mit-text", 1), (6, "bsd-3-text", 1), (7, "gpl-3-notice", 1), (8, "isc-text", 1)]
+    assert [f for *_, f in got][:2] == [2, 4] and got[3][3] == 0
+
+
+def test_licences_equal_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{DIR}/documents.parquet'")
+    want = sorted(con.sql(licences.oracle()).fetchall())
+    assert want and sorted(tuple(r) for r in licences.scan_licences(spark.read.parquet(f"{DIR}/documents.parquet")).collect()) == want
