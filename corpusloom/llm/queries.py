@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenorder.training_order(_table(spark, sf_dir, "documents"))
+    return tokenorder.with_shards(tokenorder.training_order(_table(spark, sf_dir, "documents")), "training-shards")
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import mixing
 from corpusloom.llm import textbytes as tb
-from corpusloom.plans.lineage import stored
+from corpusloom.plans.lineage import shared_dir, stored
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END = 50256
@@ -194,7 +194,8 @@ def training_order(docs: DataFrame, key: int = 1, length: int = 512, shard_rows:
             out[at] = deal(s, permute(index.to_numpy()[at], counts[s], keys[s]))
         return pd.Series(out)
 
-    placed = table.join(starts, ["source", "part"]).withColumn("slot", slot("source", F.col("base") + F.col("i"))).select("slot", "doc_id", "seq", "n_tokens", "ids")
+    # one row for each source and scan task, so the sequences need no shuffle here
+    placed = table.join(F.broadcast(starts), ["source", "part"]).withColumn("slot", slot("source", F.col("base") + F.col("i"))).select("slot", "doc_id", "seq", "n_tokens", "ids")
     shards = max(1, -(-n // shard_rows))
     placed = placed.withColumn("shard", F.expr(f"cast(slot div {shard_rows} as int)"))
     dealt = placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
@@ -206,6 +207,44 @@ def training_order(docs: DataFrame, key: int = 1, length: int = 512, shard_rows:
 
 
 def write_shards(ordered: DataFrame, path: str) -> None:
-    """One file of fixed-stride records (and a closing newline each) a shard, by Spark's own committer."""
+    """One file of records and a closing newline each a shard, by Spark's own committer.
+
+    Its stride is one byte more than a record, so ``offset`` does not hold
+    here; ``write_records`` writes files in which it does.
+    """
     # the cast keeps the bytes as they are, and the text writer writes a string's bytes
     ordered.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").text(path)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shard, its records end to end) for rows in the order of shards."""
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([b"".join(run)], pa.binary())], names=["shard", "value"])
+
+    shard, run = None, []
+    for batch in batches:
+        for s, record in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if s != shard and run:
+                yield row()
+                run = []
+            shard = s
+            run.append(record.as_py())
+    if run:
+        yield row()
+
+
+def write_records(ordered: DataFrame, path: str) -> None:
+    """One file a shard, ``path``/shard=N/part-*, whose record of a row of ``ordered`` begins at the row's ``offset``.
+
+    Records follow one another without a separator; one newline ends the file.
+    A task holds one shard (``shard_rows`` records) at a time.
+    """
+    packed = ordered.select("shard", "record").mapInArrow(_packed, "shard int, value binary")
+    packed.select("shard", F.col("value").cast("string").alias("value")).write.mode("overwrite").partitionBy("shard").text(path)
+
+
+def with_shards(ordered: DataFrame, label: str) -> DataFrame:
+    """``ordered``, its shards written to the folder ``label`` in the shared folder."""
+    write_records(ordered, f"{shared_dir(ordered.sparkSession)}/{label}")
+    return ordered

@@ -386,3 +386,36 @@ def test_licences_equal_sql(spark):
     con.execute(f"create view documents as select * from '{DIR}/documents.parquet'")
     want = sorted(con.sql(licences.oracle()).fetchall())
     assert want and sorted(tuple(r) for r in licences.scan_licences(spark.read.parquet(f"{DIR}/documents.parquet")).collect()) == want
+
+
+def read_at_offset(folder, rows):
+    for s in {r.shard for r in rows}:
+        own = [r for r in rows if r.shard == s]
+        (file,) = folder.glob(f"shard={s}/part-*")
+        with open(file, "rb") as f:
+            for r in own:
+                f.seek(r.offset)
+                assert f.read(len(r.record)) == bytes(r.record)
+        assert file.stat().st_size == sum(len(r.record) for r in own) + 1
+
+
+def test_records_are_read_at_their_offset(spark, tmp_path):
+    rows = [*ODD, (11, "a\r\nb ☃ " * 500)]
+    ordered = tokenorder.training_order(docs(spark, rows), length=64, shard_rows=8)
+    for _ in range(2):  # a second run overwrites
+        tokenorder.write_records(ordered, str(tmp_path / "records"))
+    got = ordered.collect()
+    assert len({r.shard for r in got}) > 3
+    read_at_offset(tmp_path / "records", got)
+
+
+def test_op1_and_the_pipeline_write_shards(spark):
+    from pathlib import Path
+
+    from corpusloom.llm import queries
+    from corpusloom.plans.lineage import shared_dir
+
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    base = Path(shared_dir(spark).removeprefix("file:"))
+    read_at_offset(base / "training-shards", queries.op1_training_order(spark, DIR).collect())
+    read_at_offset(base / "pipeline-shards", corpus_pipeline.order_stage(spark, spark.read.parquet(f"{DIR}/documents.parquet"), DIR).collect())
