@@ -134,12 +134,6 @@ def test_html_text(spark):
     assert htmltext.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_wrapper_alignment():
-    page = lambda n, extra="": htmltext.symbols(htmltext.parse("<ul>" + "<li><a>x</a></li>" * n + "</ul>" + extra))
-    both = htmltext.align(page(3), page(5, "<p>x</p>"))
-    assert htmltext.written(both) == "<ul ( <li <a # >a >li )+ >ul ( <p # >p )?"
-
-
 def test_shards(spark):
     rows = [(i, "copy" if i % 3 == 0 else f"text {i} " * (i % 17)) for i in range(2000)] + [(5001, None), (5002, "")]
     got = sharding.assign_shards(docs(spark, rows), shards=24, ranges_per_shard=4).collect()
