@@ -7,15 +7,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def spread_rank(df: DataFrame, group: list[str], order: str, rows_per_range: int = 50_000) -> DataFrame:
+def spread_rank(df: DataFrame, group: list[str], order: str, rows_per_range: int = 50_000, ties: list[str] | None = None) -> DataFrame:
     """Adds ``rank`` (from 0) of each row in its group by ascending ``order``.
 
     ``order`` is a column of uniformly spread non-negative longs below 2**60
     (a hash). Each group is cut into ranges of ``order``, as many as its rows
     need, so a group with a third of all rows is ranked by many tasks; rows
-    that tie on ``order`` stay in one range and tie-break on all columns left.
+    that tie on ``order`` stay in one range and tie-break on ``ties`` (all
+    columns left, if not given).
     """
-    ties = [c for c in df.columns if c not in group and c != order]
+    ties = [c for c in df.columns if c not in group and c != order] if ties is None else ties
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     sizes = sizes.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], F.ceil(F.col("_n") / rows_per_range).alias("_parts"))
     match = F.lit(True)
