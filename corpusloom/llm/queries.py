@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenorder.with_shards(tokenorder.training_order(_table(spark, sf_dir, "documents")), "training-shards")
+    return tokenorder.training_order(_table(spark, sf_dir, "documents"))
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,8 @@ def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix_sources(docs).select("row.doc_id", "source", "slot", "block", "phase")
 
 
 def op9_anisotropic_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator, Mapping
 
@@ -11,7 +12,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -100,40 +101,24 @@ class Encoder:
         return np.array(self.bpe.encode_ordinary(text), np.uint16)
 
 
-def _sequencer(path: str, length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seen = Encoder(path), TaskContext.get().partitionId(), Counter()
-        for batch in batches:
-            text, sources = batch.column(1), batch.column(2).to_pylist()
-            row = 0
-            for a, b, data, offsets in tb.slices(text, 1 << 20):
-                ids, cuts = encoder.encode(data, offsets)
-                doc, seq, count, blob, at = [], [], [], [], []
-                for r in range(b - a):
-                    own = ids[cuts[r] : cuts[r + 1]]
-                    piece = data[offsets[r] : offsets[r + 1]]
-                    if (piece >= 128).any() or ((piece >= 28) & (piece < 32)).any():
-                        s = piece.tobytes().decode("utf-8", "replace")
-                        if _ODD_SPACE.search(s):
-                            own = encoder.whole(s)
-                    own = np.append(own, np.uint16(END))
-                    source = sources[row + r]
-                    at.extend(range(seen[source], seen[source] - (-len(own) // length)))
-                    seen[source] -= -len(own) // length
-                    for j in range(0, len(own), length):
-                        x = own[j : j + length]
-                        doc.append(row + r)
-                        seq.append(j // length)
-                        count.append(len(x))
-                        blob.append(x.astype("<u2").tobytes())
-                row += b - a
-                of = pa.array(doc, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(of), pa.array(seq, pa.int32()), pa.array(count, pa.int32()), pa.array(blob, pa.binary()), batch.column(2).take(of), pa.array(np.full(len(doc), part)), pa.array(at, pa.int64())],
-                    names=["doc_id", "seq", "n_tokens", "ids", "source", "part", "i"],
-                )
+#: Bytes before the ids of a record: doc_id, number of the sequence in its document, real ids, 1 if doc_id is null.
+HEADER = np.dtype([("doc_id", "<i8"), ("seq", "<u4"), ("n_tokens", "<u2"), ("none", "<u2")])
 
-    return run
+
+def _sequences(encoder: Encoder, texts: pa.Array, length: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(row, number, ids) of each sequence of each text."""
+    for a, b, data, offsets in tb.slices(texts, 1 << 20):
+        ids, cuts = encoder.encode(data, offsets)
+        for r in range(b - a):
+            own = ids[cuts[r] : cuts[r + 1]]
+            piece = data[offsets[r] : offsets[r + 1]]
+            if (piece >= 128).any() or ((piece >= 28) & (piece < 32)).any():
+                s = piece.tobytes().decode("utf-8", "replace")
+                if _ODD_SPACE.search(s):
+                    own = encoder.whole(s)
+            own = np.append(own, np.uint16(END)).astype("<u2")
+            for j in range(0, len(own), length):
+                yield a + r, j // length, own[j : j + length]
 
 
 def permute(index: np.ndarray, n: int, key: int, rounds: int = SLOT_ROUNDS) -> np.ndarray:
@@ -155,36 +140,85 @@ def permute(index: np.ndarray, n: int, key: int, rounds: int = SLOT_ROUNDS) -> n
     return out.astype(np.int64)
 
 
-def training_order(docs: DataFrame, key: int = 1, length: int = 512, shard_rows: int = 16384, tokenizer: str = TOKENIZER, targets: Mapping[str, float] | None = None) -> DataFrame:
-    """slot, shard, offset, doc_id, seq, n_tokens, record: every sequence of every row of ``docs`` in training order.
+def _table(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
-    A document's token ids and an end mark are cut into sequences of
-    ``length``; the last is padded with end marks in ``record``, which is
-    2 * ``length`` bytes (little-endian 16-bit ids) for every row, while
-    ``n_tokens`` counts real ids. Sequences are numbered in the order of the
-    stored sequence table, a keyed Feistel permutation with cycle walking
-    turns that number into the slot (0 to n - 1, each once), and shard
-    ``slot div shard_rows`` is one range partition, sorted by slot, so a
-    record lies at ``offset`` bytes from its shard's start and a reader can
-    resume at any slot.
-
-    With ``targets`` (a weight for each value of ``source``, "" for null) a
-    source's sequences are numbered and permuted among themselves, and the
-    Pfair schedule of ``mixing`` deals the slots to the sources: until a source
-    is used up, every stretch of slots holds the sources in the targets'
-    shares, to less than two sequences.
 
-    A null or empty text is one sequence that holds the end mark. Rows that
-    repeat have their own sequences. Other columns are ignored. The tokenizer
-    file must be readable on every executor.
+def _placer(path: str, length: int, low: int, steps: int, span: int, key: int):
+    """Sequences with their place: index (doc_id - low) * steps + number, permuted; span is the number of places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(path)
+        for batch in batches:
+            docs = batch.column(0).to_pylist()
+            rows: list[tuple] = []
+
+            def out() -> pa.RecordBatch:
+                index = np.array([((low if i is None else i) - low) * steps + j for i, j, *_ in rows], np.uint64)
+                place = permute(index, span, key)
+                return pa.RecordBatch.from_arrays(
+                    [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.binary()), pa.array(place)],
+                    names=["doc_id", "seq", "n_tokens", "ids", "place"],
+                )
+
+            for row, j, ids in _sequences(encoder, batch.column(1), length):
+                rows.append((docs[row], j, len(ids), ids.tobytes()))
+                if len(rows) == 2048:
+                    yield out()
+                    rows.clear()
+            yield out()
+
+    return run
+
+
+def _sequencer(path: str, length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, part, seen = Encoder(path), TaskContext.get().partitionId(), Counter()
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.int64(), pa.int64()]
+        names = ["doc_id", "seq", "n_tokens", "ids", "source", "part", "i"]
+        for batch in batches:
+            docs, sources = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            rows: list[tuple] = []
+            for row, j, ids in _sequences(encoder, batch.column(1), length):
+                source = sources[row]
+                rows.append((docs[row], j, len(ids), ids.tobytes(), source, part, seen[source]))
+                seen[source] += 1
+                if len(rows) == 2048:
+                    yield _table(rows, names, types)
+                    rows.clear()
+            yield _table(rows, names, types)
+
+    return run
+
+
+def _placed(docs: DataFrame, key: int, length: int, shard_rows: int, tokenizer: str) -> tuple[DataFrame, int]:
+    """(shard, order, doc_id, seq, n_tokens, ids) of every sequence, the permutation taken over (doc_id, number).
+
+    The places of the permutation that no sequence has are left out, so a
+    shard is a range of places and slots follow from the counts of shards.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.lit("") if targets is None else F.coalesce(F.col("source").cast("string"), F.lit(""))).alias("source"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    about = rows.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max(size).alias("longest"), F.sum(1 + F.floor(size / (4 * length))).alias("n")).first()
+    # a text has at most a token a byte, and its end mark
+    steps = (about["longest"] or 0) // length + 1
+    low = about["low"] or 0
+    span = ((about["high"] or 0) - low + 1) * steps
+    if span >= 1 << 62:
+        raise ValueError("doc_id times the longest text's sequences must stay under 2**62 apart")
+    shards = max(1, -(-(about["n"] or 0) // shard_rows))
+    placed = rows.mapInArrow(_placer(tokenizer, length, low, steps, span, key), "doc_id long, seq int, n_tokens int, ids binary, place long")
+    return placed.withColumn("shard", F.expr(f"cast(place div {-(-span // shards)} as int)")).withColumnRenamed("place", "order"), shards
+
+
+def _dealt(docs: DataFrame, key: int, length: int, shard_rows: int, tokenizer: str, targets: Mapping[str, float]) -> tuple[DataFrame, int]:
+    """The same with a source's sequences permuted among themselves and slots dealt to sources by the Pfair schedule."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"))
     table = stored(rows.mapInArrow(_sequencer(tokenizer, length), "doc_id long, seq int, n_tokens int, ids binary, source string, part long, i long"), "sequences", compression="zstd")
     sizes = table.groupBy("source", "part").agg(F.count(F.lit(1)).alias("n"))
     starts = sizes.select("source", "part", (F.sum("n").over(W.partitionBy("source").orderBy("part")) - F.col("n")).alias("base"))
     counts = mixing.source_counts(table)
-    n = sum(counts.values())
-    deal = mixing.dealer(counts, targets or {"": 1.0})
+    deal = mixing.dealer(counts, {s: targets.get(s, 0.0) for s in counts})
     keys = {s: key + at for at, s in enumerate(sorted(counts))}
 
     @F.pandas_udf("long")
@@ -195,56 +229,116 @@ def training_order(docs: DataFrame, key: int = 1, length: int = 512, shard_rows:
         return pd.Series(out)
 
     # one row for each source and scan task, so the sequences need no shuffle here
-    placed = table.join(F.broadcast(starts), ["source", "part"]).withColumn("slot", slot("source", F.col("base") + F.col("i"))).select("slot", "doc_id", "seq", "n_tokens", "ids")
-    shards = max(1, -(-n // shard_rows))
-    placed = placed.withColumn("shard", F.expr(f"cast(slot div {shard_rows} as int)"))
-    dealt = placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
-    stride = 2 * length
-    pad = F.lit(bytearray(int(END).to_bytes(2, "little")))
-    return dealt.select(
-        "slot", "shard", ((F.col("slot") % shard_rows) * stride).alias("offset"), "doc_id", "seq", "n_tokens", F.rpad("ids", F.lit(stride), pad).alias("record")
-    )
-
-
-def write_shards(ordered: DataFrame, path: str) -> None:
-    """One file of records and a closing newline each a shard, by Spark's own committer.
-
-    Its stride is one byte more than a record, so ``offset`` does not hold
-    here; ``write_records`` writes files in which it does.
-    """
-    # the cast keeps the bytes as they are, and the text writer writes a string's bytes
-    ordered.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").text(path)
+    placed = table.join(F.broadcast(starts), ["source", "part"]).withColumn("order", slot("source", F.col("base") + F.col("i")))
+    shards = max(1, -(-sum(counts.values()) // shard_rows))
+    return placed.select(F.expr(f"cast(order div {shard_rows} as int)").alias("shard"), "order", "doc_id", "seq", "n_tokens", "ids"), shards
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shard, its records end to end) for rows in the order of shards."""
+def _packer(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(shard, its records end to end) for rows in the order of shards."""
+        shard, parts = None, []
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([b"".join(parts)], pa.binary())], names=["shard", "value"])
 
-    def row() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([b"".join(run)], pa.binary())], names=["shard", "value"])
+        pad = np.full(length, END, "<u2").tobytes()
+        for batch in batches:
+            heads = np.zeros(batch.num_rows, HEADER)
+            heads["doc_id"] = batch.column(1).fill_null(0).to_numpy(zero_copy_only=False)
+            heads["seq"], heads["n_tokens"] = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            heads["none"] = batch.column(1).is_null().to_numpy(zero_copy_only=False)
+            for s, head, ids in zip(batch.column(0).to_pylist(), heads, batch.column(4)):
+                if s != shard and parts:
+                    yield row()
+                    parts = []
+                shard = s
+                ids = ids.as_py()
+                parts += [head.tobytes(), ids, pad[len(ids) :]]
+        if parts:
+            yield row()
+
+    return run
 
-    shard, run = None, []
-    for batch in batches:
-        for s, record in zip(batch.column(0).to_pylist(), batch.column(1)):
-            if s != shard and run:
-                yield row()
-                run = []
-            shard = s
-            run.append(record.as_py())
-    if run:
-        yield row()
 
+def write_training_order(docs: DataFrame, path: str, key: int = 1, length: int = 512, shard_rows: int = 16384, tokenizer: str = TOKENIZER, targets: Mapping[str, float] | None = None) -> None:
+    """Every sequence of every row of ``docs`` in training order, as files ``path``/shard=N/part-*.
 
-def write_records(ordered: DataFrame, path: str) -> None:
-    """One file a shard, ``path``/shard=N/part-*, whose record of a row of ``ordered`` begins at the row's ``offset``.
+    A document's token ids and an end mark are cut into sequences of
+    ``length``. A record is a HEADER and the sequence's ids as little-endian
+    16-bit numbers, filled up with end marks: 16 + 2 * ``length`` bytes for
+    every record, without separators, so record i of a shard begins at i times
+    that. (One newline ends a file.) Slots number the records from 0, shard
+    after shard; ``read_training_order`` resumes at any of them.
+
+    A keyed Feistel permutation with cycle walking scatters the sequences.
+    Without ``targets`` it permutes all pairs of doc_id and sequence number,
+    whatever files the rows lie in; a shard is one range partition of its
+    places, with about ``shard_rows`` records. (Sequences that share doc_id
+    and number share a place and are put in the order of their ids; null is
+    the smallest doc_id.) With ``targets`` (a weight for each value of
+    ``source``, "" for null) a source's sequences, numbered as they are read,
+    are permuted among themselves, and the Pfair schedule of ``mixing`` deals
+    the slots to the sources; each shard but the last has ``shard_rows``
+    records.
 
-    Records follow one another without a separator; one newline ends the file.
-    A task holds one shard (``shard_rows`` records) at a time.
+    A null or empty text is one sequence that holds the end mark. Rows that
+    repeat have their own sequences; an empty table writes no shard. Other
+    columns are ignored. The tokenizer file must be readable on every executor.
     """
-    packed = ordered.select("shard", "record").mapInArrow(_packed, "shard int, value binary")
+    placed, shards = _placed(docs, key, length, shard_rows, tokenizer) if targets is None else _dealt(docs, key, length, shard_rows, tokenizer, targets)
+    ordered = placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "order", "doc_id", "seq", "ids")
+    packed = ordered.select("shard", "doc_id", "seq", "n_tokens", "ids").mapInArrow(_packer(length), "shard int, value binary")
+    # the cast keeps the bytes as they are, and the text writer writes a string's bytes
     packed.select("shard", F.col("value").cast("string").alias("value")).write.mode("overwrite").partitionBy("shard").text(path)
 
 
-def with_shards(ordered: DataFrame, label: str) -> DataFrame:
-    """``ordered``, its shards written to the folder ``label`` in the shared folder."""
-    write_records(ordered, f"{shared_dir(ordered.sparkSession)}/{label}")
-    return ordered
+def _reader(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stride = HEADER.itemsize + 2 * length
+        record = np.dtype([("head", HEADER), ("ids", f"V{2 * length}")])
+        for batch in batches:
+            for shard, base, skip, content in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
+                raw = content.as_buffer()
+                every = np.frombuffer(raw, record, (len(raw) - 1) // stride)
+                for at in range(skip, len(every), 4096):
+                    part = every[at : at + 4096]
+                    i = np.arange(at, at + len(part))
+                    head = part["head"]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(base + i), pa.array(np.full(len(i), shard, np.int32)), pa.array(i * stride), pa.array(head["doc_id"], mask=head["none"] == 1),
+                            pa.array(head["seq"].astype(np.int32)), pa.array(head["n_tokens"].astype(np.int32)), pa.array([x.tobytes() for x in part["ids"]], pa.binary()),
+                        ],
+                        names=["slot", "shard", "offset", "doc_id", "seq", "n_tokens", "record"],
+                    )
+
+    return run
+
+
+def read_training_order(spark: SparkSession, path: str, length: int = 512, first_slot: int = 0) -> DataFrame:
+    """slot, shard, offset, doc_id, seq, n_tokens, record (the ids' bytes) of the records from ``first_slot`` on.
+
+    A record begins at ``offset`` of its shard's file; shards before
+    ``first_slot`` are not read. A task holds one shard. A folder without
+    shards gives no rows.
+    """
+    stride = HEADER.itemsize + 2 * length
+    kind = "slot long, shard int, offset long, doc_id long, seq int, n_tokens int, record binary"
+    # a folder without any shard has no column for it
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    if "shard" not in files.columns:
+        return spark.createDataFrame([], kind)
+    files = files.withColumn("shard", F.col("shard").cast("int"))
+    held = files.select("shard", F.expr(f"(length - 1) div {stride}").alias("n"))
+    # one row a shard, a millionth of the records' bytes
+    starts = held.select("shard", (F.sum("n").over(W.orderBy("shard")) - F.col("n")).alias("base"), "n").where(F.col("base") + F.col("n") > first_slot)
+    rows = files.join(F.broadcast(starts), "shard").select("shard", "base", F.greatest(F.lit(0).cast("long"), F.lit(first_slot) - F.col("base")).alias("skip"), "content")
+    return rows.mapInArrow(_reader(length), kind)
+
+
+def training_order(docs: DataFrame, label: str = "training-shards", length: int = 512, **options: object) -> DataFrame:
+    """The rows of ``read_training_order`` after ``write_training_order`` to a folder of its own in the shared folder."""
+    path = f"{shared_dir(docs.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    write_training_order(docs, path, length=length, **options)
+    return read_training_order(docs.sparkSession, path, length)

@@ -155,32 +155,6 @@ def test_licences(spark):
     assert got == {("apache-2.0-reference", 1), ("mit-text", 1), ("mit-reference", 1)}
 
 
-def test_mixing_stays_within_a_block(spark):
-    rows = [(i, "t") for i in range(3000)]
-    df = docs(spark, rows).withColumn("source", F.when(F.col("doc_id") % 3 > 0, "hot").when(F.col("doc_id") % 2 == 0, "b").otherwise(F.lit(None)))
-    got = mixing.mix_sources(df, {"hot": 2.0, "b": 1.0, "": 1.0}, block_rows=5, period=40).collect()
-    assert sorted(r.doc_id for r in got) == list(range(3000))
-    assert len({(r.slot, r.place) for r in got}) == 3000
-    slots = sorted({(r.slot, r.source) for r in got})
-    assert [s for s, _ in slots] == list(range(len(slots)))
-    seen = collections.Counter()
-    share = {"hot": 0.5, "b": 0.25, "": 0.25}
-    for n, (_, s) in enumerate(slots[:380], 1):
-        seen[s] += 1
-        assert all(abs(seen[x] - share[x] * n) < 1 for x in share)
-    assert mixing.mix_sources(docs(spark, [])).count() == 0
-
-
-@pytest.mark.parametrize("weights", [{"a": 5, "b": 3, "c": 1}, {"a": 1}, {"a": 7, "b": 7}, {str(i): i + 1 for i in range(12)}])
-def test_pattern_windows(weights):
-    got, total, seen = mixing.pattern(weights), sum(weights.values()), collections.Counter()
-    assert len(got) == total
-    for n, (s, j) in enumerate(got, 1):
-        assert seen[s] == j
-        seen[s] += 1
-        assert all(abs(seen[x] - w * n / total) < 1 for x, w in weights.items())
-
-
 def test_ann_recall_and_ties(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 32))
@@ -235,28 +209,6 @@ def test_permutation():
     assert (tokenorder.permute(np.arange(1000), 1000, 1) != tokenorder.permute(np.arange(1000), 1000, 2)).any()
 
 
-def test_token_records_round_trip(spark, tmp_path):
-    rows = [*ODD[:4], (5, "Été  a b\n\n c 123 don't, stop"), (6, "the of " * 900)]
-    ordered = tokenorder.training_order(docs(spark, rows), length=64, shard_rows=8).cache()
-    got = ordered.collect()
-    assert sorted(r.slot for r in got) == list(range(len(got)))
-    assert all(len(r.record) == 128 and r.shard == r.slot // 8 and r.offset == r.slot % 8 * 128 for r in got)
-    bpe = tokenorder.Encoder(tokenorder.TOKENIZER).bpe
-    ids = collections.defaultdict(dict)
-    for r in got:
-        ids[r.doc_id][(r.seq, r.slot)] = np.frombuffer(bytes(r.record), "<u2")[: r.n_tokens].tolist()
-    flat = [t for k in sorted(ids[5]) for t in ids[5][k]]
-    assert flat == bpe.encode_ordinary(rows[4][1]) + [tokenorder.END]
-    assert list(ids[1].values()) == [[tokenorder.END]] and len(ids[3]) == 2
-    tokenorder.write_shards(ordered, str(tmp_path / "shards"))
-    for s in {r.shard for r in got}:
-        files = list((tmp_path / "shards" / f"shard={s}").glob("part-*"))
-        raw = files[0].read_bytes()
-        own = sorted((r for r in got if r.shard == s), key=lambda r: r.slot)
-        assert len(files) == 1 and len(raw) == 129 * len(own)
-        assert all(raw[129 * i : 129 * i + 128] == bytes(r.record) for i, r in enumerate(own))
-
-
 def test_batch_encoding_equals_whole():
     import pyarrow as pa
 
@@ -284,37 +236,6 @@ def test_quality_odd_rows(spark):
     assert all(0 <= r.score <= 1 for r in quality.score_quality(docs(spark, ODD), some).collect())
 
 
-def test_pipeline_small(spark):
-    corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    d = spark.read.parquet(f"{DIR}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, d, DIR)
-        assert out.columns == d.columns, name
-        kept, before = {r.doc_id for r in out.collect()}, {r.doc_id for r in d.collect()}
-        assert kept <= before and (name != "mix" or kept == before)
-        d = spark.createDataFrame(out.collect(), out.schema)
-    assert set(r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, d, DIR).select("doc_id").collect()) == kept
-
-
-def test_pipeline_order_follows_the_mixture(spark):
-    corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    rows = [(i, "few words here" if i % 7 else "the of " * 900) for i in range(1000)]
-    df = docs(spark, rows).withColumn("source", F.when(F.col("doc_id") % 10 > 0, "hot").when(F.col("doc_id") % 20 == 0, "b").otherwise(F.lit(None)))
-    got = corpus_pipeline.order_stage(spark, corpus_pipeline.mix_stage(spark, df, DIR), DIR).collect()
-    assert sorted(r.slot for r in got) == list(range(len(got))) and {r.doc_id for r in got} == set(range(1000))
-    assert len({(r.doc_id, r.seq) for r in got}) == len(got)
-    of = {r.doc_id: r.source or "" for r in df.collect()}
-    names = [of[r.doc_id] for r in sorted(got, key=lambda r: r.slot)]
-    weights = mixing.whole_weights({"hot": 900**0.5, "b": 50**0.5, "": 50**0.5}, 240)
-    first_used_up = min(max(i for i, x in enumerate(names) if x == s) for s in weights)
-    assert first_used_up >= 240
-    stretch = names[: first_used_up // sum(weights.values()) * sum(weights.values())]
-    for s, w in weights.items():
-        upto = np.concatenate([[0], np.cumsum([x == s for x in stretch])])
-        lead = upto - np.arange(len(upto)) * w / sum(weights.values())
-        assert lead.max() < 1 and lead.min() > -1, s
-
-
 def test_pipeline_dedup_loses_no_text(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     long = " ".join(f"w{i}" for i in range(50))
@@ -323,14 +244,6 @@ def test_pipeline_dedup_loses_no_text(spark):
     assert sorted(r.text for r in got) == sorted({t for _, t in rows})
 
 
-def test_dealer_gives_each_slot_once():
-    counts = {"a": 1000, "b": 37, "c": 5, "": 300}
-    deal = mixing.dealer(counts, {"a": 3.0, "b": 1.0, "c": 1.0, "": 2.0}, 40)
-    at = {s: deal(s, np.arange(n)) for s, n in counts.items()}
-    assert sorted(np.concatenate(list(at.values())).tolist()) == list(range(sum(counts.values())))
-    assert all((np.diff(x) > 0).all() for x in at.values())
-
-
 APACHE = """
 Copyright 2020 The Authors
 
@@ -380,36 +293,3 @@ def test_licences_equal_sql(spark):
     con.execute(f"create view documents as select * from '{DIR}/documents.parquet'")
     want = sorted(con.sql(licences.oracle()).fetchall())
     assert want and sorted(tuple(r) for r in licences.scan_licences(spark.read.parquet(f"{DIR}/documents.parquet")).collect()) == want
-
-
-def read_at_offset(folder, rows):
-    for s in {r.shard for r in rows}:
-        own = [r for r in rows if r.shard == s]
-        (file,) = folder.glob(f"shard={s}/part-*")
-        with open(file, "rb") as f:
-            for r in own:
-                f.seek(r.offset)
-                assert f.read(len(r.record)) == bytes(r.record)
-        assert file.stat().st_size == sum(len(r.record) for r in own) + 1
-
-
-def test_records_are_read_at_their_offset(spark, tmp_path):
-    rows = [*ODD, (11, "a\r\nb ☃ " * 500)]
-    ordered = tokenorder.training_order(docs(spark, rows), length=64, shard_rows=8)
-    for _ in range(2):  # a second run overwrites
-        tokenorder.write_records(ordered, str(tmp_path / "records"))
-    got = ordered.collect()
-    assert len({r.shard for r in got}) > 3
-    read_at_offset(tmp_path / "records", got)
-
-
-def test_op1_and_the_pipeline_write_shards(spark):
-    from pathlib import Path
-
-    from corpusloom.llm import queries
-    from corpusloom.plans.lineage import shared_dir
-
-    corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    base = Path(shared_dir(spark).removeprefix("file:"))
-    read_at_offset(base / "training-shards", queries.op1_training_order(spark, DIR).collect())
-    read_at_offset(base / "pipeline-shards", corpus_pipeline.order_stage(spark, spark.read.parquet(f"{DIR}/documents.parquet"), DIR).collect())
