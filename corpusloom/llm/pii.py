@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ _HOMOGLYPHS = {
     "а": "a", "е": "e", "і": "i", "ј": "j", "о": "o", "р": "p", "с": "c", "ѕ": "s", "у": "y", "х": "x", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l", "к": "k", "м": "m", "т": "t", "п": "n", "г": "r",
     "А": "A", "В": "B", "Е": "E", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Ѕ": "S", "Т": "T", "У": "Y", "Х": "X",
     "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
-    "ı": "i", "ɡ": "g", "ɑ": "a", "ⅼ": "l", "۔": ".", "。": ".", "․": ".", "﹒": ".", "﹫": "@", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", "﹣": "-", "﹢": "+",
+    "ı": "i", "İ": "I", "ſ": "s", "\u212a": "K", "ɡ": "g", "ɑ": "a", "ⅼ": "l", "۔": ".", "。": ".", "․": ".", "﹒": ".", "﹫": "@", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", "﹣": "-", "﹢": "+",
 }
 for _c in range(0x21, 0x7F):  # full-width forms
     _HOMOGLYPHS[chr(_c + 0xFEE0)] = chr(_c)
@@ -39,7 +41,8 @@ for _base in (0x1D400, 0x1D434, 0x1D468, 0x1D5A0, 0x1D5D4, 0x1D608, 0x1D63C, 0x1
         _HOMOGLYPHS[chr(_base + _d)] = chr(65 + _d)
         _HOMOGLYPHS[chr(_base + 26 + _d)] = chr(97 + _d)
 _INVISIBLE = "­​‌‍⁠﻿"
-_WIDE_SPACE = "    　"
+#: All white space beyond ASCII.
+_WIDE_SPACE = "".join(chr(c) for c in range(0x80, 0x3001) if chr(c).isspace())
 _STRANGE = re.compile("[" + re.escape("".join(_HOMOGLYPHS) + _INVISIBLE + _WIDE_SPACE) + "]")
 # Digits in words.
 _DIGITS = {
@@ -51,16 +54,21 @@ _DIGITS = {
 _WORD = "|".join(sorted(_DIGITS, key=len, reverse=True))
 _JOIN = r"(?:[ ,\-]{1,2}|\.\ ?)"
 #: A run of at least four digits of which one is a word, with an optional spoken plus or dots between.
-_RUN = re.compile(rf"(?i)(?<!\w)(?:(?:plus|\+)[ ]?)?(?:{_WORD}|[0-9]+)(?:(?:{_JOIN}|[ ](?:dot|point|punto|punkt|dash|hyphen)[ ])(?:{_WORD}|[0-9]+)){{3,}}(?!\w)")
+_RUN = re.compile(rf"(?i)(?<!\w)(?:(?:plus[ ]|\+[ ]?))?(?:{_WORD}|[0-9]+)(?:(?:{_JOIN}|[ ](?:dot|point|punto|punkt|dash|hyphen)[ ])(?:{_WORD}|[0-9]+)){{3,}}(?!\w)")
 _PIECE = re.compile(rf"(?i)(plus)|\b(dot|point|punto|punkt)\b|\b(dash|hyphen)\b|({_WORD})|([0-9]+)|(\+)|(.)")
 _SPELLED = re.compile(rf"(?i)(?<!\w)(?:{_WORD})(?!\w)")
-_SPEAKS = re.compile(r"(?i)(?<!\w)(?:zero|one|two|three|four|five|six|seven|eight|nine|eins|zwei|drei|vier|fünf|sechs|sieben|acht|neun|deux|trois|quatre|cinq|sept|huit|neuf|cero|uno|dos|tres|cuatro|cinco|seis|siete|ocho|nueve)[ ,.\-]")
-_AT = r"(?:\s{0,2}[\[({<]\s?(?:at|arroba|@)\s?[\])}>]\s{0,2}|\s{1,2}(?:at|arroba)\s{1,2}|_at_|\s?@\s?)"
-_DOT = r"(?:\s{0,2}[\[({<]\s?(?:dot|punto|punkt|point|\.)\s?[\])}>]\s{0,2}|\s{1,2}(?:dot|punto|punkt|point)\s{1,2}|_dot_|\.)"
-_MAIL = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+){{0,3}}?({_AT})[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+){{1,4}}")
+_S = r"[^\S\n]"
+_AT = rf"(?:{_S}{{0,2}}[\[({{<]{_S}?(?:at|arroba|@){_S}?[\])}}>]{_S}{{0,2}}|{_S}{{1,2}}(?:at|arroba){_S}{{1,2}}|_at_|{_S}?@{_S}?)"
+_DOT = rf"(?:{_S}{{0,2}}[\[({{<]{_S}?(?:dot|punto|punkt|point|\.){_S}?[\])}}>]{_S}{{0,2}}|{_S}{{1,2}}(?:dot|punto|punkt|point){_S}{{1,2}}|_dot_|\.)"
+_AT_ONE, _DOT_ONE = re.compile(rf"(?i){_AT}"), re.compile(rf"(?i){_DOT}")
+_BARE = re.compile(rf"(?i){_S}+(?:at|arroba){_S}+")
+_TAIL = re.compile(rf"(?i)[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+")
+_DOT_BEFORE = re.compile(rf"(?i){_DOT}\Z")
+_DOT_LENGTH = 14
+_TOP = re.compile(r"[A-Za-z]{2,63}\Z")
+_LABEL = _LOCAL - {"."}
 _DISGUISE = re.compile(r"(?i)(?:[\[({<]\s?(?:at|arroba|@|dot|punto|punkt|point|\.)\s?[\])}>])|(?:\s(?:dot|punto|punkt|point)\s)|_at_|_dot_|\s@|@\s")
 _IP_DOT = re.compile(rf"(?i)(?<![0-9.])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])")
-_AT_ONE, _DOT_ONE = re.compile(rf"(?i){_AT}"), re.compile(rf"(?i){_DOT}")
 
 Span = tuple[str, int, int]
 
@@ -144,33 +152,63 @@ def _spoken_digits(m: Mapped) -> None:
     m.rewrite(edits)
 
 
-def _at_and_dot(m: Mapped) -> None:
-    edits = []
-    for mail in _MAIL.finditer(m.text):
-        whole = mail[0]
-        at = (mail.start(1), mail.end(1))
+def _mails(text: str) -> Iterator[tuple[int, int, int, int, list[re.Match]]]:
+    """(start, at from, at to, end, dots of the tail) of each address, with any number of labels.
+
+    Each sign for at is tried from left to right: first what follows it, then,
+    back to the last address, what leads to it.
+    """
+    at, free = _AT_ONE.search(text), 0
+    while at:
+        tail = _TAIL.match(text, at.end())
+        if not tail:
+            at = _AT_ONE.search(text, at.start() + 1)
+            continue
+        dots = list(_DOT_ONE.finditer(text, tail.start(), tail.end()))
         # a bare " at " is an address only if a dot is spelled or bracketed too: prose has "at" everywhere
-        bare = re.fullmatch(r"(?i)\s+(?:at|arroba)\s+", mail[1])
-        tail = m.text[at[1] : mail.end()]
-        spelled = [d for d in _DOT_ONE.finditer(tail) if d[0] != "."]
-        last = re.split(rf"(?i){_DOT}", tail)[-1]
-        if (bare and not spelled) or not re.fullmatch(r"[A-Za-z]{2,24}", last) or whole.count("\n"):
+        bare = _BARE.fullmatch(at[0]) and all(d[0] == "." for d in dots)
+        if bare or not _TOP.search(text, dots[-1].end(), tail.end()):
+            # any sign within this tail has the same end
+            at = _AT_ONE.search(text, at.start() + 1 if bare else tail.end())
+            continue
+        a = at.start()
+        while a > free and text[a - 1] in _LABEL:
+            a -= 1
+        if a == at.start():
+            at = _AT_ONE.search(text, at.start() + 1)
             continue
-        head = m.text[mail.start() : at[0]]
-        edits += [(mail.start() + d.start(), mail.start() + d.end(), ".") for d in _DOT_ONE.finditer(head) if d[0] != "."]
-        if mail[1] != "@":
-            edits.append((*at, "@"))
-        edits += [(at[1] + d.start(), at[1] + d.end(), ".") for d in spelled]
+        while dot := _DOT_BEFORE.search(text, max(free, a - _DOT_LENGTH), a):
+            b = dot.start()
+            while b > free and text[b - 1] in _LABEL:
+                b -= 1
+            if b == dot.start():
+                break
+            a = b
+        yield a, at.start(), at.end(), tail.end(), dots
+        free = tail.end()
+        at = _AT_ONE.search(text, free)
+
+
+def _at_and_dot(m: Mapped) -> None:
+    edits = []
+    for a, at, to, _, dots in _mails(m.text):
+        edits += [(d.start(), d.end(), ".") for d in _DOT_ONE.finditer(m.text, a, at) if d[0] != "."]
+        if m.text[at:to] != "@":
+            edits.append((at, to, "@"))
+        edits += [(d.start(), d.end(), ".") for d in dots if d[0] != "."]
     for ip in _IP_DOT.finditer(m.text):
         edits += [(ip.start() + d.start(), ip.start() + d.end(), ".") for d in _DOT_ONE.finditer(ip[0]) if d[0] != "."]
     edits.sort()
-    m.rewrite([e for i, e in enumerate(edits) if not i or e[0] >= edits[i - 1][1]])
+    kept: list[tuple[int, int, str]] = []
+    for e in edits:
+        if not kept or e[0] >= kept[-1][1]:
+            kept.append(e)
+    m.rewrite(kept)
 
 
 def disguised(text: str, speaks: bool, hides: bool) -> list[Span]:
     """Spans that show only after normalisation, in source offsets. ``speaks``, ``hides``: may it spell digits, or at and dot."""
     strange = not text.isascii() and _STRANGE.search(text)
-    speaks = speaks and _SPEAKS.search(text)
     hides = hides and _DISGUISE.search(text)
     if not (strange or speaks or hides):
         return []
@@ -195,7 +233,12 @@ def find(text: str | None, speaks: bool = True, hides: bool = True) -> tuple[lis
         return [], []
     order = lambda s: (s[1], KINDS.index(s[0]))
     base = sorted(plain(text), key=order)
-    more = [s for s in disguised(text, speaks, hides) if not any(s[1] < b[2] and b[1] < s[2] for b in base)]
+    more = disguised(text, speaks, hides)
+    if more and base:
+        # ends of the plain spans up to each: the furthest decides
+        starts = [b[1] for b in base]
+        ends = list(accumulate((b[2] for b in base), max))
+        more = [s for s in more if not (n := bisect_left(starts, s[2])) or ends[n - 1] <= s[1]]
     return base, sorted(base + more, key=order)
 
 
@@ -208,19 +251,35 @@ def _known(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h, top
 
 
-#: The digits that _SPEAKS asks for, and the words for a dot.
-_SPEAK_WORDS = _known("zero one two three four five six seven eight nine eins zwei drei vier fünf sechs sieben acht neun deux trois quatre cinq sept huit neuf cero uno dos tres cuatro cinco seis siete ocho nueve".split())
+#: Words that spell a digit or part two spelled ones (A-Z as a-z, other letters in both cases), and those for a dot.
+_SPEAK_WORDS = _known([w for d in (*_DIGITS, "dot", "point", "punto", "punkt", "dash", "hyphen") for w in sorted({d, d.replace("ü", "Ü").replace("é", "É")})])
 _DOT_WORDS = _known("dot punto punkt point".split())
 #: For bytes.translate: what plain patterns need; lead bytes of letters beyond Latin; and brackets and signs that hide an at.
 _PLAIN_BYTES, _FAR_BYTES, _SIGN_BYTES = b"0123456789@", bytes(range(0xC9, 0xF5)), b"[({<@_"
 _NEAR_STRANGE = tuple(c.encode() for c in _HOMOGLYPHS.keys() | set(_INVISIBLE) | set(_WIDE_SPACE) if ord(c) < 0x250)
 
 
-def _rows_with(row: np.ndarray, h: np.ndarray, known: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
-    """Which rows hold a word of the list."""
+def _holds(h: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Which words are of the list."""
+    out = np.zeros(len(h), bool)
     at = np.flatnonzero(known[1][(h >> np.uint64(48)).astype(np.int64)])
-    at = at[np.isin(h[at], known[0])]
-    return np.bincount(row[at], minlength=n) > 0
+    out[at] = np.isin(h[at], known[0])
+    return out
+
+
+def _speaking(data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """Rows that may hold a run of _RUN.
+
+    Of its four digits and more, the first and the last may touch a letterless
+    sign beyond ASCII, which the words here are not parted at; those between
+    are words of their own. So two words that follow one another must each be
+    a digit word, a number or what may part them.
+    """
+    spoken = _holds(h, _SPEAK_WORDS)
+    upto = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])
+    like = spoken | (upto[end] - upto[start] == end - start)
+    two = like[1:] & like[:-1] & (row[1:] == row[:-1])
+    return np.bincount(row[1:][two], minlength=n) > 0
 
 
 def joined(spans: list[Span]) -> str:
@@ -228,13 +287,13 @@ def joined(spans: list[Span]) -> str:
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without a byte or word that any pattern needs are passed over; all others are read whole."""
+    """Texts without a byte or word that any pattern needs are passed over; all others are read whole, with the same result as without."""
     for batch in batches:
         counts: list[list[int]] = [[] for _ in KINDS]
         bases, spans = [], []
         for a, b, data, offsets in tb.slices(batch.column(1)):
-            _, _, row, h = tb.words(data, offsets, tb.BY_PUNCTUATION)
-            speaks, dots = _rows_with(row, h, _SPEAK_WORDS, b - a), _rows_with(row, h, _DOT_WORDS, b - a)
+            start, end, row, h = tb.words(data, offsets, tb.BY_PUNCTUATION)
+            speaks, dots = _speaking(data, start, end, row, h, b - a), np.bincount(row[_holds(h, _DOT_WORDS)], minlength=b - a) > 0
             raw = data.tobytes()
             for i in range(b - a):
                 text = raw[offsets[i] : offsets[i + 1]]
