@@ -13,11 +13,15 @@ from pyspark.sql import types as T
 
 from corpusloom.llm import textbytes as tb
 
-#: Buckets that document frequencies are kept in.
-BUCKETS = 1 << 16
-HALF = 24  # words in a block; a passage is two blocks
+#: Buckets that document frequencies are kept in, and columns of the TF-IDF matrix (words by hash).
+BUCKETS, COLUMNS = 1 << 16, 1 << 14
+PASSAGE = 48  # words in a row of A
+HALF = 12  # words in a block; what is searched with is two blocks
 WIDTH = 256  # columns of the random test matrix
-_NONZERO = 4  # of them that a word has an entry in
+RANK = 192  # latent dimensions
+_NONZERO = 4  # entries of a column's row of the test matrix
+#: Items of fewer words are looked for as they stand; those of fewer than LEAST only as a whole text.
+SHORT, LEAST = 8, 4
 LEAKS = T.ArrayType(
     T.StructType().add("item_id", "long").add("cosine", "double").add("lcs", "long").add("item_words", "long").add("answer", "boolean").add("at_word", "long")
 )
@@ -33,15 +37,31 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(48)).astype(np.int64)
 
 
-def project(h: np.ndarray, weight: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
-    """Rows of A @ omega, one a group: omega is a sparse sign matrix whose row for a word follows from its hash."""
+def _column(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(50)).astype(np.int64)
+
+
+_SIGNS = tb.mix(np.arange(1, COLUMNS + 1, dtype=np.uint64))
+
+
+def sketch(h: np.ndarray, idf: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
+    """Rows of A @ omega, one a group of words: omega has _NONZERO signs in each column's row, which follow from its number."""
     out = np.zeros(n * WIDTH)
-    base = group * WIDTH
+    weight, signs, base = idf[_bucket(h)], _SIGNS[_column(h)], group * WIDTH
     for i in range(_NONZERO):
-        part = h >> np.uint64(9 * i)
+        part = signs >> np.uint64(9 * i)
         sign = 1.0 - 2.0 * ((part >> np.uint64(8)) & np.uint64(1)).astype(np.float64)
         out += np.bincount(base + (part & np.uint64(255)).astype(np.int64), weights=sign * weight, minlength=n * WIDTH)
-    return out.reshape(n, WIDTH)
+    return out.reshape(n, WIDTH).astype(np.float32)
+
+
+def _sums(rows: np.ndarray, weight: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    """Weighted sums of stretches of rows, given where each starts; none is longer than ``size``."""
+    stop = np.append(start[1:], len(rows))
+    at = start[:, None] + np.arange(size)
+    inside = at < stop[:, None]
+    at[~inside] = 0
+    return ((weight[at] * inside)[:, None, :] @ rows[at])[:, 0]
 
 
 def _blocks(row: np.ndarray, n: int, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +82,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, data, offsets in tb.slices(batch.column(0)):
             row, h = _tokens(data, offsets)
-            block, first = _blocks(row, b - a, 2 * HALF)
+            block, first = _blocks(row, b - a, PASSAGE)
             n += int(first[-1])
             key = np.sort(block * BUCKETS + _bucket(h))
             df += np.bincount(key[_starts(key)] & (BUCKETS - 1), minlength=BUCKETS)
@@ -70,23 +90,59 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], at])), pa.array(np.concatenate([[n], df[at]]))], names=["bucket", "n"])
 
 
-def _gram(idf):
-    """Y'Y over the unit rows Y = A omega of this partition's passages, a row of the matrix a row."""
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
+
+
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(hashes of words, passage of each, passages) a slice of texts; passages do not overlap here."""
+    for batch in batches:
+        for a, b, data, offsets in tb.slices(batch.column(0)):
+            row, h = _tokens(data, offsets)
+            group, first = _blocks(row, b - a, PASSAGE)
+            yield h, group, int(first[-1])
+
+
+def _gram(shared):
+    """Y'Y over the rows Y = A omega (A's rows scaled so that Y's are units) of this partition's passages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, out = idf.value, np.zeros((WIDTH, WIDTH))
-        for batch in batches:
-            for a, b, data, offsets in tb.slices(batch.column(0)):
-                row, h = _tokens(data, offsets)
-                block, first = _blocks(row, b - a, 2 * HALF)
-                y = project(h, w[_bucket(h)], block, int(first[-1])).astype(np.float32)
-                y /= np.maximum(np.linalg.norm(y, axis=1), 1e-9)[:, None]
-                out += y.T @ y
+        idf, out = shared.value, np.zeros((WIDTH, WIDTH))
+        for h, group, n in _passages(batches):
+            y = _unit(sketch(h, idf, group, n))
+            out += y.T @ y
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(WIDTH)), pa.array([r.tobytes() for r in out], pa.binary())], names=["part", "sums"])
 
     return run
 
 
+def _project(shared, parts: int):
+    """B' = A'Q over this partition's passages, Q = Y turn, in ``parts`` stretches of A's columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, turn = shared.value
+        out = np.zeros((COLUMNS, turn.shape[1]), np.float32)
+        for h, group, n in _passages(batches):
+            if not len(h):
+                continue
+            y = sketch(h, idf, group, n)
+            size = np.maximum(np.linalg.norm(y, axis=1), 1e-12)
+            q = (y / size[:, None]) @ turn
+            column = _column(h)
+            by = np.argsort(column, kind="stable")
+            column, group = column[by], group[by]
+            # rows of A are scaled like those of Y
+            weight = (idf[_bucket(h[by])] / size[group]).astype(np.float32)
+            first = _starts(column)
+            out[column[first]] += np.add.reduceat(q[group] * weight[:, None], first, axis=0)
+        step = COLUMNS // parts
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(parts)), pa.array([out[i * step : (i + 1) * step].astype(np.float64).tobytes() for i in range(parts)], pa.binary())], names=["part", "sums"]
+        )
+
+    return run
+
+
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums the rows of each part as they stream by; a task holds one array a part."""
     total: dict[int, np.ndarray] = {}
@@ -98,25 +154,39 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Space:
-    """Weights of words and the map from projected passages to latent coordinates."""
+    """Weights of words, and the latent coordinates of each column: its right singular vectors, scaled."""
+
+    def __init__(self, idf: np.ndarray, vectors: np.ndarray):
+        self.idf, self.vectors = idf, vectors.astype(np.float32)
+
+    def place(self, h: np.ndarray, group: np.ndarray, n: int, size: int) -> np.ndarray:
+        """Coordinates of groups of words, each of at most ``size``."""
+        out = np.zeros((n, self.vectors.shape[1]), np.float32)
+        first = _starts(group)
+        if len(first):
+            out[group[first]] = _sums(self.vectors[_column(h)], self.idf[_bucket(h)].astype(np.float32), first, size)
+        return out
 
-    def __init__(self, idf: np.ndarray, turn: np.ndarray):
-        self.idf, self.turn = idf, turn.astype(np.float32)
 
-    def place(self, h: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
-        return project(h, self.idf[_bucket(h)], group, n).astype(np.float32) @ self.turn
+def _sum_parts(rows: DataFrame, parts: int) -> dict[int, np.ndarray]:
+    summed = rows.repartition(parts, "part").mapInArrow(_add_up, "part long, sums binary").collect()
+    out: dict[int, np.ndarray] = {}
+    for part, x in summed:
+        out[part] = out.get(part, 0) + np.frombuffer(bytes(x))
+    return out
 
 
-def latent_space(docs: DataFrame, rank: int = 192) -> Space:
+def latent_space(docs: DataFrame, rank: int = RANK) -> Space:
     """Randomised SVD of the TF-IDF matrix A of all passages (48 words each) of all documents.
 
-    The range of A is found as Y = A omega with a sparse sign matrix omega of
-    256 columns; Y'Y, summed over all passages in one distributed pass, gives
-    the singular values of Y and the turn that makes Y's columns orthonormal
-    (its left singular vectors), so a passage's latent coordinates are its
-    projected row times that turn, cut to the first ``rank``. They are
-    whitened: what all texts of a language share counts for no more than the
-    rest. What comes to the driver has a fixed size.
+    Three distributed passes over all texts: document frequencies; the range
+    of A, as Y = A omega with a sparse sign matrix omega of 256 columns, of
+    which Y'Y gives the turn that makes Y's columns orthonormal, Q = Y turn;
+    and the projection B = Q'A, whose singular value decomposition B = U S V'
+    gives A's leading right singular vectors V. A text's latent coordinates
+    are its TF-IDF row times V / S: words that occur in the same
+    passages get near coordinates, and what all texts of a language share
+    counts for no more than the rest. What comes to the driver has a fixed size (16 MB).
     """
     spark = docs.sparkSession
     text = docs.select(F.col("text").cast("string").alias("text"))
@@ -126,14 +196,23 @@ def latent_space(docs: DataFrame, rank: int = 192) -> Space:
     for bucket, c in got.items():
         df[bucket] = c
     idf = np.log((n + 1.0) / (df + 1.0)) if n else np.ones(BUCKETS)
-    sums = text.mapInArrow(_gram(spark.sparkContext.broadcast(idf)), "part long, sums binary")
     gram = np.zeros((WIDTH, WIDTH))
-    for part, x in sums.repartition(16, "part").mapInArrow(_add_up, "part long, sums binary").collect():
-        gram[part] += np.frombuffer(bytes(x))
+    for part, x in _sum_parts(text.mapInArrow(_gram(spark.sparkContext.broadcast(idf)), "part long, sums binary"), 16).items():
+        gram[part] = x
     power, turn = np.linalg.eigh(gram)
     power, turn = power[::-1][:rank], turn[:, ::-1][:, :rank]
-    floor = max(power[0], 1.0) * 1e-6
-    return Space(idf, turn / np.sqrt(np.maximum(power, floor)))
+    real = power > max(power[0], 1e-12) * 1e-9
+    turn = (turn[:, real] / np.sqrt(power[real])).astype(np.float32)
+    if not turn.shape[1]:
+        return Space(idf, np.zeros((COLUMNS, 1)))
+    parts = 64
+    sums = _sum_parts(text.mapInArrow(_project(spark.sparkContext.broadcast((idf, turn)), parts), "part long, sums binary"), parts)
+    b = np.concatenate([sums[i] for i in range(parts)]).reshape(COLUMNS, -1)
+    power, left = np.linalg.eigh(b.T @ b)
+    real = power > max(power[-1], 1e-12) * 1e-9
+    value = np.sqrt(power[real])
+    # V = B'U / S
+    return Space(idf, (b @ left[:, real]) / value / value)
 
 
 def lcs_masks(words: list[int]) -> dict[int, int]:
@@ -163,101 +242,138 @@ def _hashes(text: str) -> list[int]:
 class Items:
     """A block of benchmark items made ready for search."""
 
-    def __init__(self, rows: list[tuple[object, str, str | None]], space: Space, min_words: int):
+    def __init__(self, rows: list[tuple[object, str, str | None]], space: Space):
         self.ids, self.sizes, self.masks, self.answers, at = [], [], [], [], []
+        #: of short items, by their number of words: hash of the sequence to (item, words)
+        self.short: dict[int, dict[int, list[object]]] = {}
         for item, text, answer in rows:
             h = _hashes(text)
-            if len(h) < min_words:
+            if len(h) < SHORT:
+                if h:
+                    own = np.array(h, np.uint64)
+                    self.short.setdefault(len(h), {}).setdefault(int(_runs(own, len(h))[0]), []).append(item)
                 continue
             tail = _hashes(answer) if answer else _hashes(next((s for s in reversed(re.split(r"[.!?\n]+", text)) if _hashes(s)), ""))
             self.ids.append(item)
             self.sizes.append(len(h))
             self.masks.append(lcs_masks(h))
             self.answers.append((len(tail), lcs_masks(tail)))
-            # an item longer than a passage is looked for by its passages
+            # a longer item is looked for by all its stretches of two blocks, the last of which ends with it
             own = np.array(h, np.uint64)
-            step = [own[i : i + 2 * HALF] for i in range(0, max(1, len(h) - HALF // 2), HALF)]
-            at.append([space.place(x, np.zeros(len(x), np.int64), 1)[0] for x in step])
+            starts = [*range(0, len(h) - 2 * HALF, 2 * HALF), max(0, len(h) - 2 * HALF)]
+            at.append([(i, space.place(x := own[i : i + 2 * HALF], np.zeros(len(x), np.int64), 1, 2 * HALF)[0]) for i in starts])
         self.item_of = np.array([i for i, x in enumerate(at) for _ in x], np.int64)
-        points = np.array([p for x in at for p in x], np.float32).reshape(len(self.item_of), -1)
-        self.points = points / np.maximum(np.linalg.norm(points, axis=1), 1e-12)[:, None]
+        self.start = [i for x in at for i, _ in x]
+        self.points = _unit(np.array([p for x in at for _, p in x], np.float32).reshape(-1, space.vectors.shape[1]))
+
+
+def _runs(h: np.ndarray, m: int) -> np.ndarray:
+    """Hash of each m words that follow one another."""
+    s = np.full(len(h) - m + 1, m, np.uint64)
+    for i in range(m):
+        s = tb.mix(s * np.uint64(0xD6E8FEB86659FD93) + h[i : len(h) - m + 1 + i])
+    return s
+
+
+def _hit(item: object, cosine: float, lcs: int, words: int, answer: bool, at: int) -> dict:
+    return {"item_id": item, "cosine": cosine, "lcs": lcs, "item_words": words, "answer": answer, "at_word": at}
+
+
+def _short_hits(items: Items, h: np.ndarray) -> Iterator[dict]:
+    """Short items whose words follow one another in a text (of fewer than LEAST words: are the text)."""
+    for m, known in items.short.items():
+        if len(h) < m or (m < LEAST and len(h) != m):
+            continue
+        got = _runs(h, m)
+        for at in np.flatnonzero(np.isin(got, np.array(list(known), np.uint64))):
+            for item in known[int(got[at])]:
+                yield _hit(item, 1.0, m, m, True, int(at))
 
 
 def _searcher(shared, cosine: float, share: float, sure: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, items = shared.value
         for batch in batches:
+            key, before = batch.column(0), batch.column(1).to_pylist()
             found: list[list[dict]] = []
-            for a, b, data, offsets in tb.slices(batch.column(1)):
-                hits: list[dict[int, dict]] = [{} for _ in range(b - a)]
+            for a, b, data, offsets in tb.slices(key.field("text").cast(pa.string())):
+                hits: list[dict[object, dict]] = [{} for _ in range(b - a)]
                 row, h = _tokens(data, offsets)
+                cuts = np.searchsorted(row, np.arange(b - a + 1))
+                if items.short:
+                    for r in range(b - a):
+                        for hit in _short_hits(items, h[cuts[r] : cuts[r + 1]]):
+                            hits[r].setdefault(hit["item_id"], hit)
                 if len(h) and len(items.ids):
                     block, first = _blocks(row, b - a, HALF)
-                    sums = space.place(h, block, int(first[-1]))
+                    sums = space.place(h, block, int(first[-1]), HALF)
                     whole = sums.copy()
                     whole[:-1] += sums[1:]
                     ends = first[1:][np.diff(first) > 0] - 1
                     whole[ends] = sums[ends]  # a row's last block stands alone
-                    whole /= np.maximum(np.linalg.norm(whole, axis=1), 1e-12)[:, None]
-                    cos = whole @ items.points.T
-                    w, p = np.nonzero(cos >= cosine)
-                    if len(w):
-                        owner = np.searchsorted(first, w, "right") - 1
-                        cuts = np.searchsorted(row, np.arange(b - a + 1))
-                        tested: set[tuple[int, int]] = set()
-                        for x in np.lexsort((items.item_of[p], w)):
-                            r, item = int(owner[x]), int(items.item_of[p[x]])
-                            if (int(w[x]), item) in tested:
+                    whole = _unit(whole)
+                    tested: set[tuple[int, int]] = set()
+                    for lo in range(0, len(whole), 1024):
+                        cos = whole[lo : lo + 1024] @ items.points.T
+                        w, p = np.nonzero(cos >= cosine)
+                        near_to = cos[w, p]
+                        for x in np.lexsort((-near_to, items.item_of[p], w)):
+                            at_block, item = lo + int(w[x]), int(items.item_of[p[x]])
+                            if (at_block, item) in tested:
                                 continue
-                            tested.add((int(w[x]), item))
+                            tested.add((at_block, item))
+                            r = int(np.searchsorted(first, at_block, "right")) - 1
                             m = items.sizes[item]
-                            at = int(cuts[r] + (w[x] - first[r]) * HALF)
-                            lo, hi = max(int(cuts[r]), at - HALF - m // 2), min(int(cuts[r + 1]), at + 3 * HALF + m // 2)
-                            near = h[lo:hi].tolist()
+                            # where the item would begin, and half of it more to either side
+                            at = int(cuts[r] + (at_block - first[r]) * HALF) - items.start[p[x]]
+                            start, stop = max(int(cuts[r]), at - HALF - m // 2), min(int(cuts[r + 1]), at + 2 * HALF + m + m // 2)
+                            near = h[start:stop].tolist()
                             n = lcs_length(items.masks[item], m, near)
-                            if n < share * m or (item in hits[r] and hits[r][item]["lcs"] >= n):
+                            known = hits[r].get(items.ids[item])
+                            if n < share * m or (known and known["lcs"] >= n):
                                 continue
                             size, masks = items.answers[item]
                             answer = size > 0 and lcs_length(masks, size, near) >= sure * size
                             if answer or n >= sure * m:
-                                hits[r][item] = {"item_id": items.ids[item], "cosine": round(float(cos[w[x], p[x]]), 6), "lcs": n, "item_words": m, "answer": bool(answer), "at_word": lo - int(cuts[r])}
+                                hits[r][items.ids[item]] = _hit(items.ids[item], round(float(near_to[x]), 6), n, m, bool(answer), start - int(cuts[r]))
                 found += [[v for _, v in sorted(x.items())] for x in hits]
             kind = pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.int64()), ("item_words", pa.int64()), ("answer", pa.bool_()), ("at_word", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["key", "more"])
+            yield pa.RecordBatch.from_arrays([key, pa.array([x + y for x, y in zip(before, found)], kind)], names=["key", "leaks"])
 
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.3, share: float = 0.6, sure: float = 0.75, min_words: int = 8, item_block: int = 4096, space: Space | None = None) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.35, share: float = 0.6, sure: float = 0.75, item_block: int = 16384, space: Space | None = None) -> DataFrame:
     """Rows of ``docs`` with ``leaks`` added: the benchmark items whose text, whole or reworded, they hold.
 
-    Each passage (two blocks of 24 words, stepping one block, so whole texts
-    are covered) whose latent cosine with an item reaches ``cosine`` is a
-    candidate; its words and those around it must share a common subsequence
-    of ``share`` of the item's words, and either the item's answer (column
+    Each stretch of a text (two blocks of 12 words, stepping one block, so
+    whole texts are covered) whose latent cosine with one of an item reaches
+    ``cosine`` is a candidate; its words and those around it must share a
+    common subsequence of ``share`` of the item's words, and either the item's answer (column
     ``answer`` if there is one, else its last sentence) by ``sure`` of its
-    words, or ``sure`` of the whole item. Items of fewer than ``min_words``
-    words are not searched for.
+    words, or ``sure`` of the whole item.
+
+    Items of fewer than SHORT words, too short for a subsequence to say
+    anything, are found where all their words follow one another; those of
+    fewer than LEAST only where they are the whole text. Items without words
+    are found nowhere.
 
-    Items are sent out in blocks of at most about ``item_block``. Null and
-    empty texts leak nothing; an empty benchmark or corpus leaks nothing; rows
-    that repeat get a row each. Other columns pass through; one named
-    ``leaks`` is replaced.
+    Items are sent out in blocks of about ``item_block``; a block takes a pass
+    over the texts. Null and empty texts leak nothing; an empty benchmark or
+    corpus leaks nothing; rows that repeat get a row each. Other columns pass
+    through; one named ``leaks`` is replaced.
     """
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c != "leaks"]
-    keyed = docs.select(F.struct(*kept).alias("key"), F.col("text").cast("string").alias("body"))
     if space is None:
         space = latent_space(docs)
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     asked = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"), answer.alias("answer"))
     blocks = max(1, -(-asked.count() // item_block))
-    found = keyed.select("key", "body", F.array().cast(LEAKS).alias("leaks"))
+    found = docs.select(F.struct(*kept).alias("key"), F.array().cast(LEAKS).alias("leaks"))
     for b in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-        shared = spark.sparkContext.broadcast((space, Items([tuple(r) for r in rows], space, min_words)))
+        shared = spark.sparkContext.broadcast((space, Items([tuple(r) for r in rows], space)))
         # what earlier blocks found travels with the row
-        carried = found.select(F.struct("key", "body", "leaks").alias("key"), "body")
-        hits = carried.mapInArrow(_searcher(shared, cosine, share, sure), carried.select("key").schema.add("more", LEAKS))
-        found = hits.select(F.col("key")["key"].alias("key"), F.col("key")["body"].alias("body"), F.concat(F.col("key")["leaks"], "more").alias("leaks"))
+        found = found.mapInArrow(_searcher(shared, cosine, share, sure), found.schema)
     return found.select(*[F.col("key")[c].alias(c) for c in kept], "leaks")

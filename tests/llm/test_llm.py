@@ -175,22 +175,6 @@ def test_ann_recall_and_ties(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
-def test_leaks(spark):
-    d, b = spark.read.parquet(f"{DIR}/documents.parquet"), spark.read.parquet(f"{DIR}/benchmark.parquet")
-    texts = {r.doc_id: r.text for r in d.collect()}
-    items = {r.item_id: r.text for r in b.collect()}
-    exact = {(i, k) for i, t in texts.items() for k, x in items.items() if x in t}
-    got = {(r.doc_id, x.item_id) for r in decontaminate.find_leaks(d.select("doc_id", "text"), b).collect() for x in r.leaks}
-    assert exact and exact <= got and len(got - exact) <= 2
-    words = items[0].split()
-    near = " ".join(w.upper() if i % 9 else "other" for i, w in enumerate(words))
-    far = " ".join(reversed(words))
-    more = docs(spark, [(1, "x y z " * 40 + near), (2, far), *ODD[:4]])
-    found = {r.doc_id for r in decontaminate.find_leaks(more, b, space=decontaminate.latent_space(d)).where(F.size("leaks") > 0).collect()}
-    assert found == {1}
-    assert decontaminate.find_leaks(docs(spark, []), b).count() == 0
-
-
 def test_lcs():
     rng = np.random.default_rng(2)
     for _ in range(200):
