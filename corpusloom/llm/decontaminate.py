@@ -18,7 +18,7 @@ BUCKETS, COLUMNS = 1 << 16, 1 << 14
 PASSAGE = 48  # words in a row of A
 HALF = 12  # words in a block; what is searched with is two blocks
 WIDTH = 256  # columns of the random test matrix
-RANK = 192  # latent dimensions
+RANK = 128  # latent dimensions
 _NONZERO = 4  # entries of a column's row of the test matrix
 #: Items of fewer words are looked for as they stand; those of fewer than LEAST only as a whole text.
 SHORT, LEAST = 8, 4
@@ -94,10 +94,10 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
 
 
-def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+def _passages(batches: Iterator[pa.RecordBatch], limit: int = tb.SLICE) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """(hashes of words, passage of each, passages) a slice of texts; passages do not overlap here."""
     for batch in batches:
-        for a, b, data, offsets in tb.slices(batch.column(0)):
+        for a, b, data, offsets in tb.slices(batch.column(0), limit):
             row, h = _tokens(data, offsets)
             group, first = _blocks(row, b - a, PASSAGE)
             yield h, group, int(first[-1])
@@ -120,37 +120,39 @@ def _project(shared, parts: int):
     """B' = A'Q over this partition's passages, Q = Y turn, in ``parts`` stretches of A's columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Emitted as 32-bit numbers; they are summed in 64."""
         idf, turn = shared.value
-        out = np.zeros((COLUMNS, turn.shape[1]), np.float32)
-        for h, group, n in _passages(batches):
+        out = np.zeros((turn.shape[1], COLUMNS), np.float32)
+        for h, group, n in _passages(batches, 1 << 19):
             if not len(h):
                 continue
             y = sketch(h, idf, group, n)
             size = np.maximum(np.linalg.norm(y, axis=1), 1e-12)
             q = (y / size[:, None]) @ turn
-            column = _column(h)
-            by = np.argsort(column, kind="stable")
-            column, group = column[by], group[by]
             # rows of A are scaled like those of Y
-            weight = (idf[_bucket(h[by])] / size[group]).astype(np.float32)
-            first = _starts(column)
-            out[column[first]] += np.add.reduceat(q[group] * weight[:, None], first, axis=0)
+            column, weight = _column(h), idf[_bucket(h)] / size[group]
+            for d, values in enumerate(np.ascontiguousarray(q.T, np.float64)):
+                out[d] += np.bincount(column, weights=values[group] * weight, minlength=COLUMNS)
+        out = np.ascontiguousarray(out.T)
         step = COLUMNS // parts
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(parts)), pa.array([out[i * step : (i + 1) * step].astype(np.float64).tobytes() for i in range(parts)], pa.binary())], names=["part", "sums"]
+            [pa.array(np.arange(parts)), pa.array([out[i * step : (i + 1) * step].tobytes() for i in range(parts)], pa.binary())], names=["part", "sums"]
         )
 
     return run
 
 
-def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums the rows of each part as they stream by; a task holds one array a part."""
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for part, sums in zip(batch.column(0).to_pylist(), batch.column(1)):
-            x = np.frombuffer(sums.as_buffer())
-            total[part] = total[part] + x if part in total else x
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "sums"])
+def _adder(kind: type):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums the arrays of each part as they stream by; a task holds one a part."""
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, sums in zip(batch.column(0).to_pylist(), batch.column(1)):
+                x = np.frombuffer(sums.as_buffer(), kind).astype(np.float64)
+                total[part] = total[part] + x if part in total else x
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "sums"])
+
+    return run
 
 
 class Space:
@@ -168,8 +170,8 @@ class Space:
         return out
 
 
-def _sum_parts(rows: DataFrame, parts: int) -> dict[int, np.ndarray]:
-    summed = rows.repartition(parts, "part").mapInArrow(_add_up, "part long, sums binary").collect()
+def _sum_parts(rows: DataFrame, parts: int, kind: type = np.float64) -> dict[int, np.ndarray]:
+    summed = rows.repartition(parts, "part").mapInArrow(_adder(kind), "part long, sums binary").collect()
     out: dict[int, np.ndarray] = {}
     for part, x in summed:
         out[part] = out.get(part, 0) + np.frombuffer(bytes(x))
@@ -206,7 +208,9 @@ def latent_space(docs: DataFrame, rank: int = RANK) -> Space:
     if not turn.shape[1]:
         return Space(idf, np.zeros((COLUMNS, 1)))
     parts = 64
-    sums = _sum_parts(text.mapInArrow(_project(spark.sparkContext.broadcast((idf, turn)), parts), "part long, sums binary"), parts)
+    # a task emits 8 MB whatever it reads, so there are as many tasks as can run at once (twice that, to even out)
+    few = text.coalesce(2 * spark.sparkContext.defaultParallelism)
+    sums = _sum_parts(few.mapInArrow(_project(spark.sparkContext.broadcast((idf, turn)), parts), "part long, sums binary"), parts, np.float32)
     b = np.concatenate([sums[i] for i in range(parts)]).reshape(COLUMNS, -1)
     power, left = np.linalg.eigh(b.T @ b)
     real = power > max(power[-1], 1e-12) * 1e-9
@@ -263,7 +267,9 @@ class Items:
             starts = [*range(0, len(h) - 2 * HALF, 2 * HALF), max(0, len(h) - 2 * HALF)]
             at.append([(i, space.place(x := own[i : i + 2 * HALF], np.zeros(len(x), np.int64), 1, 2 * HALF)[0]) for i in starts])
         self.item_of = np.array([i for i, x in enumerate(at) for _ in x], np.int64)
-        self.start = [i for x in at for i, _ in x]
+        self.start = np.array([i for x in at for i, _ in x], np.int64)
+        self.size_of = np.array(self.sizes, np.int64)
+        self.counts = [{w: x.bit_count() for w, x in masks.items()} for masks in self.masks]
         self.points = _unit(np.array([p for x in at for _, p in x], np.float32).reshape(-1, space.vectors.shape[1]))
 
 
@@ -312,30 +318,32 @@ def _searcher(shared, cosine: float, share: float, sure: float):
                     ends = first[1:][np.diff(first) > 0] - 1
                     whole[ends] = sums[ends]  # a row's last block stands alone
                     whole = _unit(whole)
-                    tested: set[tuple[int, int]] = set()
-                    for lo in range(0, len(whole), 1024):
-                        cos = whole[lo : lo + 1024] @ items.points.T
+                    words = h.tolist()
+                    for lo in range(0, len(whole), 2048):
+                        cos = whole[lo : lo + 2048] @ items.points.T
                         w, p = np.nonzero(cos >= cosine)
-                        near_to = cos[w, p]
-                        for x in np.lexsort((-near_to, items.item_of[p], w)):
-                            at_block, item = lo + int(w[x]), int(items.item_of[p[x]])
-                            if (at_block, item) in tested:
+                        near_to, item = cos[w, p], items.item_of[p]
+                        order = np.lexsort((-near_to, item, w))
+                        # of an item's stretches the nearest
+                        order = order[_starts(w[order] * np.int64(len(items.ids)) + item[order])]
+                        w, p, item, near_to = w[order] + lo, p[order], item[order], near_to[order]
+                        r = np.searchsorted(first, w, "right") - 1
+                        m = items.size_of[item]
+                        # where the item would begin, and half of it more to either side
+                        at = cuts[r] + (w - first[r]) * HALF - items.start[p]
+                        start, stop = np.maximum(cuts[r], at - HALF - m // 2), np.minimum(cuts[r + 1], at + 2 * HALF + m + m // 2)
+                        for r, item, score, start, begin, stop in zip(r.tolist(), item.tolist(), near_to.tolist(), start.tolist(), cuts[r].tolist(), stop.tolist()):
+                            m, near, count = items.sizes[item], words[start:stop], items.counts[item]
+                            # no subsequence is longer than the item's words that occur at all
+                            if sum(count[x] for x in count.keys() & set(near)) < share * m:
                                 continue
-                            tested.add((at_block, item))
-                            r = int(np.searchsorted(first, at_block, "right")) - 1
-                            m = items.sizes[item]
-                            # where the item would begin, and half of it more to either side
-                            at = int(cuts[r] + (at_block - first[r]) * HALF) - items.start[p[x]]
-                            start, stop = max(int(cuts[r]), at - HALF - m // 2), min(int(cuts[r + 1]), at + 2 * HALF + m + m // 2)
-                            near = h[start:stop].tolist()
                             n = lcs_length(items.masks[item], m, near)
-                            known = hits[r].get(items.ids[item])
-                            if n < share * m or (known and known["lcs"] >= n):
+                            if n < share * m or ((known := hits[r].get(items.ids[item])) and known["lcs"] >= n):
                                 continue
                             size, masks = items.answers[item]
                             answer = size > 0 and lcs_length(masks, size, near) >= sure * size
                             if answer or n >= sure * m:
-                                hits[r][items.ids[item]] = _hit(items.ids[item], round(float(near_to[x]), 6), n, m, bool(answer), start - int(cuts[r]))
+                                hits[r][items.ids[item]] = _hit(items.ids[item], round(score, 6), n, m, bool(answer), start - begin)
                 found += [[v for _, v in sorted(x.items())] for x in hits]
             kind = pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.int64()), ("item_words", pa.int64()), ("answer", pa.bool_()), ("at_word", pa.int64())]))
             yield pa.RecordBatch.from_arrays([key, pa.array([x + y for x, y in zip(before, found)], kind)], names=["key", "leaks"])
