@@ -39,6 +39,28 @@ SENTENCES = {
     "cc-by-sa": "Licensed under CC BY-SA 4.0",
     "cc0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
     "cc-by-work": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "cc-by-sa-work": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "cc-by-nd-work": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License",
+    "cc-by-nc-work": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+    "cc-by-nc-sa-work": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
+    "cc-by-nc-nd-work": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License",
+    "bsd-warranty": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED',
+    "isc-warranty": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS',
+    "lgpl-free": "This library is free software",
+    "lgpl-terms": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "lgpl-2.1-later": "either version 2.1 of the License, or (at your option) any later version",
+    "lgpl-3-terms": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "lgpl-hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
+    "lgpl-details": "See the GNU Lesser General Public License for more details",
+    "agpl-3-terms": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "agpl-details": "See the GNU Affero General Public License for more details",
+    "mpl-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/",
+    "unlicense-free": "This is free and unencumbered software released into the public domain",
+    "unlicense-anyone": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "boost-ref": "Distributed under the Boost Software License, Version 1.0",
+    "boost-grant": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following',
 }
 # Ordered rules. A rule that another match contains gives way to it.
 RULES = [
@@ -60,6 +82,22 @@ RULES = [
     ("cc-by-4.0-work", "CC-BY-4.0", ["cc-by-work"]),
     ("cc-by-sa-4.0-reference", "CC-BY-SA-4.0", ["cc-by-sa"]),
     ("cc0-waiver", "CC0-1.0", ["cc0"]),
+    ("cc-by-sa-4.0-work", "CC-BY-SA-4.0", ["cc-by-sa-work"]),
+    ("cc-by-nd-4.0-work", "CC-BY-ND-4.0", ["cc-by-nd-work"]),
+    ("cc-by-nc-4.0-work", "CC-BY-NC-4.0", ["cc-by-nc-work"]),
+    ("cc-by-nc-sa-4.0-work", "CC-BY-NC-SA-4.0", ["cc-by-nc-sa-work"]),
+    ("cc-by-nc-nd-4.0-work", "CC-BY-NC-ND-4.0", ["cc-by-nc-nd-work"]),
+    ("bsd-3-text-full", "BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names", "bsd-warranty"]),
+    ("bsd-2-text-full", "BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-warranty"]),
+    ("isc-text-full", "ISC", ["isc-grant", "isc-warranty"]),
+    ("lgpl-2.1-notice", "LGPL-2.1-or-later", ["lgpl-free", "lgpl-terms", "lgpl-2.1-later", "lgpl-hope", "gpl-warranty", "lgpl-details"]),
+    ("lgpl-3-notice", "LGPL-3.0-or-later", ["gpl-free", "lgpl-3-terms", "gpl-hope", "gpl-warranty", "lgpl-details"]),
+    ("agpl-3-notice", "AGPL-3.0-or-later", ["gpl-free", "agpl-3-terms", "gpl-hope", "gpl-warranty", "agpl-details"]),
+    ("mpl-2.0-header", "MPL-2.0", ["mpl-ref", "mpl-copy"]),
+    ("unlicense-text", "Unlicense", ["unlicense-free", "unlicense-anyone"]),
+    ("zlib-text", "Zlib", ["zlib-as-is", "zlib-grant"]),
+    ("boost-reference", "BSL-1.0", ["boost-ref"]),
+    ("boost-text", "BSL-1.0", ["boost-grant"]),
 ]
 # A sentence ends at a line's end, or at . ! ? ; : before white space. Both
 # engines (here and the SQL oracle) read these patterns alike; here a known sentence may also run over single line ends.
@@ -70,7 +108,7 @@ PUBLISHED = {"apache-ref": 'Licensed under the Apache License, Version 2.0 (the
 #: Marks for an end of ENDS: HARD, or SOFT where it is a single line break, which a wrapped sentence may hold.
 HARD, SOFT = "\x01", "\x02"
 #: A hint that a sentence of every rule has, so a text without any matches no rule.
-HINT = r"(?i)licen|permission|redistribut|copyright|warrant"
+HINT = r"(?i)licen|permission|redistribut|copyright|warrant|unencumbered"
 
 
 def normal(sentence: str) -> str:

@@ -270,6 +270,47 @@ def test_licences_wrapped(spark):
     assert [f for *_, f in got][:2] == [2, 4] and got[3][3] == 0
 
 
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details.
+"""
+MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */
+"""
+ZLIB = """  This software is provided 'as-is', without any express or implied
+  warranty.  In no event will the authors be held liable for any damages
+  arising from the use of this software.
+
+  Permission is granted to anyone to use this software for any purpose,
+  including commercial applications, and to alter it and redistribute it
+  freely, subject to the following restrictions:
+"""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+"""
+
+
+def test_more_published_licences(spark):
+    hashes = lambda t: "".join(f"# {x}\n" for x in t.splitlines())
+    agpl = GPL3.replace("GNU General", "GNU Affero General")
+    rows = [(1, LGPL), (2, hashes(LGPL)), (3, MPL), (4, ZLIB), (5, UNLICENSE), (6, agpl), (7, GPL3.replace("GNU General", "GNU Lesser General")), (8, UNLICENSE.splitlines()[0])]
+    got = sorted((r.doc_id, r.rule) for r in licences.scan_licences(docs(spark, rows)).collect())
+    assert got == [(1, "lgpl-2.1-notice"), (2, "lgpl-2.1-notice"), (3, "mpl-2.0-header"), (4, "zlib-text"), (5, "unlicense-text"), (6, "agpl-3-notice"), (7, "lgpl-3-notice")]
+    assert len({i for i in licences.SENTENCES} & {i for _, _, ids in licences.RULES for i in ids}) == len(licences.SENTENCES)
+    assert licences.scan_licences(docs(spark, [])).count() == 0
+
+
 def test_licences_equal_sql(spark):
     import duckdb
 
