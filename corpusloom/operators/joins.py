@@ -42,12 +42,21 @@ def best_span(links: DataFrame) -> DataFrame:
 
 
 def containing(texts: DataFrame, text: str, tokens: DataFrame, token: str) -> DataFrame:
-    """Rows of ``texts`` whose words hold each token: an equi-join on words, not all against all.
+    """Rows of ``texts`` with each token that stands anywhere in them, letter case aside; empty tokens stand nowhere.
 
-    ``tokens`` are words; a text matches where one of its words is the token.
+    A text that holds a token holds its first three characters (or all, if
+    fewer): an equi-join on these, and the whole token is then confirmed.
     """
-    words = texts.withColumn("_w", F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))))
-    return words.join(tokens.withColumn("_w", F.lower(token)), "_w").drop("_w")
+    low = F.lower(text)
+
+    def grams(n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda i: F.substring(low, i, F.lit(n)))
+        return F.when(F.length(low) >= n, every).otherwise(F.array().cast("array<string>"))
+
+    every = F.concat(grams(1), grams(2), grams(3))
+    held = texts.withColumn("_g", F.explode(F.array_distinct(every)))
+    asked = tokens.where(F.length(token) > 0).withColumn("_g", F.lower(F.substring(token, 1, 3)))
+    return held.join(asked, "_g").where(F.contains(low, F.lower(token))).drop("_g")
 
 
 def section_at(points: DataFrame, sections: DataFrame, doc: str = "work_id") -> DataFrame:

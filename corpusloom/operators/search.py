@@ -20,31 +20,108 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return d.select(key, F.size("_w").alias("size"), F.posexplode("_w").alias("pos", "token"))
 
 
-def phrase_hits(index: DataFrame, phrases: DataFrame, key: str) -> DataFrame:
-    """(question, key, hits) for phrases (question, phrase) whose tokens stand next to one another.
+# Words of a question that say nothing of its subject.
+STOPWORDS = (
+    "the a an of to in on for and or is are was were be been by with as at it its this that these those what which who whom how why "
+    "does do did can could should would will about between from into their they them there here explain describe tell me show compare versus vs"
+).split()
 
-    A position p of the i-th token votes for a start at p - i; a start with a
-    vote from every token is a hit. One join on the token, one aggregate.
+
+def quoted(question: str) -> Column:
+    """The phrases a question has in double quotes."""
+    return F.filter(F.regexp_extract_all(question, F.lit('"([^"]+)"'), F.lit(1)), lambda x: F.trim(x) != "")
+
+
+def content_tokens(question: str, least: int = 3) -> Column:
+    """Distinct words of at least ``least`` characters that are no stopwords, in order."""
+    found = F.regexp_extract_all(F.lower(question), F.lit("[a-z0-9][a-z0-9_-]*"), F.lit(0))
+    return F.array_distinct(F.filter(found, lambda x: (F.length(x) >= least) & ~x.isin(*STOPWORDS)))
+
+
+def match_units(questions: DataFrame, question: str = "text") -> DataFrame:
+    """(question, unit): what a text must hold one of. The quoted phrases, or if there are none the content tokens."""
+    units = F.when(F.size(quoted(question)) > 0, quoted(question)).otherwise(content_tokens(question))
+    return questions.select("question", F.explode(units).alias("unit")).distinct()
+
+
+def match_counts(docs: DataFrame, key: str, text: str, units: DataFrame) -> DataFrame:
+    """(unit, key, size, tf): how often each unit, a word or words in a row, stands in each text that holds it.
+
+    Words are found by an equi-join on those that are asked for; longer units
+    through the rarest of their words, whose places are then read on in the
+    text. So common words of a phrase make no rows.
     """
-    p = phrases.select("question", words_of("phrase").alias("_w")).where(F.size("_w") > 0)
-    p = p.select("question", F.size("_w").alias("n"), F.posexplode("_w").alias("i", "token"))
-    votes = index.join(p, "token").groupBy("question", key, "n", (F.col("pos") - F.col("i")).alias("at")).agg(F.count(F.lit(1)).alias("v"))
-    return votes.where("v = n").groupBy("question", key).agg(F.count(F.lit(1)).alias("hits"))
-
-
-def bm25(index: DataFrame, terms: DataFrame, key: str, k1: float = 1.2, b: float = 0.75, least_idf: float = 1e-6) -> DataFrame:
-    """(question, key, score) for terms (question, token): the usual formula, idf floored, negated so that lower is better."""
-    sizes = index.select(key, "size").distinct()
-    corpus = sizes.agg(F.count(F.lit(1)).alias("docs"), F.avg("size").alias("mean"))
-    wanted = terms.select("question", "token").distinct()
-    tf = index.join(wanted.select("token").distinct(), "token", "left_semi").groupBy(key, "token", "size").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    got = tf.join(df, "token").crossJoin(F.broadcast(corpus)).join(wanted, "token")  # corpus is one row
+    wanted = units.select("unit", words_of("unit").alias("_u")).distinct().where(F.size("_u") > 0)
+    each = wanted.select("unit", F.size("_u").alias("n"), F.posexplode("_u").alias("i", "token"))
+    texts = docs.select(key, words_of(text).alias("_w"))
+    asked = each.select("token").distinct()
+    found = texts.select(key, F.size("_w").alias("size"), F.explode("_w").alias("token")).join(asked, "token", "left_semi").groupBy(key, "size", "token").agg(F.count(F.lit(1)).alias("tf"))
+    single = found.join(each.where("n = 1").select("unit", "token"), "token").select("unit", key, "size", "tf")
+    df = found.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    rare = each.where("n > 1").join(df, "token", "left").groupBy("unit").agg(F.min_by(F.struct("token", "i"), F.struct(F.coalesce("df", F.lit(0)), "i")).alias("r"))
+    rare = rare.select("unit", F.col("r.token").alias("token"), F.col("r.i").alias("i")).join(wanted, "unit")
+    places = texts.select(key, F.posexplode("_w").alias("pos", "token")).join(rare.select("token").distinct(), "token", "left_semi")
+    starts = places.join(rare, "token").select("unit", "_u", key, (F.col("pos") - F.col("i")).alias("at")).where("at >= 0")
+    read = starts.join(texts, key).where(F.slice("_w", F.col("at") + 1, F.size("_u")) == F.col("_u"))
+    return single.unionByName(read.groupBy("unit", key, F.size("_w").alias("size")).agg(F.count(F.lit(1)).alias("tf")))
+
+
+def phrase_hits(docs: DataFrame, phrases: DataFrame, key: str, text: str) -> DataFrame:
+    """(question, key, hits) of phrases (question, phrase): how often their words stand in a row in a text."""
+    got = match_counts(docs, key, text, phrases.select(F.col("phrase").alias("unit")))
+    return got.join(phrases.select("question", F.col("phrase").alias("unit")).distinct(), "unit").groupBy("question", key).agg(F.sum("tf").alias("hits"))
+
+
+def bm25(docs: DataFrame, units: DataFrame, key: str, text: str, k1: float = 1.2, b: float = 0.75, least_idf: float = 1e-6) -> DataFrame:
+    """(question, key, score) of texts that hold a unit (question, unit): the usual formula, idf floored, negated so that lower is better."""
+    corpus = docs.select(F.size(words_of(text)).alias("size")).where("size > 0").agg(F.count(F.lit(1)).alias("docs"), F.avg("size").alias("mean"))
+    tf = match_counts(docs, key, text, units)
+    df = tf.groupBy("unit").agg(F.count(F.lit(1)).alias("df"))
+    got = tf.join(df, "unit").join(F.broadcast(corpus)).join(units.select("question", "unit").distinct(), "unit")  # corpus is one row
     idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(least_idf))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
     return got.groupBy("question", key).agg((-F.sum(part)).alias("score"))
 
 
+def concept_tokens(question: str, most: int = 12) -> Column:
+    """What concepts are looked up by: the first content tokens of four letters and more, and the quoted phrases."""
+    return F.array_distinct(F.concat(F.slice(content_tokens(question, 4), 1, most), F.transform(quoted(question), lambda x: F.lower(F.trim(x)))))
+
+
+def best_items(found: DataFrame, limit: int, kind: str) -> DataFrame:
+    """(question, item_id, kind, score): of each question the ``limit`` best (lowest) scores, ties by id."""
+    place = F.row_number().over(W.partitionBy("question").orderBy(F.round("score", 9), "item_id"))
+    return found.withColumn("_p", place).where(F.col("_p") <= limit).select("question", "item_id", F.lit(kind).alias("kind"), "score")
+
+
+def merged_items(batches: list[DataFrame], limit: int) -> DataFrame:
+    """(question, item_id, kind, place): the batches one after another, each item once, the first ``limit``.
+
+    Within a batch items come by score, then id.
+    """
+    rows = None
+    for i, b in enumerate(batches):
+        part = b.select("question", F.col("item_id").cast("string").alias("item_id"), "kind", "score", F.lit(i).alias("_b"))
+        rows = part if rows is None else rows.unionByName(part)
+    at = F.struct("_b", F.round("score", 9).alias("_s"))
+    once = rows.groupBy("question", "item_id").agg(F.min_by("kind", at).alias("kind"), F.min(at).alias("_at"))
+    place = F.row_number().over(W.partitionBy("question").orderBy("_at", "item_id"))
+    return once.withColumn("place", place).where(F.col("place") <= limit).select("question", "item_id", "kind", "place")
+
+
+def citation_search(seeds: DataFrame, neighbours: DataFrame, with_spans: DataFrame, status: DataFrame) -> DataFrame:
+    """(question, work_id, status) of works next to a question's retrieved works that have no text of their own to cite.
+
+    ``seeds`` (question, work_id), ``neighbours`` (source, target) in both
+    directions; works with spans, the seeds themselves and excluded works are
+    left out. ``status`` (work_id, status) tells what is known of the others.
+    """
+    near = seeds.select("question", F.col("work_id").alias("source")).distinct().join(neighbours.select("source", F.col("target").alias("work_id")), "source").select("question", "work_id").distinct()
+    fresh = near.join(seeds.select("question", "work_id").distinct(), ["question", "work_id"], "left_anti").join(with_spans.select("work_id").distinct(), "work_id", "left_anti")
+    got = fresh.join(status.select("work_id", F.col("status").alias("_s")), "work_id", "left").where("_s is null or _s <> 'excluded'")
+    return got.select("question", "work_id", F.when(F.col("_s") == "metadata_only", "metadata_only").otherwise("unavailable").alias("status"))
+
+
 def rank_candidates(rows: DataFrame, question: str = "question", item: str = "item_id") -> DataFrame:
     """``rank_score`` of candidates (kind, bm25, phrase_hit, has_claim, claim_type_match, weight) and their place.
 

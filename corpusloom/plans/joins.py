@@ -63,10 +63,10 @@ def j7_exists_flag(t: Tables) -> DataFrame:
     return J.exists_flag(t.v_works, t.labels.where("toxic = 1").select(F.col("doc_id").alias("work_id")), "work_id", "flagged").select("work_id", "flagged")
 
 
-@query("""with w as (select p_partkey, unnest(list_distinct(regexp_split_to_array(lower(p_name), '[^\\p{L}\\p{N}]+'))) as w from {part}), tok as (select distinct lower(split_part(p_name, ' ', 1)) as w from {part} where p_partkey % 7 = 0)
-select p_partkey, w as token from w join tok using (w)""".replace("{L}", "L").replace("{N}", "N"))
+@query("""with tok as (select distinct substr(lower(p_name), 3, 4) as token from {part} where p_partkey % 7 = 0 union select distinct substr(lower(p_name), 1, 2) from {part})
+select p_partkey, token from {part} join tok on contains(lower(p_name), token)""")
 def j8_token_containment(t: Tables) -> DataFrame:
-    tokens = t.part.where("p_partkey % 7 = 0").select(F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("token")).distinct()
+    tokens = t.part.where("p_partkey % 7 = 0").select(F.substring(F.lower("p_name"), 3, 4).alias("token")).union(t.part.select(F.substring(F.lower("p_name"), 1, 2))).distinct()
     return J.containing(t.part.select("p_partkey", "p_name"), "p_name", tokens, "token").select("p_partkey", "token")
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.plans.lineage import shared_dir
+
 #: Events that end a run, and the status they leave it in.
 TERMINAL = {"purchase": "completed", "click": "failed"}
 
@@ -48,17 +52,21 @@ def step_counts(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", late).groupBy("run_id", F.window("ts", "1 day").alias("w"), "event").agg(F.count(F.lit(1)).alias("n")).select("run_id", F.col("w.start").alias("day"), "event", "n")
 
 
-def drained(stream: DataFrame, mode: str, checkpoint: str | None = None) -> DataFrame:
-    """Runs a stream over all that is there and gives the result as a table (an in-memory sink: for summaries and tests)."""
-    import uuid
-
-    name = f"q_{uuid.uuid4().hex}"
-    w = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    if checkpoint:
-        w = w.option("checkpointLocation", checkpoint)
-    q = w.start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def drained(stream: DataFrame, mode: str) -> DataFrame:
+    """Runs a stream over all that is there and gives the result as a table in the shared folder.
+
+    Appended rows go through the file sink, which writes each once; of a
+    complete result the last batch stays. The checkpoint lies beside it.
+    """
+    base = f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    out = stream.sparkSession.read.schema(stream.schema)
+    stream.sparkSession.createDataFrame([], stream.schema).write.parquet(f"{base}/out")
+    w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+    if mode == "append":
+        w.format("parquet").option("path", f"{base}/out").start().awaitTermination()
+    else:
+        w.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{base}/out")).start().awaitTermination()
+    return out.parquet(f"{base}/out")
 
 
 def maintain(docs: DataFrame, target: str, build, checkpoint: str):
