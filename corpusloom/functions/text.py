@@ -33,10 +33,13 @@ _PAIRS = [(chr(c), b) for c in range(0xC0, 0x250) if len(b := "".join(x for x in
 
 
 def folded(c: Column | str) -> Column:
-    """Diacritics dropped: a JVM-side table for Latin letters, Python only for rows that hold anything else."""
+    """Diacritics dropped: a JVM-side table for Latin letters; Python gets only the rows that hold anything else.
+
+    (A UDF in a branch of ``when`` would be given every row, so its input is null for the others.)
+    """
     c = F.col(c) if isinstance(c, str) else c
-    latin = F.translate(c, "".join(a for a, _ in _PAIRS), "".join(b for _, b in _PAIRS))
-    return F.when(latin.rlike(r"[^\x00-\x{24F}]"), fold(latin)).otherwise(latin)
+    latin = F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(c, "".join(a for a, _ in _PAIRS), "".join(b for _, b in _PAIRS))).otherwise(c)
+    return F.coalesce(fold(F.when(latin.rlike(r"[^\x00-\x{24F}]"), latin)), latin)
 
 
 def normalize_title(c: Column | str) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
+from corpusloom.plans.lineage import stored
 
 
 def words_of(c: Column | str) -> Column:
@@ -44,6 +45,11 @@ def match_units(questions: DataFrame, question: str = "text") -> DataFrame:
     return questions.select("question", F.explode(units).alias("unit")).distinct()
 
 
+def word_lists(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, _w): the words of each text, stored, as counts, places and sizes are all read from them."""
+    return docs if "_w" in docs.columns else stored(docs.select(key, words_of(text).alias("_w")), "words")
+
+
 def match_counts(docs: DataFrame, key: str, text: str, units: DataFrame) -> DataFrame:
     """(unit, key, size, tf): how often each unit, a word or words in a row, stands in each text that holds it.
 
@@ -53,7 +59,7 @@ def match_counts(docs: DataFrame, key: str, text: str, units: DataFrame) -> Data
     """
     wanted = units.select("unit", words_of("unit").alias("_u")).distinct().where(F.size("_u") > 0)
     each = wanted.select("unit", F.size("_u").alias("n"), F.posexplode("_u").alias("i", "token"))
-    texts = docs.select(key, words_of(text).alias("_w"))
+    texts = word_lists(docs, key, text)
     asked = each.select("token").distinct()
     found = texts.select(key, F.size("_w").alias("size"), F.explode("_w").alias("token")).join(asked, "token", "left_semi").groupBy(key, "size", "token").agg(F.count(F.lit(1)).alias("tf"))
     single = found.join(each.where("n = 1").select("unit", "token"), "token").select("unit", key, "size", "tf")
@@ -74,7 +80,8 @@ def phrase_hits(docs: DataFrame, phrases: DataFrame, key: str, text: str) -> Dat
 
 def bm25(docs: DataFrame, units: DataFrame, key: str, text: str, k1: float = 1.2, b: float = 0.75, least_idf: float = 1e-6) -> DataFrame:
     """(question, key, score) of texts that hold a unit (question, unit): the usual formula, idf floored, negated so that lower is better."""
-    corpus = docs.select(F.size(words_of(text)).alias("size")).where("size > 0").agg(F.count(F.lit(1)).alias("docs"), F.avg("size").alias("mean"))
+    docs = word_lists(docs, key, text)
+    corpus = docs.select(F.size("_w").alias("size")).where("size > 0").agg(F.count(F.lit(1)).alias("docs"), F.avg("size").alias("mean"))
     tf = match_counts(docs, key, text, units)
     df = tf.groupBy("unit").agg(F.count(F.lit(1)).alias("df"))
     got = tf.join(df, "unit").join(F.broadcast(corpus)).join(units.select("question", "unit").distinct(), "unit")  # corpus is one row
