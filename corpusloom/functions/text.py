@@ -206,17 +206,75 @@ def one_of(c: Column | str, words: list[str], fallback: str) -> Column:
     return F.when(v.isin(*words), v).otherwise(fallback)
 
 
+# Kinds of questions and what they say, in order; the first that fits decides.
+QUESTION_CUES = [
+    ("comparative", ["compare", "versus", " vs ", "difference between", "differ between", "contrast"]),
+    ("citation_search", ["cited by", "who cites", "citation", "references", "cites "]),
+    ("gap_finding", ["gap", "missing", "understud", "not been studied", "hasn't been", "has not been", "unanswered", "open question", "open problem", "overlooked"]),
+    ("assumption_search", ["assumption"]),
+    ("evidence_request", ["evidence", "quote", "passage", "show me where", "where does", "support for", "where in"]),
+    ("concept_explanation", ["what is", "what are", "define", "definition", "explain", "what does", " mean", "concept of"]),
+    ("synthesis", ["synthes", "across", "overall", "common theme", "summar", "in the literature", "consensus", "themes"]),
+]
+
+
 def question_type(c: str) -> Column:
-    """Kind of a question by the first rule whose words it has; comparing needs two quoted phrases."""
-    q = F.lower(c)
-    quoted = F.size(F.regexp_extract_all(c, F.lit('"([^"]+)"'), F.lit(1)))
-    return (
-        F.when(q.rlike(r"\b(?:gap|missing|not covered|understudied)\b"), "gap_finding")
-        .when((quoted >= 2) & q.rlike(r"\b(?:compare|versus|vs|differ|difference)\b"), "comparative")
-        .when(q.rlike(r"\b(?:cite|cites|cited|citation|citations)\b"), "citation_search")
-        .when(q.rlike(r"\b(?:what is|define|definition)\b"), "definition")
-        .otherwise("evidence")
-    )
+    """Kind of a question by the first of QUESTION_CUES it has, else factual; comparing without two quoted phrases is factual."""
+    q = F.lower(F.trim(c))
+    quotes = F.size(F.regexp_extract_all(c, F.lit('"([^"]+)"'), F.lit(1)))
+    out = F.lit("factual")
+    for kind, cues in reversed(QUESTION_CUES):
+        found = F.greatest(*[F.contains(q, F.lit(x)) for x in cues], F.lit(False))
+        out = F.when(found, F.when(quotes >= 2, kind).otherwise("factual") if kind == "comparative" else F.lit(kind)).otherwise(out)
+    return out
+
+
+# Keys of DOIs that belong to reference works: first parts of a suffix, or whole registrants.
+REFERENCE_WORKS = ["benz", "gmo", "odnb", "ww", "anb", "acref", "acrefore", "oed", "gao", "10.4135", "10.4324", "10.5040", "10.1553"]
+
+
+def is_reference_work(doi: Column | str) -> Column:
+    """Does a DOI's registrant, or the first part of its suffix (without "ref:" or "acprof:"), belong to a reference work."""
+    parts = F.split(F.lower(F.trim(doi)), "/")
+    part = lambda i: F.coalesce(F.trim(F.try_element_at(parts, F.lit(i))), F.lit(""))
+    return part(1).isin(*REFERENCE_WORKS) | F.regexp_replace(part(2), "^(?:ref|acprof):", "").isin(*REFERENCE_WORKS)
+
+
+def false_resolution(doi: str, arxiv: str, title: str, found_doi: str, found_title: str) -> Column:
+    """Why a record found for an entry is not believed, else null.
+
+    An entry without a DOI does not resolve to a reference work; without any
+    id, titles must share two content tokens (one, if either has two at most).
+    """
+    a, b = content_tokens(title), content_tokens(found_title)
+    least = F.least(F.size(a), F.size(b))
+    few = F.size(F.array_intersect(a, b)) < F.when(least <= 2, 1).otherwise(2)
+    bare = F.col(doi).isNull()
+    return F.when(bare & F.coalesce(is_reference_work(found_doi), F.lit(False)), "refwork_doi_denylist").when(bare & F.col(arxiv).isNull() & (least > 0) & few, "low_title_overlap")
+
+
+#: Characters of a document's head, where its own title and identifiers stand.
+HEAD = 2600
+
+
+def own_identity(text: str) -> Column:
+    """struct(doi, arxiv, title) that a document's head gives of itself; an arXiv id counts only where it is called one."""
+    head = F.substring(text, 1, HEAD)
+    tail = lambda c: F.regexp_replace(c, "[.,;)\\]}>\"']+$", "")
+    doi = normalize_id("doi", tail(F.regexp_extract(head, r"(?i)(10\.\d{4,9}/[-._;()/:A-Za-z0-9]+)", 1)))
+    by_url = normalize_id("arxiv", tail(F.regexp_extract(head, r"(?i)arxiv\.org/abs/([A-Za-z0-9][A-Za-z0-9.\-/]*)", 1)))
+    by_name = normalize_id("arxiv", tail(F.regexp_extract(head, r"(?i)arxiv:\s*([A-Za-z0-9][A-Za-z0-9.\-/]*)", 1)))
+    title = F.trim(F.regexp_extract(head, r"(?m)^#\s+(.+?)\s*$", 1))
+    return F.struct(doi.alias("doi"), F.coalesce(by_url, by_name).alias("arxiv"), F.when(title.rlike("[A-Za-z]"), title).alias("title"))
+
+
+def assumption_claim_type(c: str) -> Column:
+    v = F.lower(F.trim(c))
+    return F.when(v == "identification", "identification_assumption").when(v == "regularity", "regularity_condition").otherwise("general_assumption")
+
+
+def method_claim_type(c: str) -> Column:
+    return F.when(F.contains(F.lower(F.trim(c)), F.lit("model")), "model").otherwise("method")
 
 
 def question_tokens(c: str, most: int = 12) -> Column:

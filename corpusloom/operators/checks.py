@@ -54,3 +54,23 @@ def bibliography_overlap(found: DataFrame, expected: DataFrame, keys: list[str])
     n = expected.select(*keys).distinct()
     hit = n.join(found.select(*keys).distinct(), keys, "left_semi").agg(F.count(F.lit(1)).alias("hit"))
     return n.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(hit)).select(F.round(F.coalesce(F.try_divide("hit", "n"), F.lit(0.0)), 6).alias("overlap"))  # one row each
+
+
+#: Shares of wrongly joined and of missed merges beyond which a report says so.
+NOISE_TOLERANCE = {"over_merge": 0.15, "under_merge": 0.25}
+
+
+def merge_noise(verdicts: DataFrame) -> DataFrame:
+    """(metric, value, beyond) of graded merges (verdict): shares of over- and under-merges, and whether they pass the tolerance."""
+    rates = [rate(verdicts, f"{v}_rate", F.col("verdict") == v).withColumn("beyond", F.lit(False)) for v in NOISE_TOLERANCE]
+    n = F.count(F.lit(1))
+    exact = [verdicts.agg((F.count_if(F.col("verdict") == v) > n * limit).alias("beyond")) for v, limit in NOISE_TOLERANCE.items()]
+    return report(*[r.drop("beyond").join(F.broadcast(e)) for r, e in zip(rates, exact)])  # one row each
+
+
+def faithful(cited: DataFrame, retrieved: DataFrame, project: DataFrame) -> DataFrame:
+    """(answer, cited, unfaithful, faithful): cited works (answer, work_id) that were not retrieved for the answer or are not in the project."""
+    mark = lambda df, name: df.withColumn(name, F.lit(True))
+    got = cited.select("answer", "work_id").distinct().join(mark(retrieved.select("answer", "work_id").distinct(), "_r"), ["answer", "work_id"], "left").join(mark(project.select("work_id").distinct(), "_p"), "work_id", "left")
+    bad = F.count_if(F.col("_r").isNull() | F.col("_p").isNull())
+    return got.groupBy("answer").agg(F.count(F.lit(1)).alias("cited"), bad.alias("unfaithful"), (bad == 0).alias("faithful"))

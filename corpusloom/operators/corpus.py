@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
+from corpusloom.operators.joins import section_at
 from corpusloom.functions.access import most_restrictive
 from corpusloom.operators.windows import carry, islands, line_rows, monotone_runs, outline
 
@@ -217,3 +218,25 @@ def merge_chunk_drafts(drafts: DataFrame) -> DataFrame:
     none = drafts.select("work_id", "field_key").distinct().join(found.select("work_id", "field_key"), ["work_id", "field_key"], "left_anti")
     empty = none.select("work_id", "field_key", F.lit(0).alias("item"), F.lit(None).cast("string").alias("claim_type"), F.lit(None).cast("string").alias("label"), F.lit("").alias("chunks"))
     return one.unionByName(many).unionByName(empty)
+
+
+def live_spans(spans: DataFrame, docs: DataFrame, sections: DataFrame, doc: str = "work_id", text: str = "text") -> DataFrame:
+    """Spans with ``live``, the text that stands there now (null where the document is gone), and the section they lie in."""
+    at = section_at(spans.select(doc, F.col("start_char").alias("offset")).distinct(), sections, doc).withColumnRenamed("offset", "start_char")
+    got = spans.join(docs.select(doc, F.col(text).alias("_now")), doc, "left").join(at, [doc, "start_char"], "left")
+    return got.withColumn("live", F.substring("_now", F.col("start_char") + 1, F.col("end_char") - F.col("start_char"))).drop("_now")
+
+
+def project_lens(records: DataFrame) -> DataFrame:
+    """Records (quote, status, ...) with ``part``: claim for found ones with a quote, review for those that failed or, found without a quote, are ambiguous; none for others."""
+    bare = (F.col("status") == "found") & (F.coalesce(F.trim("quote"), F.lit("")) == "")
+    status = F.when(bare, "ambiguous").otherwise(F.col("status"))
+    part = F.when(status == "found", "claim").when(status.isin("ambiguous", "extraction_failed"), "review").otherwise("none")
+    return records.withColumn("part", part).withColumn("status", status)
+
+
+def stale_runs(runs: DataFrame, lenses: DataFrame, texts: DataFrame) -> DataFrame:
+    """Runs (lens_id, work_id, definition_hash, markdown_hash) with ``stale``: made with another definition or text than the present ones, or with one that is gone."""
+    now = runs.join(lenses.select("lens_id", F.col("definition_hash").alias("_d")), "lens_id", "left").join(texts.select("work_id", F.col("markdown_hash").alias("_m")), "work_id", "left")
+    same = F.col("definition_hash").eqNullSafe(F.col("_d")) & F.col("markdown_hash").eqNullSafe(F.col("_m"))
+    return now.withColumn("stale", ~same).drop("_d", "_m")

@@ -128,3 +128,21 @@ def q19_job_plan(t: Tables) -> DataFrame:
 def q20_calibration_sample(t: Tables) -> DataFrame:
     first = t.v_works.where("status = 'included'").select("work_id").orderBy("work_id").limit(20)
     return first.join(t.labels.select(F.col("doc_id").alias("work_id"), "quality"), "work_id", "left").select("work_id", F.coalesce("quality", F.lit(-1)).alias("quality"))
+
+
+@query("""select 'over_merge_rate' as metric, round(count(*) filter (quality = 1 and toxic = 1) / count(*), 6) as value, count(*) filter (quality = 1 and toxic = 1) > 0.15 * count(*) as beyond from {labels} union all select 'under_merge_rate', round(count(*) filter (quality = 0) / count(*), 6), count(*) filter (quality = 0) > 0.25 * count(*) from {labels}""")
+def q11_merge_noise(t: Tables) -> DataFrame:
+    verdicts = t.labels.select(F.when(F.col("quality") == 0, "under_merge").when(F.col("toxic") == 1, "over_merge").otherwise("correct").alias("verdict"))
+    return Q.merge_noise(verdicts)
+
+
+@query("""with c as (select distinct user_id as answer, event_id % 10 as work_id from {events}) select answer, count(*) as cited, count(*) filter (work_id % 2 <> 0 or work_id = 4) as unfaithful, count(*) filter (work_id % 2 <> 0 or work_id = 4) = 0 as faithful from c group by 1""")
+def q10_faithful(t: Tables) -> DataFrame:
+    """Answers that cite only what was retrieved and belongs to the project."""
+    cited = t.events.select(F.col("user_id").alias("answer"), (F.col("event_id") % 10).alias("work_id")).distinct()
+    return Q.faithful(cited, cited.where("work_id % 2 = 0"), cited.where("work_id <> 4").select("work_id").distinct())
+
+
+@query("""with want as (select distinct l_orderkey, l_partkey from {lineitem}), found as (select distinct l_orderkey, l_partkey from {lineitem} where l_returnflag <> 'A') select round((select count(*) from want join found using (l_orderkey, l_partkey)) / (select count(*) from want), 6) as overlap""")
+def q17_bibliography_overlap(t: Tables) -> DataFrame:
+    return Q.bibliography_overlap(t.lineitem.where("l_returnflag <> 'A'"), t.lineitem, ["l_orderkey", "l_partkey"])

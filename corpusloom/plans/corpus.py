@@ -67,10 +67,10 @@ def c2_span_pages(t: Tables) -> DataFrame:
     return got.agg(F.count(F.lit(1)).alias("spans"), F.countDistinct("work_id").alias("works"))
 
 
-@query("""with q as (select d.doc_id as work_id, substr(b.text, 1, 60) as quote, d.text, case d.doc_id % 2 when 0 then 'open_access' else 'licensed_future' end as ac from {benchmark} b join {documents} d on contains(d.text, substr(b.text, 1, 60)))
+@query("""with q as (select d.doc_id as work_id, b.text as quote, d.text, case d.doc_id % 2 when 0 then 'open_access' else 'licensed_future' end as ac from {benchmark} b join {documents} d on contains(d.text, b.text))
 select work_id, sha256(quote) as quote_hash, min(instr(text, quote) - 1) as start_char, max(length(quote)) as size, case when max((ac = 'licensed_future')::int) = 1 then 'licensed_future' else 'open_access' end as access_class from q where instr(substr(text, instr(text, quote) + 1), quote) = 0 group by 1, 2""")
 def c3_ensure_spans(t: Tables) -> DataFrame:
-    quotes = t.v_gold.join(t.benchmark.select("item_id", F.substring("text", 1, 60).alias("quote")), "item_id").select(F.col("doc_id").alias("work_id"), "quote", F.when(F.col("doc_id") % 2 == 0, "open_access").otherwise("licensed_future").alias("access_class"))
+    quotes = t.v_gold.join(t.benchmark.select("item_id", F.col("text").alias("quote")), "item_id").select(F.col("doc_id").alias("work_id"), "quote", F.when(F.col("doc_id") % 2 == 0, "open_access").otherwise("licensed_future").alias("access_class"))
     return C.ensure_spans(quotes, t.documents.select(F.col("doc_id").alias("work_id"), "text"))
 
 
@@ -98,8 +98,8 @@ def c6_chunk_plan(t: Tables) -> DataFrame:
 @query()
 def c7_references(t: Tables) -> DataFrame:
     """Each document's lines as a numbered reference list (the tables have no bibliographies)."""
-    lines = t.documents.select(F.col("doc_id").alias("work_id"), F.posexplode(F.split("text", "\n")).alias("n", "b")).where("length(b) > 30")
-    numbered = lines.withColumn("b", F.concat(F.lit("["), F.col("n") + 1, F.lit("] A. Writer, B. Author. "), F.substring("b", 1, 60), F.lit(". Journal, "), F.col("n") + 1990, F.lit(". doi:10.1000/x."), F.col("n")))
+    lines = t.documents.select(F.col("doc_id").alias("work_id"), F.posexplode(F.split("text", "\n")).alias("n", "b")).where("trim(b) <> ''")
+    numbered = lines.withColumn("b", F.concat(F.lit("["), F.col("n") + 1, F.lit("] A. Writer, B. Author. "), F.col("b"), F.lit(". Journal, "), F.col("n") + 1990, F.lit(". doi:10.1000/x."), F.col("n")))
     ranges = numbered.groupBy("work_id").agg(F.lit("References").alias("label"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "b"))), lambda x: x["b"]), "\n").alias("text"))
     return C.references(ranges)
 
@@ -168,3 +168,31 @@ def c17_lens_outputs(t: Tables) -> DataFrame:
 def c19_metadata_merge(t: Tables) -> DataFrame:
     head = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("see doi:10.1000/"), F.col("c_custkey"), F.lit("."))).otherwise("no id")
     return t.customer.select(F.col("c_custkey").alias("work_id"), F.coalesce(F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("given"), F.col("c_custkey"))), X.doi_in(F.substring(head, 1, 2600))).alias("doi"))
+
+
+@query(f"""with {_PARA} select s.work_id, s.start_char, s.end_char, case when work_id % 5 <> 0 then substr(d.text, s.start_char + 1, s.end_char - s.start_char) end as live, s.work_id % 5 <> 0 as present from sp s join {{v_docs}} d using (work_id)""")
+def p13_get_span(t: Tables) -> DataFrame:
+    """Spans with the text that stands there now: null where a document is gone."""
+    now = t.v_docs.where("work_id % 5 <> 0")
+    got = C.live_spans(C.paragraph_spans(t.v_docs), now, C.sections(t.v_docs))
+    return got.select("work_id", "start_char", "end_char", "live", (F.col("work_id") % 5 != 0).alias("present"))
+
+
+_LENS = "select event_id as record_id, user_id as work_id, case event_id % 5 when 0 then null else event_type end as quote, case event_id % 7 when 0 then 'extraction_failed' when 1 then 'not_found' else 'found' end as status from {events}"
+
+
+@query(f"""select part, status, count(*) as n from (select case when status = 'not_found' then 'none' when status = 'found' and quote is not null then 'claim' else 'review' end as part,
+case when status = 'found' and quote is null then 'ambiguous' else status end as status from ({_LENS}) l) x group by 1, 2""")
+def c18_lens_projection(t: Tables) -> DataFrame:
+    """Lens records: found ones with a quote become claims, those that failed or cannot be anchored review rows."""
+    records = t.spark.sql(_LENS.replace("{events}", "{e}"), e=t.events)
+    return C.project_lens(records).groupBy("part", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""with r as (select event_id as run_id, user_id as work_id, event_type as lens_id, event_id % 4 as definition_hash, event_id % 3 as markdown_hash from {events}) select lens_id, count(*) as runs, count(*) filter (definition_hash <> case lens_id when 'view' then 1 else 2 end or markdown_hash <> work_id % 3) as stale from r group by 1""")
+def x5_lens_staleness(t: Tables) -> DataFrame:
+    """Runs of a lens that were made with another definition, or on another text, than the present ones."""
+    runs = t.events.select(F.col("event_id").alias("run_id"), F.col("user_id").alias("work_id"), F.col("event_type").alias("lens_id"), (F.col("event_id") % 4).alias("definition_hash"), (F.col("event_id") % 3).alias("markdown_hash"))
+    lenses = t.events.select(F.col("event_type").alias("lens_id")).distinct().withColumn("definition_hash", F.when(F.col("lens_id") == "view", 1).otherwise(2))
+    texts = t.events.select(F.col("user_id").alias("work_id")).distinct().withColumn("markdown_hash", F.col("work_id") % 3)
+    return C.stale_runs(runs, lenses, texts).groupBy("lens_id").agg(F.count(F.lit(1)).alias("runs"), F.count_if("stale").alias("stale"))

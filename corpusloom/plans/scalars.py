@@ -70,9 +70,9 @@ def f23_display_label(t: Tables) -> DataFrame:
     return c.select("c_custkey", X.display_label("title", "author", "year", "c_custkey").alias("label"))
 
 
-@query("select doc_id, array_to_string(string_split(text, ' ')[1:20], ' ') as abstract from {documents}")
+@query("select doc_id, array_to_string(string_split(text, ' '), ' ') as abstract from {documents}")
 def f24_inverted_abstract(t: Tables) -> DataFrame:
-    words = t.documents.select("doc_id", F.posexplode(F.slice(F.split("text", " "), 1, 20)).alias("p", "w"))
+    words = t.documents.select("doc_id", F.posexplode(F.split("text", " ")).alias("p", "w"))
     inverted = words.groupBy("doc_id", "w").agg(F.sort_array(F.collect_list("p")).alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("m"))
     return inverted.select("doc_id", X.inverted_abstract("m").alias("abstract"))
 
@@ -82,15 +82,51 @@ def f25_vocabulary(t: Tables) -> DataFrame:
     return t.events.select("event_id", X.one_of(F.concat(F.lit(" "), F.upper("event_type")), ["view", "click"], "other").alias("kind"))
 
 
-_Q = "case item_id % 4 when 0 then 'Which works cite ' || text when 1 then 'What is ' || text when 2 then 'What is missing in ' || text else text end"
+_Q = """case item_id % 9 when 0 then 'Who cites the work on ' || text when 1 then 'What is meant by ' || text when 2 then 'Which OPEN QUESTION remains in ' || text when 3 then 'Compare "' || text || '" versus "x"'
+when 4 then 'Compare ' || text when 5 then 'Under which Assumption holds ' || text when 6 then 'Show me where it says ' || text when 7 then 'Summarise ' || text else text end"""
+_KIND = " ".join("when " + " or ".join("contains(q, '" + x.replace("'", "''") + "')" for x in cues) + (" then case when length(raw) - length(replace(raw, chr(34), '')) >= 4 then 'comparative' else 'factual' end" if kind == "comparative" else f" then '{kind}'") for kind, cues in X.QUESTION_CUES)
 
 
-@query("select item_id, case item_id % 4 when 0 then 'citation_search' when 1 then 'definition' when 2 then 'gap_finding' else 'evidence' end as kind from {benchmark}")
+@query(f"select item_id, case {_KIND} else 'factual' end as kind from (select item_id, {_Q} as raw, lower(trim({_Q})) as q from {{benchmark}}) x")
 def f26_question_type(t: Tables) -> DataFrame:
     q = t.spark.sql(f"select item_id, {_Q} as q from {{b}}", b=t.benchmark)
     return q.select("item_id", X.question_type("q").alias("kind"))
 
 
+_PAIR = """select a.doc_id, a.title, b.title as found_title, case when a.doc_id % 7 = 0 then '10.1000/x' end as doi, case when a.doc_id % 5 = 0 then '2101.00001' end as arxiv,
+case a.doc_id % 4 when 0 then '10.1093/ref:odnb/' || a.doc_id when 1 then '10.4135/978' when 2 then '10.1093/biomet/' || a.doc_id end as found_doi
+from (select doc_id, split_part(text, chr(10), 1) as title from {documents}) a join (select doc_id, split_part(text, chr(10), 1) as title from {documents}) b on b.doc_id = a.doc_id - a.doc_id % 3"""
+_CONTENT = "list_distinct(list_filter(regexp_extract_all(lower({c}), '\\p{{L}}+'), lambda x: length(x) > 1 and x not in (" + ", ".join(f"'{w}'" for w in X.OVERLAP_STOPWORDS) + ")))"
+
+
+@query(f"""select doc_id, case when doi is null and doc_id % 4 in (0, 1) then 'refwork_doi_denylist' when doi is null and arxiv is null and least(len(a), len(b)) > 0 and len(list_intersect(a, b)) < case when least(len(a), len(b)) <= 2 then 1 else 2 end then 'low_title_overlap' end as reason,
+round(least(0.9, 0.7 + 0.2 * case when len(a) = 0 or len(b) = 0 then 0 else len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) end), 4) as confidence
+from (select *, {_CONTENT.format(c="title")} as a, {_CONTENT.format(c="found_title")} as b from ({_PAIR}) p) x""")
+def f10_f12_resolution_guards(t: Tables) -> DataFrame:
+    pairs = t.spark.sql(_PAIR.replace("{documents}", "{d}"), d=t.documents)
+    a, b = X.content_tokens("title"), X.content_tokens("found_title")
+    share = F.when((F.size(a) > 0) & (F.size(b) > 0), X.jaccard(a, b)).otherwise(0.0)
+    return pairs.select("doc_id", X.false_resolution("doi", "arxiv", "title", "found_doi", "found_title").alias("reason"), X.title_year_confidence(share).alias("confidence"))
+
+
+_HEADS = """select doc_id, case doc_id % 4 when 0 then '# 12' || chr(10) || '# Title of ' || doc_id || '  ' when 1 then 'x' else '# A ' || doc_id end || chr(10) || case doc_id % 3 when 0 then 'see https://doi.org/10.1000/AB' || doc_id || '). ' when 1 then 'arXiv: 2101.' || (10000 + doc_id) || 'v2, ' else 'bare 2101.12345 ' end
+|| case when doc_id % 5 = 0 then 'https://arxiv.org/abs/2202.' || (20000 + doc_id) || 'v1' else '' end || chr(10) || text || ' doi:10.5555/late' as text from {documents}"""
+
+
+@query(f"""select doc_id, case when doc_id % 3 = 0 then '10.1000/ab' || doc_id when length(text) - length('10.5555/late') < 2600 then substr('10.5555/late', 1, 2600 - length(text) + 12) end as doi,
+case when doc_id % 5 = 0 then '2202.' || (20000 + doc_id) when doc_id % 3 = 1 then '2101.' || (10000 + doc_id) end as arxiv, case doc_id % 4 when 1 then null when 0 then null else 'A ' || doc_id end as title
+from ({_HEADS}) h where length(text) > 2700 or length(text) < 2600""")
+def f15_f16_own_identity(t: Tables) -> DataFrame:
+    heads = t.spark.sql(_HEADS.replace("{documents}", "{d}"), d=t.documents).where("length(text) > 2700 or length(text) < 2600")
+    return heads.select("doc_id", X.own_identity("text").alias("o")).select("doc_id", "o.*")
+
+
+@query("""select p_partkey, case when lower(p_type) = 'identification' then 'identification_assumption' when p_partkey % 3 = 0 then 'regularity_condition' else 'general_assumption' end as assumption, case when p_partkey % 2 = 0 then 'model' else 'method' end as method from {part}""")
+def f28_claim_types(t: Tables) -> DataFrame:
+    p = t.part.select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, " Regularity ").otherwise(F.col("p_type")).alias("a"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("Linear MODEL of "), "p_name")).alias("m"))
+    return p.select("p_partkey", X.assumption_claim_type("a").alias("assumption"), X.method_claim_type("m").alias("method"))
+
+
 @query("select event_id, round(value / (value + 1), 6)::double as score from {events}")
 def f27_base_score(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.round(X.base_score(-F.col("value")), 6).alias("score"))
