@@ -144,13 +144,13 @@ def _project(shared, parts: int):
 
 def _adder(kind: type):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums the arrays of each part as they stream by; a task holds one a part."""
+        """Sums the arrays of each part, in 64 bits, as they stream by; a task holds one a part and emits ``kind`` again."""
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, sums in zip(batch.column(0).to_pylist(), batch.column(1)):
                 x = np.frombuffer(sums.as_buffer(), kind).astype(np.float64)
                 total[part] = total[part] + x if part in total else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.astype(kind).tobytes() for x in total.values()], pa.binary())], names=["part", "sums"])
 
     return run
 
@@ -171,11 +171,9 @@ class Space:
 
 
 def _sum_parts(rows: DataFrame, parts: int, kind: type = np.float64) -> dict[int, np.ndarray]:
-    summed = rows.repartition(parts, "part").mapInArrow(_adder(kind), "part long, sums binary").collect()
-    out: dict[int, np.ndarray] = {}
-    for part, x in summed:
-        out[part] = out.get(part, 0) + np.frombuffer(bytes(x))
-    return out
+    """The sum of each part, whole: all rows of a part are in one task."""
+    summed = rows.repartition(parts, "part").mapInArrow(_adder(kind), "part long, sums binary")
+    return {part: np.frombuffer(bytes(x), kind) for part, x in summed.collect()}
 
 
 def latent_space(docs: DataFrame, rank: int = RANK) -> Space:
@@ -188,7 +186,7 @@ def latent_space(docs: DataFrame, rank: int = RANK) -> Space:
     gives A's leading right singular vectors V. A text's latent coordinates
     are its TF-IDF row times V / S: words that occur in the same
     passages get near coordinates, and what all texts of a language share
-    counts for no more than the rest. What comes to the driver has a fixed size (16 MB).
+    counts for no more than the rest. What comes to the driver has a fixed size (8 MB).
     """
     spark = docs.sparkSession
     text = docs.select(F.col("text").cast("string").alias("text"))
@@ -211,12 +209,19 @@ def latent_space(docs: DataFrame, rank: int = RANK) -> Space:
     # a task emits 8 MB whatever it reads, so there are as many tasks as can run at once (twice that, to even out)
     few = text.coalesce(2 * spark.sparkContext.defaultParallelism)
     sums = _sum_parts(few.mapInArrow(_project(spark.sparkContext.broadcast((idf, turn)), parts), "part long, sums binary"), parts, np.float32)
-    b = np.concatenate([sums[i] for i in range(parts)]).reshape(COLUMNS, -1)
-    power, left = np.linalg.eigh(b.T @ b)
+    dims = turn.shape[1]
+    b = np.empty((COLUMNS, dims), np.float32)
+    inner = np.zeros((dims, dims))
+    step = COLUMNS // parts
+    for i in range(parts):
+        rows = sums.pop(i).reshape(step, dims)
+        b[i * step : (i + 1) * step] = rows
+        inner += (wide := rows.astype(np.float64)).T @ wide
+    power, left = np.linalg.eigh(inner)
     real = power > max(power[-1], 1e-12) * 1e-9
     value = np.sqrt(power[real])
     # V = B'U / S
-    return Space(idf, (b @ left[:, real]) / value / value)
+    return Space(idf, b @ (left[:, real] / value / value).astype(np.float32))
 
 
 def lcs_masks(words: list[int]) -> dict[int, int]:
