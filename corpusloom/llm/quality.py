@@ -74,7 +74,8 @@ def fit(texts: list[str], labels: list[int], dim: int = 8, epochs: int = 8, rate
     emb = ((rng.random((size, dim)) - 0.5) / dim).astype(np.float32)
     out = np.zeros((dim, 2), np.float32)
     bags = []
-    for a, b, data, offsets in tb.slices(pa.array(texts, pa.string())):
+    # short slices: the arrays of a slice take some hundred bytes for each of its bytes
+    for a, b, data, offsets in tb.slices(pa.array(texts, pa.string()), 1 << 17):
         row, ids = features(data, offsets)
         order = np.argsort(row, kind="stable")
         ids, cuts = ids[order], np.searchsorted(row[order], np.arange(b - a + 1))
@@ -115,6 +116,26 @@ def _scorer(margin):
     return run
 
 
+def _fitter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The margins as one binary, in the order of hash that ``training_rows`` gives; nothing without rows."""
+    texts, labels = [], []
+    for batch in batches:
+        texts += batch.column(0).to_pylist()
+        labels += batch.column(1).to_pylist()
+    if texts:
+        yield pa.RecordBatch.from_arrays([pa.array([fit(texts, labels).tobytes()], pa.binary())], names=["margin"])
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample: int) -> np.ndarray | None:
+    """``fit`` on ``training_rows``, in one task: the driver gets the margins (0.5 MB), not the texts. None without rows.
+
+    A lost executor costs one more fit; the rows and their order, and so the margins, stay the same.
+    """
+    rows = training_rows(docs, labels, sample).select("text", "quality").coalesce(1)
+    got = rows.mapInArrow(_fitter, "margin binary").collect()
+    return np.frombuffer(bytes(got[0]["margin"])) if got else None
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     """text, quality of at most ``sample`` labelled documents whose crc32(doc_id) mod 4 is not 2, by hash order."""
     ids = labels.where("doc_id is not null and quality in (0, 1)").where("crc32(cast(doc_id as string)) % 4 <> 2").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
@@ -126,16 +147,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
 def score_quality(docs: DataFrame, labels: DataFrame, sample: int = 3000, keep: float = 0.7) -> DataFrame:
     """Rows of ``docs`` with held_out, score and predicted added; learns from ``labels`` (doc_id, quality).
 
-    ``sample`` bounds the labelled rows that the driver learns from (the
+    ``sample`` bounds the labelled rows that one task learns from (the
     first by hash of doc_id); scoring covers every row and whole texts. Null
     and empty texts get the score of a document without words. Without any
     usable label every score is 0.5. Rows that repeat get a row each; columns
     of ``docs`` other than text and doc_id pass through, save those named
     like the added ones, which are replaced.
     """
-    rows = training_rows(docs, labels, sample).collect()
-    margin = fit([r["text"] for r in rows], [r["quality"] for r in rows]) if rows else None
-    shared = docs.sparkSession.sparkContext.broadcast(margin)
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, sample))
     kept = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
     keyed = docs.select(F.struct(*kept).alias("key"), F.col("text").cast("string").alias("body"))
     scored = keyed.mapInArrow(_scorer(shared), keyed.select("key").schema.add("score", "double"))
