@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def spread_rank(df: DataFrame, group: list[str], order: str, rows_per_range: int = 50_000, ties: list[str] | None = None) -> DataFrame:
+def spread_rank(df: DataFrame, group: list[str], order: str, rows_per_range: int = 50_000, ties: list[str] | None = None, few: bool = False) -> DataFrame:
     """Adds ``rank`` (from 0) of each row in its group by ascending ``order``.
 
     ``order`` is a column of uniformly spread non-negative longs below 2**60
@@ -15,14 +15,19 @@ def spread_rank(df: DataFrame, group: list[str], order: str, rows_per_range: int
     need, so a group with a third of all rows is ranked by many tasks; rows
     that tie on ``order`` stay in one range and tie-break on ``ties`` (all
     columns left, if not given).
+
+    ``few`` says that the caller bounds the groups and ranges (of which there
+    is one for each ``rows_per_range`` rows, and one more a group): their sizes
+    are then broadcast, and rows are shuffled once, for the numbering.
     """
+    sent = F.broadcast if few else (lambda x: x)
     ties = [c for c in df.columns if c not in group and c != order] if ties is None else ties
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     sizes = sizes.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], F.ceil(F.col("_n") / rows_per_range).alias("_parts"))
     match = F.lit(True)
     for i, c in enumerate(group):
         match = match & F.col(c).eqNullSafe(F.col(f"_g{i}"))
-    cut = df.join(sizes, match).drop(*[f"_g{i}" for i in range(len(group))])
+    cut = df.join(sent(sizes), match).drop(*[f"_g{i}" for i in range(len(group))])
     cut = cut.withColumn("_range", (F.col(order) / F.lit(float(1 << 60)) * F.col("_parts")).cast("long")).drop("_parts")
     counts = cut.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
@@ -31,7 +36,7 @@ def spread_rank(df: DataFrame, group: list[str], order: str, rows_per_range: int
     inside = W.partitionBy(*group, "_range").orderBy(order, *ties)
     numbered = cut.withColumn("_i", F.row_number().over(inside) - 1)
     return (
-        numbered.join(starts, match & (F.col("_range") == F.col("_r")))
+        numbered.join(sent(starts), match & (F.col("_range") == F.col("_r")))
         .withColumn("rank", (F.col("_start") + F.col("_i")).cast("long"))
         .drop("_start", "_i", "_range", "_r", *[f"_g{i}" for i in range(len(group))])
     )
