@@ -182,7 +182,8 @@ def mix_sources(docs: DataFrame, targets: Mapping[str, float] | None = None, blo
         raise ValueError("targets must be finite and not negative")
     spans, steps = timetable(counts, given, blocks, stretch)
     per_range = max(1024, sum(counts.values()) >> 16)
-    ranked = spread_rank(rows, ["source"], "k", per_range, ["tie1", "tie2"])
+    # at most MAX_SOURCES groups and 2**16 ranges more than that, whatever the rows
+    ranked = spread_rank(rows, ["source"], "k", per_range, ["tie1", "tie2"], few=True)
     # bounded by the numbers of sources and blocks, not by the rows
     span = spark.createDataFrame(spans, "source string, level int, first long, last long, b long")
     step = spark.createDataFrame(steps, "source string, level int, block long, slot0 long, length long, turn long, j long, at long, phase int")
