@@ -133,12 +133,12 @@ def c13_note_claims(t: Tables) -> DataFrame:
     return C.note_claims(notes, ["method"], ["findings"])
 
 
-@query("""with d as (select l_orderkey as work_id, l_linenumber as chunk, l_returnflag as field_key, p_type as claim_type, p_name as label, l_discount as confidence, l_returnflag = 'A' as is_array from {lineitem} join {part} on p_partkey = l_partkey where l_orderkey < 2000),
+@query("""with d as (select l_orderkey as work_id, l_linenumber as chunk, l_returnflag as field_key, p_type as claim_type, p_name as label, l_discount as confidence, l_returnflag = 'A' as is_array from {lineitem} join {part} on p_partkey = l_partkey),
 m as (select work_id, field_key, claim_type, label, min(chunk) as c0, string_agg(distinct chunk::varchar, ',' order by chunk::varchar) as chunks from d where is_array group by 1, 2, 3, 4)
 select work_id, field_key, row_number() over (partition by work_id, field_key order by c0, claim_type, label) as item, claim_type, label, chunks from m
 union all select work_id, field_key, 1, claim_type, label, chunk::varchar from (select *, row_number() over (partition by work_id, field_key order by confidence desc, chunk, label, claim_type) as r from d where not is_array) x where r = 1""")
 def c14_merge_chunk_drafts(t: Tables) -> DataFrame:
-    d = t.lineitem.where("l_orderkey < 2000").join(t.part, F.col("p_partkey") == F.col("l_partkey"))
+    d = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey"))
     drafts = d.select(F.col("l_orderkey").alias("work_id"), F.col("l_linenumber").alias("chunk"), F.col("l_returnflag").alias("field_key"), F.col("p_type").alias("claim_type"), F.col("p_name").alias("label"), F.col("l_discount").alias("confidence"), (F.col("l_returnflag") == "A").alias("is_array"))
     return C.merge_chunk_drafts(drafts)
 

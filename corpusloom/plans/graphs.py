@@ -36,11 +36,11 @@ def g2_full_graph(t: Tables) -> DataFrame:
     return cites.union(about).distinct()
 
 
-@query("""with recursive e as (select l_partkey as a, l_partkey + 7 as b from {lineitem} where l_partkey % 5 = 0 and l_partkey < 400 union select l_partkey + 7, l_partkey from {lineitem} where l_partkey % 5 = 0 and l_partkey < 400),
-r(a, b) as (select a, b from e union select r.a, e.b from r join e on e.a = r.b) select a as node, least(a, min(b)) as component from r group by a""")
+@query("""with recursive e as (select distinct source as a, target as b from {v_part_edges} union select target, source from {v_part_edges}),
+r(node, component) using key (node) as (select distinct a, a from e union select e.a, min(r.component) from r join e on e.b = r.node join recurring.r as c on c.node = e.a where r.component < c.component group by e.a)
+select node, component from r""")
 def g3_components(t: Tables) -> DataFrame:
-    e = t.lineitem.where("l_partkey % 5 = 0 and l_partkey < 400").select(F.col("l_partkey").alias("source"), (F.col("l_partkey") + 7).alias("target"))
-    return G.connected_components(e)
+    return G.connected_components(t.v_part_edges)
 
 
 @query(f"with {_PAIRS} select s_suppkey as node, count(y) as degree, round(count(y) / ((select count(*) from {{supplier}}) - 1), 6) as centrality from {{supplier}} left join nb on x = s_suppkey group by 1")

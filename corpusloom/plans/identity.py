@@ -91,12 +91,12 @@ def e8_collapse_works(t: Tables) -> DataFrame:
     return I.collapse_works(t.v_edges.select("source", "target", "provenance", "run_id"), merged, ["source", "target", "provenance", "run_id"])
 
 
-_LAB = "l as (select distinct p_type, p_name, list_distinct(string_split(p_name, ' ')) as t from {part} where p_size < 10), e as (select a.p_type, a.p_name as a, b.p_name as b from l a join l b on a.p_type = b.p_type and len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) >= 0.6)"
+_LAB = "l as (select distinct p_type, p_name, list_distinct(string_split(p_name, ' ')) as t from {part}), e as (select a.p_type, a.p_name as a, b.p_name as b from l a join l b on a.p_type = b.p_type and len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) >= 0.6)"
 
 
 @query(f"with recursive {_LAB}, r(p_type, a, b) as (select p_type, a, b from e union select r.p_type, r.a, e.b from r join e on e.p_type = r.p_type and e.a = r.b) select p_type, a as p_name, min(b) as cluster from r group by 1, 2")
 def e9_candidate_clusters(t: Tables) -> DataFrame:
-    labels = t.part.where("p_size < 10").select("p_type", "p_name").distinct().withColumn("key", F.concat_ws("|", "p_type", "p_name"))
+    labels = t.part.select("p_type", "p_name").distinct().withColumn("key", F.concat_ws("|", "p_type", "p_name"))
     got = C.candidate_clusters(labels, "key", "p_name", ["p_type"], 0.6)
     part = lambda c, i: F.element_at(F.split(c, r"\|"), i)
     return got.select(part("key", 1).alias("p_type"), part("key", 2).alias("p_name"), part("cluster", 2).alias("cluster"))
