@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import ann, decontaminate, dedup, htmltext, licences, mixing, pii, quality, sharding, tokenorder
+from corpusloom.llm import ann, decontaminate, dedup, htmltext, lexical, licences, mixing, pii, quality, sharding, tokenorder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.top_documents(lexical.build_index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_pfair_mixing,
         op9_anisotropic_ann,
         op10_quality,
+        op11_ranked_search,
     )
 }
 
@@ -91,4 +96,5 @@ placed as (select *, ((before * 24) // total)::int as shard from runs)
 select doc_id, size, crc as text_crc32, 'bytes' as law, shard, (spot - min(spot) over (partition by shard))::bigint as slot, null::int as grown_shard from placed
 """,
     "op7_licence_scan": licences.oracle(),
+    "op11_ranked_search": lexical.oracle(),
 }
