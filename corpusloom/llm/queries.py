@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import ann, decontaminate, dedup, htmltext, lexical, licences, mixing, pii, quality, sharding, tokenorder
+from corpusloom.llm import ann, chat, decontaminate, dedup, htmltext, lexical, licences, mixing, pii, quality, repair, sharding, tokenorder
+from corpusloom.plans.lineage import stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +64,64 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.top_documents(lexical.build_index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
 
 
+def _records(rows: DataFrame) -> DataFrame:
+    """(conv_id, record): each conversation of rows in one of four layouts.
+
+    The table has one layout only; two turns of user and assistant are laid out
+    as prompt and completion, three with a system turn as an instruction, others
+    as from/value or role/content lists.
+    """
+    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("t"))
+    roles = F.array_join(F.col("t.role"), ",")
+    named = F.create_map(*[F.lit(x) for x in ("user", "human", "assistant", "gpt", "system", "system")])
+    text = lambda i: F.try_element_at(F.col("t"), F.lit(i))["text"]
+    kind = whole.withColumn("k", F.when(roles == "user,assistant", 0).when(roles == "system,user,assistant", 1).when((F.pmod(F.xxhash64("conv_id"), F.lit(2)) == 0) & F.forall("t", lambda x: x["role"].isin("user", "assistant", "system")), 2).otherwise(3))
+    fields = [
+        F.when(F.col("k") == 0, text(1)).alias("prompt"),
+        F.when(F.col("k") == 0, text(2)).alias("completion"),
+        F.when(F.col("k") == 1, text(1)).alias("system"),
+        F.when(F.col("k") == 1, text(2)).alias("instruction"),
+        F.when(F.col("k") == 1, text(3)).alias("output"),
+        F.when(F.col("k") == 2, F.transform("t", lambda x: F.struct(named[x["role"]].alias("from"), x["text"].alias("value")))).alias("conversations"),
+        F.when(F.col("k") == 3, F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content")))).alias("messages"),
+    ]
+    return kind.select("conv_id", F.struct(*fields).alias("record"))
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = f"{chat.END}{chat.START}assistant ok"
+    planted = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"))
+    made = chat.format_turns(chat.canonical_turns(_records(rows.unionByName(planted)))).select("conv_id", "formatted", "loss")
+    read = chat.read_back(made)
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.length("trained").cast("long").alias("loss_chars"), F.sha2("trained", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversation rows with faults put in by crc32 of ``conv_id:turn``; nulls are one space."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn"))) % 20
+    rows = rows.select("conv_id", "turn", space("role").alias("role"), space("text").alias("text"), kind.alias("kind")).where("kind <> 0")
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("kind") == 4, "user").otherwise(F.col("role"))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(0), F.when(F.col("kind") == 3, 2).otherwise(1))).alias("_copy")).drop("_copy")
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "conversations")
+    rows = damaged(table)
+    edits = stored(repair.find_edits(rows), "edits")
+    sha = repair.turn_digests(repair.apply_edits(rows, edits)).select(F.col("conv_id").alias("_s"), "sha256")
+    every = table.select("conv_id").distinct()
+    got = every.join(edits.withColumnRenamed("conv_id", "_c"), F.col("conv_id").eqNullSafe(F.col("_c")), "left").join(sha, F.col("conv_id").eqNullSafe(F.col("_s")), "left")
+    counts = [F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return got.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -77,6 +136,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_anisotropic_ann,
         op10_quality,
         op11_ranked_search,
+        op12_chat_format,
+        op13_structure_repair,
     )
 }
 
@@ -97,4 +158,5 @@ select doc_id, size, crc as text_crc32, 'bytes' as law, shard, (spot - min(spot)
 """,
     "op7_licence_scan": licences.oracle(),
     "op11_ranked_search": lexical.oracle(),
+    "op12_chat_format": chat.oracle(),
 }
