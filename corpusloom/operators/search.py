@@ -7,20 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
+from corpusloom.operators.textindex import TextIndex, words_of
 from corpusloom.plans.lineage import stored
 
 
-def words_of(c: Column | str) -> Column:
-    """Lower-case words of letters and digits without diacritics, in order."""
-    return F.filter(F.split(F.lower(X.folded(c)), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-
-
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, token, pos, size): where each token stands, and how many the text has."""
-    d = docs.select(key, words_of(text).alias("_w"))
-    return d.select(key, F.size("_w").alias("size"), F.posexplode("_w").alias("pos", "token"))
-
-
 # Words of a question that say nothing of its subject.
 STOPWORDS = (
     "the a an of to in on for and or is are was were be been by with as at it its this that these those what which who whom how why "
@@ -45,49 +35,47 @@ def match_units(questions: DataFrame, question: str = "text") -> DataFrame:
     return questions.select("question", F.explode(units).alias("unit")).distinct()
 
 
-def word_lists(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, _w): the words of each text, stored, as counts, places and sizes are all read from them."""
-    return docs if "_w" in docs.columns else stored(docs.select(key, words_of(text).alias("_w")), "words")
-
-
-def match_counts(docs: DataFrame, key: str, text: str, units: DataFrame) -> DataFrame:
+def match_counts(index: TextIndex, units: DataFrame) -> DataFrame:
     """(unit, key, size, tf): how often each unit, a word or words in a row, stands in each text that holds it.
 
-    Words are found by an equi-join on those that are asked for; longer units
-    through the rarest of their words, whose places are then read on in the
-    text. So common words of a phrase make no rows.
+    Words are read from their postings. A longer unit is found where its two
+    rarest words stand at the right distance; the texts left are then read on.
+    A unit with a word that no text has matches nothing. So common words of a
+    phrase are never read.
     """
+    key = index.key
     wanted = units.select("unit", words_of("unit").alias("_u")).distinct().where(F.size("_u") > 0)
+    wanted = stored(wanted, "units")  # read several times below
     each = wanted.select("unit", F.size("_u").alias("n"), F.posexplode("_u").alias("i", "token"))
-    texts = word_lists(docs, key, text)
-    asked = each.select("token").distinct()
-    found = texts.select(key, F.size("_w").alias("size"), F.explode("_w").alias("token")).join(asked, "token", "left_semi").groupBy(key, "size", "token").agg(F.count(F.lit(1)).alias("tf"))
-    single = found.join(each.where("n = 1").select("unit", "token"), "token").select("unit", key, "size", "tf")
-    df = found.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    rare = each.where("n > 1").join(df, "token", "left").groupBy("unit").agg(F.min_by(F.struct("token", "i"), F.struct(F.coalesce("df", F.lit(0)), "i")).alias("r"))
-    rare = rare.select("unit", F.col("r.token").alias("token"), F.col("r.i").alias("i")).join(wanted, "unit")
-    places = texts.select(key, F.posexplode("_w").alias("pos", "token")).join(rare.select("token").distinct(), "token", "left_semi")
-    starts = places.join(rare, "token").select("unit", "_u", key, (F.col("pos") - F.col("i")).alias("at")).where("at >= 0")
-    read = starts.join(texts, key).where(F.slice("_w", F.col("at") + 1, F.size("_u")) == F.col("_u"))
-    return single.unionByName(read.groupBy("unit", key, F.size("_w").alias("size")).agg(F.count(F.lit(1)).alias("tf")))
-
-
-def phrase_hits(docs: DataFrame, phrases: DataFrame, key: str, text: str) -> DataFrame:
+    long = each.where("n > 1")
+    df = index.vocabulary.join(long.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.sum("df").alias("df"))
+    rare = long.join(df, "token").groupBy("unit", "n").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "i", "token"))), 1, 2).alias("r"), F.count(F.lit(1)).alias("known"))
+    rare = rare.where("known = n").select("unit", "n", F.explode("r").alias("r")).select("unit", "n", "r.i", "r.token")
+    single = index.postings.join(each.where("n = 1").select("unit", "token"), "token").groupBy("unit", key, "size").agg(F.count(F.lit(1)).alias("tf"))
+    met = index.postings.join(rare, "token").select("unit", key, (F.col("pos") - F.col("i")).alias("at"), "size", "n").where("at >= 0 and at + n <= size")
+    both = met.groupBy("unit", key, "at", "size", "n").agg(F.count(F.lit(1)).alias("words")).where("words = 2").drop("words")
+    both = stored(both, "phrases-met")
+    texts = index.texts.join(both.where("n > 2").select(key).distinct(), key, "left_semi").select(key, words_of(index.text).alias("_w"))
+    read = both.where("n > 2").join(wanted, "unit").join(texts, key).where(F.coalesce(F.slice("_w", F.col("at") + 1, F.size("_u")) == F.col("_u"), F.lit(False)))  # coalesce: else a test for null _w makes words of all texts
+    hits = both.where("n = 2").select("unit", key, "size").unionByName(read.select("unit", key, "size"))
+    return single.unionByName(hits.groupBy("unit", key, "size").agg(F.count(F.lit(1)).alias("tf")))
+
+
+def phrase_hits(index: TextIndex, phrases: DataFrame) -> DataFrame:
     """(question, key, hits) of phrases (question, phrase): how often their words stand in a row in a text."""
-    got = match_counts(docs, key, text, phrases.select(F.col("phrase").alias("unit")))
-    return got.join(phrases.select("question", F.col("phrase").alias("unit")).distinct(), "unit").groupBy("question", key).agg(F.sum("tf").alias("hits"))
+    got = match_counts(index, phrases.select(F.col("phrase").alias("unit")))
+    return got.join(phrases.select("question", F.col("phrase").alias("unit")).distinct(), "unit").groupBy("question", index.key).agg(F.sum("tf").alias("hits"))
 
 
-def bm25(docs: DataFrame, units: DataFrame, key: str, text: str, k1: float = 1.2, b: float = 0.75, least_idf: float = 1e-6) -> DataFrame:
+def bm25(index: TextIndex, units: DataFrame, k1: float = 1.2, b: float = 0.75, least_idf: float = 1e-6) -> DataFrame:
     """(question, key, score) of texts that hold a unit (question, unit): the usual formula, idf floored, negated so that lower is better."""
-    docs = word_lists(docs, key, text)
-    corpus = docs.select(F.size("_w").alias("size")).where("size > 0").agg(F.count(F.lit(1)).alias("docs"), F.avg("size").alias("mean"))
-    tf = match_counts(docs, key, text, units)
+    corpus = index.totals.agg(F.sum("docs").alias("docs"), (F.sum("words") / F.sum("docs")).alias("mean"))
+    tf = stored(match_counts(index, units), "unit-counts")
     df = tf.groupBy("unit").agg(F.count(F.lit(1)).alias("df"))
     got = tf.join(df, "unit").join(F.broadcast(corpus)).join(units.select("question", "unit").distinct(), "unit")  # corpus is one row
     idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(least_idf))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
-    return got.groupBy("question", key).agg((-F.sum(part)).alias("score"))
+    return got.groupBy("question", index.key).agg((-F.sum(part)).alias("score"))
 
 
 def concept_tokens(question: str, most: int = 12) -> Column:
@@ -96,7 +84,10 @@ def concept_tokens(question: str, most: int = 12) -> Column:
 
 
 def best_items(found: DataFrame, limit: int, kind: str) -> DataFrame:
-    """(question, item_id, kind, score): of each question the ``limit`` best (lowest) scores, ties by id."""
+    """(question, item_id, kind, score): of each question the ``limit`` best (lowest) scores, ties by id.
+
+    Rows are cut to ``limit`` a question before they are shuffled, and again after.
+    """
     place = F.row_number().over(W.partitionBy("question").orderBy(F.round("score", 9), "item_id"))
     return found.withColumn("_p", place).where(F.col("_p") <= limit).select("question", "item_id", F.lit(kind).alias("kind"), "score")
 

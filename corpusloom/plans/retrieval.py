@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.operators import search as S
+from corpusloom.operators.textindex import index_texts
 from corpusloom.operators.windows import budget_prefix, dispositions
 from corpusloom.registry import Tables, query
 
@@ -35,17 +36,13 @@ def _score(docs: str, key: str, text: str, name: str) -> str:
 {name}_s as (select question, item_id, -sum(greatest(ln((docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))) as score from {name}_tf join {name}_df using (unit) join {name}_u using (unit), {name}_c group by 1, 2)"""
 
 
-def _index(t: Tables) -> DataFrame:
-    return S.postings(t.documents, "doc_id", "text")
-
-
 def _phrases(t: Tables) -> DataFrame:
     return t.benchmark.select(F.col("item_id").alias("question"), F.col("text").alias("phrase"))
 
 
 @query(f"with {_POST} select token, count(*) as n, count(distinct doc_id) as df, min(pos) as first from post group by 1")
 def r1_postings(t: Tables) -> DataFrame:
-    return _index(t).groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("df"), F.min("pos").cast("long").alias("first"))
+    return t.document_index().vocabulary.groupBy("token").agg(F.sum("n").alias("n"), F.sum("df").alias("df"), F.min("first").alias("first"))
 
 
 _PH = f"""p as (select item_id as question, ' ' || array_to_string({_WORDS.format(c="text")}, ' ') || ' ' as words from {{benchmark}}), body as (select doc_id, ' ' || array_to_string({_WORDS.format(c="text")}, ' ') || ' ' as body from {{documents}}),
@@ -54,12 +51,12 @@ ph as (select question, doc_id, ((length(body) - length(replace(body, words, ' '
 
 @query(f"with {_PH} select * from ph")
 def r2_phrase_search(t: Tables) -> DataFrame:
-    return S.phrase_hits(t.documents, _phrases(t), "doc_id", "text")
+    return S.phrase_hits(t.document_index(), _phrases(t))
 
 
 @query(f"with {_units('{v_questions}', 'a')}, {_score('{documents}', 'doc_id', 'text', 'a')} select question, item_id as doc_id, round(score, 6) as score from a_s")
 def r3_bm25(t: Tables) -> DataFrame:
-    return S.bm25(t.documents, S.match_units(t.v_questions), "doc_id", "text").select("question", "doc_id", F.round("score", 6).alias("score"))
+    return S.bm25(t.document_index(), S.match_units(t.v_questions)).select("question", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"with {_units('{v_questions}', 'a')} select question, unit from a_u")
@@ -79,14 +76,14 @@ def _ranked(t: Tables) -> DataFrame:
     claims = t.labels.select("doc_id", F.lit(True).alias("claimed")).distinct()
     allowed = t.v_works.where("status <> 'excluded'").select(F.col("work_id").alias("doc_id"))
     with_phrase = t.v_questions.select("question", (F.size(S.quoted("text")) > 0).alias("phrase_hit"))
-    rows = S.bm25(t.documents, S.match_units(t.v_questions), "doc_id", "text").join(allowed, "doc_id", "left_semi").join(claims, "doc_id", "left").join(with_phrase, "question")
+    rows = S.bm25(t.document_index(), S.match_units(t.v_questions)).join(allowed, "doc_id", "left_semi").join(claims, "doc_id", "left").join(with_phrase, "question")
     rows = rows.select("question", F.col("doc_id").alias("item_id"), F.lit("span").alias("kind"), F.col("score").alias("bm25"), "phrase_hit", F.coalesce("claimed", F.lit(False)).alias("has_claim"), F.lit(False).alias("claim_type_match"), F.lit(None).cast("double").alias("weight"))
     return S.rank_candidates(rows)
 
 
 @query(f"with {_PHQ}, {_CAND} select question, doc_id as item_id, place, phrase_hit, round(s, 6) as rank_score from pl where place <= 10")
 def r5_top_spans(t: Tables) -> DataFrame:
-    return _ranked(t).where("place <= 10").select("question", "item_id", "place", "phrase_hit", F.round("rank_score", 6).alias("rank_score"))
+    return _ranked(t).where("place <= 10").select("question", "item_id", "place", "phrase_hit", F.round(F.round("rank_score", 9), 6).alias("rank_score"))
 
 
 _CLAIMS = f"""{_units("{v_ask}", "q")}, cl as (select * from {{v_claims}} where access_class = 'open_access' and work_id % 10 <> 0), {_score("cl", "claim_id", "label", "q")},
@@ -101,14 +98,14 @@ con as (select question, concept_id, count(*) as tokens from tok join (select di
 def _claims(t: Tables) -> DataFrame:
     """Current claims that may be shown, of works that are not excluded: filtered before the limit."""
     shown = t.v_claims.where("access_class = 'open_access' and work_id % 10 <> 0")
-    return S.best_items(S.bm25(shown, S.match_units(t.v_ask), "claim_id", "label").withColumnRenamed("claim_id", "item_id"), 5, "claim")
+    return S.best_items(S.bm25(index_texts(shown, "claim_id", "label"), S.match_units(t.v_ask)).withColumnRenamed("claim_id", "item_id"), 5, "claim")
 
 
 def _notes(t: Tables) -> DataFrame:
     from corpusloom.operators.rows import latest
 
     current = latest(t.v_note_texts, ["work_id", "schema_id"], "created_at", "note_id").where("work_id % 10 <> 0")
-    return S.best_items(S.bm25(current, S.match_units(t.v_ask), "note_id", "text").withColumnRenamed("note_id", "item_id"), 5, "note")
+    return S.best_items(S.bm25(index_texts(current, "note_id", "text"), S.match_units(t.v_ask)).withColumnRenamed("note_id", "item_id"), 5, "note")
 
 
 def _concepts(t: Tables) -> DataFrame:
@@ -142,7 +139,7 @@ once as (select question, item_id, arg_min(kind, (b, s)) as kind, min((b, s)) as
 select question, item_id, kind, place from (select *, row_number() over (partition by question order by spot, item_id) as place from once) x where place <= 20""")
 def r9_merged(t: Tables) -> DataFrame:
     """Spans, claims, the claims of concepts, notes: each item once, the first twenty of a question."""
-    spans = S.best_items(S.bm25(t.documents.where("doc_id % 10 <> 0"), S.match_units(t.v_ask), "doc_id", "text").withColumnRenamed("doc_id", "item_id"), 5, "span")
+    spans = S.best_items(S.bm25(t.document_index().where("doc_id % 10 <> 0"), S.match_units(t.v_ask)).withColumnRenamed("doc_id", "item_id"), 5, "span")
     hits = _concepts(t).join(t.v_claim_concepts.where("work_id % 10 <> 0").select("concept_id", "claim_id"), "concept_id").select("question", F.col("claim_id").alias("item_id"), F.lit("claim").alias("kind"), F.lit(0.0).alias("score")).distinct()
     return S.merged_items([spans, _claims(t), hits, _notes(t)], 20)
 
@@ -160,7 +157,7 @@ def r12_citation_search(t: Tables) -> DataFrame:
 
 @query(f"with {_PHQ}, {_CAND} select question, count(*) as candidates, count(*) filter (phrase_hit) as with_phrase, round(max(s), 6) as top from pl group by 1")
 def r10_rank_summary(t: Tables) -> DataFrame:
-    return _ranked(t).groupBy("question").agg(F.count(F.lit(1)).alias("candidates"), F.count_if("phrase_hit").alias("with_phrase"), F.round(F.max("rank_score"), 6).alias("top"))
+    return _ranked(t).groupBy("question").agg(F.count(F.lit(1)).alias("candidates"), F.count_if("phrase_hit").alias("with_phrase"), F.round(F.round(F.max("rank_score"), 9), 6).alias("top"))
 
 
 @query(f"with {_PHQ}, {_CAND}, s as (select p.question, p.doc_id as item_id, w.source, row_number() over (partition by p.question, w.source order by p.place) as k from pl p join {{v_works}} w on w.work_id = p.doc_id) select question, item_id, source from s where k <= 2")
@@ -168,8 +165,8 @@ def r11_per_work_partitions(t: Tables) -> DataFrame:
     from corpusloom.operators.rows import top_k_by
 
     src = t.v_works.select(F.col("work_id").alias("item_id"), "source")
-    rows = _ranked(t).withColumnRenamed("place", "p").join(src, "item_id")
-    return top_k_by(rows, ["question", "source"], 2, F.asc("p")).select("question", "item_id", "source")
+    rows = _ranked(t).drop("place").join(src, "item_id")
+    return top_k_by(rows, ["question", "source"], 2, F.desc(F.round("rank_score", 9)), F.asc("item_id")).select("question", "item_id", "source")
 
 
 @query(f"""with {_PHQ}, {_CAND}, tk as (select p.question, p.doc_id, p.place, greatest(1, length(w.text) // 4) as tokens from pl p join {{v_works}} w on w.work_id = p.doc_id where place <= 40),
@@ -205,8 +202,8 @@ def r16_guard(t: Tables) -> DataFrame:
 select question, doc_id as item_id, place, case when place > 40 then 'cut_rank' when running <= 6000 or place = 1 then 'shown' else 'cut_budget' end as disposition from tk where place <= 60""")
 def r17_trace(t: Tables) -> DataFrame:
     size = t.v_works.select(F.col("work_id").alias("item_id"), X.estimate_tokens("text").alias("tokens"))
-    rows = _ranked(t).withColumnRenamed("place", "p").join(size, "item_id")
-    return dispositions(rows, ["question"], [F.asc("p")], "tokens", 6000, 40).where("place <= 60").select("question", "item_id", "place", "disposition")
+    rows = _ranked(t).where("place <= 60").withColumnRenamed("place", "p").join(size, "item_id")  # later places change nothing before them
+    return dispositions(rows, ["question"], [F.asc("p")], "tokens", 6000, 40).select("question", "item_id", "place", "disposition")
 
 
 @query(f"with {_PHQ}, {_CAND} select question, doc_id % 7 as work, min(place) as place, string_agg(doc_id::varchar, ',' order by place) as spans from pl where place <= 12 group by 1, 2")

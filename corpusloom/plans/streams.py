@@ -7,6 +7,11 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators import corpus as C
+from corpusloom.operators.kept import Kept
+from corpusloom.operators.textindex import kept_index
+from corpusloom.operators.windows import line_rows
+from corpusloom.plans import corpus, retrieval  # noqa: F401  their SQL is the same
 from corpusloom.plans.lineage import shared_dir
 from corpusloom.registry import Tables, query
 from corpusloom.streaming import events as E
@@ -51,12 +56,35 @@ def t7_step_counts(t: Tables) -> DataFrame:
 @query("select doc_id, line, start, start + length(body) as \"end\" from (select doc_id, line, body, coalesce(sum(length(body) + 1) over (partition by doc_id order by line rows between unbounded preceding and 1 preceding), 0)::bigint as start from (select doc_id, unnest(string_split(text, chr(10))) as body, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line from {documents}) l) o where trim(body) <> ''")
 def t6_incremental_spans(t: Tables) -> DataFrame:
     """Line spans kept up to date by foreachBatch, then read back."""
-    from corpusloom.operators.windows import line_rows
-
-    base = f"{shared_dir(t.spark)}/spans-{uuid.uuid4().hex}"
-    docs = t.spark.readStream.schema(t.documents.schema).parquet(f"{t.sf_dir}/document[s].parquet")
     build = lambda df: line_rows(df, "doc_id", "text").where("trim(body) <> ''").select("doc_id", "line", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
-    E.maintain(docs, f"{base}/out", build, f"{base}/state").awaitTermination()
-    return t.spark.read.parquet(f"{base}/out").drop("batch")
-
-
+    kept = Kept(f"{shared_dir(t.spark)}/kept-{uuid.uuid4().hex}", "doc_id", "text", {"lines": build})
+    docs = t.documents.select("doc_id", "text")
+    return _redone(t, kept, docs).read(docs, "lines").drop("bucket")
+
+
+def _redone(t: Tables, kept: Kept, docs: DataFrame) -> Kept:
+    """Kept tables after two streams of documents: drafts of a third of them, then all as they are."""
+    base = f"{shared_dir(t.spark)}/arriving-{uuid.uuid4().hex}"
+    drafts = docs.where(F.pmod(F.col(kept.key), F.lit(3)) == 0).withColumn(kept.text, F.concat(F.lit("# Draft\n\nof "), F.col(kept.text)))
+    for i, rows in enumerate((drafts, docs)):
+        rows.write.parquet(f"{base}/{i}")
+        stream = t.spark.readStream.schema(docs.schema).parquet(f"{base}/{i}")
+        E.maintain(stream, kept, f"{base}/state{i}", first=1000 * i).awaitTermination()
+    return kept
+
+
+@query(like="c1_sections")
+def t6_incremental_sections(t: Tables) -> DataFrame:
+    """Sections kept up to date beside paragraph spans."""
+    kept = Kept(f"{shared_dir(t.spark)}/kept-{uuid.uuid4().hex}", "work_id", "text", {"sections": C.sections, "spans": C.paragraph_spans})
+    docs = t.v_docs
+    return _redone(t, kept, docs).read(docs, "sections").drop("bucket")
+
+
+@query(like="r1_postings")
+def t6_incremental_index(t: Tables) -> DataFrame:
+    """The inverted index kept up to date: its vocabulary of all buckets."""
+    kept = kept_index(f"{shared_dir(t.spark)}/kept-{uuid.uuid4().hex}", "doc_id", "text")
+    docs = t.documents.select("doc_id", "text")
+    words = _redone(t, kept, docs).read(docs, "vocabulary")
+    return words.groupBy("token").agg(F.sum("n").alias("n"), F.sum("df").alias("df"), F.min("first").alias("first"))

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.operators.kept import Kept
 from corpusloom.plans.lineage import shared_dir
 
 #: Events that end a run, and the status they leave it in.
@@ -69,10 +70,10 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
     return out.parquet(f"{base}/out")
 
 
-def maintain(docs: DataFrame, target: str, build, checkpoint: str):
-    """Rebuilds what ``build`` makes of each arriving document under ``target``, one folder a batch: a batch run again overwrites its own."""
+def maintain(docs: DataFrame, kept: Kept, checkpoint: str, first: int = 0):
+    """Takes each batch of a stream of documents into the kept tables; a batch run again after a failure gives the same tables.
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        build(batch).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
-
-    return docs.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    ``first`` is the number of the stream's first batch; a stream that follows
+    another on the same tables starts above its numbers.
+    """
+    return docs.writeStream.foreachBatch(lambda batch, i: kept.apply(batch, first + i)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
