@@ -15,6 +15,7 @@ from corpusloom.plans import corpus, retrieval  # noqa: F401  their SQL is the s
 from corpusloom.plans.lineage import shared_dir
 from corpusloom.registry import Tables, query
 from corpusloom.streaming import events as E
+from corpusloom.streaming import state as T
 
 
 def _stream(t: Tables) -> DataFrame:
@@ -33,13 +34,27 @@ def t1_tail(t: Tables) -> DataFrame:
 
 @query("select run_id, seq, case event when 'purchase' then 'completed' when 'click' then 'failed' else 'running' end as status from (select user_id as run_id, max(event_id) over (partition by user_id) as seq, event_type as event, row_number() over (partition by user_id order by ts desc, event_id desc) as r from {events}) x where r = 1")
 def t2_live_status(t: Tables) -> DataFrame:
-    return E.drained(E.live_status(_runs(t)), "complete")
+    return E.drained(T.live_status(_runs(t), "400 days", 86_400), "update", ["run_id"])
+
+
+@query("""with last as (select user_id, max(ts) as m, arg_max(event_type, (ts, event_id)) as e, count(*) as n from {events} group by 1)
+select user_id as run_id, m::timestamp as silent_from, n as events from last where e not in ('purchase', 'click') and m + interval 6 hours <= (select max(ts) - interval 1 hour from {events})""")
+def t3_interrupted(t: Tables) -> DataFrame:
+    """Runs silent for six hours at the watermark, an hour behind the newest event."""
+    return E.drained(T.interrupted(_runs(t), "1 hour", 6 * 3600), "append")
 
 
 @query("select date_trunc('day', ts)::timestamp as day, user_id % 4 as provider, round(sum(coalesce(value, 0)), 4) as spend, sum(coalesce(value, 0)) >= 2000 as stopped from {events} group by 1, 2")
 def t4_daily_spend(t: Tables) -> DataFrame:
     usage = _stream(t).select(F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 4).alias("provider"), F.col("value").alias("cost"))
-    return E.drained(E.daily_spend(usage, 2000.0, "400 days"), "complete")
+    return E.drained(E.daily_spend(usage, 2000.0, "400 days"), "update", ["day", "provider"])
+
+
+@query("""select event_id, day, provider, round(running, 4) as running, coalesce(max(running) over (partition by day, provider order by ts, event_id rows between unbounded preceding and 1 preceding), 0) >= 2000 as stopped
+from (select event_id, ts, date_trunc('day', ts)::timestamp as day, user_id % 4 as provider, sum(coalesce(value, 0)) over (partition by date_trunc('day', ts), user_id % 4 order by ts, event_id rows unbounded preceding) as running from {events}) x""")
+def t4_spend_latch(t: Tables) -> DataFrame:
+    usage = _stream(t).select("event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 4).alias("provider"), F.col("value").alias("cost"))
+    return E.drained(T.latched_spend(usage, 2000.0, "400 days"), "append").withColumn("running", F.round("running", 4))
 
 
 @query()
@@ -50,7 +65,7 @@ def t5_fresh_responses(t: Tables) -> DataFrame:
 
 @query("select user_id as run_id, date_trunc('day', ts)::timestamp as day, event_type as event, count(*) as n from {events} group by 1, 2, 3")
 def t7_step_counts(t: Tables) -> DataFrame:
-    return E.drained(E.step_counts(_runs(t), "400 days"), "complete")
+    return E.drained(E.step_counts(_runs(t), "400 days"), "update", ["run_id", "day", "event"])
 
 
 @query("select doc_id, line, start, start + length(body) as \"end\" from (select doc_id, line, body, coalesce(sum(length(body) + 1) over (partition by doc_id order by line rows between unbounded preceding and 1 preceding), 0)::bigint as start from (select doc_id, unnest(string_split(text, chr(10))) as body, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line from {documents}) l) o where trim(body) <> ''")

@@ -94,7 +94,7 @@ def w13_heading_parent(t: Tables) -> DataFrame:
 
 @query("select run_id, case when event in ('purchase') then 'completed' when event = 'click' then 'failed' else 'running' end as status from (select run_id, event, row_number() over (partition by run_id order by seq desc) as r from {v_runs}) x where r = 1")
 def w14_run_status(t: Tables) -> DataFrame:
-    from corpusloom.streaming.events import status_of
+    from corpusloom.streaming.state import status_of
 
     return latest(t.v_runs.select("run_id", "seq", "event"), ["run_id"], "seq").select("run_id", status_of("event").alias("status"))
 

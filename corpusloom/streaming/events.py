@@ -4,46 +4,24 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators.kept import Kept
+from corpusloom.operators.rows import latest
 from corpusloom.plans.lineage import shared_dir
 
-#: Events that end a run, and the status they leave it in.
-TERMINAL = {"purchase": "completed", "click": "failed"}
-
-
-def status_of(event: str) -> Column:
-    out = F.lit("running")
-    for name, status in reversed(TERMINAL.items()):
-        out = F.when(F.col(event) == name, status).otherwise(out)
-    return out
-
-
 def tail(spark: SparkSession, path: str, schema: str | object) -> DataFrame:
     """The event log as a stream of Parquet files; the checkpoint keeps the offset."""
     return spark.readStream.schema(schema).parquet(path)
 
 
-def live_status(events: DataFrame) -> DataFrame:
-    """(run_id, seq, status) by the latest event; update or complete mode."""
-    got = events.groupBy("run_id").agg(F.max_by("event", F.struct("ts", "seq")).alias("event"), F.max("seq").alias("seq"))
-    return got.select("run_id", "seq", status_of("event").alias("status"))
-
-
 def daily_spend(usage: DataFrame, limit: float, late: str = "1 day") -> DataFrame:
     """Spend and a latch for each day and provider; events later than ``late`` are dropped."""
     got = usage.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"), "provider").agg(F.sum(F.coalesce("cost", F.lit(0.0))).alias("spend"))
     return got.select(F.col("w.start").alias("day"), "provider", F.round("spend", 4).alias("spend"), (F.col("spend") >= limit).alias("stopped"))
 
 
-def interrupted(events: DataFrame, silence: str, late: str) -> DataFrame:
-    """Sessions of a run that ended by silence, without a terminal event."""
-    s = events.withWatermark("ts", late).groupBy("run_id", F.session_window("ts", silence).alias("w")).agg(F.bool_or(F.col("event").isin(*TERMINAL)).alias("ended"), F.count(F.lit(1)).alias("events"))
-    return s.where("not ended").select("run_id", F.col("w.end").alias("silent_from"), "events")
-
-
 def fresh_responses(cache: DataFrame, keys: list[str], ttl: str) -> DataFrame:
     """The first response of each key within the TTL; repeats are dropped while the state lives."""
     return cache.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(keys)
@@ -53,21 +31,23 @@ def step_counts(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", late).groupBy("run_id", F.window("ts", "1 day").alias("w"), "event").agg(F.count(F.lit(1)).alias("n")).select("run_id", F.col("w.start").alias("day"), "event", "n")
 
 
-def drained(stream: DataFrame, mode: str) -> DataFrame:
+def drained(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
     """Runs a stream over all that is there and gives the result as a table in the shared folder.
 
-    Appended rows go through the file sink, which writes each once; of a
-    complete result the last batch stays. The checkpoint lies beside it.
+    Appended rows go through the file sink, which writes each once. Updates are
+    written a folder a batch, so a batch run again overwrites its own, and the
+    last row of each of ``keys`` counts. Neither mode keeps what the watermark
+    has passed. The checkpoint lies beside the table.
     """
-    base = f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
-    out = stream.sparkSession.read.schema(stream.schema)
-    stream.sparkSession.createDataFrame([], stream.schema).write.parquet(f"{base}/out")
+    spark, base = stream.sparkSession, f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    spark.createDataFrame([], stream.schema).write.parquet(f"{base}/out/batch=-1" if mode == "update" else f"{base}/out")
     w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
     if mode == "append":
         w.format("parquet").option("path", f"{base}/out").start().awaitTermination()
-    else:
-        w.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{base}/out")).start().awaitTermination()
-    return out.parquet(f"{base}/out")
+        return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    w.foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(f"{base}/out/batch={i}")).start().awaitTermination()
+    updates = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{base}/out")
+    return latest(updates, keys, "batch").drop("batch")
 
 
 def maintain(docs: DataFrame, kept: Kept, checkpoint: str, first: int = 0):
