@@ -124,10 +124,6 @@ def estimate_tokens(c: Column | str) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(c) / 4)).cast("long")
 
 
-def year_in(c: Column | str) -> Column:
-    return F.expr(f"try_cast(nullif(regexp_extract({c}, r'\\b(1[5-9][0-9]{{2}}|20[0-9]{{2}})\\b', 1), '') as int)") if isinstance(c, str) else F.regexp_extract(c, r"\b(1[5-9]\d{2}|20\d{2})\b", 1).try_cast("int")
-
-
 def doi_in(c: Column | str) -> Column:
     got = F.regexp_replace(F.regexp_extract(c, r"(?i)\b(10\.\d{4,9}/[^\s\"<>]+)", 1), r"[.,;)]+$", "")
     return F.when(got != "", F.lower(got))
@@ -135,21 +131,23 @@ def doi_in(c: Column | str) -> Column:
 
 def arxiv_in(c: Column | str) -> Column:
     """A labelled arXiv id without its version."""
-    got = F.regexp_extract(c, r"(?i)arxiv(?:\.org/(?:abs|pdf)/|:\s*)(\d{4}\.\d{4,5}|[a-z-]+/\d{7})", 1)
+    got = F.regexp_extract(c, r"(?i)arxiv(?:\.org/(?:abs|pdf)/|[:\s]+)((?:[a-z][a-z.-]+/)?\d{4}\.\d{4,5}|[a-z][a-z.-]+/\d{7})", 1)
     return F.when(got != "", F.lower(got))
 
 
+# Cues of section kinds in headings; a references heading may have one word before the cue.
+SECTION_OPENINGS = ["reference", "references", "bibliography", "works cited", "literature cited", "reference list"]
+SECTION_WORDS = {"abstract": ["abstract"], "appendix": ["appendix", "appendices"], "acknowledgments": ["acknowledgment", "acknowledgments", "acknowledgement", "acknowledgements"]}
+
+
 def section_kind(heading: Column | str) -> Column:
     """references, abstract, appendix, acknowledgments or body, from a heading without number and emphasis."""
     h = F.trim(F.regexp_replace(F.trim(F.regexp_replace(heading, r"<span[^>]*>\s*</span>|[*_`]+", "")), r"^\d{1,3}(?:\.\d{1,3})*[.)]?\s+", ""))
-    cue = r"(?i)^(?:[a-z][\p{L}\p{N}_'.-]*\s+)?(?:references?\b|bibliography\b|works\s+cited\b|literature\s+cited\b|reference\s+list\b|\S+\s+cited\b)"
-    return (
-        F.when(h.rlike(cue), "references")
-        .when(h.rlike(r"(?i)\babstract\b"), "abstract")
-        .when(h.rlike(r"(?i)\b(?:appendix|appendices)\b"), "appendix")
-        .when(h.rlike(r"(?i)\backnowledge?ments?\b"), "acknowledgments")
-        .otherwise("body")
-    )
+    cues = "|".join(w.replace(" ", r"\s+") for w in SECTION_OPENINGS)
+    out = F.when(h.rlike(rf"(?i)^(?:[a-z][\p{{L}}\p{{N}}_'.-]*\s+)?(?:(?:{cues})\b|\S+\s+cited\b)"), "references")
+    for kind, words in SECTION_WORDS.items():
+        out = out.when(h.rlike(rf"(?i)\b(?:{'|'.join(words)})\b"), kind)
+    return out.otherwise("body")
 
 
 def content_id(prefix: str, size: int, *parts: Column) -> Column:

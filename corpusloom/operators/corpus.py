@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as X
 from corpusloom.operators.joins import section_at
 from corpusloom.functions.access import most_restrictive
-from corpusloom.operators.windows import carry, islands, line_rows, monotone_runs, outline
+from corpusloom.operators.windows import islands, line_rows, outline
 
 
 def sections(docs: DataFrame, doc: str = "work_id", text: str = "text") -> DataFrame:
@@ -105,87 +105,6 @@ def chunk_plan(units: DataFrame, doc: str, budget: int, overlap: int) -> DataFra
     return got.withColumn("tokens", tokens(F.col("start_char"), F.col("end_char")).cast("long"))
 
 
-# Labels of plain reference lists; any other label is a list of its own kind, whose numbering is trusted.
-PLAIN_LABELS = ["references", "bibliography", "works cited", "literature cited", "reference list", "references and notes", "literature"]
-
-
-def is_sublist(label: Column | str) -> Column:
-    clean = F.regexp_replace(F.regexp_replace(label, r"<span[^>]*>\s*</span>|[*_`]+", ""), r"^\s*\d{1,3}[.)]\s*", "")
-    return ~F.lower(F.trim(F.regexp_replace(F.regexp_replace(clean, r":\s*$", ""), r"\s+", " "))).isin(*PLAIN_LABELS)
-
-
-def clean_reference_line(c: Column | str) -> Column:
-    """Without anchors, bullets, back links, emphasis; links become their text (a DOI link keeps its DOI)."""
-    c = F.regexp_replace(c, r"<span[^>]*>\s*</span>", "")
-    c = F.regexp_replace(c, r"^\s*[-*+•]\s+", "")
-    c = F.regexp_replace(c, r"\[[↩^↑]\]\([^)]*\)|\s*↩\s*$", "")
-    c = F.regexp_replace(c, r"\[([^\]]*)\]\((?:https?://(?:dx\.)?doi\.org/)(10\.[^)\s]+)\)", "$1 $2")
-    c = F.regexp_replace(c, r"\[([^\]]*)\]\([^)]*\)", "$1")
-    c = F.regexp_replace(c, r"[*]{1,3}|(?<![\p{L}\p{N}])_+|_+(?![\p{L}\p{N}])", "")
-    return F.regexp_replace(c, "(?<=[0-9])�(?=[0-9])", "-")
-
-
-_NUMBER = r"^\s*(?:\[\s*(\d{1,3})\s*\]|\(\s*(\d{1,3})\s*\)|(\d{1,3})[.)])\s+"
-_REPEAT = r"^\s*(?:[—–―]{1,3}|-{3,}|_{3,})\s*[,.]?\s*"
-_AUTHOR_YEAR = r"^[\"“]?\s*\p{Lu}[\p{L}'’-]+,\s*(?:\p{Lu}\.|\p{Lu}[\p{L}]+).*?"
-
-
-def debris(c: str) -> Column:
-    """Lines that page breaks leave in a list: headings, page numbers, download notes, bare links, running heads."""
-    line = F.trim(F.col(c))
-    return (
-        line.rlike(r"^#{1,6}[ \t]+\S")
-        | line.rlike(r"(?i)^(?:this content )?downloaded from\b|^all use subject to\b|^\[?\s*(?:no\.|vol\.)\s*\d|^discussion of the paper\b")
-        | line.rlike(r"(?i)^https?://(?!(?:dx\.)?doi\.org/)\S+$")
-        | line.rlike(r"^\d{1,4}$")
-        | (line.rlike(r"^[^a-z0-9]*[A-Z][A-Z .,&-]{1,58}$") & line.rlike("AND|,") & ~line.rlike(r"\b(?:1[5-9]\d{2}|20\d{2})\b"))
-    )
-
-
-def references(ranges: DataFrame, doc: str = "work_id") -> DataFrame:
-    """Entries of reference ranges (doc, label, text): raw line, author, year, title, doi, arxiv.
-
-    A range is read line by line: cleaned, debris dropped; a numbered list
-    (three numbers that mostly rise, or any number in a named sub-list) begins
-    an entry at each number, others where a line opens with an author and is
-    not a continuation. Entries carry the author before where a dash repeats it.
-    """
-    keys = [doc, "label"]
-    lines = line_rows(ranges.select(F.struct(doc, "label").alias("k"), "text"), "k", "text").select(F.col(f"k.{doc}").alias(doc), F.col("k.label").alias("label"), "line", clean_reference_line("body").alias("body"))
-    lines = lines.where((F.trim("body") != "") & ~debris("body"))
-    num = F.regexp_extract("body", _NUMBER, 0)
-    lines = lines.withColumn("number", F.when(num != "", F.regexp_replace(num, r"\D", "").cast("int")))
-    runs = monotone_runs(lines, keys, "line", "number").select(*keys, "enumerated")
-    lines = lines.join(runs, keys, "left").withColumn("enumerated", F.coalesce("enumerated", F.lit(False)) | (is_sublist("label") & F.max(F.col("number").isNotNull()).over(W.partitionBy(*keys))))
-    opens = F.when(F.col("enumerated"), F.col("number").isNotNull() | F.col("body").rlike(_REPEAT)).otherwise(F.col("number").isNotNull() | F.col("body").rlike(_REPEAT) | (F.col("body").rlike(_AUTHOR_YEAR) & ~F.col("body").rlike(r"^\s{2,}|^\s*\p{Ll}")))
-    groups = islands(lines.withColumn("_open", opens), keys, "line", F.col("_open"), "ordinal").where("ordinal > 0 or not enumerated")
-    raw = groups.groupBy(*keys, "ordinal").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "body"))), lambda x: F.trim(x["body"])), " ").alias("raw"), F.bool_or("enumerated").alias("enumerated"))
-    raw = raw.withColumn("raw", F.trim(F.regexp_replace("raw", r"\s+", " "))).where("raw <> ''")
-    body = F.trim(F.regexp_replace(F.regexp_replace("raw", _REPEAT, ""), _NUMBER, ""))
-    d = raw.withColumn("body", body).withColumn("continued", F.col("raw").rlike(_REPEAT))
-    surname = F.coalesce(F.nullif(F.regexp_extract("body", r"^[\"“]?\s*(\p{Lu}[\p{L}\p{N}_'’.-]+)\s*,", 1), F.lit("")), F.nullif(F.regexp_extract("body", r"^(?:\p{Lu}\.-?\s*){1,4}(\p{Lu}[\p{L}'’-]+)", 1), F.lit("")))
-    d = carry(d.withColumn("_a", surname), keys, "ordinal", F.col("_a"), "_carried")
-    author = F.coalesce("_a", F.when(F.col("continued"), F.col("_carried")))
-    after_year = F.regexp_replace(F.regexp_extract("body", r"\(?\b(?:1[5-9]\d{2}|20\d{2})\b[a-z]?\)?[.,:]?\s*(.*)$", 1), r"^[\"“”'\s]+", "")
-    quoted = F.regexp_extract("body", r"[\"“]([^\"“”]{6,})[\"”]", 1)
-    numbered = F.regexp_extract("body", r"^(?:[^.]*?(?:\p{Lu}\.\s*)+[^.]*?\.\s+)?([^.]{6,}?)\.\s", 1)
-    by_year = F.trim(F.element_at(F.split(after_year, r"\.\s+|\.$"), 1))
-    title = F.when(quoted != "", F.regexp_replace(quoted, "[,.]+$", "")).when(F.col("enumerated") & (numbered != ""), F.trim(numbered)).otherwise(F.nullif(by_year, F.lit("")))
-    return d.select(doc, "label", F.row_number().over(W.partitionBy(*keys).orderBy("ordinal")).alias("ordinal"), "raw", author.alias("author"), X.year_in(F.col("body")).alias("year"), title.alias("title"), X.doi_in("body").alias("doi"), X.arxiv_in("body").alias("arxiv"), "continued")
-
-
-def fallback_ranges(docs: DataFrame, doc: str = "work_id", text: str = "text") -> DataFrame:
-    """Reference ranges of documents without such a heading: from a bold, else a bare, cue line to the next heading."""
-    lines = line_rows(docs, doc, text)
-    bold = F.col("body").rlike(r"(?i)^\s*(?:\*\*|__)\s*(?:references|bibliography|works cited|literature cited)\s*:?\s*(?:\*\*|__)\s*:?\s*$")
-    bare = F.col("body").rlike(r"(?i)^\s*(?:references|bibliography|works cited|literature cited)\s*:?\s*$")
-    cue = lines.where(bold | bare).groupBy(doc).agg(F.min_by(F.struct("line", "body"), F.struct((~bold).alias("b"), F.col("line"))).alias("c"))
-    after = lines.join(cue, doc).where(F.col("line") > F.col("c.line"))
-    stop = after.where(F.col("body").rlike(r"^#{1,6}[ \t]+\S")).groupBy(doc).agg(F.min("line").alias("stop"))
-    inside = after.join(stop, doc, "left").where(F.col("stop").isNull() | (F.col("line") < F.col("stop")))
-    return inside.groupBy(doc).agg(F.first(F.trim(F.regexp_replace(F.col("c.body"), "[*_:]+", ""))).alias("label"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "body"))), lambda x: x["body"]), "\n").alias("text"))
-
-
 def note_claims(notes: DataFrame, scalars: list[str], arrays: list[str]) -> DataFrame:
     """One claim for each scalar field and array element of notes (note_id, work_id, and the fields as struct columns label, quote, status, note).
 

@@ -95,15 +95,6 @@ def c6_chunk_plan(t: Tables) -> DataFrame:
     return C.chunk_plan(C.paragraph_spans(t.v_docs), "work_id", 200, 16)
 
 
-@query()
-def c7_references(t: Tables) -> DataFrame:
-    """Each document's lines as a numbered reference list (the tables have no bibliographies)."""
-    lines = t.documents.select(F.col("doc_id").alias("work_id"), F.posexplode(F.split("text", "\n")).alias("n", "b")).where("trim(b) <> ''")
-    numbered = lines.withColumn("b", F.concat(F.lit("["), F.col("n") + 1, F.lit("] A. Writer, B. Author. "), F.col("b"), F.lit(". Journal, "), F.col("n") + 1990, F.lit(". doi:10.1000/x."), F.col("n")))
-    ranges = numbered.groupBy("work_id").agg(F.lit("References").alias("label"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "b"))), lambda x: x["b"]), "\n").alias("text"))
-    return C.references(ranges)
-
-
 @_register("""select doc_id, case when trim(text) = '' then 'empty' when length(trim(text)) < 8 then 'short' when 1 - length(regexp_replace(text, '[A-Za-z][A-Za-z]+', '', 'g')) / length(text) < 0.2 then 'noise' else 'no title,no headings' || case when regexp_matches(lower(text), '\\breferences\\b') then '' else ',no references' end end as notes from {documents}""")
 def c10_quality_screen(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.array_join(X.text_quality("text")["notes"], ",").alias("notes"))

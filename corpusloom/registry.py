@@ -17,7 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 _INDEXES: dict[tuple, Kept] = {}
-_MODULES = ["scans", "selects", "joins", "aggregates", "windows", "toplists", "scalars", "corpus", "identity", "graphs", "retrieval", "checks", "streams"]
+_MODULES = ["scans", "selects", "joins", "aggregates", "windows", "toplists", "scalars", "corpus", "identity", "graphs", "retrieval", "checks", "streams", "bibliographies"]
 
 
 class Tables:

@@ -110,17 +110,6 @@ def test_chunks_cover_units(spark):
     assert [r.oversize for r in rows] == [False] * 5 + [True, False] and rows[1].start_char == 180 and rows[-1].end_char == 5040
 
 
-def test_references_numbered_and_named(spark):
-    numbered = "## References\n[1] A. Smith, B. Jones. A fine title here. Journal, 2001. doi:10.1000/AB.1.\n   continued line\n[2] C. Brown. Another title. Venue, 2003.\n12\n[3] D. Green. Third title of all. arXiv:2101.00001v2, 2021."
-    named = "Smith, J. (1999). On things. Press.\nDoe, A. (2005). On more things.\n  and their ends. Press.\n———. (2006). Again. Press."
-    df = spark.createDataFrame([(1, "References", numbered), (2, "Bibliography", named)], "work_id long, label string, text string")
-    rows = C.references(df).orderBy("work_id", "ordinal").collect()
-    a, b = [r for r in rows if r.work_id == 1], [r for r in rows if r.work_id == 2]
-    assert [r.author for r in a] == ["Smith", "Brown", "Green"] and [r.year for r in a] == [2001, 2003, 2021]
-    assert a[0].doi == "10.1000/ab.1" and a[2].arxiv == "2101.00001" and "continued line" in a[0].raw
-    assert [r.author for r in b] == ["Smith", "Doe", "Doe"] and b[2].continued and b[1].title == "On more things"
-
-
 def test_label_joins(spark):
     labels = spark.createDataFrame([("a", "masked language model"), ("b", "language model masked"), ("c", "mlm"), ("d", "other thing"), ("e", "x")], "k string, t string").withColumn("g", F.lit(1))
     assert [(r.a, r.b) for r in similar_labels(labels, "k", "t", ["g"], 0.6).collect()] == [("a", "b")]
