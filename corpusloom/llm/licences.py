@@ -59,6 +59,9 @@ SENTENCES = {
     "unlicense-anyone": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
     "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty",
     "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "apache-ref-2": "Licensed under the Apache License 2.0",
+    "mit-ref-4": "Distributed under the MIT License",
+    "spdx": "SPDX-License-Identifier",
     "boost-ref": "Distributed under the Boost Software License, Version 1.0",
     "boost-grant": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following',
 }
@@ -96,9 +99,15 @@ RULES = [
     ("mpl-2.0-header", "MPL-2.0", ["mpl-ref", "mpl-copy"]),
     ("unlicense-text", "Unlicense", ["unlicense-free", "unlicense-anyone"]),
     ("zlib-text", "Zlib", ["zlib-as-is", "zlib-grant"]),
+    ("apache-2.0-reference-2", "Apache-2.0", ["apache-ref-2"]),
+    ("mit-reference-4", "MIT", ["mit-ref-4"]),
     ("boost-reference", "BSL-1.0", ["boost-ref"]),
     ("boost-text", "BSL-1.0", ["boost-grant"]),
 ]
+# Short identifiers that follow the tag "SPDX-License-Identifier:".
+SPDX = "MIT Apache-2.0 BSD-2-Clause BSD-3-Clause ISC GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-or-later LGPL-3.0-or-later AGPL-3.0-or-later MPL-2.0 CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 Unlicense Zlib BSL-1.0".split()
+SENTENCES |= {f"spdx-{x.lower()}": x for x in SPDX}
+RULES += [(f"spdx-{x.lower()}-tag", x, ["spdx", f"spdx-{x.lower()}"]) for x in SPDX]
 # A sentence ends at a line's end, or at . ! ? ; : before white space. Both
 # engines (here and the SQL oracle) read these patterns alike; here a known sentence may also run over single line ends.
 ENDS = r"[.!?;:]+(?:[ \t\r\n]+|$)|[\r\n]+"
@@ -139,6 +148,11 @@ def _sequence(rule: list[str]) -> str:
     return "".join(f"<{i}>" for i in rule)
 
 
+def _once(df: DataFrame, **columns: F.Column) -> DataFrame:
+    """``df`` with columns that are worked out once a row: the optimiser does not write a generator's result out for each use, in filters and lambdas above all."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def scan_licences(docs: DataFrame) -> DataFrame:
     """doc_id, licence, rule, n_times, first_sentence: each rule that a text of ``docs`` matches.
 
@@ -156,16 +170,17 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     table = F.array(*[F.struct(F.lit(s).alias("sentence"), F.lit(_wrapped(s)).alias("pattern"), F.lit(f"<{i}>").alias("id")) for s, i in sentences])
     rules = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(n).alias("licence"), F.lit(_sequence(s)).alias("ids")) for r, n, s in RULES])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike(HINT))
-    marked = rows.select("doc_id", _marked(F.col("text")).alias("marked")).withColumn("flat", F.translate("marked", SOFT, " "))
-    held = marked.select("doc_id", "marked", F.filter(table, lambda k: F.contains(F.col("flat"), k["sentence"])).alias("held")).where(F.size("held") > 0)
-    named = held.select("doc_id", F.aggregate("held", F.col("marked"), lambda t, k: F.regexp_replace(t, k["pattern"], k["id"])).alias("named"))
+    marked = _once(rows, marked=_marked(F.col("text"))).select("doc_id", "marked")
+    flat = _once(marked, flat=F.translate("marked", SOFT, " "))
+    held = _once(flat, held=F.filter(table, lambda k: F.contains(F.col("flat"), k["sentence"]))).where(F.size("held") > 0)
+    named = _once(held, named=F.aggregate("held", F.col("marked"), lambda t, k: F.regexp_replace(t, k["pattern"], k["id"]))).select("doc_id", "named")
     before = F.substring_index("named", "<", 1)
     text = named.where(F.contains("named", F.lit("<"))).select(
         "doc_id",
         F.array_join(F.regexp_extract_all("named", F.lit("<[^>]*>"), F.lit(0)), "").alias("ids"),
         F.length(F.regexp_replace(before, f"[^{HARD}{SOFT}]", "")).cast("long").alias("first_sentence"),
     )
-    hits = text.withColumn("hits", F.filter(rules, lambda r: F.contains(F.col("ids"), r["ids"])))
+    hits = _once(text, hits=F.filter(rules, lambda r: F.contains(F.col("ids"), r["ids"])))
     best = hits.withColumn("hits", F.filter("hits", lambda r: ~F.exists("hits", lambda o: (o["ids"] != r["ids"]) & F.contains(o["ids"], r["ids"]))))
     each = best.select("doc_id", "ids", "first_sentence", F.explode("hits").alias("r"))
     times = (F.length("ids") - F.length(F.replace(F.col("ids"), F.col("r")["ids"], F.lit("")))) / F.length(F.col("r")["ids"])

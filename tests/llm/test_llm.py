@@ -318,3 +318,15 @@ def test_licences_equal_sql(spark):
     con.execute(f"create view documents as select * from '{DIR}/documents.parquet'")
     want = sorted(con.sql(licences.oracle()).fetchall())
     assert want and sorted(tuple(r) for r in licences.scan_licences(spark.read.parquet(f"{DIR}/documents.parquet")).collect()) == want
+
+
+def test_licence_tags_and_one_line_references(spark):
+    rows = ["// SPDX-License-Identifier: MIT", "SPDX-License-Identifier: Apache-2.0\ncode", "Distributed under the MIT License.", "Licensed under the Apache License 2.0", "# SPDX-License-Identifier: BSD-3-Clause\n#\n# more", "MIT"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {(r.doc_id, r.licence) for r in licences.scan_licences(df).collect()}
+    assert got == {(0, "MIT"), (1, "Apache-2.0"), (2, "MIT"), (3, "Apache-2.0"), (4, "BSD-3-Clause")}
+
+
+def test_licence_plan_normalises_a_text_once(spark):
+    plan = licences.scan_licences(spark.createDataFrame([(1, "x", "y")], "doc_id long, text string, ids string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") <= 12 and licences.scan_licences(spark.createDataFrame([], "doc_id long, text string")).count() == 0
