@@ -6,12 +6,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators.components import connected_components
-from corpusloom.operators.joins import similar_labels
+from corpusloom.plans.lineage import stored
+
+
+def similar_sets(rows: DataFrame, key: str, tokens: str, tau: float) -> DataFrame:
+    """Pairs (a, b, jaccard), a < b, of rows whose token sets have a Jaccard similarity of ``tau`` or more. Rows without tokens pair with none.
+
+    Exact. Rows of equal sets are joined as one, by their least key. Two sets
+    are compared if they share a token of both prefixes (a set's n - ceil(tau n)
+    + 1 rarest tokens), their sizes allow it, and so does what is left of both
+    behind that token. Only keys, sizes and places go through that join; the
+    sets come in again for the pairs that are left.
+    """
+    each = rows.select(key, F.explode(F.array_distinct(tokens)).alias("_w"))
+    freq = each.groupBy("_w").agg(F.count(F.lit(1)).alias("_f"))
+    ranked = each.join(freq, "_w").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_f", "_w"))).alias("_s")).select(key, F.col("_s._w").alias("_all"))
+    ranked = stored(ranked.withColumn("_d", F.sha2(F.array_join("_all", " "), 256)), "token-sets")
+    reps = ranked.groupBy("_d").agg(F.min(key).alias("rep"))
+    members = ranked.select(key, "_d").join(reps, "_d").select(F.col(key).alias("member"), "rep")
+    sets = ranked.join(reps, (ranked["_d"] == reps["_d"]) & (ranked[key] == reps["rep"])).select("rep", "_all", F.size("_all").alias("n"))
+    head = (F.col("n") - F.ceil(F.lit(tau - 1e-9) * F.col("n")) + 1).cast("int")
+    places = sets.select("rep", "n", F.posexplode(F.slice("_all", F.lit(1), head)).alias("i", "_w"))
+    a, b = places.alias("a"), places.alias("b")
+    left = F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i"))
+    fits = (F.col("a.n") >= (tau - 1e-9) * F.col("b.n")) & (F.col("b.n") >= (tau - 1e-9) * F.col("a.n")) & (left >= tau / (1 + tau) * (F.col("a.n") + F.col("b.n")) - 1e-6)
+    near = a.join(b, (F.col("a._w") == F.col("b._w")) & (F.col("a.rep") < F.col("b.rep")) & fits).select(F.col("a.rep").alias("x"), F.col("b.rep").alias("y")).distinct()
+    side = lambda c, s: sets.select(F.col("rep").alias(c), F.col("_all").alias(s))
+    both = near.join(side("x", "_x"), "x").join(side("y", "_y"), "y")
+    j = F.size(F.array_intersect("_x", "_y")) / F.size(F.array_union("_x", "_y"))
+    alike = both.select("x", "y", j.alias("jaccard")).where(F.col("jaccard") >= tau - 1e-12)
+    same = reps.select(F.col("rep").alias("x"), F.col("rep").alias("y"), F.lit(1.0).alias("jaccard"))
+    of = lambda c, m: members.select(F.col("rep").alias(c), F.col("member").alias(m))
+    apart = alike.join(of("x", "_p"), "x").join(of("y", "_q"), "y").select(F.least("_p", "_q").alias("a"), F.greatest("_p", "_q").alias("b"), "jaccard")
+    equal = same.join(of("x", "a"), "x").join(of("y", "b"), "y").where("a < b").select("a", "b", "jaccard")
+    return apart.unionByName(equal)
 
 
 def title_matches(works: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b, jaccard) of works whose titles' token sets are alike and whose years differ by one at most (or lack)."""
-    pairs = similar_labels(works.select("work_id", "title"), "work_id", "title", [], least)
+    tokens = F.filter(F.split(F.trim("title"), r"\s+"), lambda x: x != "")
+    pairs = similar_sets(works.select("work_id", tokens.alias("_t")), "work_id", "_t", least)
     year = lambda c: works.select(F.col("work_id").alias(c), F.col("year").alias(f"year_{c}"))
     near = F.coalesce(F.abs(F.col("year_a") - F.col("year_b")) <= 1, F.lit(True))
     return pairs.join(year("a"), "a").join(year("b"), "b").where(near).select("a", "b", "jaccard")

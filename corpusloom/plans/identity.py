@@ -62,14 +62,14 @@ def e5_resolve_references(t: Tables) -> DataFrame:
     return I.resolve_references(entries, by_doi, by_title)
 
 
-_T6 = "select work_id, year, list_distinct(list_filter(string_split(regexp_replace(lower(title[:60]), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')) as t from {v_works}"
+_T6 = "select work_id, year, list_distinct(list_filter(string_split(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')) as t from {v_works}"
 
 
 @query(f"""with w as ({_T6}), p as (select a.work_id as rec, b.work_id as cand, len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) as j from w a join w b on a.work_id % 2 = 0 and b.work_id % 2 = 1 and abs(a.year - b.year) <= 1 and len(a.t) > 0 and len(b.t) > 0),
 best as (select rec, cand, j, row_number() over (partition by rec order by j desc, cand) as r from p where j >= 0.65 - 1e-12)
 select w.work_id as rec, cand, case when j >= 0.9 then 'resolved' when j is not null then 'review' else 'unresolved' end as outcome from (select work_id from w where work_id % 2 = 0) w left join best on rec = w.work_id and r = 1""")
 def e6_corpus_resolution(t: Tables) -> DataFrame:
-    w = t.v_works.select("work_id", "year", F.regexp_replace(F.lower(F.substring("title", 1, 60)), "[^a-z0-9]+", " ").alias("title"))
+    w = t.v_works.select("work_id", "year", F.regexp_replace(F.lower("title"), "[^a-z0-9]+", " ").alias("title"))
     p = I.title_matches(w, 0.65).where((F.col("a") + F.col("b")) % 2 == 1)
     even = F.when(F.col("a") % 2 == 0, F.col("a")).otherwise(F.col("b"))
     p = p.select(even.alias("rec"), (F.col("a") + F.col("b") - even).alias("cand"), "jaccard")

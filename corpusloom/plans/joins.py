@@ -146,7 +146,7 @@ def j15_acronyms(t: Tables) -> DataFrame:
     return J.acronyms(labels, "key", "p_name", ["g"]).select("a", "b")
 
 
-_W16 = "select work_id, year, list_distinct(list_filter(string_split(regexp_replace(lower(title[:60]), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')) as t from {v_works} where work_id < 300"
+_W16 = "select work_id, year, list_distinct(list_filter(string_split(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')) as t from {v_works} where work_id < 300"
 
 
 @query(f"""with w as ({_W16}) select a.work_id as a, b.work_id as b, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) as jaccard from w a join w b on a.work_id < b.work_id
@@ -154,7 +154,7 @@ where abs(a.year - b.year) <= 1 and len(a.t) > 0 and len(b.t) > 0 and len(list_i
 def j16_title_match(t: Tables) -> DataFrame:
     from corpusloom.operators.identity import title_matches
 
-    w = t.v_works.select("work_id", "year", F.regexp_replace(F.lower(F.substring("title", 1, 60)), "[^a-z0-9]+", " ").alias("title"))
+    w = t.v_works.select("work_id", "year", F.regexp_replace(F.lower("title"), "[^a-z0-9]+", " ").alias("title"))
     return title_matches(w, 0.5).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
