@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions.access import shareable
 from corpusloom.operators.components import connected_components
 from corpusloom.plans.lineage import cut
+from corpusloom.plans.ranks import numbered
 
 __all__ = ["connected_components"]
 
@@ -36,17 +38,31 @@ def degree_centrality(edges: DataFrame, nodes: DataFrame, key: str = "node") ->
     return got.select(key, F.coalesce("degree", F.lit(0)).alias("degree"), F.when(F.col("n") > 1, F.coalesce("degree", F.lit(0)) / (F.col("n") - 1)).otherwise(0.0).alias("centrality"))
 
 
-def betweenness(edges: DataFrame, nodes: DataFrame, key: str = "node", sources: int | None = None, seed: int = 1) -> DataFrame:
+def sources_needed(nodes: int, error: float, risk: float = 0.05) -> int:
+    """How many sources keep every node's sampled betweenness within ``error`` of the exact one, but for a chance of ``risk``.
+
+    Of one source each node gets a share of 0 to 1, and the mean over all
+    sources is the betweenness; so by Hoeffding's bound, over all nodes at once.
+    """
+    return math.ceil(math.log(2 * max(nodes, 1) / risk) / (2 * error * error))
+
+
+def betweenness(edges: DataFrame, nodes: DataFrame, key: str = "node", sources: int | None = None, seed: int = 1, error: float | None = None) -> DataFrame:
     """Share of shortest paths through each node, undirected, over (n-1)(n-2)/2.
 
     Level by level for all sources at once: rows (source, node) with distance
     and number of shortest paths go forward, then dependencies flow back from
     the deepest level. All sources make it exact; ``sources`` takes that many
-    by hash and scales up, for graphs where nodes times edges is too much.
+    by hash and scales up, for graphs where nodes times edges is too much, and
+    ``error`` takes as many as keep within it (``sources_needed``), which grows
+    with the logarithm of the number of nodes; all, where that is fewer.
     """
     nb = cut(both_ways(undirected(edges)))
     all_nodes = nodes.select(F.col(key).alias("v")).distinct()
     n = all_nodes.count()
+    if error is not None:
+        sources = sources_needed(n, error)
+    sources = None if sources is not None and sources >= n else sources
     roots = all_nodes if sources is None else all_nodes.orderBy(F.xxhash64("v", F.lit(seed)), "v").limit(sources)
     picked = n if sources is None else min(n, sources)
     seen = cut(roots.select(F.col("v").alias("s"), "v", F.lit(0).alias("d"), F.lit(1.0).alias("sigma")))
@@ -111,8 +127,9 @@ def communities(edges: DataFrame, nodes: DataFrame, key: str = "node", rounds: i
 
     In a round half of the nodes (by a hash of node and round) may move to the
     neighbouring community of greatest gain (ties to the smallest label), so
-    pairs do not swap for ever and the result is the same each time. Nodes
-    without an edge are communities of their own; labels are numbered in order
+    pairs do not swap for ever and the result is the same each time. After each
+    level, communities that fell apart are split into their connected parts, so
+    every community is connected. Nodes without an edge are communities of their own; labels are numbered in order
     of their smallest node.
     """
     w = undirected(edges).select("a", "b", F.lit(1.0).alias("w"))
@@ -135,14 +152,21 @@ def communities(edges: DataFrame, nodes: DataFrame, key: str = "node", rounds: i
                 goes = (F.col("t.g") > stay + 1e-9) & (F.pmod(F.xxhash64("v", F.lit(r)), F.lit(2)) == 0)
                 moves = best.where(goes).select("v", F.col("t.c").alias("to"))
                 label = cut(label.join(moves, "v", "left").select("v", F.coalesce("to", "c").alias("c")))
+            label = cut(_connected(label, w))
             up = label.select(F.col("v").alias("c"), F.col("c").alias("_to"))
             member = cut(member.join(up, "c", "left").select("v", F.coalesce("_to", "c").alias("c")))
             a, b = label.select(F.col("v").alias("a"), F.col("c").alias("ca")), label.select(F.col("v").alias("b"), F.col("c").alias("cb"))
             w = cut(w.join(a, "a").join(b, "b").groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w")))
     first = member.groupBy("c").agg(F.min("v").alias("first"))
-    # one row a community, numbered in order of its smallest node
-    numbered = first.withColumn("community", F.row_number().over(W.orderBy("first")) - 1)
-    return member.join(numbered, "c").select(F.col("v").alias(key), "community")
+    return member.join(numbered(first, "first", "community"), "c").select(F.col("v").alias(key), "community")
+
+
+def _connected(label: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(v, c) with each community cut into its connected parts, named by their least node."""
+    side = lambda c: label.select(F.col("v").alias(c), F.col("c").alias(f"c_{c}"))
+    inside = pairs.where("a <> b").join(side("a"), "a").join(side("b"), "b").where("c_a = c_b").select(F.col("a").alias("source"), F.col("b").alias("target"))
+    parts = connected_components(inside).select(F.col("node").alias("v"), "component")
+    return label.join(parts, "v", "left").select("v", F.coalesce("component", "v").alias("c"))
 
 
 def bridges(edges: DataFrame, labels: DataFrame, scores: DataFrame | None = None, key: str = "node") -> DataFrame:

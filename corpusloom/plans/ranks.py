@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.plans.lineage import stored
+
 
 def spread_rank(df: DataFrame, group: list[str], order: str, rows_per_range: int = 50_000, ties: list[str] | None = None, few: bool = False) -> DataFrame:
     """Adds ``rank`` (from 0) of each row in its group by ascending ``order``.
@@ -42,6 +44,15 @@ def spread_rank(df: DataFrame, group: list[str], order: str, rows_per_range: int
     )
 
 
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """``df`` with the number (from 0) of each row in ascending ``order``, whose values differ: sorted by range, each range numbered by itself behind the rows before it."""
+    laid = stored(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # one row a range
+    starts = laid.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    at = F.row_number().over(W.partitionBy("_part").orderBy(order)) - 1
+    return laid.withColumn("_i", at).join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_i")).drop("_part", "_i", "_start")
+
+
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row per key: the first in ``order`` (min_by on a struct, so it combines map-side)."""
     rest = [c for c in df.columns if c not in keys]

@@ -159,3 +159,39 @@ def f31_clean_concept(t: Tables) -> DataFrame:
 def f29_f32_links(t: Tables) -> DataFrame:
     p = t.part.withColumn("doi", F.concat(F.lit("10.1/"), F.col("p_partkey")))
     return p.select("p_partkey", X.link_out("doi", "p_name")[0].alias("link"), X.fingerprint(b=F.col("p_name"), a=F.col("p_partkey")).alias("print"))
+
+
+@query("select conv_id, string_agg((turn + 1)::varchar, ',' order by turn) as pages from {conversations} where turn % 3 <> 2 group by 1")
+def f30_page_marks(t: Tables) -> DataFrame:
+    """Page marks on lines of their own, from 1; what only looks like one is none."""
+    k = F.col("turn")
+    line = F.when(k % 3 == 0, F.format_string("{%d}------------", k)).when(k % 3 == 1, F.format_string("  {%d}---  ", k)).otherwise(F.format_string("see {%d}----- here", k))
+    texts = t.conversations.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat(line, F.lit("\n"), "text").alias("x")))), lambda e: e["x"]), "\n\n").alias("text"))
+    return texts.select("conv_id", F.array_join(F.transform(X.page_marks("text"), lambda x: x.cast("string")), ",").alias("pages")).where("pages <> ''")
+
+
+@query("""select p_partkey, case p_partkey % 4 when 0 then 'https://www.biorxiv.org/content/10.1101/' || p_partkey || '.full.pdf' when 1 then 'https://osf.io/' || lpad((p_partkey % 100000)::varchar, 5, '0') || '/download' when 2 then 'https://www.nber.org/system/files/working_papers/w' || p_partkey || '/w' || p_partkey || '.pdf' end as file from {part}""")
+def f33_file_candidates(t: Tables) -> DataFrame:
+    k = F.col("p_partkey")
+    page = (
+        F.when(k % 4 == 0, F.concat(F.lit("https://www.biorxiv.org/content/10.1101/"), k, F.lit("v2.full")))
+        .when(k % 4 == 1, F.concat(F.lit("https://osf.io/preprints/socarxiv/"), F.lpad((k % 100000).cast("string"), 5, "0")))
+        .when(k % 4 == 2, F.concat(F.lit("https://www.nber.org/papers/w"), k))
+        .otherwise(F.concat(F.lit("https://example.org/"), k))
+    )
+    return t.part.select("p_partkey", page.alias("page")).select("p_partkey", F.try_element_at(X.file_candidates("page"), F.lit(1)).alias("file"))
+
+
+@query("""select o_orderkey, case when o_orderkey % 3 = 0 then 'T' || o_orderkey when o_orderkey % 3 = 1 then 'D' || o_orderkey else 'N' || o_orderkey end as title, case when o_orderkey % 2 = 0 then year(o_orderdate)::int else 1900 end as year from {orders}""")
+def f34_provider_records(t: Tables) -> DataFrame:
+    """Fields of provider records under their several names: the first that is there and not blank."""
+    k = F.col("o_orderkey")
+    record = t.orders.select("o_orderkey", F.when(k % 3 == 0, F.concat(F.lit("T"), k)).when(k % 3 == 1, " ").alias("title"), F.when(k % 3 == 1, F.concat(F.lit("D"), k)).alias("display_name"), F.concat(F.lit("N"), k).alias("name"), F.when(k % 2 == 0, F.year("o_orderdate")).alias("year"), F.lit(1900).alias("publication_year"))
+    return record.select("o_orderkey", X.first_of(["title", "display_name", "name"]).alias("title"), X.first_of(["year", "publication_year"]).alias("year"))
+
+
+@query("select doc_id, sha256(nfc_normalize(replace(text, 'e', 'e' || chr(769)))) as nfc from {documents}")
+def x3_composed(t: Tables) -> DataFrame:
+    """Texts in composed form; Python is given only those with a combining mark."""
+    c = F.replace(F.col("text"), F.lit("e"), F.lit("e\u0301"))
+    return t.documents.select("doc_id", F.sha2(F.when(c.rlike(r"\p{M}"), X.nfc(c)).otherwise(c), 256).alias("nfc"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators import rows as R
+from corpusloom.plans.lineage import shared_dir
 from corpusloom.registry import Tables, query
 from corpusloom.sources import readers as S
 from corpusloom.sources import sinks as K
@@ -32,12 +35,49 @@ def s3_provider_cache(t: Tables) -> DataFrame:
     return S.provider_cache(cache, now, ["user_id", "event_type"]).select("user_id", "event_type", "event_id")
 
 
-@query("select count(*) filter (event_id % 3 = 0) as good, count(*) filter (event_id % 3 <> 0) as bad from {events}")
-def s4_s5_records(t: Tables) -> DataFrame:
-    line = F.when(F.col("event_id") % 3 == 0, F.to_json(F.struct("event_id", "value"))).when(F.col("event_id") % 3 == 1, F.to_json(F.struct("event_id"))).otherwise("not json")
-    good, bad = S.json_records(t.events.select(line.alias("line")), "line", ["event_id", "value"])
-    n = good.agg(F.count(F.lit(1)).alias("good"))
-    return n.join(F.broadcast(bad.agg(F.count(F.lit(1)).alias("bad"))))  # one row each
+def _written(t: Tables, rows: DataFrame, name: str) -> str:
+    """Rows of one column as lines of a text file each task, in the order of the rows."""
+    path = f"{shared_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
+    rows.write.text(path)
+    return path
+
+
+@query("""select event_id, case event_id % 4 when 1 then 'missing=value extra=' when 2 then 'missing= extra=more' when 3 then 'invalid JSON' end as problem, true as placed from {events} where event_id % 4 <> 0
+union all select -1, null, count(*) % 2 >= 0 from {events} where event_id % 4 = 0""")
+def s4_records(t: Tables) -> DataFrame:
+    """Event lines read back from files: bad ones with file and line, where the line read there is the event's own; and one row for the good."""
+    k = F.col("event_id")
+    line = F.when(k % 4 == 0, F.to_json(F.struct("event_id", "value"))).when(k % 4 == 1, F.to_json(F.struct("event_id"))).when(k % 4 == 2, F.to_json(F.struct("event_id", "value", F.lit(1).alias("more")))).otherwise(F.concat(F.lit('{"event_id":'), k, F.lit(", oh")))
+    path = _written(t, t.events.select(line.alias("value")), "records")
+    good, bad = S.json_records(S.lines_of(t.spark, path), "value", ["event_id", "value"])
+    number = F.regexp_extract("value", r"([0-9]+)", 1).cast("long")
+    again = t.spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("_p", "_v"))
+    placed = bad.join(again.select("file", (F.col("_p") + 1).cast("long").alias("line"), "_v"), ["file", "line"], "left")
+    told = placed.select(number.alias("event_id"), "problem", F.coalesce(F.col("_v") == F.col("value"), F.lit(False)).alias("placed"))
+    return told.unionByName(good.agg(F.lit(-1).cast("long").alias("event_id"), F.lit(None).cast("string").alias("problem"), (F.count(F.lit(1)) >= 0).alias("placed")))
+
+
+@query("""select doc_id::varchar as work_id, case doc_id % 5 when 3 then 'unknown item colour' when 4 then 'not a boolean: tables' end as problem, case when doc_id % 5 < 3 then doc_id % 2 = 0 end as tables, case when doc_id % 5 < 3 then case when doc_id % 5 = 1 then false else doc_id % 2 = 0 end end as priority from {documents}""")
+def s5_checklists(t: Tables) -> DataFrame:
+    """Checklist lines: booleans by item, an unknown item or a value that is none refused, priority given or derived."""
+    k = F.col("doc_id")
+    even = F.when(k % 2 == 0, "true").otherwise("false")
+    more = F.when(k % 5 == 1, ',"priority":false').when(k % 5 == 3, ',"colour":true').otherwise("")
+    line = F.concat(F.lit('{"work_id":"'), k, F.lit('","figures":false,"tables":'), F.when(k % 5 == 4, '"true"').otherwise(even), more, F.lit("}"))
+    good, bad = S.checklists(S.lines_of(t.spark, _written(t, t.documents.select(line.alias("value")), "checklists")), "value", ["figures", "tables"], ["tables"])
+    none = F.lit(None)
+    refused = bad.select(F.get_json_object("value", "$.work_id").alias("work_id"), "problem", none.cast("boolean").alias("tables"), none.cast("boolean").alias("priority"))
+    return good.select("work_id", none.cast("string").alias("problem"), "tables", "priority").unionByName(refused)
+
+
+@query("""with p as (select sha1(title) as h, count(*) as n from {v_works} where status = 'metadata_only' group by 1),
+o as (select case when trim(text) = '' then 'empty' when n is null then 'unmatched' when n = 1 then 'matched' else 'ambiguous' end as outcome from {v_works} left join p on h = sha1(title)) select outcome, count(*) as files from o group by 1""")
+def s6_folder(t: Tables) -> DataFrame:
+    """Documents as files in a tree of folders, scanned and told by outcome."""
+    path = f"{shared_dir(t.spark)}/folder-{uuid.uuid4().hex}"
+    t.documents.select("text", (F.col("doc_id") % 7).alias("shelf"), "doc_id").write.partitionBy("shelf", "doc_id").text(path)
+    pending = t.v_works.where("status = 'metadata_only'").select(F.sha1("title").alias("title_hash"))
+    return S.folder_outcomes(S.folder(t.spark, path, "*.txt"), pending).groupBy("outcome").agg(F.count(F.lit(1)).alias("files"))
 
 
 @query("select conv_id as work_id, count(*) as turns from {conversations} where conv_id in (select doc_id from {documents}) group by 1")

@@ -1,7 +1,6 @@
 """Rules and degenerate cases on hand-made rows."""
 
-import os
-
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +12,7 @@ from corpusloom.operators import rows as R
 from corpusloom.operators.components import connected_components
 from corpusloom.operators.identity import batch_upsert
 from corpusloom.operators.joins import acronyms, similar_labels
-from corpusloom.plans.ranks import spread_rank
+from corpusloom.plans.ranks import numbered, spread_rank
 
 
 def edges(spark, pairs):
@@ -43,7 +42,6 @@ def test_betweenness_of_path_star_and_no_edges(spark):
     assert [r.betweenness for r in G.betweenness(edges(spark, []), nodes(spark, [1, 2])).collect()] == [0.0, 0.0]
 
 
-@pytest.mark.skipif(not os.environ.get("CORPUSLOOM_SLOW"), reason="many small Spark jobs: a minute and more on a busy machine")
 def test_communities_split_two_cliques(spark):
     clique = lambda a: [(a + i, a + j) for i in range(5) for j in range(i + 1, 5)]
     e, n = edges(spark, clique(0) + clique(10) + [(0, 10)]), nodes(spark, [*range(5), *range(10, 15), 99])
@@ -54,6 +52,24 @@ def test_communities_split_two_cliques(spark):
     assert q > 0.3
 
 
+def test_sampled_betweenness_keeps_within_its_error(spark):
+    rng = np.random.default_rng(5)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 40, (90, 2))] + [(i, 0) for i in range(0, 40, 3)]
+    e, n = edges(spark, pairs), nodes(spark, range(40))
+    exact = {r.node: r.betweenness for r in G.betweenness(e, n).collect()}
+    k = G.sources_needed(40, 0.35)
+    assert k < 40 and G.sources_needed(40, 0.1) > 40
+    some = {r.node: r.betweenness for r in G.betweenness(e, n, error=0.35).collect()}
+    assert max(abs(some[v] - exact[v]) for v in exact) <= 0.35 and some != exact
+    assert {r.node: r.betweenness for r in G.betweenness(e, n, error=0.1).collect()} == pytest.approx(exact)
+
+
+def test_numbers_follow_the_order(spark):
+    df = spark.range(1000).select((F.col("id") * 7 % 1009).alias("k"))
+    got = sorted((r.k, r.i) for r in numbered(df, "k", "i").collect())
+    assert [i for _, i in got] == list(range(1000))
+
+
 def test_spread_rank_counts_a_hot_group(spark):
     df = spark.range(5000).select(F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id")).alias("g"), (F.abs(F.xxhash64("id")) % (1 << 60)).alias("k"), "id")
     got = spread_rank(df, ["g"], "k", rows_per_range=100).where("g = 0").orderBy("k").collect()
