@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.access import shareable
 from corpusloom.operators.components import connected_components
-from corpusloom.plans.lineage import cut
+from corpusloom.plans.lineage import cut, stored
 from corpusloom.plans.ranks import numbered
 
 __all__ = ["connected_components"]
@@ -132,15 +132,17 @@ def communities(edges: DataFrame, nodes: DataFrame, key: str = "node", rounds: i
     every community is connected. Nodes without an edge are communities of their own; labels are numbered in order
     of their smallest node.
     """
+    # Tables, not checkpoints: those hand the constraints of their plan on, which double with each round.
+    _table = lambda df: stored(df, "communities")
     w = undirected(edges).select("a", "b", F.lit(1.0).alias("w"))
     total = w.agg(F.sum("w")).first()[0] or 0.0
-    member = cut(nodes.select(F.col(key).alias("v")).distinct().select("v", F.col("v").alias("c")))
+    member = _table(nodes.select(F.col(key).alias("v")).distinct().select("v", F.col("v").alias("c")))
     if total:
         for _ in range(levels):
-            graph = cut(w.where("a <> b").select(F.col("a").alias("x"), F.col("b").alias("y"), "w").union(w.where("a <> b").select(F.col("b").alias("x"), F.col("a").alias("y"), "w")))
+            graph = _table(w.where("a <> b").select(F.col("a").alias("x"), F.col("b").alias("y"), "w").union(w.where("a <> b").select(F.col("b").alias("x"), F.col("a").alias("y"), "w")))
             loops = w.where("a = b").select(F.col("a").alias("x"), (2 * F.col("w")).alias("w"))
-            deg = cut(graph.select("x", "w").union(loops).groupBy("x").agg(F.sum("w").alias("k")))
-            label = cut(deg.select(F.col("x").alias("v"), F.col("x").alias("c")))
+            deg = _table(graph.select("x", "w").union(loops).groupBy("x").agg(F.sum("w").alias("k")))
+            label = _table(deg.select(F.col("x").alias("v"), F.col("x").alias("c")))
             for r in range(rounds):
                 sizes = label.join(deg, F.col("v") == F.col("x")).groupBy("c").agg(F.sum("k").alias("tot"))
                 links = graph.join(label.select(F.col("v").alias("y"), "c"), "y").groupBy("x", "c").agg(F.sum("w").alias("w"))
@@ -151,12 +153,12 @@ def communities(edges: DataFrame, nodes: DataFrame, key: str = "node", rounds: i
                 stay = F.coalesce("stay", F.lit(0.0))
                 goes = (F.col("t.g") > stay + 1e-9) & (F.pmod(F.xxhash64("v", F.lit(r)), F.lit(2)) == 0)
                 moves = best.where(goes).select("v", F.col("t.c").alias("to"))
-                label = cut(label.join(moves, "v", "left").select("v", F.coalesce("to", "c").alias("c")))
-            label = cut(_connected(label, w))
+                label = _table(label.join(moves, "v", "left").select("v", F.coalesce("to", "c").alias("c")))
+            label = _table(_connected(label, w))
             up = label.select(F.col("v").alias("c"), F.col("c").alias("_to"))
-            member = cut(member.join(up, "c", "left").select("v", F.coalesce("_to", "c").alias("c")))
+            member = _table(member.join(up, "c", "left").select("v", F.coalesce("_to", "c").alias("c")))
             a, b = label.select(F.col("v").alias("a"), F.col("c").alias("ca")), label.select(F.col("v").alias("b"), F.col("c").alias("cb"))
-            w = cut(w.join(a, "a").join(b, "b").groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w")))
+            w = _table(w.join(a, "a").join(b, "b").groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w")))
     first = member.groupBy("c").agg(F.min("v").alias("first"))
     return member.join(numbered(first, "first", "community"), "c").select(F.col("v").alias(key), "community")
 
