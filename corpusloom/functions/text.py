@@ -292,15 +292,112 @@ def clean_concept(c: str) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, "^concept::", ""), r"[_\s]+", " "))
 
 
-def link_out(doi: str, title: str, resolver: str | None = None, proxy: str | None = None) -> Column:
-    """Links for a work: DOI, then an OpenURL and a proxied one if these are set up."""
-    url = F.concat(F.lit("https://doi.org/"), F.col(doi))
-    links = [F.when(F.col(doi).isNotNull(), url)]
-    if resolver:
-        links.append(F.concat(F.lit(f"{resolver}?title="), F.url_encode(title)))
-    if proxy:
-        links.append(F.when(F.col(doi).isNotNull(), F.concat(F.lit(f"https://{proxy}/login?url="), F.url_encode(url))))
-    return F.filter(F.array(*links), lambda x: x.isNotNull())
+# Kinds of ids that have a public page, in order, with its label and address.
+PUBLIC_PAGES = [
+    ("doi", "DOI", "https://doi.org/"),
+    ("arxiv", "arXiv", "https://arxiv.org/abs/"),
+    ("openalex", "OpenAlex", "https://openalex.org/"),
+    ("s2", "S2", "https://www.semanticscholar.org/paper/"),
+    ("ssrn", "SSRN", "https://papers.ssrn.com/sol3/papers.cfm?abstract_id="),
+]
+# OpenURL 1.0 keys of a journal article without a DOI.
+ARTICLE = ["url_ver=Z39.88-2004", "rft_val_fmt=info:ofi/fmt:kev:mtx:journal", "rft.genre=article"]
+
+
+def form_encoded(c: Column) -> Column:
+    """As in a form: blanks are "+", only letters, digits and ``_.-~`` stay."""
+    return F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def percent_encoded(c: Column, keep_slash: bool = False) -> Column:
+    out = F.replace(form_encoded(c), F.lit("+"), F.lit("%20"))
+    return F.replace(out, F.lit("%2F"), F.lit("/")) if keep_slash else out
+
+
+def present(c: Column | str) -> Column:
+    """The trimmed text, null if nothing is left."""
+    v = F.trim(F.col(c).cast("string") if isinstance(c, str) else c.cast("string"))
+    return F.when(v != "", v)
+
+
+def surname_of(c: Column | str) -> Column:
+    """Of "Last, First" the last word before the comma, else the last word."""
+    return F.element_at(F.split(F.trim(F.split_part(present(c), F.lit(","), F.lit(1))), r"\s+"), -1)
+
+
+def open_url(doi: Column, resolver: str, sid: str | None = None, **about: Column) -> Column:
+    """An OpenURL by DOI; without one by what is known of the article (title, author, year, venue), null if nothing is."""
+    keys = {"title": "atitle", "author": "aulast", "year": "date", "venue": "jtitle"}
+    told = [F.concat(F.lit(f"rft.{keys[k]}="), form_encoded(v)) for k, v in about.items()]
+    source = [F.concat(F.lit("rfr_id="), form_encoded(F.lit(f"info:sid/{sid}")))] if sid else []
+    head, *rest = [x.split("=") for x in ARTICLE]
+    fixed = [F.concat(F.lit(f"{k}="), form_encoded(F.lit(v))) for k, v in rest]
+    version = F.lit("=".join(head))
+    by_doi = F.concat_ws("&", version, *source, F.concat(F.lit("rft_id="), form_encoded(F.concat(F.lit("info:doi/"), doi))))
+    by_text = F.when(F.coalesce(*about.values()).isNotNull(), F.concat_ws("&", version, *source, *fixed, *told)) if about else F.lit(None)
+    return F.concat(F.lit(resolver + ("&" if "?" in resolver else "?")), F.when(doi.isNotNull(), by_doi).otherwise(by_text))
+
+
+def proxied(doi: Column, proxy: str) -> Column:
+    """A DOI's address through a proxy: a template with {url} or {doi}, or a bare host; an address without a place for either gives none."""
+    target = F.concat(F.lit("https://doi.org/"), percent_encoded(doi, keep_slash=True))
+    for mark, value in (("{url}", target), ("{doi}", percent_encoded(doi))):
+        if mark in proxy:
+            return F.replace(F.lit(proxy), F.lit(mark), value)
+    return F.lit(None).cast("string") if "://" in proxy else F.concat(F.lit(f"https://{proxy}/login?url="), target)
+
+
+def link_out(ids: dict[str, Column | str], resolver: str | None = None, proxy: str | None = None, sid: str | None = None, **about: Column | str) -> Column:
+    """Array of (label, url): the public page of each id that is there, in order of ``PUBLIC_PAGES``, then OpenURL and proxy if these are set up.
+
+    ``about`` is title, author, year and venue, for works without a DOI. Blank
+    values count as none; links are made only, never followed.
+    """
+    got = {k: present(v) for k, v in ids.items()}
+    if "openalex" in got:
+        got["openalex"] = present(F.regexp_replace(got["openalex"], r"(?i)^(?:https?://)?openalex\.org/", ""))
+    doi = got.get("doi", F.lit(None).cast("string"))
+    link = lambda label, url: F.struct(F.lit(label).alias("label"), url.alias("url"))
+    links = [link(label, F.concat(F.lit(page), got[kind])) for kind, label, page in PUBLIC_PAGES if kind in got]
+    if resolver and resolver.strip():
+        told = {k: surname_of(about[k]) if k == "author" else present(about[k]) for k in ("title", "author", "year", "venue") if k in about}
+        links.append(link("OpenURL", open_url(doi, resolver.strip(), sid, **told)))
+    if proxy and proxy.strip():
+        links.append(link("EZproxy", proxied(doi, proxy.strip())))
+    return F.filter(F.array(*links), lambda x: x["url"].isNotNull())
+
+
+# Kinds of ids that name a request, in order.
+REQUEST_IDS = ["openalex", "doi", "arxiv", "pmid", "s2"]
+
+
+def request_id(ids: dict[str, Column | str], title: Column | str | None = None) -> Column:
+    """kind=value of the first id there is, in lower case; an arXiv DOI is its arXiv id; else title=normalised title, else "anon"."""
+    got = {k: F.lower(present(v)) for k, v in ids.items()}
+    named = []
+    for kind in REQUEST_IDS:
+        if kind in got:
+            own = F.concat(F.lit(f"{kind}="), got[kind])
+            if kind == "doi":
+                inner = F.lower(normalize_id("arxiv", F.regexp_extract(got[kind], r"^10\.48550/arxiv\.(.+)$", 1)))
+                own = F.coalesce(F.concat(F.lit("arxiv="), inner), own)
+            named.append(own)
+    if title is not None:
+        raw = F.col(title) if isinstance(title, str) else title
+        named.append(F.when(raw != "", F.concat(F.lit("title="), normalize_title(raw))))
+    return F.coalesce(*named, F.lit("anon"))
+
+
+def title_request(title: Column | str, year: Column | str | None = None) -> Column:
+    raw = F.coalesce(F.col(title) if isinstance(title, str) else title, F.lit(""))
+    y = F.lit("") if year is None else F.coalesce((F.col(year) if isinstance(year, str) else year).cast("string"), F.lit(""))
+    return F.concat(F.lit("by_title:title="), normalize_title(raw), F.lit("|year="), y)
+
+
+def batch_request(ids: Column) -> Column:
+    """The key of a batch of OpenAlex ids: normalised, each once, sorted; the same for the same set, whatever its order."""
+    own = F.filter(F.transform(ids, lambda x: normalize_id("openalex", x)), lambda x: x.startswith("W"))
+    return F.concat(F.lit("by_openalex_ids:ids="), F.array_join(F.array_sort(F.array_distinct(F.transform(own, F.lower))), "|"))
 
 
 def file_candidates(url: str) -> Column:

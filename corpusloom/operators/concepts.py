@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
@@ -37,6 +37,16 @@ def fold_veto(canonical: Column, member: Column, present_canonical: Column, pres
     return F.when(~(present_canonical & present_member), "not_observed").when(X.discriminating_conflict(c, m), "discriminating_token").when(~alike, "low_overlap")
 
 
+def no_proposals(spark: SparkSession) -> DataFrame:
+    """Proposals of nobody: with them ``review_pairs`` gives no rows."""
+    return spark.createDataFrame([], "proposal_id string, a string, b string")
+
+
+def similar_proposals(labels: DataFrame, key: str, text: str, within: list[str], tau: float) -> DataFrame:
+    """Proposals (proposal_id, a, b) of labels of a group that share most of their words, in place of a proposer's table."""
+    return similar_labels(labels, key, text, within, tau).select(F.concat_ws("~", "a", "b").alias("proposal_id"), "a", "b")
+
+
 def review_pairs(proposals: DataFrame, must: DataFrame, cannot: DataFrame, folded: DataFrame) -> DataFrame:
     """Proposed pairs with the reason to skip each: cannot, must, folded or duplicate; null ones go to review."""
     p = proposals.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "proposal_id")

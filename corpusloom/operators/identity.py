@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as X
 from corpusloom.operators.components import connected_components
 from corpusloom.plans.lineage import stored
 
@@ -114,6 +115,46 @@ def resolve_references(entries: DataFrame, by_doi: DataFrame, by_title: DataFram
     return got.select("entry_id", F.coalesce("doi_work", F.when(status == "resolved", F.col("title_work"))).alias("work_id"), status.alias("status"), conf.alias("confidence"))
 
 
+# Names that a provider's record may have for an id, in order of precedence.
+RECORD_IDS = {
+    "doi": ["doi"],
+    "openalex": ["openalex_id", "openalex"],
+    "arxiv": ["arxiv_id", "arxiv"],
+    "s2": ["semantic_scholar_id", "s2_id", "s2"],
+    "ssrn": ["ssrn_id", "ssrn"],
+}
+
+
+def provider_identities(records: DataFrame, record: str) -> DataFrame:
+    """Identity of provider records (a table in place of a provider): record, doi, openalex, arxiv, s2, ssrn, title, year, title_key, canonical.
+
+    ``records`` has whatever fields of RECORD_IDS its provider gives, title
+    and year; each id is normalised, from the first field that is not blank.
+    ``canonical`` is null for a record that has a title only.
+    """
+    ids = {}
+    for kind, names in RECORD_IDS.items():
+        held = [c for c in names if c in records.columns]
+        if held:
+            ids[kind] = X.first_of(held)
+    strong = X.strong_ids(ids) if ids else F.array().cast("array<struct<id_type:string,id_value:string>>")
+    of = lambda kind: F.try_element_at(F.filter("_ids", lambda x: x["id_type"] == kind), F.lit(1))["id_value"]
+    field = lambda c, t: (F.col(c) if c in records.columns else F.lit(None)).cast(t).alias(c)
+    got = records.select(record, strong.alias("_ids"), field("title", "string"), field("year", "int"))
+    first = F.try_element_at("_ids", F.lit(1))
+    key = X.normalize_title("title")
+    return got.select(record, *[of(k).alias(k) for k in RECORD_IDS], "title", "year", F.when(key != "", key).alias("title_key"), F.when(first.isNotNull(), F.concat_ws(":", first["id_type"], first["id_value"])).alias("canonical"))
+
+
+def resolve_by_records(entries: DataFrame, identities: DataFrame, record: str) -> DataFrame:
+    """``resolve_references`` of entries (entry_id, doi, arxiv, title) against ``provider_identities``; the smallest record of a DOI counts."""
+    by_doi = identities.where("doi is not null").groupBy("doi").agg(F.min(record).alias("work_id"))
+    shared = F.size(X.content_tokens("title"))
+    by_title = identities.where("title_key is not null").select("title_key", F.col(record).alias("work_id"), F.col("canonical").isNotNull().alias("has_id"), shared.alias("shared"))
+    asked = entries.select("entry_id", X.normalize_id("doi", "doi").alias("doi"), X.normalize_id("arxiv", "arxiv").alias("arxiv"), X.normalize_title("title").alias("title_key"))
+    return resolve_references(asked, by_doi, by_title)
+
+
 def collapse_works(edges: DataFrame, merged: DataFrame, keys: list[str]) -> DataFrame:
     """``edges`` with victims replaced by their survivors (merged: victim, survivor); self-loops and repeats go."""
     m = lambda c: merged.select(F.col("victim").alias(c), F.col("survivor").alias(f"_{c}"))

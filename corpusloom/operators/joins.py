@@ -41,11 +41,12 @@ def best_span(links: DataFrame) -> DataFrame:
     return links.groupBy("claim_id").agg(F.min_by("span_id", F.struct("rank", "span_id")).alias("span_id"))
 
 
-def containing(texts: DataFrame, text: str, tokens: DataFrame, token: str) -> DataFrame:
-    """Rows of ``texts`` with each token that stands anywhere in them, letter case aside; empty tokens stand nowhere.
+def containing(texts: DataFrame, key: str, text: str, tokens: DataFrame, token: str) -> DataFrame:
+    """Rows of ``texts`` (one a ``key``) with each token that stands anywhere in them, letter case aside; empty tokens stand nowhere.
 
     A text that holds a token holds its first three characters (or all, if
-    fewer): an equi-join on these, and the whole token is then confirmed.
+    fewer): keys are looked up by these, each distinct start of a token once,
+    and the whole token is then confirmed in the text of the keys met.
     """
     low = F.lower(text)
 
@@ -53,10 +54,10 @@ def containing(texts: DataFrame, text: str, tokens: DataFrame, token: str) -> Da
         every = F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda i: F.substring(low, i, F.lit(n)))
         return F.when(F.length(low) >= n, every).otherwise(F.array().cast("array<string>"))
 
-    every = F.concat(grams(1), grams(2), grams(3))
-    held = texts.withColumn("_g", F.explode(F.array_distinct(every)))
     asked = tokens.where(F.length(token) > 0).withColumn("_g", F.lower(F.substring(token, 1, 3)))
-    return held.join(asked, "_g").where(F.contains(low, F.lower(token))).drop("_g")
+    held = texts.select(key, F.explode(F.array_distinct(F.concat(grams(1), grams(2), grams(3)))).alias("_g"))
+    met = held.join(asked.select("_g").distinct(), "_g", "left_semi").join(asked, "_g").drop("_g")
+    return met.join(texts, key).where(F.contains(low, F.lower(token)))
 
 
 def section_at(points: DataFrame, sections: DataFrame, doc: str = "work_id") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +49,55 @@ def record_issues(value: dict[str, Column], required: list[str], allowed: dict[s
     return F.filter(F.array(*missing, *outside), lambda x: x.isNotNull())
 
 
+# Declared types of a record's field, and the kinds of JSON value each takes.
+FIELD_TYPES = {"string": "STRING|CHAR.*", "string_or_null": "STRING|CHAR.*", "number": "BIGINT|DOUBLE|FLOAT|DECIMAL.*", "integer": "BIGINT", "boolean": "BOOLEAN", "array": "ARRAY.*", "object": "OBJECT.*"}
+
+
+def record_status(record: Column | str, rules: dict[str, dict], need_span: bool = True, explain_inferred: bool = True) -> Column:
+    """struct(status, issues) of a record (JSON text), by the rules of a user.
+
+    ``rules`` gives for a field what it must be: ``type`` (of FIELD_TYPES;
+    others take any value), ``required``, ``allowed`` (values; those of an
+    array singly). A field that is null is missing. Any issue (missing:f,
+    type:f, value:f), or text that is no JSON object, is extraction_failed.
+    Else not_found and not_applicable stay as they are; an inferred record
+    without notes is extraction_failed, and one without evidence span is
+    ambiguous, if these are asked for; the rest is found.
+    """
+    v = F.try_parse_json(F.col(record) if isinstance(record, str) else record)
+    kind = F.schema_of_variant(v)
+    at = lambda f, t="variant": F.try_variant_get(v, f"$['{f}']", t)
+    text = lambda f: F.when(F.schema_of_variant(at(f)).rlike(f"^(?:{FIELD_TYPES['string']})$"), at(f, "string"))
+    issues = []
+    for f, rule in rules.items():
+        held = F.schema_of_variant(at(f))
+        there = F.coalesce(held != "VOID", F.lit(False))
+        fits = held.rlike(f"^(?:{FIELD_TYPES[rule['type']]})$") if rule.get("type") in FIELD_TYPES else F.lit(True)
+        if rule.get("required"):
+            issues.append(F.when(~there, f"missing:{f}"))
+        issues.append(F.when(there & ~fits, f"type:{f}"))
+        if rule.get("allowed") is not None:
+            words = F.array(*[F.lit(json.dumps(w, ensure_ascii=False)) for w in rule["allowed"]]).cast("array<string>")
+            own = F.when(held.startswith("ARRAY"), F.transform(at(f, "array<variant>"), lambda x: F.to_json(x))).otherwise(F.array(F.to_json(at(f))))
+            issues.append(F.when(there & fits & (F.size(F.array_except(own, words)) > 0), f"value:{f}"))
+    issues.append(F.when(~F.coalesce(kind.startswith("OBJECT"), F.lit(False)), "record"))
+    wrong = F.filter(F.array(*issues), lambda x: x.isNotNull())
+    declared = F.coalesce(F.when(text("status") != "", text("status")), F.lit("found"))
+    said = F.coalesce(F.when(text("stated_or_inferred") != "", text("stated_or_inferred")), text("assertion_status"))
+    spans = F.filter(F.coalesce(at("evidence_span_ids", "array<string>"), F.array().cast("array<string>")), lambda x: x != "")
+    bare = F.coalesce(F.trim(text("notes")), F.lit("")) == ""
+    inferred = F.lit(explain_inferred) & F.coalesce(said == "inferred", F.lit(False)) & bare
+    status = (
+        F.when(F.size(wrong) > 0, "extraction_failed")
+        .when(declared.isin("not_found", "not_applicable"), declared)
+        .when(inferred, "extraction_failed")
+        .when(F.lit(need_span) & (F.size(spans) == 0), "ambiguous")
+        .otherwise("found")
+    )
+    more = F.when(status == "ambiguous", F.array(F.lit("no span"))).when((F.size(wrong) == 0) & (status == "extraction_failed"), F.array(F.lit("no notes"))).otherwise(wrong)
+    return F.struct(status.alias("status"), more.alias("issues"))
+
+
 def pages_of(docs: DataFrame, doc: str, text: str, size: int) -> DataFrame:
     """Windows of ``size`` code points."""
     n = F.greatest(F.lit(1), F.ceil(F.length(text) / size)).cast("int")

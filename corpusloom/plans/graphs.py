@@ -28,11 +28,11 @@ def g1_closed_world(t: Tables) -> DataFrame:
     return G.induced(e, _nodes(t).where("node % 3 <> 0")).select("source", "target", "provenance", "confidence")
 
 
-@query("""select 'cites' as family, cast(source as varchar) as source, cast(target as varchar) as target, provenance as trust from {v_edges} where source % 4 = 0 and source in (select s_suppkey from {supplier}) union select 'discusses', cast(work_id as varchar), concept_id, epistemic_type from {v_claim_concepts} where work_id % 10 = 0 and concept_id not like '%gear'""")
+@query("""select 'cites' as family, cast(source as varchar) as source, cast(target as varchar) as target, provenance as trust from {v_edges} where source in (select s_suppkey from {supplier}) union select 'discusses', cast(work_id as varchar), concept_id, epistemic_type from {v_claim_concepts} where concept_id not like '%gear'""")
 def g2_full_graph(t: Tables) -> DataFrame:
     text = lambda c: F.col(c).cast("string").alias(c)
-    cites = t.v_edges.where("source % 4 = 0").join(_nodes(t).withColumnRenamed("node", "source"), "source", "left_semi").select(F.lit("cites").alias("family"), text("source"), text("target"), F.col("provenance").alias("trust"))
-    about = t.v_claim_concepts.where("work_id % 10 = 0 and concept_id not like '%gear'").select(F.lit("discusses").alias("family"), F.col("work_id").cast("string").alias("source"), F.col("concept_id").alias("target"), F.col("epistemic_type").alias("trust"))
+    cites = t.v_edges.join(_nodes(t).withColumnRenamed("node", "source"), "source", "left_semi").select(F.lit("cites").alias("family"), text("source"), text("target"), F.col("provenance").alias("trust"))
+    about = t.v_claim_concepts.where("concept_id not like '%gear'").select(F.lit("discusses").alias("family"), F.col("work_id").cast("string").alias("source"), F.col("concept_id").alias("target"), F.col("epistemic_type").alias("trust"))
     return cites.union(about).distinct()
 
 
@@ -148,7 +148,8 @@ def g19_proposal_edges(t: Tables) -> DataFrame:
     return p.join(homes, "target", "left_semi").dropDuplicates(["source", "target", "run"]).select("source", "target", "run", access.alias("access_class"))
 
 
-@query(f"with {_PAIRS}, s as (select s_suppkey as node from {{supplier}} where s_suppkey % 3 = 0) select a as source, b as target, a % 6 = 0 or b % 6 = 0 as recommended from pr where a in (select node from s) and b in (select node from s)")
+@query(f"with {_PAIRS}, s as (select s_suppkey as node from {{supplier}} where s_acctbal >= 0) select a as source, b as target, a % 6 = 0 or b % 6 = 0 as recommended from pr where a in (select node from s) and b in (select node from s)")
 def g20_trace_subgraph(t: Tables) -> DataFrame:
-    e = G.undirected(G.induced(t.v_edges, _nodes(t).where("node % 3 = 0")))
+    """The graph of the works of a trace (suppliers with no debt)."""
+    e = G.undirected(G.induced(t.v_edges, t.supplier.where("s_acctbal >= 0").select(F.col("s_suppkey").alias("node"))))
     return e.select(F.col("a").alias("source"), F.col("b").alias("target"), ((F.col("a") % 6 == 0) | (F.col("b") % 6 == 0)).alias("recommended"))

@@ -10,6 +10,7 @@ from corpusloom.operators import concepts as C
 from corpusloom.operators import identity as I
 from corpusloom.operators.joins import matched_works
 from corpusloom.operators.rollups import idf_weights
+from corpusloom.plans.lineage import stored
 from corpusloom.registry import Tables, query
 
 _IDS = "select c_custkey as rec, 'nation:' || c_nationkey as id from {customer} union all select c_custkey, 'seg:' || c_mktsegment || c_custkey % 7 from {customer}"
@@ -167,3 +168,27 @@ def e17_review_rows(t: Tables) -> DataFrame:
     names = t.customer.select(F.col("c_custkey").alias("k"), "c_name")
     rows = t.events.where("event_type <> 'view'").withColumn("k", F.col("user_id") * 20).join(names, "k", "left")
     return rows.select(F.col("event_id").alias("item_id"), F.format_string("%s of %s", F.col("event_type"), F.coalesce("c_name", F.lit("unknown work"))).alias("label"))
+
+
+@query(f"""with {_LAB.replace(">= 0.6", ">= 0.3")}, p as (select a || '~' || b as proposal_id, a, b from (select p_type || '|' || a as a, p_type || '|' || b as b from e where a < b) x)
+select proposal_id, a, b, case when a like '%|blue%' then 'cannot' when a like '%|red%' then 'must' when b like '%gear' then 'folded' end as skip from p""")
+def x1_proposals(t: Tables) -> DataFrame:
+    """A table of proposals in place of a proposer, with the reasons not to review some; nobody's proposals add nothing."""
+    labels = t.part.select("p_type", "p_name").distinct().withColumn("key", F.concat_ws("|", "p_type", "p_name"))
+    proposals = stored(C.similar_proposals(labels, "key", "p_name", ["p_type"], 0.3).unionByName(C.no_proposals(t.spark)), "proposals")
+    return C.review_pairs(proposals, proposals.where("a like '%|red%'"), proposals.where("a like '%|blue%'"), proposals.where("b like '%gear'"))
+
+
+_PROVIDED = "select p_partkey as record, case p_partkey % 3 when 0 then 'https://doi.org/10.1000/P' || (p_partkey - p_partkey % 6) when 1 then ' ' end as doi, case p_partkey % 4 when 0 then 'https://openalex.org/w' || p_partkey end as openalex_id, case p_partkey % 8 when 1 then 's' || p_partkey end as s2_id, case p_partkey % 8 when 1 then 'other' when 2 then 't' || p_partkey end as s2, p_name || ' ' || p_brand || case when p_partkey % 2 = 0 then ' ' || p_partkey else '' end as title from {part}"
+_CITED = "select o_orderkey as entry_id, case o_orderkey % 4 when 0 then 'doi:10.1000/p' || p_partkey end as doi, case o_orderkey % 10 when 1 then 'arXiv:2101.' || (10000 + p_partkey) || 'v2' end as arxiv, upper(p_name) || ', ' || p_brand || case when p_partkey % 2 = 0 then ' (' || p_partkey || ')' else '' end as title from {orders} join {part} on p_partkey = o_custkey"
+
+
+@query(f"""with r as ({_PROVIDED}), c as ({_CITED}), n as (select record, case when doi like 'https%' then lower(substr(doi, 17)) end as doi, doi like 'https%' or openalex_id is not null or s2_id is not null or s2 is not null as has_id, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) as k, len(list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z]+'), lambda x: length(x) > 1))) as shared from r),
+d as (select doi, min(record) as w from n where doi is not null group by 1), ti as (select k, count(*) as hits, min(record) as w, bool_or(coalesce(has_id, false)) as has_id, max(shared) as shared from n group by 1),
+e as (select entry_id, substr(doi, 5) as doi, arxiv, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) as k from c),
+s as (select entry_id, d.w as dw, ti.w as tw, case when d.w is not null or arxiv is not null then 'resolved' when hits > 1 then 'ambiguous' when hits = 1 and has_id and shared >= 2 then 'resolved' when hits = 1 then 'suspect' else 'unresolved' end as status, d.w is not null or arxiv is not null as sure from e left join d on d.doi = e.doi left join ti using (k))
+select entry_id, coalesce(dw, case when status = 'resolved' then tw end) as work_id, status, case when sure then 1.0::double when status = 'resolved' then 0.8::double end as confidence from s""")
+def x2_provider_records(t: Tables) -> DataFrame:
+    """References resolved against a table of provider records, whose ids have several names and shapes."""
+    records = t.spark.sql(_PROVIDED, part=t.part)
+    return I.resolve_by_records(t.spark.sql(_CITED, orders=t.orders, part=t.part), I.provider_identities(records, "record"), "record")

@@ -113,7 +113,7 @@ def _concepts(t: Tables) -> DataFrame:
 
     concepts = t.v_claim_concepts.select("concept_id", "label").distinct()
     tokens = t.v_ask.select("question", F.explode(S.concept_tokens("text")).alias("token")).distinct()
-    return containing(concepts, "label", tokens, "token").groupBy("question", "concept_id").agg(F.count(F.lit(1)).alias("tokens"))
+    return containing(concepts, "concept_id", "label", tokens, "token").groupBy("question", "concept_id").agg(F.count(F.lit(1)).alias("tokens"))
 
 
 @query(f"with {_CLAIMS} select question, item_id as claim_id, label, span_id, epistemic_type, round(score, 6) as score from claims join {{v_claims}} on claim_id = item_id")

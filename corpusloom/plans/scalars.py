@@ -113,11 +113,11 @@ _HEADS = """select doc_id, case doc_id % 4 when 0 then '# 12' || chr(10) || '# T
 || case when doc_id % 5 = 0 then 'https://arxiv.org/abs/2202.' || (20000 + doc_id) || 'v1' else '' end || chr(10) || text || ' doi:10.5555/late' as text from {documents}"""
 
 
-@query(f"""select doc_id, case when doc_id % 3 = 0 then '10.1000/ab' || doc_id when length(text) - length('10.5555/late') < 2600 then substr('10.5555/late', 1, 2600 - length(text) + 12) end as doi,
+@query(f"""select doc_id, case when doc_id % 3 = 0 then '10.1000/ab' || doc_id when length(text) <= 2603 then substr('10.5555/late', 1, 2612 - length(text)) end as doi,
 case when doc_id % 5 = 0 then '2202.' || (20000 + doc_id) when doc_id % 3 = 1 then '2101.' || (10000 + doc_id) end as arxiv, case doc_id % 4 when 1 then null when 0 then null else 'A ' || doc_id end as title
-from ({_HEADS}) h where length(text) > 2700 or length(text) < 2600""")
+from ({_HEADS}) h""")
 def f15_f16_own_identity(t: Tables) -> DataFrame:
-    heads = t.spark.sql(_HEADS.replace("{documents}", "{d}"), d=t.documents).where("length(text) > 2700 or length(text) < 2600")
+    heads = t.spark.sql(_HEADS.replace("{documents}", "{d}"), d=t.documents)
     return heads.select("doc_id", X.own_identity("text").alias("o")).select("doc_id", "o.*")
 
 
@@ -158,7 +158,38 @@ def f31_clean_concept(t: Tables) -> DataFrame:
 @query("select p_partkey, 'https://doi.org/10.1/' || p_partkey as link, sha256('{\"a\":' || p_partkey || ',\"b\":\"' || p_name || '\"}') as print from {part}")
 def f29_f32_links(t: Tables) -> DataFrame:
     p = t.part.withColumn("doi", F.concat(F.lit("10.1/"), F.col("p_partkey")))
-    return p.select("p_partkey", X.link_out("doi", "p_name")[0].alias("link"), X.fingerprint(b=F.col("p_name"), a=F.col("p_partkey")).alias("print"))
+    return p.select("p_partkey", X.link_out({"doi": "doi"})[0]["url"].alias("link"), X.fingerprint(b=F.col("p_name"), a=F.col("p_partkey")).alias("print"))
+
+
+_LINKED = """select doc_id, case doc_id % 3 when 0 then '10.1000/a b&c(' || doc_id || ')*~' when 1 then ' ' end as doi, case when doc_id % 4 = 0 then '2101.' || (10000 + doc_id) end as arxiv, case doc_id % 5 when 0 then 'https://openalex.org/W' || doc_id when 1 then 'W' || doc_id end as openalex,
+case when doc_id % 7 = 0 then 'abc' || doc_id end as s2, case when doc_id % 6 = 0 then doc_id end as ssrn, case when doc_id % 10 < 8 then substr(text, 1, 40) end as title, case doc_id % 3 when 1 then source || ', Ann' when 2 then 'Ann B. ' || source end as author, case when doc_id % 10 < 9 then 1990 + doc_id % 30 end as year, nullif(lang, 'en') as venue from {documents}"""
+
+
+@query(f"""with l as ({_LINKED}), n as (select *, nullif(trim(doi), '') as d, trim(title) as t from l), q as (select *, case when d is not null then 'url_ver=Z39.88-2004&rfr_id=info%3Asid%2Flibrary.example&rft_id=' || replace(url_encode('info:doi/' || d), '%20', '+')
+when t is not null or author is not null or year is not null or venue is not null then concat_ws('&', 'url_ver=Z39.88-2004', 'rfr_id=info%3Asid%2Flibrary.example', 'rft_val_fmt=info%3Aofi%2Ffmt%3Akev%3Amtx%3Ajournal', 'rft.genre=article', 'rft.atitle=' || replace(url_encode(nullif(t, '')), '%20', '+'), 'rft.aulast=' || replace(url_encode(source_name), '%20', '+'), 'rft.date=' || year, 'rft.jtitle=' || replace(url_encode(venue), '%20', '+')) end as open
+ from (select n.*, case when author is not null then s.source end as source_name from n join (select doc_id, source from {{documents}}) s using (doc_id)) x)
+select doc_id, concat_ws(' ', 'DOI=https://doi.org/' || d, 'arXiv=https://arxiv.org/abs/' || arxiv, 'OpenAlex=https://openalex.org/' || replace(openalex, 'https://openalex.org/', ''), 'S2=https://www.semanticscholar.org/paper/' || s2, 'SSRN=https://papers.ssrn.com/sol3/papers.cfm?abstract_id=' || ssrn, 'OpenURL=https://find.example/?v=1&' || open, 'EZproxy=https://login.example/login?qurl=https://doi.org/' || replace(url_encode(d), '%2F', '/')) as links from q""")
+def f32_link_out(t: Tables) -> DataFrame:
+    """Public pages of all ids, an OpenURL by DOI or by what is known, and a proxied address."""
+    works = t.spark.sql(_LINKED.replace("{documents}", "{d}"), d=t.documents)
+    links = X.link_out({k: k for k in ("doi", "arxiv", "openalex", "s2", "ssrn")}, "https://find.example/?v=1", "https://login.example/login?qurl={url}", "library.example", title="title", author="author", year="year", venue="venue")
+    return works.select("doc_id", F.array_join(F.transform(links, lambda x: F.concat_ws("=", x["label"], x["url"])), " ").alias("links"))
+
+
+_ASKED = """select doc_id, case doc_id % 4 when 0 then '10.1000/ABC' || doc_id when 1 then '10.48550/arXiv.2101.' || (10000 + doc_id) || 'v2' end as doi, case when doc_id % 6 = 0 then '2102.' || (10000 + doc_id) || 'V1' end as arxiv, case when doc_id % 5 = 0 then 'W' || doc_id end as openalex,
+case when doc_id % 7 = 0 then doc_id end as pmid, case when doc_id % 9 = 0 then 'S' || doc_id end as s2, case when doc_id % 11 <> 0 then substr(text, 1, 60) end as title, case when doc_id % 3 <> 0 then 1990 + doc_id % 30 end as year from {documents}"""
+
+
+@query(f"""with a as ({_ASKED}), k as (select *, trim(regexp_replace(lower(strip_accents(coalesce(title, ''))), '[^a-z0-9]+', ' ', 'g')) as t from a),
+r as (select *, coalesce('openalex=' || lower(openalex), case doc_id % 4 when 0 then 'doi=10.1000/abc' || doc_id when 1 then 'arxiv=2101.' || (10000 + doc_id) end, 'arxiv=' || lower(arxiv), 'pmid=' || pmid, 's2=' || lower(s2), 'title=' || case when title <> '' then t end, 'anon') as id from k)
+select doc_id, 'referenced_works:src=' || id as referenced, 'oa_pdf_candidates:src=' || id as candidates, 'by_doi:doi=' || lower(doi) as by_doi, 'by_title:title=' || t || '|year=' || coalesce(year::varchar, '') as by_title, 'by_openalex_ids:ids=' || list_aggregate(list_sort(list_distinct(['w' || doc_id, 'w' || (doc_id + 1)])), 'string_agg', '|') as batch from r""")
+def f5_request_keys(t: Tables) -> DataFrame:
+    """Keys of what is asked of providers: by the strongest id, by DOI, by title and year, by a batch of ids."""
+    a = t.spark.sql(_ASKED.replace("{documents}", "{d}"), d=t.documents)
+    own = X.request_id({k: k for k in ("doi", "arxiv", "openalex", "pmid", "s2")}, "title")
+    w = lambda n: F.concat(F.lit("W"), F.col("doc_id") + n)
+    batch = F.array(w(1), F.concat(F.lit("https://openalex.org/w"), F.col("doc_id")), w(0), F.lit("A17"), F.lit(None).cast("string"))
+    return a.select("doc_id", F.concat(F.lit("referenced_works:src="), own).alias("referenced"), F.concat(F.lit("oa_pdf_candidates:src="), own).alias("candidates"), F.concat(F.lit("by_doi:doi="), F.lower("doi")).alias("by_doi"), X.title_request("title", "year").alias("by_title"), X.batch_request(batch).alias("batch"))
 
 
 @query("select conv_id, string_agg((turn + 1)::varchar, ',' order by turn) as pages from {conversations} where turn % 3 <> 2 group by 1")

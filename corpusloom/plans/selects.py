@@ -69,6 +69,21 @@ def p9_record_validation(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.array_join(P.record_issues(v, ["value"], {"event_type": ["view", "click"]}), ",").alias("issues"))
 
 
+_RECORD = """select event_id, '{"kind": "' || event_type || '"' || case event_id % 5 when 0 then '' when 1 then ', "value": "high"' when 2 then ', "value": null' else ', "value": ' || cast(user_id as varchar(20)) end || case event_id % 4 when 0 then ', "tags": ["a", "b"]' when 1 then ', "tags": ["a", "z"]' else '' end
+|| case event_id % 7 when 0 then ', "status": "not_found"' when 1 then ', "status": ""' else '' end || case event_id % 3 when 0 then ', "stated_or_inferred": "inferred"' else '' end || case event_id % 6 when 0 then ', "notes": " "' when 3 then ', "notes": "seen"' else '' end || case event_id % 2 when 0 then ', "evidence_span_ids": ["", "s1"]' else ', "evidence_span_ids": [""]' end || case when event_id % 50 = 49 then '' else '}' end as record from {events}"""
+
+
+@query("""with i as (select *, concat_ws(',', case when event_id % 50 = 49 then 'missing:kind' when event_type = 'error' then 'value:kind' end, case when event_id % 50 = 49 or event_id % 5 in (0, 2) then 'missing:value' when event_id % 5 = 1 then 'type:value' end, case when event_id % 4 = 1 and event_id % 50 <> 49 then 'value:tags' end, case when event_id % 50 = 49 then 'record' end) as wrong from {events})
+select event_id, case when wrong <> '' then 'extraction_failed' when event_id % 7 = 0 then 'not_found' when event_id % 6 = 0 then 'extraction_failed' when event_id % 2 = 1 then 'ambiguous' else 'found' end as status,
+case when wrong <> '' then wrong when event_id % 7 = 0 then '' when event_id % 6 = 0 then 'no notes' when event_id % 2 = 1 then 'no span' else '' end as issues from i""")
+def x4_record_rules(t: Tables) -> DataFrame:
+    """Records by a user's own rules: types, required fields, allowed values, then the rules of evidence."""
+    rules = {"kind": {"type": "string", "required": True, "allowed": ["view", "click", "purchase", "signup"]}, "value": {"type": "integer", "required": True}, "tags": {"type": "array", "allowed": ["a", "b"]}}
+    records = t.spark.sql(_RECORD.replace("{events}", "{e}").replace('{"kind"', '{{"kind"').replace("else '}' end", "else '}}' end"), e=t.events)
+    got = records.select("event_id", P.record_status("record", rules).alias("r"))
+    return got.select("event_id", "r.status", F.array_join("r.issues", ",").alias("issues"))
+
+
 @query("select work_id, page, substr(text, page * 500 + 1, 500) as body from (select work_id, text, unnest(range(greatest(1, ceil(length(text) / 500)::int))) as page from {v_docs}) x")
 def p10_paged_read(t: Tables) -> DataFrame:
     return P.pages_of(t.v_docs, "work_id", "text", 500)
