@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -67,7 +66,12 @@ _DOT_BEFORE = re.compile(rf"(?i){_DOT}\Z")
 _DOT_LENGTH = 14
 _TOP = re.compile(r"[A-Za-z]{2,63}\Z")
 _LABEL = _LOCAL - {"."}
-_DISGUISE = re.compile(r"(?i)(?:[\[({<]\s?(?:at|arroba|@|dot|punto|punkt|point|\.)\s?[\])}>])|(?:\s(?:dot|punto|punkt|point)\s)|_at_|_dot_|\s@|@\s")
+_DISGUISE = re.compile(r"(?i)(?:[\[({<]\s*(?:at|arroba|@|dot|punto|punkt|point|\.)\s*[\])}>])|(?:\s(?:dot|punto|punkt|point)\s)|_at_|_dot_|\s@|@\s")
+#: Blanks in a row, and the signs (brackets, words for at and dot) beside which they count as one.
+_BLANKS = re.compile(rf"{_S}{{2,}}")
+_SIGN_AFTER = re.compile(r"(?i)[\[({<\])}>@]|(?:at|arroba|dot|punto|punkt|point)(?!\w)")
+_SIGN_BEFORE = re.compile(r"(?i)(?:[\[({<\])}>@]|(?<!\w)(?:at|arroba|dot|punto|punkt|point))\Z")
+_SIGN_LENGTH = 8
 _IP_DOT = re.compile(rf"(?i)(?<![0-9.])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])")
 
 Span = tuple[str, int, int]
@@ -138,6 +142,12 @@ def _look_alikes(m: Mapped) -> None:
     m.rewrite([(x.start(), x.end(), _HOMOGLYPHS.get(x[0], "" if x[0] in _INVISIBLE else " ")) for x in _STRANGE.finditer(m.text)])
 
 
+def _wide_blanks(m: Mapped) -> None:
+    """Blanks beside a sign for at or dot become one, however many they are; those elsewhere stay."""
+    runs = [(x.start(), x.end()) for x in _BLANKS.finditer(m.text)]
+    m.rewrite([(a, b, " ") for a, b in runs if _SIGN_AFTER.match(m.text, b) or _SIGN_BEFORE.search(m.text, max(0, a - _SIGN_LENGTH), a)])
+
+
 def _spoken_digits(m: Mapped) -> None:
     edits = []
     for run in _RUN.finditer(m.text):
@@ -215,6 +225,7 @@ def disguised(text: str, speaks: bool, hides: bool) -> list[Span]:
     m = Mapped(text)
     if strange:
         _look_alikes(m)
+    _wide_blanks(m)
     if strange or speaks:
         _spoken_digits(m)
     _at_and_dot(m)
@@ -227,7 +238,8 @@ def find(text: str | None, speaks: bool = True, hides: bool = True) -> tuple[lis
     """(plain spans, all spans), each by start, then kind as in KINDS.
 
     Plain spans stay as they are; a disguised span joins them unless it
-    overlaps a plain one, and no two disguised spans of a kind overlap.
+    overlaps a plain one of its kind, and no two disguised spans of a kind
+    overlap.
     """
     if not text:
         return [], []
@@ -235,10 +247,11 @@ def find(text: str | None, speaks: bool = True, hides: bool = True) -> tuple[lis
     base = sorted(plain(text), key=order)
     more = disguised(text, speaks, hides)
     if more and base:
-        # ends of the plain spans up to each: the furthest decides
-        starts = [b[1] for b in base]
-        ends = list(accumulate((b[2] for b in base), max))
-        more = [s for s in more if not (n := bisect_left(starts, s[2])) or ends[n - 1] <= s[1]]
+        for kind in {s[0] for s in more}:
+            # plain spans of a kind do not overlap: the last that starts before an end decides
+            own = [b for b in base if b[0] == kind]
+            starts = [b[1] for b in own]
+            more = [s for s in more if s[0] != kind or not (n := bisect_left(starts, s[2])) or own[n - 1][2] <= s[1]]
     return base, sorted(base + more, key=order)
 
 

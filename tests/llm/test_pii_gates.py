@@ -43,8 +43,30 @@ def test_addresses_with_any_number_of_labels(text, part):
     assert [text[a:b] for k, a, b in pii.find(text)[1]] == [part or text]
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 40])
+def test_any_number_of_blanks_beside_signs(n):
+    gap = " " * n
+    for text in (f"john{gap}(at){gap}mail{gap}(dot){gap}org", f"john{gap}[{gap}at{gap}]{gap}mail{gap}[{gap}dot{gap}]{gap}org", f"john{gap}at{gap}mail{gap}dot{gap}org"):
+        assert pii.find(text)[1] == [("email", 0, len(text))], text
+    assert through_rows([f"see 10{gap}dot{gap}0{gap}dot{gap}0{gap}dot{gap}7"]) == [f"ip:4:{4 + 5 + 3 * (3 + 2 * n)}"]
+
+
+def test_blanks_elsewhere_stay():
+    for text in ("4539  1488  0343  6467", "we met at   noon.  The point  (made  at  length)  was dot  by dot", "1  2  3  4 (at) 5"):
+        assert pii.find(text) == ([], []), text
+
+
+def test_kinds_may_overlap():
+    text = "4539148803436467@mail (dot) com"
+    base, full = pii.find(text)
+    assert base == [("card", 0, 16)] and full == [("email", 0, len(text)), ("card", 0, 16)]
+    assert through_rows([text]) == [pii.joined(full)]
+    # a plain span of the same kind stays as it is
+    assert pii.find("a@b.co (dot) uk")[1] == [("email", 0, 6)]
+
+
 def test_time_is_linear():
-    for unit in ("dot ", "a dot ", "at dot ", "at at dot ", "1 ", "1.", "_at_", "@ ", "one ", "one 2 ", "+1 ", "[at] ", "a at b dot 1 "):
+    for unit in ("dot ", "a dot ", "at dot ", "at at dot ", "1 ", "1.", "_at_", "@ ", "one ", "one 2 ", "+1 ", "[at] ", "a at b dot 1 ", "  ", "[  ", "  at", "(  at  ", "at   dot   "):
         began = time.time()
         pii.find(unit * 40_000)
         assert time.time() - began < 8, unit
