@@ -140,29 +140,69 @@ def permute(index: np.ndarray, n: int, key: int, rounds: int = SLOT_ROUNDS) -> n
     return out.astype(np.int64)
 
 
+def _above(left: np.ndarray, right: np.ndarray, half: int, bits: int) -> np.ndarray:
+    """The number of halves left and right without its lowest ``bits``; what is left has at most 64."""
+    if bits >= half:
+        return left >> np.uint64(bits - half) if bits - half < 64 else np.zeros_like(left)
+    return (left << np.uint64(half - bits)) | (right >> np.uint64(bits))
+
+
+def permute_wide(high: np.ndarray, low: np.ndarray, n_high: int, low_bits: int, key: int, rounds: int = SLOT_ROUNDS) -> tuple[np.ndarray, np.ndarray, int]:
+    """``permute`` of high * 2**low_bits + low, high under ``n_high``, low of ``low_bits``: (left, right, half), halves of numbers up to 128 bits."""
+    half = max(1, -(-((n_high - 1).bit_length() + low_bits) // 2))
+    mask = np.uint64((1 << half) - 1)
+    keys = np.random.default_rng(key).integers(1, 1 << 63, rounds, dtype=np.uint64)
+    high, low = high.astype(np.uint64), low.astype(np.uint64)
+    left = high >> np.uint64(half - low_bits) if half >= low_bits else (high << np.uint64(low_bits - half)) | (low >> np.uint64(half))
+    right = ((high << np.uint64(low_bits)) | low) & mask if low_bits < 64 else low & mask
+
+    def once(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        for k in keys:
+            left, right = right, left ^ (tb.mix(right + k) & mask)
+        return left, right
+
+    left, right = once(left, right)
+    while len(out := np.flatnonzero(_above(left, right, half, low_bits) > np.uint64(n_high - 1))):
+        left[out], right[out] = once(left[out], right[out])
+    return left, right, half
+
+
 def _table(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
 
-def _placer(path: str, length: int, low: int, steps: int, span: int, key: int):
-    """Sequences with their place: index (doc_id - low) * steps + number, permuted; span is the number of places."""
+#: Bits of a row's tie and of a sequence's number in the permutation's domain.
+_TIE, _SEQ = 32, 32
+
+
+def _cut_bits(n_high: int) -> int:
+    """Lowest bits of a place that its order leaves out, so that it fits a long."""
+    return 2 * -(-((n_high - 1).bit_length() + _TIE + _SEQ) // 2) - 62
+
+
+def _placer(path: str, length: int, low: int, n_high: int, key: int):
+    """Sequences with their order: the top bits of the permuted (doc_id - low, tie, number)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder, cut = Encoder(path), _cut_bits(n_high)
         for batch in batches:
-            docs = batch.column(0).to_pylist()
+            docs, tie = batch.column(0), batch.column(2).to_numpy().astype(np.uint64)
+            # differences modulo 2**64 are right for any two longs
+            own = docs.fill_null(low).to_numpy().astype(np.uint64) - np.uint64(low % (1 << 64))
+            ids = docs.to_pylist()
             rows: list[tuple] = []
 
             def out() -> pa.RecordBatch:
-                index = np.array([((low if i is None else i) - low) * steps + j for i, j, *_ in rows], np.uint64)
-                place = permute(index, span, key)
+                at, j = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.uint64)
+                left, right, half = permute_wide(own[at], (tie[at] << np.uint64(_SEQ)) | j, n_high, _TIE + _SEQ, key)
+                order = _above(left, right, half, cut).astype(np.int64)
                 return pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.binary()), pa.array(place)],
-                    names=["doc_id", "seq", "n_tokens", "ids", "place"],
+                    [pa.array([ids[r[0]] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.binary()), pa.array(order)],
+                    names=["doc_id", "seq", "n_tokens", "ids", "order"],
                 )
 
-            for row, j, ids in _sequences(encoder, batch.column(1), length):
-                rows.append((docs[row], j, len(ids), ids.tobytes()))
+            for row, j, own_ids in _sequences(encoder, batch.column(1), length):
+                rows.append((row, j, len(own_ids), own_ids.tobytes()))
                 if len(rows) == 2048:
                     yield out()
                     rows.clear()
@@ -192,23 +232,29 @@ def _sequencer(path: str, length: int):
 
 
 def _placed(docs: DataFrame, key: int, length: int, shard_rows: int, tokenizer: str) -> tuple[DataFrame, int]:
-    """(shard, order, doc_id, seq, n_tokens, ids) of every sequence, the permutation taken over (doc_id, number).
+    """(shard, order, doc_id, seq, n_tokens, ids) of every sequence, the permutation taken over (doc_id, tie, number).
 
-    The places of the permutation that no sequence has are left out, so a
-    shard is a range of places and slots follow from the counts of shards.
+    The tie is a hash of the text, so rows that share a doc_id, or have none,
+    lie apart; rows that are equal altogether take one from their place in the
+    input besides. The places of the permutation that no sequence has are left
+    out: a shard is a range of places, and slots follow from the counts of shards.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.isnull("doc_id"), text).alias("h"), F.monotonically_increasing_id().alias("at"))
     size = F.coalesce(F.octet_length("text"), F.lit(0))
-    about = rows.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max(size).alias("longest"), F.sum(1 + F.floor(size / (4 * length))).alias("n")).first()
-    # a text has at most a token a byte, and its end mark
-    steps = (about["longest"] or 0) // length + 1
-    low = about["low"] or 0
-    span = ((about["high"] or 0) - low + 1) * steps
-    if span >= 1 << 62:
-        raise ValueError("doc_id times the longest text's sequences must stay under 2**62 apart")
-    shards = max(1, -(-(about["n"] or 0) // shard_rows))
-    placed = rows.mapInArrow(_placer(tokenizer, length, low, steps, span, key), "doc_id long, seq int, n_tokens int, ids binary, place long")
-    return placed.withColumn("shard", F.expr(f"cast(place div {-(-span // shards)} as int)")).withColumnRenamed("place", "order"), shards
+    # 32 bytes a row: what repeats, and the whole's size
+    held = stored(rows.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n"), F.sum(1 + F.floor(size / (4 * length))).alias("about")), "rows")
+    every = held.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum("about").alias("n")).first()
+    low = every["low"] or 0
+    n_high = (every["high"] or 0) - low + 1
+    shards = max(1, -(-(every["n"] or 0) // shard_rows))
+    # a table of its own, so that its size is known before the join: texts are shuffled only if it is large
+    repeats = stored(held.where("n > 1").select(F.col("doc_id").alias("d"), F.col("h").alias("g")), "repeats")
+    marked = rows.join(repeats, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left")
+    tie = F.when(F.col("g").isNotNull(), F.xxhash64("h", "at")).otherwise(F.col("h")).bitwiseAND(F.lit((1 << _TIE) - 1))
+    placed = marked.select("doc_id", "text", tie.alias("tie")).mapInArrow(_placer(tokenizer, length, low, n_high, key), "doc_id long, seq int, n_tokens int, ids binary, order long")
+    span = (((n_high << (_TIE + _SEQ)) - 1) >> _cut_bits(n_high)) + 1
+    return placed.withColumn("shard", F.expr(f"cast(order div {-(-span // shards)} as int)")), shards
 
 
 def _dealt(docs: DataFrame, key: int, length: int, shard_rows: int, tokenizer: str, targets: Mapping[str, float]) -> tuple[DataFrame, int]:
@@ -272,11 +318,11 @@ def write_training_order(docs: DataFrame, path: str, key: int = 1, length: int =
     after shard; ``read_training_order`` resumes at any of them.
 
     A keyed Feistel permutation with cycle walking scatters the sequences.
-    Without ``targets`` it permutes all pairs of doc_id and sequence number,
-    whatever files the rows lie in; a shard is one range partition of its
-    places, with about ``shard_rows`` records. (Sequences that share doc_id
-    and number share a place and are put in the order of their ids; null is
-    the smallest doc_id.) With ``targets`` (a weight for each value of
+    Without ``targets`` it permutes all triples of doc_id (any long, null is
+    the smallest), hash of the text and sequence number, whatever files the
+    rows lie in; a shard is one range partition of its places, with about
+    ``shard_rows`` records. Only where rows repeat, their places follow from
+    where they lie in the input, so that copies lie apart. With ``targets`` (a weight for each value of
     ``source``, "" for null) a source's sequences, numbered as they are read,
     are permuted among themselves, and the Pfair schedule of ``mixing`` deals
     the slots to the sources; each shard but the last has ``shard_rows``

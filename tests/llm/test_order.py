@@ -119,6 +119,48 @@ def test_permutation():
     assert len(set(big.tolist())) == 1000 and big.min() >= 0 and big.max() < (1 << 62) - 1
 
 
+@pytest.mark.parametrize("n_high, low_bits", [(1, 1), (5, 3), (1, 6), (37, 2), (256, 4), (1000, 1)])
+def test_wide_permutation_is_a_bijection(n_high, low_bits):
+    every = np.arange(n_high << low_bits)
+    left, right, half = tokenorder.permute_wide(every >> low_bits, every & ((1 << low_bits) - 1), n_high, low_bits, 5)
+    assert sorted(((int(a) << half) | int(b)) for a, b in zip(left, right)) == every.tolist()
+    other = tokenorder.permute_wide(every >> low_bits, every & ((1 << low_bits) - 1), n_high, low_bits, 6)
+    assert len(every) < 20 or (other[0] != left).any() or (other[1] != right).any()
+
+
+@pytest.mark.parametrize("n_high", [1, 2, 60_000, (1 << 62) + 5, 1 << 64])
+def test_wide_places_spread_over_their_range(n_high):
+    rng = np.random.default_rng(1)
+    high = np.array([int(x) % n_high for x in rng.integers(0, 1 << 63, 4000)], np.uint64)
+    low = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    left, right, half = tokenorder.permute_wide(high, low, n_high, 64, 2)
+    cut = tokenorder._cut_bits(n_high)
+    span = (((n_high << 64) - 1) >> cut) + 1
+    places = [((int(a) << half) | int(b)) for a, b in zip(left, right)]
+    order = tokenorder._above(left, right, half, cut).tolist()
+    assert order == [p >> cut for p in places] and max(places) < n_high << 64 and span <= 1 << 62
+    counts = np.bincount([o * 10 // span for o in order], minlength=10)
+    assert len(counts) == 10 and counts.min() > 300
+
+
+def sizes(spark, df):
+    got = tokenorder.training_order(df, length=64, shard_rows=100).select("slot", "shard", "doc_id", "seq").collect()
+    assert sorted(r.slot for r in got) == list(range(len(got)))
+    return got, collections.Counter(r.shard for r in got)
+
+
+def test_ids_of_any_size_and_hot_ids_spread(spark):
+    few = spark.range(3000).select(F.xxhash64("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    got, by = sizes(spark, few)
+    assert len(got) == 3000 and len(by) == 30 and max(by.values()) < 160
+    edge = spark.createDataFrame([(-(1 << 63), "a"), ((1 << 63) - 1, "b"), (0, "c"), (None, "d"), (-(1 << 63), "d")], "doc_id long, text string")
+    assert sorted(map(str, (r.doc_id for r in sizes(spark, edge)[0]))) == sorted(map(str, [-(1 << 63), (1 << 63) - 1, 0, None, -(1 << 63)]))
+    for hot in (F.lit(None).cast("long"), F.lit(7).cast("long")):
+        for text in (F.concat(F.lit("text "), "id"), F.lit("the same")):
+            got, by = sizes(spark, spark.range(3000).select(hot.alias("doc_id"), text.alias("text")))
+            assert len(got) == 3000 and len(by) == 30 and max(by.values()) < 160
+
+
 def check_files(folder, rows, length):
     """Every record is at its offset of its shard's file, and slots number records shard after shard."""
     stride = 16 + 2 * length
