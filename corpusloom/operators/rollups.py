@@ -74,14 +74,13 @@ def paper_frequency(links: DataFrame) -> DataFrame:
 
 def gather_labels(links: DataFrame, key: Column) -> DataFrame:
     """For each normalised label: claims, works, surface forms, the majority type (ties by name) and the longest surface."""
-    rows = links.withColumn("label_key", key)
-    types = rows.groupBy("label_key", "concept_type").agg(F.count(F.lit(1)).alias("n"))
+    # surface forms are few: counted first, so that claims are gone through for their own and their works' numbers only
+    forms = links.groupBy("label", "concept_type").agg(F.count(F.lit(1)).alias("n")).withColumn("label_key", key)
+    types = forms.groupBy("label_key", "concept_type").agg(F.sum("n").alias("n"))
     majority = types.groupBy("label_key").agg(F.min_by("concept_type", F.struct((-F.col("n")).alias("n"), F.col("concept_type"))).alias("majority_type"))
-    main = rows.groupBy("label_key").agg(
-        F.countDistinct("claim_id").alias("claims"), F.countDistinct("work_id").alias("works"), F.countDistinct("label").alias("surfaces"),
-        F.min_by("label", F.struct((-F.length("label")).alias("l"), F.col("label"))).alias("canonical"),
-    )
-    return main.join(majority, "label_key")
+    shown = forms.groupBy("label_key").agg(F.countDistinct("label").alias("surfaces"), F.min_by("label", F.struct((-F.length("label")).alias("l"), F.col("label"))).alias("canonical"))
+    main = links.withColumn("label_key", key).groupBy("label_key").agg(F.countDistinct("claim_id").alias("claims"), F.countDistinct("work_id").alias("works"))
+    return main.join(shown, "label_key").join(majority, "label_key")
 
 
 def pick_label(labels: DataFrame, key: str, label: str, kind: str, generic: list[str]) -> DataFrame:
