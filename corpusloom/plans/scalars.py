@@ -60,7 +60,7 @@ def f21_tokens_and_cost(t: Tables) -> DataFrame:
 
 @query("""select doc_id, case when trim(text) = '' then 'empty' when length(trim(text)) < 8 then 'short' when 1 - length(regexp_replace(text, '[A-Za-z]{2,}', '', 'g')) / length(text) < 0.2 then 'noise' else 'ok' end as verdict from {documents}""")
 def f22_text_quality(t: Tables) -> DataFrame:
-    q = X.text_quality("text")
+    q = X.text_quality("text", markdown=False)
     return t.documents.select("doc_id", F.when(q["ok"], "ok").otherwise(q["notes"][0]).alias("verdict"))
 
 
