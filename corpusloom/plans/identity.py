@@ -88,7 +88,7 @@ def e7_pending_match(t: Tables) -> DataFrame:
 
 @query("""with m as (select source - source % 3 + 1 as s, target - target % 3 + 1 as d, provenance, run_id from {v_edges}) select distinct s as source, d as target, provenance, run_id from m where s <> d""")
 def e8_collapse_works(t: Tables) -> DataFrame:
-    merged = t.supplier.select(F.col("s_suppkey").alias("victim"), (F.col("s_suppkey") - F.col("s_suppkey") % 3 + 1).alias("survivor")).union(t.supplier.select((F.col("s_suppkey") + 1000).alias("victim"), F.col("s_suppkey").alias("survivor")))
+    merged = t.supplier.select(F.col("s_suppkey").alias("victim"), (F.col("s_suppkey") - F.col("s_suppkey") % 3 + 1).alias("survivor")).union(t.supplier.select((-1 - F.col("s_suppkey")).alias("victim"), F.col("s_suppkey").alias("survivor")))
     return I.collapse_works(t.v_edges.select("source", "target", "provenance", "run_id"), merged, ["source", "target", "provenance", "run_id"])
 
 
