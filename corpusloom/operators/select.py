@@ -106,9 +106,9 @@ def pages_of(docs: DataFrame, doc: str, text: str, size: int) -> DataFrame:
 
 
 def expand_context(spans: DataFrame, docs: DataFrame, doc: str, window: int) -> DataFrame:
-    """The span with ``window`` code points on both sides; the stored quote where the text has changed."""
+    """The span with ``window`` code points on both sides; the stored quote where the text is no longer that of ``text_hash`` (sha2)."""
     got = spans.join(docs.select(doc, F.col("text").alias("_t")), doc, "left")
-    live = F.substring(F.col("_t"), (F.col("start_char") + 1).cast("int"), (F.col("end_char") - F.col("start_char")).cast("int")) == F.col("exact_quote")
+    live = F.sha2(F.col("_t"), 256) == F.col("text_hash")
     a = F.greatest(F.col("start_char") - window, F.lit(0))
     wide = F.substring(F.col("_t"), (a + 1).cast("int"), (F.col("end_char") + window - a).cast("int"))
     return got.select(doc, "start_char", F.when(F.coalesce(live, F.lit(False)), wide).otherwise(F.col("exact_quote")).alias("context"))

@@ -92,7 +92,7 @@ def p10_paged_read(t: Tables) -> DataFrame:
 @query("with s as (select doc_id, text, 50 as a, 80 as b from {documents} where length(text) > 100) select doc_id, a as start_char, case when doc_id % 3 = 0 then substr(text, 51, 30) else substr(text, 1, 280) end as context from s".replace("substr(text, 1, 280)", "substr(text, 1, 280)"))
 def p11_context(t: Tables) -> DataFrame:
     d = t.documents.where("length(text) > 100")
-    spans = d.select("doc_id", F.lit(50).alias("start_char"), F.lit(80).alias("end_char"), F.substring("text", 51, 30).alias("exact_quote"))
+    spans = d.select("doc_id", F.lit(50).alias("start_char"), F.lit(80).alias("end_char"), F.substring("text", 51, 30).alias("exact_quote"), F.sha2("text", 256).alias("text_hash"))
     now = d.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("changed "), F.col("text"))).otherwise(F.col("text")))
     return P.expand_context(spans, now, "doc_id", 200)
 
