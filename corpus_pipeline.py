@@ -38,23 +38,33 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return decontaminate.find_leaks(docs, benchmark).where(F.size("leaks") == 0).select(*docs.columns)
 
 
+#: What the mixture says of a row's source: its target weight.
+SHARE = "mix_share"
+
+
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mixture (8): part files follow one another, rows in each are sorted.
+    """All documents, in the order of the mixture (8), each with its source's target (``SHARE``): part files follow one another, rows in each are sorted.
 
     The last stage does not rest on that order, which a scan need not keep: it
-    deals its slots by the same weights and schedule. Rows pass through the
-    mixture whole, so rows that share a doc_id, or have none, stay as they are.
+    deals its slots by the targets that come with the rows. Rows pass through
+    the mixture whole, so rows that share a doc_id, or have none, stay as they are.
     """
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return mixing.in_order(mixing.mix_sources(docs), docs.count(), parts).select("row.*")
+    targets = {s: n**0.5 for s, n in mixing.source_counts(docs).items()}
+    share = spark.createDataFrame(list(targets.items()), f"source string, {SHARE} double")
+    mixed = mixing.mix_sources(docs, targets).join(F.broadcast(share), "source")  # one row a source, at most MAX_SOURCES
+    return mixing.in_order(mixed, docs.count(), parts).select("row.*", SHARE)
 
 
 def order_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences in training order (1), slots dealt to sources by the mixture (8): the mix stage's weights, kept for sequences.
+    """Token sequences in training order (1), slots dealt to sources by the targets of the mix stage; one permutation over all where rows have none.
 
     The rows are read from the shards that the stage writes to the shared folder.
     """
-    targets = {s: n**0.5 for s, n in mixing.source_counts(docs).items()}
+    targets = None
+    if SHARE in docs.columns:
+        shares = docs.groupBy(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source")).agg(F.max(SHARE).alias("share")).limit(mixing.MAX_SOURCES + 1).collect()
+        targets = {r["source"]: r["share"] for r in shares}
     return tokenorder.training_order(docs, label="pipeline-shards", targets=targets)
 
 
