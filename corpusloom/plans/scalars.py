@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
+from corpusloom.operators.textindex import with_lists
 from corpusloom.registry import Tables, query
 
 
@@ -72,9 +73,8 @@ def f23_display_label(t: Tables) -> DataFrame:
 
 @query("select doc_id, array_to_string(string_split(text, ' '), ' ') as abstract from {documents}")
 def f24_inverted_abstract(t: Tables) -> DataFrame:
-    words = t.documents.select("doc_id", F.posexplode(F.split("text", " ")).alias("p", "w"))
-    inverted = words.groupBy("doc_id", "w").agg(F.sort_array(F.collect_list("p")).alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("m"))
-    return inverted.select("doc_id", X.inverted_abstract("m").alias("abstract"))
+    rows = with_lists(t.documents.select("doc_id", F.split("text", " ").alias("_w")).withColumn("some", F.col("_w").isNotNull()), "_w")
+    return rows.select("doc_id", F.when(F.col("some"), F.map_from_entries("lists")).alias("m")).select("doc_id", X.inverted_abstract("m").alias("abstract"))
 
 
 @query("select event_id, case when event_type in ('view', 'click') then event_type else 'other' end as kind from {events}")
