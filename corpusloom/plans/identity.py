@@ -71,12 +71,9 @@ best as (select rec, cand, j, row_number() over (partition by rec order by j des
 select w.work_id as rec, cand, case when j >= 0.9 then 'resolved' when j is not null then 'review' else 'unresolved' end as outcome from (select work_id from w where work_id % 2 = 0) w left join best on rec = w.work_id and r = 1""")
 def e6_corpus_resolution(t: Tables) -> DataFrame:
     w = t.v_works.select("work_id", "year", F.regexp_replace(F.lower("title"), "[^a-z0-9]+", " ").alias("title"))
-    p = I.title_matches(w, 0.65).where((F.col("a") + F.col("b")) % 2 == 1)
-    even = F.when(F.col("a") % 2 == 0, F.col("a")).otherwise(F.col("b"))
-    p = p.select(even.alias("rec"), (F.col("a") + F.col("b") - even).alias("cand"), "jaccard")
-    best = p.groupBy("rec").agg(F.min_by(F.struct("cand", "jaccard"), F.struct((-F.col("jaccard")).alias("j"), "cand")).alias("m"))
+    best = I.best_title_matches(w.withColumn("asks", F.col("work_id") % 2 == 0), 0.65, "asks")
     got = w.where("work_id % 2 = 0").select(F.col("work_id").alias("rec")).join(best, "rec", "left")
-    return got.select("rec", F.col("m.cand").alias("cand"), F.when(F.col("m.jaccard") >= 0.9, "resolved").when(F.col("m.jaccard").isNotNull(), "review").otherwise("unresolved").alias("outcome"))
+    return got.select("rec", "cand", F.when(F.col("jaccard") >= 0.9, "resolved").when(F.col("jaccard").isNotNull(), "review").otherwise("unresolved").alias("outcome"))
 
 
 @query("""with p as (select sha1(title) as h, work_id from {v_works} where status = 'metadata_only') select w.work_id as rec, case when count(p.work_id) = 0 then 'unmatched' when count(p.work_id) = 1 then 'matched' else 'ambiguous' end as outcome from {v_works} w left join p on p.h = sha1(w.title) and p.work_id <> w.work_id where w.status = 'included' group by 1""")
