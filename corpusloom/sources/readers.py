@@ -74,8 +74,9 @@ def folder_outcomes(files: DataFrame, pending: DataFrame) -> DataFrame:
     """(path, outcome) of files (path, text): empty, or unmatched, matched or ambiguous by how many pending works (title_hash) their first line titles."""
     title = F.sha1(F.element_at(F.split("text", "\n"), 1))
     n = pending.groupBy("title_hash").agg(F.count(F.lit(1)).alias("_n"))
-    got = files.withColumn("title_hash", title).join(n, "title_hash", "left")
-    outcome = F.when(F.trim(F.regexp_replace("text", r"\s+", " ")) == "", "empty").when(F.col("_n").isNull(), "unmatched").when(F.col("_n") == 1, "matched").otherwise("ambiguous")
+    blank = F.trim(F.regexp_replace("text", r"\s+", " ")) == ""
+    got = files.select("path", title.alias("title_hash"), blank.alias("_blank")).join(n, "title_hash", "left")
+    outcome = F.when(F.col("_blank"), "empty").when(F.col("_n").isNull(), "unmatched").when(F.col("_n") == 1, "matched").otherwise("ambiguous")
     return got.select("path", outcome.alias("outcome"))
 
 
@@ -85,6 +86,12 @@ def folder(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFrame:
     return files.select("path", F.col("content").cast("string").alias("text"))
 
 
+def packed_folder(spark: SparkSession, path: str) -> DataFrame:
+    """path, text of every file that ``sinks.pack_folder`` packed under a folder, at any depth. A pack is read in blocks by many tasks."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(path)
+    return lines.select(F.from_json("value", "path string, text string").alias("f")).select("f.path", "f.text")
+
+
 def events_after(events: DataFrame, after: int) -> DataFrame:
     return events.where(F.col("seq") > after)
 

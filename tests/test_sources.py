@@ -33,3 +33,14 @@ def test_folders_are_scanned_whole(spark, tmp_path):
     assert {(r.path.rsplit("/", 1)[1], r.text) for r in files.collect()} == {("one.md", "T\nmore\n"), ("two.md", "\n \n"), ("three.md", "U"), ("four.md", "V\n\nx")}
     pending = spark.createDataFrame([("T",), ("U",), ("U",)], "t string").selectExpr("sha1(t) as title_hash")
     assert {(r.path.rsplit("/", 1)[1], r.outcome) for r in S.folder_outcomes(files, pending).collect()} == {("one.md", "matched"), ("two.md", "empty"), ("three.md", "ambiguous"), ("four.md", "unmatched")}
+
+
+def test_packed_folder_gives_every_file_whole_from_few_packs(spark, tmp_path):
+    from corpusloom.sources.readers import packed_folder
+    from corpusloom.sources.sinks import pack_folder
+
+    rows = [(f"s/{i}.txt", ["a\nb", 'say "x"\r\n \x85\t\\', "", None, "  \n"][i % 5], i % 3) for i in range(600)]
+    files = spark.createDataFrame(rows, "path string, text string, shelf int").coalesce(2)
+    pack_folder(files, str(tmp_path / "f"), "shelf")
+    assert len(list((tmp_path / "f").rglob("*.txt"))) <= 6
+    assert sorted(packed_folder(spark, str(tmp_path / "f")).collect(), key=str) == sorted([(p, x) for p, x, _ in rows], key=str)
