@@ -98,7 +98,7 @@ con as (select question, concept_id, count(*) as tokens from tok join (select di
 def _claims(t: Tables) -> DataFrame:
     """Current claims that may be shown, of works that are not excluded: filtered before the limit."""
     shown = t.v_claims.where("access_class = 'open_access' and work_id % 10 <> 0")
-    return S.best_items(S.bm25(index_texts(shown, "claim_id", "label"), S.match_units(t.v_ask)).withColumnRenamed("claim_id", "item_id"), 5, "claim")
+    return S.best_of_copies(shown, "claim_id", "label", S.match_units(t.v_ask), 5, "claim")
 
 
 def _notes(t: Tables) -> DataFrame:

@@ -25,3 +25,16 @@ def test_inverted_abstract_needs_no_shuffle(spark, tmp_path):
     got = f24_inverted_abstract(Tables(spark, str(tmp_path)))
     assert {r.doc_id: r.abstract for r in got.collect()} == dict(enumerate(texts))
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_best_of_copies_equals_bm25_over_all_rows(spark):
+    from corpusloom.operators import search as S
+    from corpusloom.operators.textindex import index_texts
+
+    texts = ["red bolt", "red bolt bolt", "blue anvil", "bolt", None, "", "red red bolt here"]
+    docs = spark.createDataFrame([(i, texts[i * i % 7]) for i in range(60)], "id long, t string")
+    units = spark.createDataFrame([(1, "red bolt"), (1, "anvil"), (2, "bolt"), (3, "nothing")], "question long, unit string")
+    plain = S.best_items(S.bm25(index_texts(docs, "id", "t"), units).withColumnRenamed("id", "item_id"), 5, "x")
+    got = S.best_of_copies(docs, "id", "t", units, 5, "x")
+    row = lambda r: (r.question, r.item_id, r.kind, round(r.score, 9))
+    assert sorted(map(row, got.collect())) == sorted(map(row, plain.collect())) != []
