@@ -105,7 +105,7 @@ def _notes(t: Tables) -> DataFrame:
     from corpusloom.operators.rows import latest
 
     current = latest(t.v_note_texts, ["work_id", "schema_id"], "created_at", "note_id").where("work_id % 10 <> 0")
-    return S.best_items(S.bm25(index_texts(current, "note_id", "text"), S.match_units(t.v_ask)).withColumnRenamed("note_id", "item_id"), 5, "note")
+    return S.best_matches(index_texts(current, "note_id", "text"), S.match_units(t.v_ask), 5, "note")
 
 
 def _concepts(t: Tables) -> DataFrame:
@@ -139,7 +139,7 @@ once as (select question, item_id, arg_min(kind, (b, s)) as kind, min((b, s)) as
 select question, item_id, kind, place from (select *, row_number() over (partition by question order by spot, item_id) as place from once) x where place <= 20""")
 def r9_merged(t: Tables) -> DataFrame:
     """Spans, claims, the claims of concepts, notes: each item once, the first twenty of a question."""
-    spans = S.best_items(S.bm25(t.document_index().where("doc_id % 10 <> 0"), S.match_units(t.v_ask)).withColumnRenamed("doc_id", "item_id"), 5, "span")
+    spans = S.best_matches(t.document_index().where("doc_id % 10 <> 0"), S.match_units(t.v_ask), 5, "span")
     hits = _concepts(t).join(t.v_claim_concepts.where("work_id % 10 <> 0").select("concept_id", "claim_id"), "concept_id").select("question", F.col("claim_id").alias("item_id"), F.lit("claim").alias("kind"), F.lit(0.0).alias("score")).distinct()
     return S.merged_items([spans, _claims(t), hits, _notes(t)], 20)
 

@@ -38,3 +38,21 @@ def test_best_of_copies_equals_bm25_over_all_rows(spark):
     got = S.best_of_copies(docs, "id", "t", units, 5, "x")
     row = lambda r: (r.question, r.item_id, r.kind, round(r.score, 9))
     assert sorted(map(row, got.collect())) == sorted(map(row, plain.collect())) != []
+
+
+def test_questions_alike_in_what_texts_hold_are_scored_once(spark):
+    from corpusloom.operators import search as S
+    from corpusloom.operators.textindex import index_texts
+
+    texts = ["red bolt", "red bolt bolt", "blue anvil", "bolt", None, "", "red red bolt here"]
+    index = index_texts(spark.createDataFrame([(i, texts[i * i % 7]) for i in range(60)], "id long, t string"), "id", "t")
+    asked = [(q, u) for q in range(30) for u in ("red bolt" if q % 2 else "bolt", "anvil", f"lost {q}")]
+    units = spark.createDataFrame([*asked, (99, "nothing")], "question long, unit string")
+    plain = S.best_items(S.bm25(index, units).withColumnRenamed("id", "item_id"), 5, "x")
+    shares = S._shares(index, units)
+    alike = S._alike(shares, units)
+    assert {(r.question, r["first"]) for r in alike.collect()} == {(q, q % 2) for q in range(30)}
+    assert {r.question for r in S._scores(shares, S._of_firsts(alike, units), "id").collect()} == {0, 1}
+    row = lambda r: (r.question, r.item_id, r.kind, round(r.score, 9))
+    got = sorted(map(row, S.best_matches(index, units, 5, "x").collect()))
+    assert got == sorted(map(row, plain.collect())) and len(got) == 150
