@@ -156,7 +156,7 @@ def communities(edges: DataFrame, nodes: DataFrame, key: str = "node", rounds: i
     """
     # Tables, not checkpoints: those hand the constraints of their plan on, which double with each round.
     _table = lambda df: stored(df, "communities")
-    w = undirected(edges).select("a", "b", F.lit(1.0).alias("w"))
+    w = _table(undirected(edges).select("a", "b", F.lit(1.0).alias("w")))  # read by each step below; the edges may be a join of large tables
     total = w.agg(F.sum("w")).first()[0] or 0.0
     member = _table(nodes.select(F.col(key).alias("v")).distinct().select("v", F.col("v").alias("c")))
     if total:
@@ -167,14 +167,14 @@ def communities(edges: DataFrame, nodes: DataFrame, key: str = "node", rounds: i
             label = _table(deg.select(F.col("x").alias("v"), F.col("x").alias("c")))
             for r in range(rounds):
                 sizes = label.join(deg, F.col("v") == F.col("x")).groupBy("c").agg(F.sum("k").alias("tot"))
-                links = graph.join(label.select(F.col("v").alias("y"), "c"), "y").groupBy("x", "c").agg(F.sum("w").alias("w"))
+                links = graph.where(F.pmod(F.xxhash64("x", F.lit(r)), F.lit(2)) == 0)  # of the nodes that may move; in the first round each neighbour is a community
+                links = links.select("x", F.col("y").alias("c"), "w") if r == 0 else links.join(label.select(F.col("v").alias("y"), "c"), "y").groupBy("x", "c").agg(F.sum("w").alias("w"))
                 now = label.join(deg, F.col("v") == F.col("x")).select("v", F.col("c").alias("own"), "k")
                 opts = links.join(now, F.col("x") == F.col("v")).join(sizes, "c")
                 gain = F.col("w") - F.col("k") * (F.col("tot") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / (2 * total)
                 best = opts.select("v", "own", "c", gain.alias("g")).groupBy("v", "own").agg(F.min_by(F.struct("c", "g"), F.struct((-F.round("g", 9)).alias("n"), F.col("c"))).alias("t"), F.max(F.when(F.col("c") == F.col("own"), F.col("g"))).alias("stay"))
                 stay = F.coalesce("stay", F.lit(0.0))
-                goes = (F.col("t.g") > stay + 1e-9) & (F.pmod(F.xxhash64("v", F.lit(r)), F.lit(2)) == 0)
-                moves = best.where(goes).select("v", F.col("t.c").alias("to"))
+                moves = best.where(F.col("t.g") > stay + 1e-9).select("v", F.col("t.c").alias("to"))
                 label = _table(label.join(moves, "v", "left").select("v", F.coalesce("to", "c").alias("c")))
             label = _table(_connected(label, w))
             up = label.select(F.col("v").alias("c"), F.col("c").alias("_to"))

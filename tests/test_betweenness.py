@@ -47,3 +47,18 @@ def test_dense_levels_do_not_multiply(spark, monkeypatch):
     monkeypatch.setattr(G, "cut", lambda df: kept.append(df.count()) or df.localCheckpoint())
     G.betweenness(e, v)
     assert max(kept, default=0) < n * n  # all pairs seen were written again with each level
+
+
+def test_communities_read_their_edges_once(spark):
+    read = spark.sparkContext.accumulator(0)
+    pairs = [(g * 10 + a, g * 10 + b) for g in range(3) for a in range(5) for b in range(a)] + [(0, 10), (10, 20)]
+
+    def seen(e):
+        read.add(1)
+        return e
+
+    edges = spark.createDataFrame(spark.sparkContext.parallelize(pairs, 2).map(seen), "source long, target long")
+    nodes = spark.createDataFrame([(v,) for v in {x for p in pairs for x in p} | {99}], "node long")
+    got = {r.node: r.community for r in G.communities(edges, nodes).collect()}
+    assert read.value == len(pairs)
+    assert got == {v: {0: 0, 1: 1, 2: 2, 9: 3}[v // 10] for v in got} and len(got) == 16
