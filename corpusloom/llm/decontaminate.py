@@ -19,6 +19,8 @@ PASSAGE = 48  # words in a row of A
 HALF = 12  # words in a block; what is searched with is two blocks
 WIDTH = 256  # columns of the random test matrix
 RANK = 128  # latent dimensions
+#: Columns that as many words of a slice have, but no more than DENSE of them, are multiplied as a dense matrix, STRETCH passages at a time.
+OFTEN, DENSE, STRETCH = 24, 1024, 2048
 _NONZERO = 4  # entries of a column's row of the test matrix
 #: Items of fewer words are looked for as they stand; those of fewer than LEAST only as a whole text.
 SHORT, LEAST = 8, 4
@@ -55,13 +57,13 @@ def sketch(h: np.ndarray, idf: np.ndarray, group: np.ndarray, n: int) -> np.ndar
     return out.reshape(n, WIDTH).astype(np.float32)
 
 
-def _sums(rows: np.ndarray, weight: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
-    """Weighted sums of stretches of rows, given where each starts; none is longer than ``size``."""
-    stop = np.append(start[1:], len(rows))
+def _sums(table: np.ndarray, row: np.ndarray, weight: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    """Weighted sums of stretches of rows of a table, given where each starts; none is longer than ``size``."""
+    stop = np.append(start[1:], len(row))
     at = start[:, None] + np.arange(size)
     inside = at < stop[:, None]
     at[~inside] = 0
-    return ((weight[at] * inside)[:, None, :] @ rows[at])[:, 0]
+    return ((weight[at] * inside)[:, None, :] @ table[row[at]])[:, 0]
 
 
 def _blocks(row: np.ndarray, n: int, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,6 +118,29 @@ def _gram(shared):
     return run
 
 
+def _add_product(out: np.ndarray, q: np.ndarray, column: np.ndarray, weight: np.ndarray, group: np.ndarray) -> None:
+    """Adds q'A to ``out``, A given by column and weight of each word of the groups.
+
+    The commonest columns hold most words: they are a dense matrix, a stretch
+    of groups at a time, and the words of the others are added one by one.
+    """
+    n = np.bincount(column, minlength=COLUMNS)
+    dense = np.argsort(-n, kind="stable")[: min(DENSE, np.count_nonzero(n >= OFTEN))]
+    place = np.full(COLUMNS, -1)
+    place[dense] = np.arange(len(dense))
+    at = place[column]
+    words = np.flatnonzero(at >= 0)
+    for lo in range(0, len(q) if len(dense) else 0, STRETCH):
+        held = words[slice(*np.searchsorted(group[words], [lo, lo + STRETCH]))]
+        part = q[lo : lo + STRETCH]
+        a = np.bincount((group[held] - lo) * len(dense) + at[held], weights=weight[held], minlength=len(part) * len(dense))
+        out[:, dense] += part.T @ a.reshape(len(part), len(dense)).astype(np.float32)
+    words = np.flatnonzero(at < 0)
+    column, weight, group = column[words], weight[words], group[words]
+    for d, values in enumerate(np.ascontiguousarray(q.T, np.float64)):
+        out[d] += np.bincount(column, weights=values[group] * weight, minlength=COLUMNS)
+
+
 def _project(shared, parts: int):
     """B' = A'Q over this partition's passages, Q = Y turn, in ``parts`` stretches of A's columns."""
 
@@ -130,9 +155,7 @@ def _project(shared, parts: int):
             size = np.maximum(np.linalg.norm(y, axis=1), 1e-12)
             q = (y / size[:, None]) @ turn
             # rows of A are scaled like those of Y
-            column, weight = _column(h), idf[_bucket(h)] / size[group]
-            for d, values in enumerate(np.ascontiguousarray(q.T, np.float64)):
-                out[d] += np.bincount(column, weights=values[group] * weight, minlength=COLUMNS)
+            _add_product(out, q, _column(h), idf[_bucket(h)] / size[group], group)
         out = np.ascontiguousarray(out.T)
         step = COLUMNS // parts
         yield pa.RecordBatch.from_arrays(
@@ -166,7 +189,7 @@ class Space:
         out = np.zeros((n, self.vectors.shape[1]), np.float32)
         first = _starts(group)
         if len(first):
-            out[group[first]] = _sums(self.vectors[_column(h)], self.idf[_bucket(h)].astype(np.float32), first, size)
+            out[group[first]] = _sums(self.vectors, _column(h), self.idf[_bucket(h)].astype(np.float32), first, size)
         return out
 
 
@@ -275,6 +298,8 @@ class Items:
         self.start = np.array([i for x in at for i, _ in x], np.int64)
         self.size_of = np.array(self.sizes, np.int64)
         self.counts = [{w: x.bit_count() for w, x in masks.items()} for masks in self.masks]
+        self.words = [frozenset(x) for x in self.masks]
+        self.repeats = [m - len(x) for m, x in zip(self.sizes, self.words)]
         self.points = _unit(np.array([p for x in at for _, p in x], np.float32).reshape(-1, space.vectors.shape[1]))
 
 
@@ -326,8 +351,9 @@ def _searcher(shared, cosine: float, share: float, sure: float):
                     words = h.tolist()
                     for lo in range(0, len(whole), 2048):
                         cos = whole[lo : lo + 2048] @ items.points.T
-                        w, p = np.nonzero(cos >= cosine)
-                        near_to, item = cos[w, p], items.item_of[p]
+                        cell = np.flatnonzero(cos.ravel() >= cosine)
+                        (w, p), near_to = np.divmod(cell, cos.shape[1]), cos.ravel()[cell]
+                        item = items.item_of[p]
                         order = np.lexsort((-near_to, item, w))
                         # of an item's stretches the nearest
                         order = order[_starts(w[order] * np.int64(len(items.ids)) + item[order])]
@@ -338,9 +364,10 @@ def _searcher(shared, cosine: float, share: float, sure: float):
                         at = cuts[r] + (w - first[r]) * HALF - items.start[p]
                         start, stop = np.maximum(cuts[r], at - HALF - m // 2), np.minimum(cuts[r + 1], at + 2 * HALF + m + m // 2)
                         for r, item, score, start, begin, stop in zip(r.tolist(), item.tolist(), near_to.tolist(), start.tolist(), cuts[r].tolist(), stop.tolist()):
-                            m, near, count = items.sizes[item], words[start:stop], items.counts[item]
-                            # no subsequence is longer than the item's words that occur at all
-                            if sum(count[x] for x in count.keys() & set(near)) < share * m:
+                            m, near = items.sizes[item], words[start:stop]
+                            # no subsequence is longer than the item's words that occur at all, with their repeats
+                            met, least = items.words[item].intersection(near), share * m
+                            if len(met) + items.repeats[item] < least or sum(map(items.counts[item].__getitem__, met)) < least:
                                 continue
                             n = lcs_length(items.masks[item], m, near)
                             if n < share * m or ((known := hits[r].get(items.ids[item])) and known["lcs"] >= n):

@@ -138,3 +138,22 @@ def test_odd_rows_blocks_and_clashing_names(spark, given):
 def test_runs():
     h = np.arange(10, dtype=np.uint64)
     assert len(dc._runs(h, 3)) == 8 and len(set(dc._runs(h, 3).tolist())) == 8 and pa.array(dc._runs(h, 10)).null_count == 0
+
+
+@pytest.mark.parametrize(("words", "groups", "often"), [(0, 1, 24), (5000, 3, 24), (60000, 2500, 24), (60000, 2500, 10**9), (9000, 4100, 1)])
+def test_products_of_common_and_rare_columns(words, groups, often, monkeypatch):
+    monkeypatch.setattr(dc, "OFTEN", often)
+    rng = np.random.default_rng(words)
+    column = np.minimum(rng.geometric(0.002, words) * 7, dc.COLUMNS - 1)
+    group, weight, q = np.sort(rng.integers(0, groups, words)), rng.random(words), rng.standard_normal((groups, 5)).astype(np.float32)
+    want = np.zeros((dc.COLUMNS, 5))
+    np.add.at(want, column, q[group] * weight[:, None])
+    out = np.ones((5, dc.COLUMNS), np.float32)
+    dc._add_product(out, q, column, weight, group)
+    assert np.allclose(out - 1, want.T, atol=2e-3)
+
+
+def test_items_are_not_ruled_out_by_their_repeats():
+    space = dc.Space(np.ones(dc.BUCKETS), np.ones((dc.COLUMNS, 2)))
+    items = dc.Items([(1, "ho ho ho ho ho ho ho the end is near", None), (2, "a b c d e f g h i j", None)], space)
+    assert items.repeats == [6, 0] and [len(x) for x in items.words] == [5, 10]
