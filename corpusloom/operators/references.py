@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
-from corpusloom.operators.windows import carry, islands, line_rows, monotone_runs
+from corpusloom.operators.windows import carry, islands, line_rows, with_enumerated
 
 # Labels of plain reference lists; any other label is a list of its own kind, whose numbering is trusted.
 PLAIN_LABELS = ["references", "bibliography", "works cited", "literature cited", "reference list", "references and notes", "literature"]
@@ -122,18 +122,17 @@ def entries(ranges: DataFrame, doc: str = "work_id") -> DataFrame:
     """
     keys = [doc, "label"]
     cleaned = F.transform(F.split("text", "\n"), clean_line)  # before the explode: a filter on its result is not written out for each use
-    lines = ranges.select(*keys, F.posexplode(cleaned).alias("line", "body")).where((F.trim("body") != "") & ~is_debris("body"))
+    ranges = ranges.select(*keys, "text", is_sublist(F.coalesce("label", F.lit(""))).alias("_own"))  # told once a range, not once a line
+    lines = ranges.select(*keys, "_own", F.posexplode(cleaned).alias("line", "body")).where((F.trim("body") != "") & ~is_debris("body"))
     lines = lines.withColumn("number", F.nullif(F.regexp_extract("body", _NUMBER, 1), F.lit("")).cast("int"))
-    runs = monotone_runs(lines, keys, "line", "number").select(*keys, "enumerated")
-    own = is_sublist(F.coalesce("label", F.lit("")))
-    lines = lines.join(runs, keys, "left").withColumn("enumerated", F.coalesce("enumerated", F.lit(False)) | (own & F.max(F.col("number").isNotNull()).over(W.partitionBy(*keys))))
+    lines = with_enumerated(lines, keys, "line", "number").withColumn("enumerated", F.col("enumerated") | (F.col("_own") & F.max(F.col("number").isNotNull()).over(W.partitionBy(*keys))))
     marked = F.col("number").isNotNull() | F.col("body").rlike(_DASHES)
     opens = marked | (~F.col("enumerated") & ~_goes_on(F.col("body")) & _dated_opening(F.col("body")))
     groups = islands(lines.withColumn("_open", opens), keys, "line", F.col("_open"), "_g").where("_g > 0 or not enumerated")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "body"))), lambda x: F.trim(x["body"])), " ")
-    raw = groups.groupBy(*keys, "_g").agg(joined.alias("raw"), F.bool_or("enumerated").alias("enumerated")).withColumn("raw", F.trim(F.regexp_replace("raw", r"\s+", " ")))
+    raw = groups.groupBy(*keys, "_g").agg(joined.alias("raw"), F.bool_or(F.col("enumerated") | F.col("_own")).alias("whole")).withColumn("raw", F.trim(F.regexp_replace("raw", r"\s+", " ")))
     cut = F.split(F.regexp_replace("raw", r"([.’\"”])\s+(?=\p{Lu}[\p{L}0-9_'’-]+,\s+\p{Lu})", f"$1{_LOST}"), _LOST)
-    each = raw.select(*keys, "_g", F.posexplode(F.when(F.col("enumerated") | own, F.array("raw")).otherwise(cut)).alias("_i", "raw")).where("trim(raw) <> ''")
+    each = raw.select(*keys, "_g", F.posexplode(F.when(F.col("whole"), F.array("raw")).otherwise(cut)).alias("_i", "raw")).where("trim(raw) <> ''")
     return each.select(*keys, F.row_number().over(W.partitionBy(*keys).orderBy("_g", "_i")).alias("ordinal"), F.trim("raw").alias("raw"))
 
 

@@ -63,6 +63,13 @@ def monotone_runs(df: DataFrame, keys: list[str], order: str, number: str, least
     return got.select(*keys, "numbers", F.round(F.coalesce("upward", F.lit(0.0)), 6).alias("upward"), ((F.col("numbers") >= least) & (F.coalesce("upward", F.lit(0.0)) >= share)).alias("enumerated"))
 
 
+def with_enumerated(df: DataFrame, keys: list[str], order: str, number: str, least: int = 3, share: float = 0.8) -> DataFrame:
+    """``df`` with ``enumerated``: whether a row's key is one of ``monotone_runs``, told by windows over the rows as they lie, which are read once."""
+    w, whole = W.partitionBy(*keys).orderBy(order), W.partitionBy(*keys)
+    d = df.withColumn("_up", (F.col(number) > F.last(number, True).over(w.rowsBetween(W.unboundedPreceding, -1))).cast("double"))
+    return d.withColumn("enumerated", (F.count(number).over(whole) >= least) & (F.coalesce(F.avg("_up").over(whole), F.lit(0.0)) >= share)).drop("_up")
+
+
 def outline(headings: DataFrame, doc: str, order: str, level: str, deepest: int = 6) -> DataFrame:
     """``parent``: the nearest earlier heading of a smaller level.
 

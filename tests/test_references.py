@@ -81,3 +81,30 @@ def test_fallback_ranges(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "work_id long, text string")
     got = sorted((r.work_id, r.label, r.text) for r in R.fallback_ranges(df).collect())
     assert got == [(0, "Bibliography", "z"), (0, "References", "x\ny"), (1, "References", "b"), (1, "Works Cited", "c"), (3, "References", "References\nx"), (5, "References", "")]
+
+
+def test_lists_are_read_once_and_their_kind_told_once_a_range(spark):
+    read = spark.sparkContext.accumulator(0)
+    text = "[1] I. Smith. One. X, 1999.\n[2] J. Doe. Two. Y, 2000.\nmore of it.\n[3] K. Roe. Three. Z, 2001."
+
+    def seen(r):
+        read.add(1)
+        return r
+
+    lists = [(i, "References" if i % 2 else "Rejoinder References", text if i < 8 else "[1] I. Smith. One. X, 1999. Doe, J. 2000. Two.") for i in range(10)]
+    ranges = spark.createDataFrame(spark.sparkContext.parallelize(lists, 2).map(seen), "work_id long, label string, text string")
+    got = R.entries(ranges)
+    rows = got.collect()
+    assert read.value == len(lists)
+    assert [sum(r.work_id == i for r in rows) for i in range(10)] == [3] * 8 + [1, 2]
+    assert {r.raw for r in rows if r.work_id == 0} == {"[1] I. Smith. One. X, 1999.", "[2] J. Doe. Two. Y, 2000. more of it.", "[3] K. Roe. Three. Z, 2001."}
+
+
+def test_with_enumerated_tells_what_monotone_runs_tells(spark):
+    from corpusloom.operators.windows import monotone_runs, with_enumerated
+
+    runs = {1: [1, 2, 3, None], 2: [3, 2, 1], 3: [None, 5, None, 6, 6, 7, 8, 9, 10], 4: [1, 2], 5: [None, None], 6: [1, 3, 2, 4, 5, 6], 7: [1, 1, 1, 2]}
+    df = spark.createDataFrame([(k, i, n) for k, ns in runs.items() for i, n in enumerate(ns)], "k long, line int, n int")
+    want = {r.k: r.enumerated for r in monotone_runs(df, ["k"], "line", "n").collect()}
+    got = {(r.k, r.enumerated) for r in with_enumerated(df, ["k"], "line", "n").collect()}
+    assert got == {(k, want.get(k, False)) for k in runs} and {True, False} == set(want.values())
