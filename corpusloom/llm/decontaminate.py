@@ -271,6 +271,19 @@ def _hashes(text: str) -> list[int]:
     return _tokens(raw, np.array([0, len(raw)]))[1].tolist() if len(raw) else []
 
 
+_LANES = np.arange(4, dtype=np.uint64)
+
+
+def _marks(h: np.ndarray) -> np.ndarray:
+    """A row of 256 bits, in four numbers, for each word: one bit is set."""
+    bit = np.uint64(1) << ((h >> np.uint64(8)) & np.uint64(63))
+    return np.where((h & np.uint64(3))[:, None] == _LANES, bit[:, None], np.uint64(0))
+
+
+def _bits(marks: np.ndarray) -> np.ndarray:
+    return np.unpackbits(np.ascontiguousarray(marks).view(np.uint8), axis=1)
+
+
 class Items:
     """A block of benchmark items made ready for search."""
 
@@ -299,10 +312,25 @@ class Items:
         self.size_of = np.array(self.sizes, np.int64)
         self.counts = [{w: x.bit_count() for w, x in masks.items()} for masks in self.masks]
         self.words = [frozenset(x) for x in self.masks]
+        #: words of each item by their bit, with repeats
+        self.by_bit = np.zeros((len(self.ids), 256), np.float32)
+        for i, x in enumerate(self.counts):
+            if x:
+                np.add.at(self.by_bit[i], _bits(_marks(np.array(list(x), np.uint64))).argmax(axis=1), list(x.values()))
         self.repeats = [m - len(x) for m, x in zip(self.sizes, self.words)]
         self.points = _unit(np.array([p for x in at for _, p in x], np.float32).reshape(-1, space.vectors.shape[1]))
 
 
+    def possible(self, seen: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Which of the stretches of blocks may hold ``least`` of an item's words, as the bits of their words, ``seen``, tell; none that does is left out."""
+        ok = [np.zeros(0, np.int64)]
+        for a in range(0, len(item), 2048):
+            z = a + 2048
+            met = _bits(np.bitwise_or.reduceat(seen, np.stack([lo[a:z], hi[a:z]], 1).ravel(), axis=0)[::2])
+            ok.append(a + np.flatnonzero(np.einsum("ij,ij->i", met, self.by_bit[item[a:z]]) >= least[a:z]))
+        return np.concatenate(ok)
+
+
 def _runs(h: np.ndarray, m: int) -> np.ndarray:
     """Hash of each m words that follow one another."""
     s = np.full(len(h) - m + 1, m, np.uint64)
@@ -349,6 +377,8 @@ def _searcher(shared, cosine: float, share: float, sure: float):
                     whole[ends] = sums[ends]  # a row's last block stands alone
                     whole = _unit(whole)
                     words = h.tolist()
+                    seen = np.bitwise_or.reduceat(_marks(h), _starts(block), axis=0)
+                    seen = np.concatenate([seen, np.zeros((1, 4), np.uint64)])  # where the last range ends
                     for lo in range(0, len(whole), 2048):
                         cos = whole[lo : lo + 2048] @ items.points.T
                         cell = np.flatnonzero(cos.ravel() >= cosine)
@@ -363,6 +393,9 @@ def _searcher(shared, cosine: float, share: float, sure: float):
                         # where the item would begin, and half of it more to either side
                         at = cuts[r] + (w - first[r]) * HALF - items.start[p]
                         start, stop = np.maximum(cuts[r], at - HALF - m // 2), np.minimum(cuts[r + 1], at + 2 * HALF + m + m // 2)
+                        # the bits of the blocks around tell of most that too few of the item's words occur
+                        ok = items.possible(seen, first[r] + (start - cuts[r]) // HALF, first[r] + (stop - 1 - cuts[r]) // HALF + 1, item, share * m)
+                        r, item, near_to, start, stop = r[ok], item[ok], near_to[ok], start[ok], stop[ok]
                         for r, item, score, start, begin, stop in zip(r.tolist(), item.tolist(), near_to.tolist(), start.tolist(), cuts[r].tolist(), stop.tolist()):
                             m, near = items.sizes[item], words[start:stop]
                             # no subsequence is longer than the item's words that occur at all, with their repeats

@@ -157,3 +157,18 @@ def test_items_are_not_ruled_out_by_their_repeats():
     space = dc.Space(np.ones(dc.BUCKETS), np.ones((dc.COLUMNS, 2)))
     items = dc.Items([(1, "ho ho ho ho ho ho ho the end is near", None), (2, "a b c d e f g h i j", None)], space)
     assert items.repeats == [6, 0] and [len(x) for x in items.words] == [5, 10]
+
+
+def test_no_stretch_is_ruled_out_that_holds_enough_words():
+    rng = np.random.default_rng(5)
+    space = dc.Space(np.ones(dc.BUCKETS), np.ones((dc.COLUMNS, 2)))
+    vocabulary = [f"w{i}" for i in range(400)]
+    items = dc.Items([(i, " ".join(rng.choice(vocabulary, 12)), None) for i in range(20)], space)
+    blocks = [dc._hashes(" ".join(rng.choice(vocabulary, dc.HALF))) for _ in range(60)]
+    seen = np.stack([np.bitwise_or.reduce(dc._marks(np.array(b, np.uint64))) for b in blocks] + [np.zeros(4, np.uint64)])
+    lo, item = np.repeat(np.arange(58), 20), np.tile(np.arange(20), 58)
+    held = np.array([sum(items.counts[i][x] for x in items.words[i].intersection(blocks[a] + blocks[a + 1] + blocks[a + 2])) for a, i in zip(lo, item)])
+    for least in (1, 2, 3):
+        ok = items.possible(seen, lo, lo + 3, item, np.full(len(lo), float(least)))
+        assert set(np.flatnonzero(held >= least)) <= set(ok) and len(ok) < len(lo)
+    assert not len(items.possible(seen, lo[:0], lo[:0], item[:0], np.zeros(0)))
