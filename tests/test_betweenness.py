@@ -99,3 +99,12 @@ def test_walks_in_pieces_equal_walks_at_once(monkeypatch):
         for square, step in ((2048, 1 << 22), (0, 1 << 22), (0, 64), (2048, 64)):
             monkeypatch.setattr(P, "SQUARE", square), monkeypatch.setattr(P, "STEP", step)
             assert P._Walks(n, x, y).shares(np.arange(n)) == pytest.approx(want)
+
+
+def test_god_nodes_make_their_edges_once(spark, monkeypatch):
+    from corpusloom import registry
+
+    made, undirected = [], G.undirected
+    monkeypatch.setattr(G, "undirected", lambda e: made.append(e) or undirected(e))
+    assert registry.queries()["g13_god_nodes"](spark, "/root/testdata/sf0.001").count() == 5
+    assert len(made) == 1
