@@ -9,6 +9,7 @@ from corpusloom.functions import text as X
 from corpusloom.operators import search as S
 from corpusloom.operators.textindex import index_texts
 from corpusloom.operators.windows import budget_prefix, dispositions
+from corpusloom.plans.lineage import stored
 from corpusloom.registry import Tables, query
 
 _WORDS = "list_filter(regexp_split_to_array(lower(strip_accents({c})), '[^\\pL\\pN]+'), lambda x: x <> '')"
@@ -98,6 +99,7 @@ con as (select question, concept_id, count(*) as tokens from tok join (select di
 def _claims(t: Tables) -> DataFrame:
     """Current claims that may be shown, of works that are not excluded: filtered before the limit."""
     shown = t.v_claims.where("access_class = 'open_access' and work_id % 10 <> 0")
+    shown = stored(shown.select("claim_id", "label"), "claims")  # of a group by claim, and read twice
     return S.best_of_copies(shown, "claim_id", "label", S.match_units(t.v_ask), 5, "claim")
 
 
@@ -140,7 +142,9 @@ select question, item_id, kind, place from (select *, row_number() over (partiti
 def r9_merged(t: Tables) -> DataFrame:
     """Spans, claims, the claims of concepts, notes: each item once, the first twenty of a question."""
     spans = S.best_matches(t.document_index().where("doc_id % 10 <> 0"), S.match_units(t.v_ask), 5, "span")
-    hits = _concepts(t).join(t.v_claim_concepts.where("work_id % 10 <> 0").select("concept_id", "claim_id"), "concept_id").select("question", F.col("claim_id").alias("item_id"), F.lit("claim").alias("kind"), F.lit(0.0).alias("score")).distinct()
+    concepts = stored(_concepts(t), "concepts")
+    claims = S.first_of_groups(t.v_claim_concepts.where("work_id % 10 <> 0").select("concept_id", "claim_id").join(concepts.select("concept_id").distinct(), "concept_id", "left_semi"), "concept_id", "claim_id", 20)
+    hits = concepts.join(claims, "concept_id").select("question", F.col("claim_id").alias("item_id"), F.lit("claim").alias("kind"), F.lit(0.0).alias("score")).distinct()
     return S.merged_items([spans, _claims(t), hits, _notes(t)], 20)
 
 

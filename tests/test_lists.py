@@ -56,3 +56,20 @@ def test_questions_alike_in_what_texts_hold_are_scored_once(spark):
     row = lambda r: (r.question, r.item_id, r.kind, round(r.score, 9))
     got = sorted(map(row, S.best_matches(index, units, 5, "x").collect()))
     assert got == sorted(map(row, plain.collect())) and len(got) == 150
+
+
+def test_first_items_of_groups_are_cut_before_the_shuffle(spark):
+    from corpusloom.operators.search import first_of_groups
+
+    rows = [(g, f"{(i * 7) % 50:02}") for g in ("a", "b") for i in range(50) for _ in range(3)] + [("c", "x")]
+    got = first_of_groups(spark.createDataFrame(rows, "g string, i string").repartition(3), "g", "i", 20)
+    assert sorted((r.g, r.i) for r in got.collect()) == sorted([(g, f"{i:02}") for g in ("a", "b") for i in range(20)] + [("c", "x")])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Partial" in plan[plan.index("WindowGroupLimit") :]
+
+
+def test_merged_search_shuffles_no_row_for_each_question_and_claim(spark):
+    from corpusloom import registry
+
+    plan = registry.queries()["r9_merged"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "dense_rank" in plan and plan.count("l_orderkey") > 0  # claims of concepts are cut to twenty a concept before questions meet them
