@@ -37,6 +37,12 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+def _discard(spark: SparkSession, path: str) -> None:
+    """Removes a table whose _SUCCESS tells that it is whole: that first, so what a failure leaves of it does not count."""
+    remove(spark, f"{path}/_SUCCESS")
+    remove(spark, path)
+
+
 def stamp(spark: SparkSession, path: str) -> tuple:
     """Names, lengths and times of a table's files: another stamp, another content."""
     fs, at = _fs(spark, path)
@@ -101,12 +107,12 @@ class Kept:
         return spark.read.schema(like.schema).parquet(self.path(table))
 
     def _written(self, rows: DataFrame, table: str, path: str) -> None:
-        """Rows by bucket and order; large buckets become several files, small ones share a task."""
-        laid = rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", *self.sorts.get(table, []))
+        """Rows by bucket and order. A batch is laid by bucket before it is built on, so what documents yield is not shuffled."""
+        laid = rows.sortWithinPartitions("bucket", *self.sorts.get(table, []))
         laid.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
     def _replace(self, table: str, rows: Callable[[], DataFrame], touched: list[int], batch: int) -> None:
-        """Puts ``rows`` in place of the touched buckets."""
+        """Puts ``rows`` in place of the touched buckets. Their copy goes as soon as they are there: run again, it is made of them anew."""
         spark, path = SparkSession.active(), self.path(table)
         if not exists(spark, path):
             self._written(rows(), table, path)
@@ -122,6 +128,7 @@ class Kept:
         for b in touched:  # a bucket that lost its last row
             if f"bucket={b}" not in full:
                 remove(spark, f"{path}/bucket={b}")
+        _discard(spark, stage)
 
     def apply(self, docs: DataFrame, batch: int) -> None:
         """Takes a batch of documents into all tables.
@@ -144,7 +151,8 @@ class Kept:
             kept = self.read(docs, "documents").select(F.col(self.key).alias("_k"), "version", "digest")
             met = newest.join(kept, F.col(self.key) == F.col("_k"), "left")
             news = F.col("_k").isNull() | ((F.col("_d") != F.col("digest")) & (F.col("_v") >= F.col("version"))) | (F.col("_v") > F.col("version"))
-            met.where(news).select(*docs.columns).withColumn("bucket", self.bucket()).write.mode("overwrite").parquet(stage)
+            laid = met.where(news).select(*docs.columns).withColumn("bucket", self.bucket()).hint("rebalance", "bucket")  # large buckets become several tasks, small ones share one
+            laid.write.mode("overwrite").parquet(stage)
         changed = spark.read.parquet(stage)
         touched = sorted(r.bucket for r in changed.select("bucket").distinct().collect())  # at most the number of buckets
         if not touched:
@@ -156,10 +164,11 @@ class Kept:
             return old.unionByName(build(news).withColumn("bucket", self.bucket()))
 
         def summary(source: str, build: Build) -> DataFrame:
-            return build(self.read(docs, source).where(F.col("bucket").isin(touched)))
+            return build(self.read(docs, source).where(F.col("bucket").isin(touched))).hint("rebalance", "bucket")
 
         for table, build in self.builds.items():
             self._replace(table, lambda t=table, b=build: rows(t, b), touched, batch)
         for table, (source, build) in self.summaries.items():
             self._replace(table, lambda s=source, b=build: summary(s, b), touched, batch)
         self._replace("documents", lambda: rows("documents", self._states), touched, batch)  # last: until then the batch counts as new
+        _discard(spark, stage)

@@ -140,3 +140,14 @@ def test_best_of_a_question_are_cut_before_the_shuffle(spark):
     for q in range(3):
         want = sorted((i % 7, i) for i in range(100) if i % 3 == q)[:4]
         assert sorted((r.score, r.item_id) for r in S.best_items(found, 4, "span").where(f"question = {q}").collect()) == want
+
+
+def test_copies_of_a_batch_go_with_it(spark, tmp_path):
+    """A batch's copies are as large as what it yields; none is left behind, or lies beside the next table's."""
+    k = Kept(str(tmp_path / "kept"), "doc_id", "text", {"words": lambda d: d.selectExpr("doc_id", "explode(split(text, ' ')) as word")}, {"counts": ("words", lambda w: w.groupBy("bucket", "word").count())})
+    for i, texts in enumerate((["a b", "c"], ["a b b", "c c"], ["a b b", "c c"])):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        k.apply(docs, i)
+        assert not [n for n in names(spark, f"{k.base}/_batch={i}") if n != "changed" or i < 2]
+        assert {"counts", "documents", "words"} <= set(names(spark, k.base))
+    assert sorted((r.word, r["count"]) for r in k.read(docs, "counts").collect()) == [("a", 1), ("b", 2), ("c", 2)]
